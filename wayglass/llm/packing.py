@@ -27,7 +27,7 @@ WINDOW = 1024
 #: content: "ids binary" (little-endian unsigned 32-bit ids) or "ids_crc32 long" (their unsigned CRC-32).
 PIECES = "doc_id {id}, start long, length long, {content}, doc_tokens long, sequence_id long, offset long"
 #: Words that a tokeniser's cache holds before it starts anew: bounds a worker's memory, changes no result.
-CACHE = 300_000
+CACHE = 1_000_000
 BLOCK_TOKENS = 8_000_000
 
 #: Runs of blanks whose cut depends on what follows them: all but one space, one line feed or two line feeds before a word.
@@ -49,6 +49,23 @@ class WordCache(dict):
         return ids
 
 
+def _rank_encoder(path: str, whole: Callable[[str], list[int]]) -> Callable[[str], list[int]]:
+    """Ids of a single word: by the same vocabulary's rank file beside the tokenizer's, if there is one, which takes a fraction of the time for Latin words."""
+    import base64
+    import os
+
+    ranks = path.removesuffix(".json") + ".tiktoken"
+    if not os.path.exists(ranks):
+        return whole
+    import public_tokenizers
+    import tiktoken
+
+    with open(ranks, "rb") as f:
+        table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})._core_bpe.encode_ordinary
+    return lambda s: fast(s) if max(s) < "\u0250" else whole(s)
+
+
 def encoder(path: str) -> Callable[[str], bytes]:
     """A text's ids as bytes, equal to those of the tokenizer of `path` over the whole text.
 
@@ -60,7 +77,7 @@ def encoder(path: str) -> Callable[[str], bytes]:
     tok = Tokenizer.from_file(path)
     tok.encode_special_tokens = True
     whole = lambda s: tok.encode(s, add_special_tokens=False).ids
-    words = WordCache(whole)
+    words = WordCache(_rank_encoder(path, whole))
     look = words.__getitem__
 
     def encode(text: str) -> bytes:

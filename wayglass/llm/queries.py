@@ -11,8 +11,11 @@ from pyspark.sql import functions as F
 from .exact_dedup import exact_dedup
 from .line_dedup import line_dedup
 from .packing import pack
+from .piece_fst import piece_codes
+from .pii import pii
 from .quality_rules import quality_rules
 from .store import documents
+from .toxicity import held_out, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -37,6 +40,10 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("row.doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_codes(documents(spark, sf_dir), os.path.join(tokenizers_dir(), "piece_bpe_32k.model"), ids=False)
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(documents(spark, sf_dir))
 
@@ -45,11 +52,24 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(documents(spark, sf_dir), os.path.join(tokenizers_dir(), "byte_bpe_50k.json"), digest=True)
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return out.select("row.doc_id", held_out(F.col("row.doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pii(documents(spark, sf_dir))
+    return out.select("row.doc_id", *[f"found.{c}" for c in ("n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_added")])
+
+
 QUERIES: dict[str, Query] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_line_dedup": op2_line_dedup,
+    "op4_sentencepiece": op4_sentencepiece,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_packing": op6_packing,
+    "op7_toxicity": op7_toxicity,
+    "op8_pii": op8_pii,
 }
 
 ORACLES: dict[str, str] = {
