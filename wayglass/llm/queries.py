@@ -16,6 +16,7 @@ from .pii import pii
 from .quality_rules import quality_rules
 from .signature_join import jaccard_components
 from .store import documents
+from .suffix_dedup import suffix_dedup
 from .toxicity import held_out, toxicity
 from .unit_dedup import unit_dedup
 
@@ -74,6 +75,11 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(documents(spark, sf_dir)).select(F.col("id").alias("doc_id"), "n_shingles", "component_id")
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix_dedup(documents(spark, sf_dir), keep=False)
+    return out.select("row.doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 QUERIES: dict[str, Query] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_line_dedup": op2_line_dedup,
@@ -84,6 +90,7 @@ QUERIES: dict[str, Query] = {
     "op7_toxicity": op7_toxicity,
     "op8_pii": op8_pii,
     "op9_jaccard_join": op9_jaccard_join,
+    "op10_suffix_dedup": op10_suffix_dedup,
 }
 
 ORACLES: dict[str, str] = {
