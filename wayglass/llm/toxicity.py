@@ -213,7 +213,7 @@ class ToxicityModel:
                 for p, v in pairs:
                     if v and p.search(low):
                         z += v
-            return float(1 / (1 + np.exp(-np.clip(z, -700, 700))))
+            return 0.0 if z < -700 else float(1 / (1 + np.exp(-z)))
 
         return score
 
