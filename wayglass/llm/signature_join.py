@@ -391,7 +391,8 @@ def jaccard_components(docs: DataFrame, rules: JaccardRules = JaccardRules(), *,
 
 
 def _texts(own: DataFrame, rows: DataFrame) -> DataFrame:
-    return own.join(rows, ["id", "th"])
+    # the members grow with the corpus: they are shuffled at every size, never broadcast
+    return own.join(rows.hint("merge"), ["id", "th"])
 
 
 def _between_blocks(large: DataFrame, own: DataFrame, rules: JaccardRules, join, schema: str) -> DataFrame:
