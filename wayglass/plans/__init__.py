@@ -1 +1 @@
-
+"""Queries of the driver contract, with equivalent SQL."""
