@@ -43,10 +43,10 @@ class SuffixRules:
     #: 128 to 256.
     length: int = 200
     q: int = 48
-    hot: int = 100_000
-    #: String starts that are looked at together in one long text, bytes of contexts that are refined together.
-    chunk: int = 1 << 20
-    block: int = 4 << 20
+    hot: int = 8000
+    #: String starts that are looked at together in one long text, bytes of contexts that are refined together: refining takes about 100 bytes for each.
+    chunk: int = 1 << 18
+    block: int = 1 << 20
 
 
 class Anchors:
@@ -208,12 +208,12 @@ def _contexts(joined: DataFrame, rules: SuffixRules) -> DataFrame:
                             rows.append((first * 31 + last, 0, None, td, first, last + rules.length))
                             continue
                         held += len(ctx)
-                        if held > 48 << 20:
+                        if held > 24 << 20:
                             known.clear()
                             held = len(ctx)
                         known[key] = (td, first, last + rules.length)
                         rows.append((*key, td, first, last + rules.length))
-                if len(rows) > 20_000:
+                if len(rows) > 5_000:
                     yield pd.DataFrame(rows, columns=["h", "rel", "ctx", "td", "start", "stop"])
                     rows = []
             if rows:
