@@ -199,6 +199,28 @@ def budget_routes(spark, d):
     return routing.route_trips(trips(spark, d), *priced(spark, d), mode="budget", value=0.1)
 
 
+def route_steps(spark, d):
+    from wayglass.operators import guidance
+
+    e = cq.edges(spark, d).select("edge_id", F.col("class").alias("cls"), "name", F.lit("").alias("ref"), F.lit("").alias("toward"), F.lit(False).alias("ring"), F.col("heading").alias("h0"), F.col("heading").alias("h1"), "len")
+    routes = route_paths(spark, d).filter("size(edges) > 0").select(F.col("trip_id").alias("route_id"), "edges")
+    return guidance.route_steps(routes, e, moves(spark, d))
+
+
+def diverse_options(spark, d):
+    """At most four options of a trip, far apart in time and score."""
+    import pandas as pd
+
+    from wayglass.operators.routing import diverse
+
+    def pick(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["time_s", "score", "option"])
+        kept = diverse(list(zip(rows["time_s"], rows["score"], strict=True)), 4, 0)
+        return rows.iloc[kept][["trip", "option"]]
+
+    return pareto_frontier(spark, d).groupBy("trip").applyInPandas(pick, "trip long, option long")
+
+
 def _options(spark, d):
     """Options of trips, made up from orders: time and cameras of each."""
     return src.table(spark, d, "orders").selectExpr("o_custkey as trip", "o_orderkey as option", "cast(600 + o_orderkey % 97 * 7 as double) as time_s", "cast(o_orderkey % 13 + o_orderkey % 4 * 0.25 as double) as score")
@@ -312,7 +334,7 @@ def ahead_names(spark, d):
 
 QUERIES = {f.__name__: f for f in (
     drivable_roads, speed_parse, road_label, travel_direction, way_split, geom_length, running_distance, signal_delay, edge_headings, free_flow_times, quantise, turn_bans, turn_ban_pairs, edge_twins, transitions, legal_transitions,
-    largest_scc, carried_sites, sites_between, shortest_times, shortest_times_priced, route_paths, route_alternatives, budget_routes, pareto_frontier, camera_score, option_labels, snap_nearest, clip_ways, filter_referenced,
+    largest_scc, carried_sites, sites_between, shortest_times, shortest_times_priced, route_paths, route_alternatives, budget_routes, route_steps, diverse_options, pareto_frontier, camera_score, option_labels, snap_nearest, clip_ways, filter_referenced,
     vertex_node_join, restriction_semijoin, parallel_edge_min, edge_numbering, edge_pointers, label_dictionary, route_turns, route_spans, site_alert_list, ahead_names,
 )}
 

@@ -76,6 +76,23 @@ def zone_alerts(spark, d):
     return f.join(best, "event_id", "left").select("event_id", F.when(F.col("level") == 3, "zone").when(F.col("level") == 2, "ring").when(F.col("level") == 1, "ahead").otherwise("clear").alias("state"))
 
 
+def live_alerts_stream(spark, d):
+    """Alerts of a stream of fixes along one route: keyed state, file sink in the shared folder, all that is available."""
+    import tempfile
+    import uuid
+
+    from wayglass.streaming import vehicles
+
+    folder = (spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.gettempdir()) + f"/alerts-{uuid.uuid4().hex}"
+    schema = src.table(spark, d, "events").schema
+    events = spark.readStream.schema(schema).parquet(f"{d}/events.parquet*")
+    fixes = events.select(F.col("user_id").alias("vehicle"), F.col("ts").cast("timestamp").alias("ts"), (F.col("event_id") % 4000).cast("double").alias("along"), (F.col("event_id") % 120).cast("double").alias("off_m"), F.col("value").alias("speed"), (F.col("event_id") % 40).cast("double").alias("accuracy"))
+    zones = [(site, 300.0 * site, 300.0 * site + 60) for site in range(12)]
+    query = vehicles.alerts(fixes, zones, 4000.0).writeStream.format("parquet").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start(f"{folder}/out")
+    query.awaitTermination()
+    return spark.read.schema(vehicles.ALERTS).parquet(f"{folder}/out")
+
+
 #: The same text runs on both engines: plain relational queries, left to the optimiser.
 SHARED = {
     # feeds: the last tile that names a camera decides; a feed that shrank by half is refused; regions are checked
@@ -122,7 +139,7 @@ def _shared(name: str):
     return query
 
 
-QUERIES = {f.__name__: f for f in (version_diff, verify_verdict, publish_decision, fingerprint, delta_encode, delta_decode, merge_versions, fix_progress, off_route_runs, zone_alerts)} | {k: _shared(k) for k in SHARED}
+QUERIES = {f.__name__: f for f in (version_diff, verify_verdict, publish_decision, fingerprint, delta_encode, delta_decode, merge_versions, fix_progress, off_route_runs, zone_alerts, live_alerts_stream)} | {k: _shared(k) for k in SHARED}
 
 VERSIONS = """
     liv AS (SELECT o_custkey % 40 AS region, o_orderkey % 5000 AS key, o_orderkey AS id FROM orders WHERE o_custkey % 40 <> 7),

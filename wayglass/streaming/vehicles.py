@@ -46,10 +46,10 @@ def follow(rows: pd.DataFrame, state: dict, zones: list[tuple[int, float, float]
     return out
 
 
-def alerts(fixes: DataFrame, zones: list[tuple[int, float, float]], length_m: float, forget_after: str = "1 hour") -> DataFrame:
+def alerts(fixes: DataFrame, zones: list[tuple[int, float, float]], length_m: float, forget_after: str | None = None) -> DataFrame:
     """A stream of alerts from a stream of fixes (vehicle, ts, along, off_m, speed, accuracy).
 
-    zones: (site, from m, to m) of one route. State of a vehicle that says nothing for `forget_after` is dropped.
+    zones: (site, from m, to m) of one route. State of a vehicle that says nothing for `forget_after` is dropped (never, if it is None: a query over what is available then ends).
     """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -63,11 +63,12 @@ def alerts(fixes: DataFrame, zones: list[tuple[int, float, float]], length_m: fl
         rows = pd.concat(list(batches))
         found = follow(rows, held, zones, length_m)
         state.update((held["furthest"], held["strikes"], held["rerouted"], json.dumps(held["told"]), held["arrived"]))
-        state.setTimeoutDuration(int(pd.Timedelta(forget_after).total_seconds() * 1000))
+        if forget_after:
+            state.setTimeoutDuration(int(pd.Timedelta(forget_after).total_seconds() * 1000))
         yield pd.DataFrame([(key[0], *x) for x in found], columns=["vehicle", "ts", "event", "site", "at_m"]).astype({"vehicle": "int64", "event": "object", "at_m": "float64"})
 
     grouped = fixes.withColumn("ts", F.col("ts").cast("timestamp")).groupBy("vehicle")
-    return grouped.applyInPandasWithState(step, ALERTS, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return grouped.applyInPandasWithState(step, ALERTS, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout if forget_after else GroupStateTimeout.NoTimeout)
 
 
 def alerts_per_window(stream: DataFrame, late: str = "10 minutes", width: str = "10 minutes") -> DataFrame:
