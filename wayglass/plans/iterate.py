@@ -7,19 +7,32 @@ import shutil
 import tempfile
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def own_folder(spark: SparkSession) -> str:
+    """A folder of this machine, for local mode alone."""
+    master = spark.sparkContext.master
+    if not master.startswith("local[") and master != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    folder = tempfile.mkdtemp(prefix="wayglass-")
+    atexit.register(shutil.rmtree, folder, True)
+    return folder
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; a folder of our own only where that is unset in local mode."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    return named.rstrip("/") if named else "file://" + own_folder(spark)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df.checkpoint(), in spark.checkpoint.dir; a folder of our own only where that is unset in local mode."""
-    sc = df.sparkSession.sparkContext
-    if not df.sparkSession.conf.get("spark.checkpoint.dir", None) and not sc._jsc.sc().getCheckpointDir().isDefined():
-        if not sc.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        folder = tempfile.mkdtemp(prefix="wayglass-")
-        atexit.register(shutil.rmtree, folder, True)
-        sc.setCheckpointDir(folder)
+    spark = df.sparkSession
+    sc = spark.sparkContext
+    if not spark.conf.get("spark.checkpoint.dir", None) and not sc._jsc.sc().getCheckpointDir().isDefined():
+        sc.setCheckpointDir(own_folder(spark))
     return df.checkpoint()
 
 

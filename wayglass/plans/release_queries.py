@@ -78,12 +78,12 @@ def zone_alerts(spark, d):
 
 def live_alerts_stream(spark, d):
     """Alerts of a stream of fixes along one route: keyed state, file sink in the shared folder, all that is available."""
-    import tempfile
     import uuid
 
+    from wayglass.plans.iterate import shared_folder
     from wayglass.streaming import vehicles
 
-    folder = (spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.gettempdir()) + f"/alerts-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/alerts-{uuid.uuid4().hex}"
     schema = src.table(spark, d, "events").schema
     events = spark.readStream.schema(schema).parquet(f"{d}/events.parquet*")
     fixes = events.select(F.col("user_id").alias("vehicle"), F.col("ts").cast("timestamp").alias("ts"), (F.col("event_id") % 4000).cast("double").alias("along"), (F.col("event_id") % 120).cast("double").alias("off_m"), F.col("value").alias("speed"), (F.col("event_id") % 40).cast("double").alias("accuracy"))
