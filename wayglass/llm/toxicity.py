@@ -44,10 +44,10 @@ PATTERNS = {
 class ToxicityRules:
     sample_toxic: int = 1500
     sample_clean: int = 3500
-    #: Lexicon voters: at most this many, seen in this many sampled toxic rows, with this share of toxic rows among those that hold them.
+    #: Lexicon voters: at most this many, seen in this many sampled toxic rows, with this share of toxic rows among those that hold them (features of the classifier too).
     voters: int = 96
     least_rows: int = 6
-    least_share: float = 0.9
+    least_share: float = 0.97
     #: Features of the linear classifier.
     features: int = 1500
     #: Standard deviations by which a feature is more frequent in toxic rows than by chance.
@@ -153,7 +153,14 @@ class ToxicityModel:
     def fit(cls, texts: list[str], toxic: np.ndarray, rules: ToxicityRules = ToxicityRules(), base_rate: float | None = None) -> ToxicityModel:
         if not len(texts) or not toxic.any():
             return cls({}, -800.0, [])
-        rows = [text_features(t) for t in texts]
+        # only what some toxic rows hold can speak for toxicity: the rest of the features isn't kept
+        hits: Counter[str] = Counter()
+        for t, y in zip(texts, toxic, strict=True):
+            if y:
+                hits.update(text_features(t))
+        often = {f: f for f, n in hits.items() if n >= 3 or f[0] == "~"}
+        del hits
+        rows = [{often[f] for f in text_features(t) if f in often} for t in texts]
         voters = induce_voters(rows, toxic, rules)
         votes = np.array([[f in r for f in voters] for r in rows], bool)
         labels = LabelModel.fit(votes, float(np.clip(toxic.mean(), 1e-3, 1 - 1e-3)))
@@ -167,7 +174,7 @@ class ToxicityModel:
             for f in r:
                 heavy[f] += t
         lift = {f: (heavy[f] - rate * n) / np.sqrt(n * rate * (1 - rate) + 1) for f, n in counts.items() if n >= 3}
-        names = sorted((f for f in lift if heavy[f] >= 0.6 * counts[f] and lift[f] >= rules.least_lift), key=lambda f: (-lift[f], f))[: rules.features]
+        names = sorted((f for f in lift if heavy[f] >= rules.least_share * counts[f] and lift[f] >= rules.least_lift), key=lambda f: (-lift[f], f))[: rules.features]
         names += [f for f in voters if f not in set(names)]
         place = {f: i for i, f in enumerate(names)}
         x = np.zeros((len(rows), len(names)), np.float32)
