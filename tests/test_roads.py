@@ -230,3 +230,36 @@ def test_sources(spark, tmp_path):
     (tmp_path / "t.poly").write_text("texas\n1\n   -97.0 32.0\n   -96.0 32.0\n   -96.0 33.0\nEND\n!2\n   -96.5 32.2\n   -96.4 32.2\n   -96.4 32.3\nEND\nEND\n")
     got = feeds.polygons(spark, str(tmp_path / "t.poly")).orderBy("ring").collect()
     assert [(r["hole"], len(r["points"])) for r in got] == [(False, 3), (True, 3)]
+
+
+def test_packs(spark, tmp_path):
+    import numpy as np
+
+    from wayglass.sources import packs
+
+    arrays = {
+        "node_out_ptr": np.array([0, 1, 2], np.uint32), "edge_dst": np.array([1, 0], np.uint32), "edge_geom": np.array([0, 0], np.uint32), "edge_flags": np.array([0, 1], np.uint8), "edge_time": np.array([24, 24.5], np.float32),
+        "edge_class": np.array([0, 0], np.uint8), "edge_h0": np.array([9000, 27000], np.uint16), "edge_h1": np.array([9000, 27000], np.uint16), "labels": np.frombuffer(b"\0Main\0", np.uint8),
+    }
+    data = packs.packed({"highway_classes": ["residential"]}, arrays)
+    meta, back = packs.unpacked(data)
+    assert meta == {"highway_classes": ["residential"]} and all((back[k] == v).all() for k, v in arrays.items()) and packs.strings(back["labels"]) == ["", "Main"]
+    packs.write(spark, str(tmp_path / "a.fwr"), data)
+    assert [(r["src"], r["dst"], r["rev"], r["h0"]) for r in packs.road_edges(spark, str(tmp_path / "a.fwr")).orderBy("edge_id").collect()] == [(0, 1, False, 90.0), (1, 0, True, 270.0)]
+    assert packs.sections(spark, str(tmp_path / "a.fwr")).count() == len(arrays) and packs.headers(spark, str(tmp_path / "a.fwr")).count() == 1
+    with pytest.raises(ValueError):
+        packs.unpacked(b"nope" + data[4:])
+    assert packs.restarted(np.array([5, 1, 1, 7, 2]), np.array([0, 3])).tolist() == [5, 6, 7, 7, 9]
+
+
+def test_polygons_reports_and_trips(spark):
+    from wayglass.functions.polygons import area_km2, clipped, outline
+
+    square = [[0.0, 0.0], [2.0, 0.0], [2.0, 2.0], [0.0, 2.0]]
+    assert clipped(square, (1.0, 1.0, 3.0, 3.0)) and area_km2(clipped(square, (1.0, 1.0, 3.0, 3.0))) == pytest.approx(111.32**2 * math.cos(math.radians(1.5)))
+    assert clipped(square, (5.0, 5.0, 6.0, 6.0)) == [] and '"Polygon"' in outline([square])
+    text = rl.report(spark.createDataFrame([("a", "published", None, 5), ("b", "failed", "no map", None)], "region string, status string, why string, edges int"))
+    assert text.index("| b |") < text.index("| a |")
+    nodes = pd.DataFrame({"node": range(50), "x": [k * 100.0 for k in range(50)], "y": 0.0})
+    picked = routing.sample_trips(nodes, 5, 500, 2000)
+    assert len(picked) == 5 and picked == routing.sample_trips(nodes, 5, 500, 2000) and all(500 <= abs(a - b) * 100 <= 2000 for a, b in picked)

@@ -75,3 +75,14 @@ def off_route(fixes: DataFrame, in_a_row: int = 3) -> DataFrame:
     inside = Window.partitionBy("vehicle", "run").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("strikes", F.sum(F.col("bad").cast("int")).over(inside).cast("long"))
     return rows.withColumn("reroute", F.col("strikes") >= in_a_row).drop("run")
+
+
+def report(outcomes: DataFrame) -> str:
+    """A report of a build in Markdown: counts by status, what held regions back first, the largest after that. outcomes: region, status, why, edges (a row a region)."""
+    order = F.when(F.col("status") == "failed", 0).when(F.col("status") == "held", 1).otherwise(2)
+    rows = outcomes.orderBy(order, F.desc("edges"), "region").collect()  # as many rows as there are regions
+    tally: dict[str, int] = {}
+    for r in rows:
+        tally[r["status"]] = tally.get(r["status"], 0) + 1
+    head = ["# Build", "", ", ".join(f"{n} {s}" for s, n in sorted(tally.items())) or "nothing built", "", "| region | status | edges | why |", "|-|-|-|-|"]
+    return "\n".join([*head, *[f"| {r['region']} | {r['status']} | {r['edges'] or 0:,} | {r['why'] or ''} |" for r in rows]]) + "\n"

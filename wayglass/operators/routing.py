@@ -221,3 +221,26 @@ def costs_from(sources: DataFrame, edges: DataFrame, moves: DataFrame, starts: D
                 yield pd.DataFrame({"source": s, "edge_id": list(found), "cost": list(found.values())})
 
     return sources.select("node").mapInPandas(run, "source long, edge_id long, cost double")
+
+
+def random_numbers(seed: int) -> Iterator[float]:
+    """Repeatable numbers in [0, 1) of a 32-bit generator (mulberry32), the same in any language."""
+    state, full = seed & 0xFFFFFFFF, 0xFFFFFFFF
+    while True:
+        state = (state + 0x6D2B79F5) & full
+        x = ((state ^ (state >> 15)) * (state | 1)) & full
+        x ^= (x + (((x ^ (x >> 7)) * (x | 61)) & full)) & full
+        yield ((x ^ (x >> 14)) & full) / 4294967296
+
+
+def sample_trips(nodes: pd.DataFrame, n: int, least_m: float, most_m: float, seed: int = 1, tries: int = 100) -> list[tuple[int, int]]:
+    """n pairs of nodes (node, x, y) whose straight distance lies within limits."""
+    draw, out = random_numbers(seed), []
+    ids, xs, ys = nodes["node"].tolist(), nodes["x"].tolist(), nodes["y"].tolist()
+    for _ in range(n * tries):
+        if len(out) == n or not ids:
+            break
+        a, b = int(next(draw) * len(ids)), int(next(draw) * len(ids))
+        if least_m <= math.hypot(xs[a] - xs[b], ys[a] - ys[b]) <= most_m:
+            out.append((ids[a], ids[b]))
+    return out
