@@ -85,9 +85,9 @@ def priced(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame
 
 
 def trips(spark: SparkSession, d: str, n: int = 200) -> DataFrame:
-    """The first orders as trips between nodes (a fixed set of n trips, as the reference's experiment has)."""
-    count = src.table(spark, d, "part").count() or 1
-    return src.table(spark, d, "orders").filter(F.col("o_orderkey") < n).select(F.col("o_orderkey").alias("trip_id"), (F.col("o_custkey") * 7 % count).alias("src"), (F.col("o_orderkey") * 13 % count).alias("dst"))
+    """A sample of n trips between nodes 0.5 to 4 km apart: repeatable, whatever the order of the nodes."""
+    nodes = src.road_nodes(spark, d).select(F.col("node_id").alias("node"), "x", "y").orderBy("node").toPandas()  # one region, at most routing.MAX_EDGES edges
+    return spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(routing.sample_trips(nodes, n, 500.0, 4000.0))], "trip_id long, src long, dst long")
 
 
 # ------------------------------------------------------------------------------------------- queries
@@ -298,6 +298,23 @@ def edge_pointers(spark, d):
     return n.select("region", "src", (F.sum("n").over(w) - F.col("n")).alias("at"))
 
 
+def address_order(spark, d):
+    """Addresses in the order of a street: leading number, then text, then place."""
+    from wayglass.functions import text as tx
+
+    from . import place_queries as pq
+
+    w = Window.partitionBy("of").orderBy(tx.house_lead(F.col("number")), F.lower("number"), "x", "y", "addr_id")
+    return pq.addresses(spark, d).select(F.col("of").alias("street_id"), "addr_id", F.row_number().over(w).alias("i"))
+
+
+def multipolygon_centres(spark, d):
+    """Middle of the box around the nodes of all ways of a relation: rows of the lattice by tens are its members."""
+    member = way_refs(spark, d).filter("way_id < 100000").withColumn("relation", F.expr("way_id div 10"))
+    n = src.road_nodes(spark, d).select(F.col("node_id").alias("node"), "x", "y")
+    return member.join(n, "node").groupBy("relation").agg(((F.min("x") + F.max("x")) / 2).alias("x"), ((F.min("y") + F.max("y")) / 2).alias("y"))
+
+
 def label_dictionary(spark, d):
     e = cq.edges(spark, d).groupBy("name").agg(F.min("edge_id").alias("first"))
     return e.select("name", (F.row_number().over(Window.orderBy("first")) - 1).cast("long").alias("number"))
@@ -335,7 +352,7 @@ def ahead_names(spark, d):
 QUERIES = {f.__name__: f for f in (
     drivable_roads, speed_parse, road_label, travel_direction, way_split, geom_length, running_distance, signal_delay, edge_headings, free_flow_times, quantise, turn_bans, turn_ban_pairs, edge_twins, transitions, legal_transitions,
     largest_scc, carried_sites, sites_between, shortest_times, shortest_times_priced, route_paths, route_alternatives, budget_routes, route_steps, diverse_options, pareto_frontier, camera_score, option_labels, snap_nearest, clip_ways, filter_referenced,
-    vertex_node_join, restriction_semijoin, parallel_edge_min, edge_numbering, edge_pointers, label_dictionary, route_turns, route_spans, site_alert_list, ahead_names,
+    vertex_node_join, restriction_semijoin, parallel_edge_min, edge_numbering, edge_pointers, address_order, multipolygon_centres, label_dictionary, route_turns, route_spans, site_alert_list, ahead_names,
 )}
 
 # ---------------------------------------------------------------------------------------------- SQL
@@ -427,6 +444,8 @@ ORACLES = {
     "parallel_edge_min": "SELECT u, v, w, id FROM (SELECT l_partkey % 50 AS u, l_suppkey % 50 AS v, l_quantity AS w, l_orderkey AS id, row_number() OVER (PARTITION BY l_partkey % 50, l_suppkey % 50 ORDER BY l_quantity, l_orderkey, l_linenumber, l_extendedprice) AS i FROM lineitem) WHERE i = 1",
     "edge_numbering": f"WITH {EDGES} SELECT src % 10 AS region, edge_id, row_number() OVER (PARTITION BY src % 10 ORDER BY src, geom_id, rev) - 1 AS number FROM edge",
     "edge_pointers": f"WITH {EDGES} SELECT region, src, CAST(sum(n) OVER (PARTITION BY region ORDER BY src) - n AS BIGINT) AS at FROM (SELECT src % 10 AS region, src, count(*) AS n FROM edge GROUP BY 1, 2)",
+    "address_order": "WITH st AS (SELECT p_partkey AS street_id, CAST(p_partkey % 20 * 200 AS DOUBLE) AS x, CAST(p_partkey // 20 * 200 AS DOUBLE) AS y FROM part), a AS (SELECT o_orderkey AS k, s.street_id, (o_orderkey % 400) || CASE WHEN o_orderkey % 29 = 0 THEN 'b' ELSE '' END AS number, x + o_orderkey % 7 * 90 AS x, y + o_orderkey % 11 * 60 AS y FROM orders JOIN st s ON s.street_id = o_orderkey % (SELECT count(*) FROM part)) SELECT street_id, k AS addr_id, row_number() OVER (PARTITION BY street_id ORDER BY k % 400, number, x, y, k) AS i FROM a",
+    "multipolygon_centres": f"WITH {WAYS} SELECT way_id // 10 AS relation, (min(x) + max(x)) / 2 AS x, (min(y) + max(y)) / 2 AS y FROM ref JOIN rn ON n = node WHERE way_id < 100000 GROUP BY 1",
     "label_dictionary": f"WITH {EDGES} SELECT name, row_number() OVER (ORDER BY first) - 1 AS number FROM (SELECT name, min(edge_id) AS first FROM edge GROUP BY name)",
     "route_turns": f"WITH {EDGES}{ROUTE} SELECT trip, round(sum(time_s), 4) AS time_s, round(sum(len), 4) AS len_m, count(*) FILTER (abs(turn) > 5) AS turns FROM rt GROUP BY trip",
     "route_spans": EXPOSED + ROUTE + " SELECT trip, site, round(min_by(start_m + entry_m, seq), 4) AS from_m, round(max(start_m + exit_m), 4) AS to_m FROM rt JOIN expo USING (edge_id) GROUP BY trip, site",

@@ -94,7 +94,7 @@ def street_points(spark, d):
 
 
 def loose_address_match(spark, d):
-    return pl.match_addresses(addresses(spark, d).filter("addr_id % 5 <> 4"), streets(spark, d))
+    return pl.match_addresses(addresses(spark, d), streets(spark, d))
 
 
 def street_town(spark, d):
@@ -163,7 +163,7 @@ def reverse_geocode(spark, d):
 
 
 def coordinate_result(spark, d):
-    o = src.table(spark, d, "orders").filter("o_orderkey < 500").select(F.col("o_orderkey").alias("id"))
+    o = src.table(spark, d, "orders").select(F.col("o_orderkey").alias("id"))
     lat, lon = F.format_string("%.2f", F.col("id") % 85 + 0.25), F.format_string("%.2f", -(F.col("id") % 170) - 0.5)
     text = F.when(F.col("id") % 4 == 0, F.concat(lat, F.lit(", "), lon)).when(F.col("id") % 4 == 1, F.concat(lon, F.lit(" "), lat)).when(F.col("id") % 4 == 2, F.concat(lat, F.lit(";"), lon)).otherwise(F.concat(F.lit("at "), lat))
     return o.select("id", tx.coordinates(text, (-90.0, 20.0, -60.0, 40.0)).alias("p")).select("id", "p.lon", "p.lat")
@@ -200,7 +200,7 @@ def region_for_point(spark, d):
     """For each fix the region that holds it with the most room to its border."""
     f, r = src.fixes(spark, d).select("event_id", "x", "y"), _regions(spark, d)
     room = F.least(F.col("x") - F.col("x0"), F.col("x1") - F.col("x"), F.col("y") - F.col("y0"), F.col("y1") - F.col("y"))
-    inside = f.join(F.broadcast(r.limit(10_000)), (F.col("x") >= F.col("x0")) & (F.col("x") <= F.col("x1")) & (F.col("y") >= F.col("y0")) & (F.col("y") <= F.col("y1")))
+    inside = f.join(r, (F.col("x") >= F.col("x0")) & (F.col("x") <= F.col("x1")) & (F.col("y") >= F.col("y0")) & (F.col("y") <= F.col("y1")))
     return inside.groupBy("event_id").agg(F.min_by("region", F.struct(-room, F.col("region"))).alias("region"))
 
 
@@ -216,6 +216,23 @@ def area_text_match(spark, d):
     return _regions(spark, d).withColumn("hay", hay).join(F.broadcast(q)).filter(F.size(ws) > 0).filter(F.forall(ws, lambda w: F.contains("hay", w))).select("qid", "region")
 
 
+def ranked_areas(spark, d):
+    """Areas by the room that they leave around a point, then by the size of their group."""
+    r = _regions(spark, d)
+    room = F.least(1000 - F.col("x0"), F.col("x1") - 1000, 1000 - F.col("y0"), F.col("y1") - 1000)
+    n = r.groupBy("r_name").agg(F.count(F.lit(1)).alias("n"))
+    return r.join(n, "r_name").withColumn("room", room).withColumn("i", F.row_number().over(Window.orderBy(F.desc("room"), F.desc("n"), "region"))).select("i", "region", "room")
+
+
+def town_candidates(spark, d):
+    """Of each place the three nearest towns with their distance by weight."""
+    n = src.table(spark, d, "nation").select(F.col("n_name").alias("near"), (F.col("n_nationkey") * 1700 % 9000).cast("double").alias("tx"), (F.col("n_nationkey") * 2300 % 9000).cast("double").alias("ty"), F.expr("case n_regionkey % 3 when 0 then 2.5 when 1 then 1.5 else 1.0 end").cast("double").alias("weight"))
+    dist = F.round(F.hypot(F.col("x") - F.col("tx"), F.col("y") - F.col("ty")), 6)
+    near = places(spark, d).select("place_id", "x", "y").join(n, dist <= 37_500).withColumn("d", dist)
+    near = near.withColumn("i", F.row_number().over(Window.partitionBy("place_id").orderBy("d", "near"))).filter("i <= 3")
+    return near.select("place_id", "i", F.col("near").alias("town"), F.round(F.col("d") / F.col("weight"), 4).alias("score"))
+
+
 def initial_area(spark, d):
     c = src.table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.when(F.col("c_custkey") % 3 == 0, F.concat(F.lit("nation_"), F.col("c_nationkey"))).alias("link"), F.when(F.col("c_custkey") % 2 == 0, F.concat(F.lit("nation_"), F.col("c_nationkey") + 20)).alias("kept"))
     r = _regions(spark, d).select("region")
@@ -231,7 +248,7 @@ def url_state(spark, d):
 
 QUERIES = {f.__name__: f for f in (
     text_words, street_keys, house_number_split, format_labels, place_kinds, place_dedupe, street_points, loose_address_match, street_town, address_dedupe, search_tokens, search_streets, search_places, topk_search, result_dedupe,
-    search_address, interpolate_number, reverse_geocode, coordinate_result, street_nearest_point, town_for_point, piece_components, region_for_point, nearest_areas, area_text_match, initial_area, url_state,
+    search_address, interpolate_number, reverse_geocode, coordinate_result, street_nearest_point, town_for_point, piece_components, region_for_point, nearest_areas, ranked_areas, town_candidates, area_text_match, initial_area, url_state,
 )}
 
 # ---------------------------------------------------------------------------------------------- SQL
@@ -275,7 +292,7 @@ KEYS = ADDR + rf""",
 
 
 def level(n: int, a: str, before: str) -> str:
-    return f"l{n} AS (SELECT addr_id, street_id, {n} AS level FROM (SELECT a.addr_id, s.street_id, row_number() OVER (PARTITION BY a.addr_id ORDER BY sqrt((a.x - s.x) ** 2 + (a.y - s.y) ** 2), s.street_id) AS i FROM ak2 a JOIN sk2 s ON a.{a} = s.{a} WHERE a.addr_id % 5 <> 4 AND sqrt((a.x - s.x) ** 2 + (a.y - s.y) ** 2) <= 1500 {before}) WHERE i = 1)"
+    return f"l{n} AS (SELECT addr_id, street_id, {n} AS level FROM (SELECT a.addr_id, s.street_id, row_number() OVER (PARTITION BY a.addr_id ORDER BY sqrt((a.x - s.x) ** 2 + (a.y - s.y) ** 2), s.street_id) AS i FROM ak2 a JOIN sk2 s ON a.{a} = s.{a} WHERE sqrt((a.x - s.x) ** 2 + (a.y - s.y) ** 2) <= 1500 {before}) WHERE i = 1)"
 
 
 PLACES = """
@@ -327,13 +344,15 @@ ORACLES = {
         e AS (SELECT qid, q.street_id, q.lead, max(o.lead) FILTER (o.lead < q.lead) AS lo, min(o.lead) FILTER (o.lead > q.lead) AS hi FROM q JOIN o ON o.street_id = q.street_id AND o.lead % 2 = q.lead % 2 GROUP BY 1, 2, 3)
         SELECT qid, e.street_id, round(a.lon + (e.lead - lo) / (hi - lo) * (b.lon - a.lon), 9) AS lon, round(a.lat + (e.lead - lo) / (hi - lo) * (b.lat - a.lat), 9) AS lat FROM e JOIN o a ON a.street_id = e.street_id AND a.lead = lo JOIN o b ON b.street_id = e.street_id AND b.lead = hi WHERE {METRES} <= 1000""",
     "reverse_geocode": f"WITH {ADDR}, {PLACES}, {FIXES}, t AS (SELECT 'a' || addr_id AS what, x, y, 0 AS head FROM ad UNION ALL SELECT 'p' || place_id, x, y, 15 FROM pk) SELECT event_id, what FROM (SELECT event_id, what, row_number() OVER (PARTITION BY event_id ORDER BY round(sqrt((f.x - t.x) ** 2 + (f.y - t.y) ** 2) - head, 6), what) AS i FROM fx f JOIN t ON t.x BETWEEN f.x - 100 AND f.x + 100 AND t.y BETWEEN f.y - 100 AND f.y + 100 WHERE sqrt((f.x - t.x) ** 2 + (f.y - t.y) ** 2) <= 100) WHERE i = 1",
-    "coordinate_result": "SELECT id, CASE WHEN id % 4 = 3 THEN NULL WHEN id % 4 = 1 AND abs(lon) <= 90 AND NOT (lon BETWEEN 20 AND 40 AND lat BETWEEN -90 AND -60) AND NOT (lon BETWEEN -90 AND -60 AND lat BETWEEN 20 AND 40) THEN lat WHEN id % 4 <> 1 AND abs(lat) > 90 THEN lat ELSE lon END AS lon, CASE WHEN id % 4 = 3 THEN NULL WHEN id % 4 = 1 AND abs(lon) <= 90 AND NOT (lon BETWEEN -90 AND -60 AND lat BETWEEN 20 AND 40) THEN lon WHEN id % 4 <> 1 AND abs(lat) > 90 THEN lon ELSE lat END AS lat FROM (SELECT o_orderkey AS id, o_orderkey % 85 + 0.25 AS lat, -(o_orderkey % 170) - 0.5 AS lon FROM orders WHERE o_orderkey < 500)",
+    "coordinate_result": "SELECT id, CASE WHEN id % 4 = 3 THEN NULL WHEN id % 4 = 1 AND abs(lon) <= 90 AND NOT (lon BETWEEN 20 AND 40 AND lat BETWEEN -90 AND -60) AND NOT (lon BETWEEN -90 AND -60 AND lat BETWEEN 20 AND 40) THEN lat WHEN id % 4 <> 1 AND abs(lat) > 90 THEN lat ELSE lon END AS lon, CASE WHEN id % 4 = 3 THEN NULL WHEN id % 4 = 1 AND abs(lon) <= 90 AND NOT (lon BETWEEN -90 AND -60 AND lat BETWEEN 20 AND 40) THEN lon WHEN id % 4 <> 1 AND abs(lat) > 90 THEN lon ELSE lat END AS lat FROM (SELECT o_orderkey AS id, o_orderkey % 85 + 0.25 AS lat, -(o_orderkey % 170) - 0.5 AS lon FROM orders)",
     "street_nearest_point": f"WITH {ADDR} SELECT of_ AS street_id, addr_id FROM ad QUALIFY row_number() OVER (PARTITION BY of_ ORDER BY round(sqrt((x - 700) ** 2 + (y - 900) ** 2), 6), addr_id) = 1",
     "town_for_point": f"WITH {PLACES}, tw AS (SELECT n_name AS town, n_nationkey * 1700 % 9000 AS x, n_nationkey * 2300 % 9000 AS y, CASE n_regionkey % 3 WHEN 0 THEN 2.5 WHEN 1 THEN 1.5 ELSE 1.0 END AS w FROM nation), n AS (SELECT place_id, town, sqrt((pk.x - tw.x) ** 2 + (pk.y - tw.y) ** 2) AS d, w FROM pk, (SELECT town, x, y, w FROM tw) tw).".replace(").", ")").replace("SELECT place_id, town, sqrt", "SELECT place_id, tw.town, sqrt")
     + " SELECT place_id AS point_id, town FROM (SELECT * FROM n WHERE d <= 37500 QUALIFY row_number() OVER (PARTITION BY place_id ORDER BY d, town) <= 8) WHERE d / w <= 15000 QUALIFY row_number() OVER (PARTITION BY place_id ORDER BY d / w, town) = 1",
     "piece_components": f"WITH RECURSIVE {STREETS}, l AS (SELECT a.street_id AS a, b.street_id AS b FROM st a JOIN st b ON a.name = b.name AND a.street_id <> b.street_id AND sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) <= 400), r(a, b) AS (SELECT street_id, street_id FROM st UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a) SELECT a AS street_id, min(b) AS piece FROM r GROUP BY a",
     "region_for_point": f"WITH {REGIONS}, {FIXES} SELECT event_id, region FROM fx JOIN rg ON x BETWEEN x0 AND x1 AND y BETWEEN y0 AND y1 QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY least(x - x0, x1 - x, y - y0, y1 - y) DESC, region) = 1",
     "nearest_areas": f"WITH {REGIONS} SELECT region, round(sqrt(((x0 + x1) / 2 - 1000) ** 2 + ((y0 + y1) / 2 - 1000) ** 2), 4) AS m FROM rg ORDER BY m, region LIMIT 4",
+    "ranked_areas": f"WITH {REGIONS}, q AS (SELECT *, least(1000 - x0, x1 - 1000, 1000 - y0, y1 - 1000) AS room, count(*) OVER (PARTITION BY r_name) AS n FROM rg) SELECT CAST(row_number() OVER (ORDER BY room DESC, n DESC, region) AS INTEGER) AS i, region, room FROM q",
+    "town_candidates": f"WITH {PLACES}, tw AS (SELECT n_name AS town, n_nationkey * 1700 % 9000 AS tx, n_nationkey * 2300 % 9000 AS ty, CASE n_regionkey % 3 WHEN 0 THEN 2.5 WHEN 1 THEN 1.5 ELSE 1.0 END AS w FROM nation), n AS (SELECT place_id, tw.town AS near, w, round(sqrt((x - tx) ** 2 + (y - ty) ** 2), 6) AS d FROM pk, tw) SELECT place_id, i, near AS town, round(d / w, 4) AS score FROM (SELECT *, CAST(row_number() OVER (PARTITION BY place_id ORDER BY d, near) AS INTEGER) AS i FROM n WHERE d <= 37500) WHERE i <= 3",
     "area_text_match": f"WITH {REGIONS}, q AS (SELECT * FROM (VALUES (0, 'nation_1'), (1, 'america nation'), (3, 'asia 2')) v(qid, q)) SELECT qid, region FROM rg, q WHERE len(list_filter(string_split(q, ' '), lambda w: NOT contains(lower(n_name || ' ' || r_name), w))) = 0",
     "initial_area": "SELECT c_custkey AS id, coalesce(CASE WHEN c_custkey % 3 = 0 THEN 'nation_' || c_nationkey END, CASE WHEN c_custkey % 2 = 0 AND c_nationkey + 20 < 25 THEN 'nation_' || (c_nationkey + 20) END) AS area FROM customer",
     "url_state": "SELECT o_orderkey AS id, printf('%.5f', o_orderkey / 1000) AS origin, printf('%.5f', o_custkey / 100) AS goal, CASE WHEN o_orderkey % 2 = 0 THEN 'loose' ELSE 'default' END AS model FROM orders",

@@ -68,9 +68,9 @@ def zone_alerts(spark, d):
     """What a driver is told at each fix: zone before ring before ahead, by the stretch driven since the fix before."""
     w = Window.partitionBy("vehicle").orderBy("ts", "event_id")
     f = src.fixes(spark, d).select("vehicle", "ts", "event_id", F.col("x").alias("at"), "speed").withColumn("last", F.lag("at", 1, 0.0).over(w)).filter("at > last")
-    zones = src.cameras(spark, d).filter("id % 10 = 0").select("id", F.col("x").alias("a"), (F.col("x") + 60).alias("b"))
+    zones = src.cameras(spark, d).select((F.col("id") % 150).alias("vehicle"), F.col("x").alias("a"), (F.col("x") + 60).alias("b"))  # of the route that each vehicle follows
     ahead = F.greatest(F.lit(400.0), 25 * F.col("speed"))
-    hit = f.join(zones, (F.col("a") <= F.col("at") + ahead) & (F.col("b") + 100 > F.col("last")))
+    hit = f.join(zones, "vehicle").filter((F.col("a") <= F.col("at") + ahead) & (F.col("b") + 100 > F.col("last")))
     level = F.when((F.col("a") <= F.col("at")) & (F.col("b") > F.col("last")), 3).when((F.col("a") - 100 <= F.col("at")) & (F.col("b") + 100 > F.col("last")), 2).otherwise(1)
     best = hit.groupBy("event_id").agg(F.max(level).alias("level"))
     return f.join(best, "event_id", "left").select("event_id", F.when(F.col("level") == 3, "zone").when(F.col("level") == 2, "ring").when(F.col("level") == 1, "ahead").otherwise("clear").alias("state"))
@@ -159,6 +159,6 @@ ORACLES = {
     "merge_versions": "SELECT o_orderkey % 3000 AS object, o_orderkey AS version, o_orderstatus FROM orders QUALIFY row_number() OVER (PARTITION BY o_orderkey % 3000 ORDER BY o_orderkey DESC) = 1",
     "fix_progress": f"WITH {FIX} SELECT event_id, max(x) OVER (PARTITION BY vehicle ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS furthest FROM fx",
     "off_route_runs": f"WITH {FIX}, b AS (SELECT *, x % 700 > greatest(45, 1.5 * accuracy) AND accuracy < 150 AS bad FROM fx), r AS (SELECT *, count(*) FILTER (NOT bad) OVER (PARTITION BY vehicle ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS run FROM b), s AS (SELECT event_id, count(*) FILTER (bad) OVER (PARTITION BY vehicle, run ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS strikes FROM r) SELECT event_id, strikes, strikes >= 3 AS reroute FROM s",
-    "zone_alerts": f"WITH ext AS (SELECT 1), {FIX}, f AS (SELECT * FROM (SELECT *, lag(x, 1, 0) OVER (PARTITION BY vehicle ORDER BY ts, event_id) AS last FROM fx) WHERE x > last), z AS (SELECT c_custkey AS id, (CASE WHEN (c_custkey // 3) % 2 = 0 THEN 3 * (c_custkey // 3) ELSE c_custkey END * 37) % 4000 + CASE WHEN (c_custkey // 3) % 2 = 0 THEN (c_custkey % 3) * 20 ELSE 0 END AS a FROM customer WHERE c_custkey % 10 = 0),"
-    " h AS (SELECT event_id, max(CASE WHEN a <= x AND a + 60 > last THEN 3 WHEN a - 100 <= x AND a + 160 > last THEN 2 ELSE 1 END) AS level FROM f JOIN z ON a <= x + greatest(400, 25 * speed) AND a + 160 > last GROUP BY event_id) SELECT event_id, CASE level WHEN 3 THEN 'zone' WHEN 2 THEN 'ring' WHEN 1 THEN 'ahead' ELSE 'clear' END AS state FROM f LEFT JOIN h USING (event_id)",
+    "zone_alerts": f"WITH ext AS (SELECT 1), {FIX}, f AS (SELECT * FROM (SELECT *, lag(x, 1, 0) OVER (PARTITION BY vehicle ORDER BY ts, event_id) AS last FROM fx) WHERE x > last), z AS (SELECT c_custkey % 150 AS vehicle, (CASE WHEN (c_custkey // 3) % 2 = 0 THEN 3 * (c_custkey // 3) ELSE c_custkey END * 37) % 4000 + CASE WHEN (c_custkey // 3) % 2 = 0 THEN (c_custkey % 3) * 20 ELSE 0 END AS a FROM customer),"
+    " h AS (SELECT event_id, max(CASE WHEN a <= x AND a + 60 > last THEN 3 WHEN a - 100 <= x AND a + 160 > last THEN 2 ELSE 1 END) AS level FROM f JOIN z ON f.vehicle = z.vehicle AND a <= x + greatest(400, 25 * speed) AND a + 160 > last GROUP BY event_id) SELECT event_id, CASE level WHEN 3 THEN 'zone' WHEN 2 THEN 'ring' WHEN 1 THEN 'ahead' ELSE 'clear' END AS state FROM f LEFT JOIN h USING (event_id)",
 } | {k: v.replace("HASH(n_name)", "sha256(n_name)") for k, v in SHARED.items()}
