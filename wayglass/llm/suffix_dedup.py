@@ -289,13 +289,19 @@ def _hot_ranges(contexts: DataFrame, rules: SuffixRules) -> DataFrame:
     """td, start, stop, by counting digests of strings with map-side combining."""
 
     def strings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        columns = ["w", "td", "start", "stop"]
         for b in batches:
+            rows: list[tuple] = []
             for ctx, td, start, stop in zip(b["ctx"], b["td"], b["start"], b["stop"], strict=True):
                 if ctx is None:
-                    yield pd.DataFrame({"w": [b""], "td": [td], "start": [start], "stop": [stop]})
+                    rows.append((b"", td, start, stop))
                     continue
-                n = len(ctx) - rules.length + 1
-                yield pd.DataFrame({"w": [hashlib.blake2b(ctx[i : i + rules.length], digest_size=16).digest() for i in range(n)], "td": td, "start": range(start, start + n), "stop": range(start + rules.length, start + rules.length + n)})
+                rows += [(hashlib.blake2b(ctx[i : i + rules.length], digest_size=16).digest(), td, start + i, start + i + rules.length) for i in range(len(ctx) - rules.length + 1)]
+                if len(rows) > 50_000:
+                    yield pd.DataFrame(rows, columns=columns)
+                    rows = []
+            if rows:
+                yield pd.DataFrame(rows, columns=columns)
 
     rows = contexts.mapInPandas(strings, "w binary, td binary, start long, stop long")
     mark = F.xxhash64("td", "start")
