@@ -1,5 +1,6 @@
 """The driver contract, and a sample of queries against their SQL."""
 
+import numbers
 import os
 
 import duckdb
@@ -31,5 +32,5 @@ def test_query_equals_its_sql(spark, name):
     got, want = entry.queries()[name](spark, SF).toPandas(), db.sql(entry.oracle_sql()[name]).df()
     assert sorted(got.columns) == sorted(want.columns)
     cols = sorted(got.columns)
-    plain = lambda df: df[cols].map(lambda v: None if pd.isna(v) else float(v) if isinstance(v, (int, float)) else str(v)).astype(object).sort_values(cols, key=lambda s: s.map(str)).reset_index(drop=True)
+    plain = lambda df: df[cols].map(lambda v: None if pd.isna(v) else float(v) if isinstance(v, numbers.Number) else str(v)).astype(object).sort_values(cols, key=lambda s: s.map(str)).reset_index(drop=True)
     pd.testing.assert_frame_equal(plain(got), plain(want), check_dtype=False)
