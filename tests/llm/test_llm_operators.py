@@ -453,3 +453,34 @@ def test_pipeline_stages(spark, docs, empty, tmp_path):
             out.write.parquet(str(tmp_path / f"{name}{start is docs}"))
             own = spark.read.parquet(str(tmp_path / f"{name}{start is docs}"))
         assert (out.count() > 0) == (start is docs)
+
+
+def test_pipeline_drops_near_copies_at_five_words(spark):
+    import corpus_pipeline as cp
+
+    base = [f"w{k}" for k in range(100)]
+    two = [*base[:30], "new", *base[31:70], "other", *base[71:]]  # 0.811 on five words, 0.885 on three
+    many = [("new" if k % 9 == 4 else x) for k, x in enumerate(base)]
+    rows = [(i, t) for i, t in enumerate([" ".join(w) for w in (base, two, many, base, many[:97])] + [None, "", "one", "one"])]
+    assert [i for i, _, c in sorted(brute_components(rows, 5, 80)) if i != c] == [1, 3, 4, 8]
+    got = cp.drop_near_copies(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
+    assert sorted((r["doc_id"], r["text"]) for r in got if r["text"]) == sorted((i, t) for i, t in rows if t and i in (0, 2, 7))
+    assert {r["doc_id"] for r in got} == {i for i, _, c in brute_components(rows, 5, 80) if i == c}
+
+
+def test_linked_sets_share_a_key_at_80():
+    rng = np.random.default_rng(13)
+    for size in (1, 2, 5, 6, 9, 10, 19, 20, 57, 400, 3000):
+        for _ in range(60):
+            a = np.unique(rng.integers(0, 2**63, size).astype(np.uint64))
+            cut = rng.integers(0, len(a) // 5 + 1)
+            b = np.unique(np.r_[a[cut:], rng.integers(0, 2**63, rng.integers(0, len(a) // 5 + 2)).astype(np.uint64)])
+            both = len(np.intersect1d(a, b))
+            if 100 * both >= 80 * (len(a) + len(b) - both):
+                assert len(np.intersect1d(part_keys(a, 80), part_keys(b, 80)))
+
+
+def test_unlike_sets_share_few_keys():
+    rng = np.random.default_rng(14)
+    keys = Counter(k for _ in range(300) for k in set(part_keys(rng.integers(0, 2**63, 400).astype(np.uint64), 80).tolist()))
+    assert max(keys.values()) == 1

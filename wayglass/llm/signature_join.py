@@ -37,6 +37,8 @@ from .store import text_of, written
 
 CACHE = 500_000
 BAND_RATIO = 1.2
+#: Parts that hold fewer elements on average get spare ones.
+FEW = 6
 
 
 @dataclass(frozen=True)
@@ -111,14 +113,20 @@ def band_of(size: int) -> int:
 
 
 def part_keys(s: np.ndarray, percent: int) -> np.ndarray:
-    """One 64-bit key for each part in each band. A part without elements has a key as well."""
+    """64-bit keys of the largest parts in each band: as many as the pigeonhole needs, and those of equal size.
+
+    Two linked sets differ in fewer parts than that, so among their equal parts there is one that is large enough in both. Where parts hold
+    few elements, spare parts let the smallest go: parts without elements are equal in unlike sets, and would join them all into one group.
+    """
     out = []
-    for band, parts in bands(len(s), percent):
+    for band, least in bands(len(s), percent):
+        parts = least + (least // 4 if 100 + percent < 2 * FEW * (100 - percent) else 0)
         part = (mixed(s ^ np.uint64(0x5851F42D4C957F2D)) % np.uint64(parts)).astype(np.int64)
         sums = np.zeros(parts, np.uint64)
         np.add.at(sums, part, mixed(s))
         tag = np.arange(parts, dtype=np.uint64) + (np.uint64(band) << np.uint64(32))
-        out.append(mixed(mixed(tag) ^ sums))
+        n = np.bincount(part, minlength=parts)
+        out.append(mixed(mixed(tag) ^ sums)[n >= np.sort(n)[parts - least]])
     return np.concatenate(out)
 
 
