@@ -468,6 +468,24 @@ def test_pipeline_drops_near_copies_at_five_words(spark):
     assert {r["doc_id"] for r in got} == {i for i, _, c in brute_components(rows, 5, 80) if i == c}
 
 
+def test_unit_dedup_finds_passages_of_short_units(spark):
+    rng = random.Random(11)
+    say = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    short = [say(4) + "." for _ in range(15)]
+    inline, lines = " ".join(short), "\n".join(say(4) for _ in range(15))
+    mixed = " ".join([say(3) + ".", say(20) + ".", say(2) + ".", say(20) + ".", say(1) + "."])
+    rows = []
+    for passage in (inline, lines, mixed):
+        rows += [say(20) + ". " * (passage is not lines) + "\n" * (passage is lines) + passage + ("\n" if passage is lines else " ") + say(20) + "." for _ in range(2)]
+    rows += [say(9) + ". See above. " + say(9) + "." for _ in range(3)] + ["See above."] * 2  # lone short sentences
+    got = {r["doc_id"]: r for r in unit_dedup(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).select("row.doc_id", "kept").collect()}
+    for k, passage in enumerate((inline, lines, mixed)):
+        assert got[2 * k]["kept"] == rows[2 * k]
+        assert not set(passage.split()) & set(got[2 * k + 1]["kept"].split())
+        assert len(got[2 * k + 1]["kept"].split()) == 40
+    assert all(got[i]["kept"] == rows[i] for i in range(6, len(rows)))
+
+
 def test_linked_sets_share_a_key_at_80():
     rng = np.random.default_rng(13)
     for size in (1, 2, 5, 6, 9, 10, 19, 20, 57, 400, 3000):

@@ -3,12 +3,14 @@
 Units are normalised (blanks joined, lower case) and hashed; digests are grouped over all documents; of each
 group the occurrence that ranks first, by (doc_id, start), stays and all others are removed at their original offsets.
 Sentences are units besides their lines, so that a passage which was pasted into the middle of a line is found as well.
+A unit of fewer than `min_words` words is too common by itself: it goes together with neighbours, on either side and across
+lines, that make enough words with it, so that passages of short lines or sentences are found and lone short sentences stay.
 Repetition within one document counts like repetition between documents.
 
 Digests are summed up by map-side combining before they are shuffled, and joined back with a join whose large
 partitions Spark splits, so a unit that a third of all documents hold stays cheap.
 
-Defined results: null and empty texts have no units; units of fewer than `min_words` words stay; rows that repeat one doc_id rank
+Defined results: null and empty texts have no units; texts of fewer than `min_words` words stay; rows that repeat one doc_id rank
 alike, so that all of them keep what ranks first; an empty table gives an empty result; other columns are passed through.
 """
 
@@ -39,7 +41,9 @@ class UnitRules:
 
 
 def units(text: str, rules: UnitRules) -> Iterator[tuple[int, int, str]]:
-    """(start, end, normalised text) of the units of enough words."""
+    """(start, end, normalised text) of the units of enough words, and of short units with as many neighbours as make enough words."""
+    pieces: list[tuple[int, int, list[str]]] = []
+    wholes = set()
     for m in (_LINE if rules.unit == "line" else _PARAGRAPH).finditer(text):
         whole = m.group()
         cuts = [0, *[x.end() for x in _STOP.finditer(whole)], len(whole)] if rules.sentences else [0, len(whole)]
@@ -48,6 +52,29 @@ def units(text: str, rules: UnitRules) -> Iterator[tuple[int, int, str]]:
             words = whole[a:b].lower().split()
             if len(words) >= rules.min_words:
                 yield m.start() + a, m.start() + b, " ".join(words)
+            if len(spans) > 1 and b - a == len(whole):
+                wholes.add((m.start(), m.end()))
+            elif words:
+                pieces.append((m.start() + a, m.start() + b, words))
+    for i, j in sorted(sequences([len(w) for _, _, w in pieces], rules.min_words)):
+        span = pieces[i][0], pieces[j][1]
+        if span not in wholes:
+            yield *span, " ".join(x for _, _, w in pieces[i : j + 1] for x in w)
+
+
+def sequences(n_words: list[int], least: int) -> set[tuple[int, int]]:
+    """(first, last) of the shortest sequences of enough words that begin or end with a short unit."""
+    out = set()
+    for i, n in enumerate(n_words):
+        if n < least:
+            for step, stop in ((1, len(n_words) - 1), (-1, 0)):
+                j, total = i, n
+                while total < least and j != stop:
+                    j += step
+                    total += n_words[j]
+                if total >= least:
+                    out.add((min(i, j), max(i, j)))
+    return out
 
 
 def unit_table(docs: DataFrame, rules: UnitRules, *, text: str, doc_id: str) -> DataFrame:
