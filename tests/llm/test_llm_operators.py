@@ -502,3 +502,33 @@ def test_unlike_sets_share_few_keys():
     rng = np.random.default_rng(14)
     keys = Counter(k for _ in range(300) for k in set(part_keys(rng.integers(0, 2**63, 400).astype(np.uint64), 80).tolist()))
     assert max(keys.values()) == 1
+
+
+def test_pipeline_run_against_brute_force(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    import corpus_pipeline as cp
+
+    rng = random.Random(21)
+    say = lambda n: " ".join(rng.choice(["stone", "river", "walks", "north", "lamp", "of", "the"]) for _ in range(n))
+    toxic = set(range(2, 200, 5))
+    texts_ = {i: say(30) + (" you grubwort " + rng.choice(["idiot", "vexling", "moron"]) + " " if i in toxic else " ") + say(30) for i in range(200)}
+    for i in range(0, 60, 5):
+        texts_[i] += "\nAll rights reserved here."
+    base = [f"w{k}" for k in range(100)]
+    texts_ |= {300: " ".join(base), 303: " ".join([*base[:30], "new", *base[31:70], "other", *base[71:]]), 305: "mail a.b@c.example or +1 (372) 555-7739, card 4539578763621486 at 10.20.30.40."}
+    spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in texts_.items()], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, 1, int(i in toxic)) for i in range(200)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    left = dict(kept_lines([(i, t) for i, t in texts_.items() if i not in toxic], 10))
+    assert "\nAll rights" not in "".join(t for _, t in left)
+    gone = {i for i, _, c in brute_components(sorted(left), 5, 80) if i != c}
+    assert gone == {303}
+    want = {i: t for i, t in left if i not in gone}
+    want[305] = "mail [email] or [phone], card [card] at [ip]."
+    tok = Tokenizer.from_file(BPE)
+    tok.encode_special_tokens = True
+    got = by_id(cp.run(spark, str(tmp_path)).collect())
+    assert set(got) == set(want)
+    for i, t in want.items():
+        ids = tok.encode(t, add_special_tokens=False).ids + [0]
+        assert b"".join(bytes(r["ids"]) for r in sorted(got[i], key=lambda r: r["start"])) == np.array(ids, "<u4").tobytes()
