@@ -401,7 +401,7 @@ def test_tree_join_against_all_pairs():
     assert len(Shingler(3).set_of("")) == 0 and len(Shingler(3).set_of("a b")) == 1
 
 
-@pytest.mark.parametrize("rules", [SuffixRules(), SuffixRules(hot=2, chunk=700, block=9000)])
+@pytest.mark.parametrize("rules", [SuffixRules(), SuffixRules(bucket=2, chunk=700, block=9000), SuffixRules(bucket=3, widths=(64, 1))])
 def test_suffix_dedup(docs, empty, rules):
     own = [r["text"] or "" for r in docs.select("text").collect()]
     seen = Counter(t[s : s + 200] for t in (x.encode() for x in own) for s in range(len(t) - 199))

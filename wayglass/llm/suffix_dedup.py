@@ -8,13 +8,16 @@ within an anchor's bucket, and there is one anchor for about 75 bytes.
 
 1. Anchors of all texts are grouped by hash; anchors that occur once point to no repeated string and are left.
 2. Of the others the context travels: the bytes of all strings that point to the anchor. Contexts that repeat
-   within a task are combined there.
+   within a task are combined there: both are finished, and the first stands for them from there on.
 3. Within the buckets the strings are told apart by refinement: buckets of 8-byte grams are refined to 16, 32, 64 and 128
    bytes by sorting on the pair of bucket identifiers at an offset and at the later offset half as far on, the new identifiers being
    used for the next step, until the identifiers at offsets 0 and length - 128 tell whole strings apart. Offsets whose
    bucket holds nothing else drop out. This compares the bytes themselves: no hash decides.
-4. Anchors with over `hot` occurrences (a passage that a great part of the documents hold) are not brought together: their strings are counted
-   by a digest with map-side combining.
+4. A bucket of over `bucket` contexts (an anchor in a passage that a great part of the documents hold) is first cut across tasks:
+   equal contexts are dealt by their content, so that one of them stays for all and its places are finished. What is left of a bucket that is
+   still over-full is refined by a longer gram: its strings are parted by their offset from the anchor, and the bytes that all
+   strings of one such part have in common name the new bucket. Buckets with nothing else in them drop out, those that have
+   become small are refined as in 3, the others are cut again, down to single strings.
 5. The removed ranges go back to their texts.
 
 Texts that are equal as a whole are one text here, and lose all their bytes if they are long enough and there are several.
@@ -43,7 +46,9 @@ class SuffixRules:
     #: 128 to 256.
     length: int = 200
     q: int = 48
-    hot: int = 8000
+    #: Contexts that are refined together at most; fuller buckets are cut by longer grams first, into parts of so many strings.
+    bucket: int = 3000
+    widths: tuple[int, ...] = (26, 5, 1)
     #: String starts that are looked at together in one long text, bytes of contexts that are refined together: refining takes about 100 bytes for each.
     chunk: int = 1 << 18
     block: int = 1 << 20
@@ -154,7 +159,18 @@ def runs(starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return starts[np.r_[0, cut + 1]], starts[np.r_[cut, len(starts) - 1]]
 
 
-CONTEXTS = "h long, rel int, ctx binary, td binary, start long, stop long"
+#: full: of an over-full bucket; key: what rows are dealt by; g: the bucket. Rows without ctx are ranges that are finished.
+CONTEXTS = "full boolean, key long, g long, rel int, ctx binary, td binary, start long, stop long"
+SETTLED = "g long, rel int, ctx binary, td binary, start long, stop long"
+
+
+def _spread(start: int, stop: int) -> int:
+    """Deals finished rows out evenly."""
+    return start * 31 + stop
+
+
+def _content_key(g: int, rel: int, ctx: bytes) -> int:
+    return int.from_bytes(hashlib.blake2b(ctx, digest_size=8, salt=g.to_bytes(8, "little", signed=True) + rel.to_bytes(8, "little")).digest(), "little", signed=True)
 
 
 def _anchor_rows(texts: DataFrame, rules: SuffixRules) -> DataFrame:
@@ -178,135 +194,170 @@ def _anchor_rows(texts: DataFrame, rules: SuffixRules) -> DataFrame:
 
 
 def _contexts(joined: DataFrame, rules: SuffixRules) -> DataFrame:
-    """Contexts of the anchors at `at` (places in column pos, hot or not in column is_hot), and, with ctx null, ranges that a task found by itself."""
+    """Contexts of the anchors at `places` and, those of over-full buckets, at `crowded`, and ranges that a task found by itself."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         anchors, seen = Anchors(rules), set()
         known: dict[tuple[int, int, bytes], tuple[bytes, int, int] | None] = {}
-        held = 0
+        held, columns = 0, ["full", "key", "g", "rel", "ctx", "td", "start", "stop"]
         for b in batches:
             rows: list[tuple] = []
-            for td, t, wanted in zip(b["td"], b["t"], b["places"], strict=True):
+            for td, t, few, many in zip(b["td"], b["t"], b["places"], b["crowded"], strict=True):
                 if td in seen:
                     continue
                 if len(seen) > 500_000:
                     seen.clear()
                 seen.add(td)
-                places = np.sort(np.asarray(wanted, np.int64))
+                order = np.argsort(places := np.r_[np.asarray(few, np.int64), np.asarray(many, np.int64)], kind="stable")
+                places, crowded = places[order], order >= len(few)
+                done: list[list[int]] = []
                 for h, pos, lo, hi in anchors.of(t):
                     at = np.minimum(np.searchsorted(places, pos), len(places) - 1)
                     for k in np.flatnonzero(places[at] == pos).tolist():
                         first, last = int(lo[k]), int(hi[k])
-                        ctx = t[first : last + rules.length]
+                        stop = last + rules.length
+                        ctx = t[first:stop]
                         key = (int(h[k].view(np.int64)), int(pos[k]) - first, ctx)
                         if key in known:
                             # the same strings once more: both are removed, the first stands for them in the shuffle
                             before = known[key]
                             if before:
-                                rows.append((before[1] * 31 + before[2], 0, None, *before))
+                                rows.append((False, _spread(*before[1:]), 0, 0, None, *before))
                                 known[key] = None
-                            rows.append((first * 31 + last, 0, None, td, first, last + rules.length))
+                            if done and first <= done[-1][1]:
+                                done[-1][1] = stop
+                            else:
+                                done.append([first, stop])
                             continue
                         held += len(ctx)
                         if held > 24 << 20:
                             known.clear()
                             held = len(ctx)
-                        known[key] = (td, first, last + rules.length)
-                        rows.append((*key, td, first, last + rules.length))
+                        known[key] = (td, first, stop)
+                        full = bool(crowded[at[k]])
+                        rows.append((full, _content_key(*key) if full else key[0], *key, td, first, stop))
+                rows += [(False, _spread(a, z), 0, 0, None, td, a, z) for a, z in done]
                 if len(rows) > 5_000:
-                    yield pd.DataFrame(rows, columns=["h", "rel", "ctx", "td", "start", "stop"])
+                    yield pd.DataFrame(rows, columns=columns)
                     rows = []
             if rows:
-                yield pd.DataFrame(rows, columns=["h", "rel", "ctx", "td", "start", "stop"])
-
-    return joined.select("td", "t", "places").mapInPandas(run, CONTEXTS)
-
-
-def _refine(contexts: DataFrame, rules: SuffixRules) -> DataFrame:
-    """td, start, stop: ranges of repeated strings. Rows come sorted by h."""
-
-    def solve(parts: list[pd.DataFrame]) -> pd.DataFrame:
-        rows = pd.concat(parts, ignore_index=True) if len(parts) > 1 else parts[0]
-        rows = rows.drop_duplicates(["h", "td", "start"])
-        h = rows["h"].to_numpy(np.int64)
-        group = np.cumsum(np.r_[False, h[1:] != h[:-1]])
-        sizes = np.bincount(group)
-        rows, group = rows[sizes[group] > 1], group[sizes[group] > 1]
-        if not len(rows):
-            return pd.DataFrame({"td": [], "start": [], "stop": []})
-        ctx = rows["ctx"].tolist()
-        lengths = np.array([len(c) for c in ctx])
-        data = np.frombuffer(b"".join(ctx), np.uint8)
-        first = np.cumsum(lengths) - lengths
-        ends = np.repeat(first + lengths, lengths)
-        n = lengths - rules.length + 1
-        of = np.repeat(np.arange(len(ctx)), n)
-        offset = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
-        bucket = group[of] * 512 + rows["rel"].to_numpy(np.int64)[of] - offset + 256
-        hit = refined(data, ends, bucket, first[of] + offset, rules.length)
-        of, offset = of[hit], offset[hit]
-        if not len(of):
-            return pd.DataFrame({"td": [], "start": [], "stop": []})
-        cut = np.flatnonzero((of[1:] != of[:-1]) | (offset[1:] != offset[:-1] + 1))
-        a, b = np.r_[0, cut + 1], np.r_[cut, len(of) - 1]
-        begin, td = rows["start"].to_numpy(np.int64), rows["td"].to_numpy()
-        return pd.DataFrame({"td": td[of[a]], "start": begin[of[a]] + offset[a], "stop": begin[of[a]] + offset[b] + rules.length})
+                yield pd.DataFrame(rows, columns=columns)
+
+    return joined.select("td", "t", "places", "crowded").mapInPandas(run, CONTEXTS)
+
+
+def cut_context(rel: int, ctx: bytes, width: int, length: int) -> Iterator[tuple[int, bytes, int, int]]:
+    """Cut the strings of a context by their offset from the anchor, `width` offsets a part: (part, bytes that all its strings share, first, end of its bytes)."""
+    n = len(ctx) - length + 1
+    for part in range((rel - n + 1) // width, rel // width + 1):
+        nearest, farthest = part * width, part * width + width - 1
+        first, last = max(rel - farthest, 0), min(rel - nearest, n - 1)
+        yield part, ctx[rel - nearest : rel - farthest + length], first, last + length
+
+
+def _cut(left: DataFrame, width: int, rules: SuffixRules) -> DataFrame:
+    """Contexts of buckets that are small enough as they are (n contexts), those of the others cut, in buckets of their own."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        columns = ["full", "key", "g", "rel", "ctx", "td", "start", "stop"]
+        for b in batches:
+            rows: list[tuple] = []
+            for g, rel, ctx, td, start, stop, n in b.itertuples(index=False, name=None):
+                if n <= rules.bucket:
+                    rows.append((False, g, g, rel, ctx, td, start, stop))
+                    continue
+                for part, shared, first, end in cut_context(rel, ctx, width, rules.length):
+                    piece, bucket = ctx[first:end], _content_key(g, part + 512, shared)
+                    rows.append((True, _content_key(bucket, rel - first + 512, piece), bucket, rel - first, piece, td, start + first, start + end))
+            if rows:
+                yield pd.DataFrame(rows, columns=columns)
+
+    return left.select("g", "rel", "ctx", "td", "start", "stop", "n").mapInPandas(run, CONTEXTS)
+
+
+def _combined(rows: pd.DataFrame) -> pd.DataFrame:
+    """One of each context, and the places of those that stand at several, which are finished. rows: all that have one of their keys."""
+    rows = rows.drop_duplicates(["g", "rel", "ctx", "td", "start"])
+    same = rows.groupby(["g", "rel", "ctx"], sort=False)["start"].transform("size").to_numpy() > 1
+    return pd.concat([rows.drop_duplicates(["g", "rel", "ctx"]), rows[same].assign(ctx=None)])[["g", "rel", "ctx", "td", "start", "stop"]]
+
+
+def _refined_ranges(rows: pd.DataFrame, rules: SuffixRules) -> pd.DataFrame:
+    """td, start, stop: ranges of repeated strings within whole buckets."""
+    rows = rows.drop_duplicates(["key", "td", "start"])
+    key = rows["key"].to_numpy(np.int64)
+    group = np.cumsum(np.r_[False, key[1:] != key[:-1]])
+    sizes = np.bincount(group)
+    rows, group = rows[sizes[group] > 1], group[sizes[group] > 1]
+    if not len(rows):
+        return pd.DataFrame({"td": [], "start": [], "stop": []})
+    ctx = rows["ctx"].tolist()
+    lengths = np.array([len(c) for c in ctx])
+    data = np.frombuffer(b"".join(ctx), np.uint8)
+    first = np.cumsum(lengths) - lengths
+    ends = np.repeat(first + lengths, lengths)
+    n = lengths - rules.length + 1
+    of = np.repeat(np.arange(len(ctx)), n)
+    offset = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
+    bucket = group[of] * 512 + rows["rel"].to_numpy(np.int64)[of] - offset + 256
+    hit = refined(data, ends, bucket, first[of] + offset, rules.length)
+    of, offset = of[hit], offset[hit]
+    if not len(of):
+        return pd.DataFrame({"td": [], "start": [], "stop": []})
+    cut = np.flatnonzero((of[1:] != of[:-1]) | (offset[1:] != offset[:-1] + 1))
+    a, b = np.r_[0, cut + 1], np.r_[cut, len(of) - 1]
+    begin, td = rows["start"].to_numpy(np.int64), rows["td"].to_numpy()
+    return pd.DataFrame({"td": td[of[a]], "start": begin[of[a]] + offset[a], "stop": begin[of[a]] + offset[b] + rules.length})
+
+
+def _settle(contexts: DataFrame, rules: SuffixRules) -> DataFrame:
+    """Finished ranges (without ctx), and of the over-full buckets one of each context."""
+
+    def finished(ranges: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"g": 0, "rel": 0, "ctx": None, "td": ranges["td"], "start": ranges["start"], "stop": ranges["stop"]})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         parts: list[pd.DataFrame] = []
-        held = 0
+        held, carried = 0, None
         for b in batches:
             ready = b["ctx"].isna()
             if ready.any():
-                yield b.loc[ready, ["td", "start", "stop"]]
+                yield finished(b[ready])
                 b = b[~ready]
+            full = b["full"].to_numpy(bool)
+            if full.any():
+                own = b[full] if carried is None else pd.concat([carried, b[full]])
+                last = own["key"].to_numpy() == own["key"].iloc[-1]
+                carried = own[last]
+                if not last.all():
+                    yield _combined(own[~last])
+                b = b[~full]
             if not len(b):
                 continue
-            h = b["h"].to_numpy(np.int64)
+            key = b["key"].to_numpy(np.int64)
             sizes = np.cumsum([len(c) for c in b["ctx"]])
             at = 0
             while at < len(b):
-                # up to the end of the group in which the block gets full
-                full = int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + max(rules.block - held, 1)))
-                if full >= len(b) - 1:
+                # up to the end of the bucket in which the block gets full
+                over = int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + max(rules.block - held, 1)))
+                if over >= len(b) - 1:
                     break
-                to = int(np.searchsorted(h[full:] != h[full], True)) + full if (h[full:] != h[full]).any() else len(b)
-                if to >= len(b):
+                others = np.flatnonzero(key[over:] != key[over])
+                if not len(others):
                     break
+                to = int(others[0]) + over
                 parts.append(b.iloc[at:to])
-                yield solve(parts)
+                yield finished(_refined_ranges(pd.concat(parts, ignore_index=True), rules))
                 parts, held, at = [], 0, to
             if at < len(b):
                 parts.append(b.iloc[at:])
                 held += int(sizes[-1] - (sizes[at - 1] if at else 0))
         if parts:
-            yield solve(parts)
-
-    return contexts.mapInPandas(run, "td binary, start long, stop long")
-
-
-def _hot_ranges(contexts: DataFrame, rules: SuffixRules) -> DataFrame:
-    """td, start, stop, by counting digests of strings with map-side combining."""
-
-    def strings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        columns = ["w", "td", "start", "stop"]
-        for b in batches:
-            rows: list[tuple] = []
-            for ctx, td, start, stop in zip(b["ctx"], b["td"], b["start"], b["stop"], strict=True):
-                if ctx is None:
-                    rows.append((b"", td, start, stop))
-                    continue
-                rows += [(hashlib.blake2b(ctx[i : i + rules.length], digest_size=16).digest(), td, start + i, start + i + rules.length) for i in range(len(ctx) - rules.length + 1)]
-                if len(rows) > 50_000:
-                    yield pd.DataFrame(rows, columns=columns)
-                    rows = []
-            if rows:
-                yield pd.DataFrame(rows, columns=columns)
+            yield finished(_refined_ranges(pd.concat(parts, ignore_index=True), rules))
+        if carried is not None:
+            yield _combined(carried)
 
-    rows = contexts.mapInPandas(strings, "w binary, td binary, start long, stop long")
-    mark = F.xxhash64("td", "start")
-    often = rows.groupBy("w").agg(F.min(mark).alias("lo"), F.max(mark).alias("hi")).filter("lo < hi or w = X''").select("w")
-    return rows.join(often, "w").select("td", "start", "stop")
+    return contexts.repartition("key").sortWithinPartitions("full", "key").mapInPandas(run, SETTLED)
 
 
 def repeated_ranges(texts: DataFrame, rules: SuffixRules) -> DataFrame:
@@ -315,15 +366,22 @@ def repeated_ranges(texts: DataFrame, rules: SuffixRules) -> DataFrame:
     anchors = _anchor_rows(long_, rules)
     mark = F.xxhash64("tid", "pos")
     often = anchors.groupBy("h").agg(F.min(mark).alias("lo"), F.max(mark).alias("hi"), F.count(F.lit(1)).alias("n")).filter("lo < hi")
-    often = often.select("h", (F.col("n") > rules.hot).alias("is_hot"))
-    places = written(anchors.join(often, "h").select("tid", "pos", "is_hot", "h"), "anchors")
-    hot = not places.filter("is_hot").isEmpty()
-    found = []
-    for flag in (False, True) if hot else (False,):
-        own = places.filter(F.col("is_hot") == flag).groupBy(F.col("tid").alias("of")).agg(F.collect_set("pos").alias("places"))
-        contexts = _contexts(long_.join(own, F.col("tid") == F.col("of")), rules)
-        found.append(_hot_ranges(contexts, rules) if flag else _refine(contexts.repartition("h").sortWithinPartitions("h"), rules))
-    ranges = found[0] if len(found) == 1 else found[0].unionByName(found[1])
+    # tables on both sides of the joins: what a hot anchor, or copies of one text, bring together can then be split
+    often = written(often.select("h", (F.col("n") > rules.bucket).alias("full")), "often")
+    places = anchors.join(often, "h").groupBy(F.col("tid").alias("of"))
+    places = written(places.agg(*[F.collect_set(F.when(F.col("full") == flag, F.col("pos"))).alias(name) for flag, name in ((False, "places"), (True, "crowded"))]), "places")
+    settled = written(_settle(_contexts(long_.join(places, F.col("tid") == F.col("of")), rules), rules), "settled")
+    found = [settled]
+    for width in rules.widths:
+        left = settled.filter("ctx is not null")
+        sizes = written(left.groupBy("g").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "sizes")
+        if sizes.isEmpty():
+            break
+        settled = written(_settle(_cut(left.join(sizes, "g"), width, rules), rules), "settled")
+        found.append(settled)
+    ranges = found[0].filter("ctx is null")
+    for more in found[1:]:
+        ranges = ranges.unionByName(more.filter("ctx is null"))
     return ranges.groupBy("td").agg(F.collect_set(F.struct("start", "stop")).alias("ranges"))
 
 
