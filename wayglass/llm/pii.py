@@ -6,8 +6,8 @@ It is trained on the driver from a small labelled table and decoded exactly by V
 once: words whose emission for "outside" beats every other label by more than transitions can make up for are outside on the best
 path whatever their neighbours, so only the stretches between them are decoded step by step.
 
-Defined results: null and empty texts have no spans; repeated rows are searched each; an empty table gives an empty
-result; other columns are ignored or passed through; between overlapping spans of the field and the patterns the patterns' stay.
+Defined results: null and empty texts have no spans; very long texts and words are searched whole, in time that grows with their length;
+repeated rows are searched each; an empty table gives an empty result; other columns are ignored or passed through; between overlapping spans of the field and the patterns the patterns' stay.
 """
 
 from __future__ import annotations
@@ -29,13 +29,16 @@ KINDS = ("email", "ip", "card", "phone")
 #: Labels of the field; the first is "outside".
 LABELS = ("O", "national_phone", "secret", "identity")
 CACHE = 500_000
+#: Longer words aren't kept, so that the memory of words stays bounded.
+CACHED_CHARS = 100
 #: Words that are decoded at once.
 BATCH_WORDS = 200_000
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-_IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
-_CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
+#: Possessive: nothing follows that giving back could help, and no stack of a long run is held.
+_CHAIN = re.compile(r"[0-9]++(?:\.[0-9]++)*+")
+_CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
 _BLANKS = " \t\n\x0b\f\r"
@@ -52,6 +55,21 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def ip_spans(text: str) -> Iterator[tuple[int, int]]:
+    """Internet addresses. A match takes four neighbours of a chain of numbers, so each chain is read once, in fours from its start."""
+    for m in _CHAIN.finditer(text):
+        parts = m.group().split(".")
+        if len(parts) < 4:
+            continue
+        at = m.start()
+        for k in range(0, len(parts) - 3, 4):
+            four = parts[k : k + 4]
+            end = at + sum(map(len, four)) + 3
+            if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in four):
+                yield at, end
+            at = end + 1
+
+
 def base_spans(text: str) -> list[list[tuple[int, int]]]:
     """Spans of each of KINDS, leftmost and non-overlapping; matches that fail their check are dropped."""
     emails: list[tuple[int, int]] = []
@@ -69,7 +87,7 @@ def base_spans(text: str) -> list[list[tuple[int, int]]]:
         at = text.find("@", max(at + 1, done))
     if not _DIGIT.search(text):
         return [emails, [], [], []]
-    ips = [m.span() for m in _IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in m.group().split("."))] if "." in text else []
+    ips = list(ip_spans(text)) if "." in text else []
     cards = []
     for m in _CARD.finditer(text):
         digits = m.group().replace(" ", "").replace("-", "")
@@ -133,7 +151,7 @@ def labelled_table(copies: int = 12, seed: int = 11) -> list[tuple[list[str], li
         if kind == "identity":
             return f"{digits(3)}-{digits(2)}-{digits(4)}"
         n = rng.choice([20, 24, 30, 32, 36, 40])
-        body = "".join(rng.choice("0123456789abcdef") for _ in range(n - 4)) + "7a0e"
+        body = "".join(rng.choice(rng.choice(["0123456789abcdef", "abcdefghijklmnopqrstuvwxyz0123456789"])) for _ in range(n - 2)) + rng.choice("0123456789") + rng.choice("abcdef")
         return rng.choice(['"{}"', "{}", "'{}'"]).format(rng.choice([body, body.upper(), body]))
 
     rows = []
@@ -235,10 +253,12 @@ class Decoder:
     def class_of(self, word: str) -> int:
         got = self.words.get(word)
         if got is None:
-            if len(self.words) >= CACHE:
-                self.words.clear()
             # only signs that the table taught count, so that there are few classes
-            got = self.words[word] = self._class(tuple(s for s in word_signs(word) if any(p + s in self.model.weights for p in "0-+")))
+            got = self._class(tuple(s for s in word_signs(word) if any(p + s in self.model.weights for p in "0-+")))
+            if len(word) <= CACHED_CHARS:
+                if len(self.words) >= CACHE:
+                    self.words.clear()
+                self.words[word] = got
         return got
 
     def decode(self, texts: list[list[str]]) -> list[list[tuple[int, int, int]]]:
