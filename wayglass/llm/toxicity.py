@@ -1,22 +1,24 @@
 """Toxicity by weak supervision.
 
-Voters are lexicon entries and patterns. Lexicon entries (whole words and word beginnings) are induced from a bounded sample of labelled rows;
-patterns are written by hand. A generative label model takes only the voters' votes, estimates by expectation
-maximisation how often each voter fires on toxic and on clean text, and how strongly voters go together beyond that, and counts
-correlated voters as less evidence. Its posterior labels train a linear classifier over word features, which alone gives the score.
+Voters are the entries of hand-written lexicons in four languages, hand-written patterns over them, and the human label, which is
+as noisy as any voter and which only rows of the training folds have. A generative label model takes only their votes, estimates by
+expectation maximisation how often each voter fires on toxic and on clean text, and how strongly voters go together beyond that, and
+counts correlated voters as less evidence. Word features that its posterior labels find in toxic text are added as lexicon entries, and
+the model is fitted once more. The posterior labels then train a linear classifier over word features of both classes, which alone gives the score.
 
-Bounds: `sample_toxic` and `sample_clean` labelled rows at most are fetched to fit all this (those with the smallest hash
-of doc_id); every document is scored, over its whole text.
+Bounds: `sample_toxic` and `sample_clean` labelled rows at most are used to fit all this (those with the smallest hash of doc_id).
+Their words are counted by Spark; the driver gets votes, `features` names at most, and which rows hold those, never texts. Every
+document is scored, over its whole text.
 
 Defined results: a null or empty text is scored from the classifier's intercept; documents without a label are scored like
-others; repeated rows are scored each; without any labelled row of the training folds every score is 0; an empty
+others; very long texts are scored whole; repeated rows are scored each, in the sample one of the texts of a doc_id stands for it, and of
+conflicting labels the toxic one holds; without any toxic row in the training folds every score is 0; an empty
 table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -25,35 +27,50 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .store import text_of
+from .store import text_of, written
 
 #: Places in a worker's memory of words: bounds its memory, changes no result.
 CACHE = 500_000
 _WORD = re.compile(r"[^\W\d_]+")
-#: Hand-written patterns over the text in lower case.
+
+#: Insults by language: each is a voter.
+LEXICON = {
+    "en": "idiot idiots moron morons loser losers clown clowns stupid dumb pathetic disgusting worthless trash garbage scum vermin imbecile filth jerk",
+    "de": "trottel abschaum dreck widerlich wertlos erbärmlich dumm versager arschloch vollidiot",
+    "fr": "imbécile abruti minable dégoûtant ordure crétin raclure débile connard",
+    "es": "idiota imbécil asqueroso patético estúpido perdedor payaso escoria inútil",
+}
+WORDS = [w for line in LEXICON.values() for w in line.split()]
+_ANY = "(?:" + "|".join(sorted(WORDS, key=lambda w: (-len(w), w))) + ")"
+#: Patterns over the text in lower case.
 PATTERNS = {
-    "insulted": r"\byou(?:'re| are)? (?:an? |such |so )?(?:idiot|moron|loser|clown|pathetic|stupid|disgusting|worthless)",
-    "dismissed": r"\b(?:shut up|get lost|go to hell|drop dead|nobody likes you)\b",
-    "belittled": r"\b(?:piece of|bunch of|pack of) (?:trash|garbage|scum|idiots|morons|losers|clowns)\b",
+    "aimed": rf"\b(?:you|he|she|they|we|du|ihr|sie|tu|vous|eres|this|that|these|those|such|so)\b(?:\W+\w+){{0,2}}?\W+{_ANY}\b",
+    "named": rf"\b(?:an?|the|ein|eine|der|die|un|une|le|la|el|una)\W+{_ANY}\b",
+    "closed": rf"\b{_ANY}[.!?]",
+    "dismissed": r"\b(?:shut up|get lost|go to hell|drop dead|halt den mund|hau ab|ta gueule|cállate)\b",
     "shouted": r"!{3,}",
     "masked": r"\b[a-z]\*{2,}[a-z]*\b",
 }
+#: How often the human label is taken to be wrong on toxic and on clean text. The other voters' accuracies are estimated against this.
+LABEL_ERRORS = (0.08, 0.02)
+#: Voters over the number of different lexicon entries in a text.
+SEVERAL = (2, 4)
 
 
 @dataclass(frozen=True)
 class ToxicityRules:
     sample_toxic: int = 1500
     sample_clean: int = 3500
-    #: Lexicon voters: at most this many, seen in this many sampled toxic rows, with this share of toxic rows among those that hold them (features of the classifier too).
-    voters: int = 96
+    #: Entries that are added to the lexicon: at most so many, held by so many sampled rows, with this share of posterior toxicity among these.
+    added: int = 48
     least_rows: int = 6
-    least_share: float = 0.97
-    #: Features of the linear classifier.
-    features: int = 1500
-    #: Standard deviations by which a feature is more frequent in toxic rows than by chance.
-    least_lift: float = 3.5
+    least_share: float = 0.5
+    #: Features of the linear classifier, those that tell the classes apart best, in either direction.
+    features: int = 3000
+    #: Standard deviations from what chance would give.
+    least_lift: float = 2.5
     rounds: int = 400
-    l2: float = 0.02
+    l2: float = 0.0005
 
 
 def held_out(doc_id: Column) -> Column:
@@ -66,43 +83,27 @@ def word_features(word: str) -> list[str]:
 
 
 def text_features(text: str) -> set[str]:
+    return {f for w in set(_WORD.findall(text.lower())) for f in word_features(w)}
+
+
+def hand_votes(text: str) -> list[int]:
+    """Places of the hand-written voters that fire: lexicon, numbers of entries, patterns."""
     low = text.lower()
-    found: set[str] = set()
-    for w in set(_WORD.findall(low)):
-        found.update(word_features(w))
-    found.update(f"~{k}" for k, p in PATTERNS.items() if re.search(p, low))
-    return found
-
-
-def induce_voters(rows: list[set[str]], toxic: np.ndarray, rules: ToxicityRules) -> list[str]:
-    """Features that mostly toxic rows hold, by how many toxic rows each adds to those already covered, then the patterns."""
-    hits: Counter[str] = Counter()
-    for r, t in zip(rows, toxic, strict=True):
-        if t:
-            hits.update(r)
-    all_hits: Counter[str] = Counter()
-    often = {f for f, n in hits.items() if n >= rules.least_rows}
-    for r in rows:
-        all_hits.update(r & often)
-    good = sorted((f for f in often if hits[f] >= rules.least_share * all_hits[f] and f[0] != "~"), key=lambda f: (-hits[f], len(f), f))
-    chosen, seen = [], set()
-    where: dict[str, set[int]] = {f: set() for f in good[: 40 * rules.voters]}
-    for i, r in enumerate(rows):
-        for f in r & where.keys():
-            where[f].add(i)
-    for f in where:
-        own = frozenset(where[f])
-        if own not in seen and len(chosen) < rules.voters:
-            seen.add(own)
-            chosen.append(f)
-    return [*chosen, *(f"~{k}" for k in PATTERNS)]
+    words = set(_WORD.findall(low))
+    fired = [k for k, w in enumerate(WORDS) if w in words]
+    out = fired + [len(WORDS) + k for k, n in enumerate(SEVERAL) if len(fired) >= n]
+    return out + [len(WORDS) + len(SEVERAL) + k for k, p in enumerate(PATTERNS.values()) if re.search(p, low)]
+
+
+N_HAND = len(WORDS) + len(SEVERAL) + len(PATTERNS)
 
 
 @dataclass
 class LabelModel:
     """Of each voter: how often it fires on toxic and on clean text, and what share of its evidence counts.
 
-    A voter that doesn't fire abstains. That none fires is a vote of its own (the last column), for clean.
+    A voter that doesn't fire abstains. That no hand-written one fires is a vote of its own (the last column), for clean. The first two
+    columns are the human label: it says toxic, it says clean.
     """
 
     prior: float
@@ -112,25 +113,31 @@ class LabelModel:
     correlations: np.ndarray
 
     @staticmethod
-    def with_silence(votes: np.ndarray) -> np.ndarray:
-        return np.column_stack([votes, ~votes.any(1)]).astype(np.float64)
+    def columns(votes: np.ndarray, label: np.ndarray) -> np.ndarray:
+        """label: 1, 0, or -1 where there is none."""
+        return np.column_stack([label == 1, label == 0, votes, ~votes[:, :N_HAND].any(1)]).astype(np.float64)
 
     @classmethod
-    def fit(cls, votes: np.ndarray, prior: float, rounds: int = 25) -> LabelModel:
-        v = cls.with_silence(votes)
+    def fit(cls, votes: np.ndarray, label: np.ndarray, rounds: int = 25) -> LabelModel:
+        v = cls.columns(votes, label)
         n, m = v.shape
-        post = np.where(votes.any(1), 0.9, 0.02)
-        model = cls(prior, np.full(m, 0.1), np.full(m, 0.01), np.ones(m), np.eye(m))
+        # to begin with, the label is mostly right, and so is a text on which several voters fire
+        post = np.clip(np.where(label == 1, 0.8, 0.04) + np.minimum(votes.sum(1), 4) * 0.12, 0.02, 0.98)
+        model = cls(0.5, np.full(m, 0.1), np.full(m, 0.01), np.ones(m), np.eye(m))
         for step in range(rounds):
+            model.prior = float(np.clip(post.mean(), 1e-3, 1 - 1e-3))
             for name, w in (("on_toxic", post), ("on_clean", 1 - post)):
                 setattr(model, name, np.clip((w @ v + 0.05) / (w.sum() + 1.0), 1e-5, 1 - 1e-5))
+            missed, alarmed = LABEL_ERRORS
+            model.on_toxic[:2], model.on_clean[:2] = (1 - missed, missed), (alarmed, 1 - alarmed)
             if step >= 3:
                 # what is left of votes going together once the class is known
                 rest = v - post[:, None] * model.on_toxic - (1 - post)[:, None] * model.on_clean
                 sd = np.sqrt((rest * rest).mean(0)) + 1e-9
                 model.correlations = (rest.T @ rest) / n / np.outer(sd, sd)
-                over = np.clip(model.correlations - 0.5, 0, None) * 2
+                over = np.clip(model.correlations - 0.3, 0, None) / 0.7
                 model.share = 1 / np.maximum(over.sum(1), 1)
+                model.share[:2] = 1
             post = model._posterior(v)
         return model
 
@@ -138,112 +145,123 @@ class LabelModel:
         z = np.log(self.prior) - np.log1p(-self.prior) + (v * self.share) @ (np.log(self.on_toxic) - np.log(self.on_clean))
         return 1 / (1 + np.exp(-np.clip(z, -50, 50)))
 
-    def posterior(self, votes: np.ndarray) -> np.ndarray:
-        return self._posterior(self.with_silence(votes))
+    def posterior(self, votes: np.ndarray, label: np.ndarray) -> np.ndarray:
+        return self._posterior(self.columns(votes, label))
+
+
+def lift(n, heavy, rate: float):
+    """Standard deviations by which a feature's rows are more toxic than chance would make them. Works on columns and arrays."""
+    return (heavy - rate * n) / ((n * rate * (1 - rate) + 1) ** 0.5)
 
 
 @dataclass
 class ToxicityModel:
     weights: dict[str, float]
     intercept: float
-    voters: list[str]
     label_model: LabelModel | None = None
+    added: tuple[str, ...] = ()
 
     @classmethod
-    def fit(cls, texts: list[str], toxic: np.ndarray, rules: ToxicityRules = ToxicityRules(), base_rate: float | None = None) -> ToxicityModel:
-        if not len(texts) or not toxic.any():
-            return cls({}, -800.0, [])
-        # only what some toxic rows hold can speak for toxicity: the rest of the features isn't kept
-        hits: Counter[str] = Counter()
-        for t, y in zip(texts, toxic, strict=True):
-            if y:
-                hits.update(text_features(t))
-        often = {f: f for f, n in hits.items() if n >= 3 or f[0] == "~"}
-        del hits
-        rows = [{often[f] for f in text_features(t) if f in often} for t in texts]
-        voters = induce_voters(rows, toxic, rules)
-        votes = np.array([[f in r for f in voters] for r in rows], bool)
-        labels = LabelModel.fit(votes, float(np.clip(toxic.mean(), 1e-3, 1 - 1e-3)))
-        target = labels.posterior(votes)
-        counts: Counter[str] = Counter()
-        for r in rows:
-            counts.update(r)
-        rate = target.mean()
-        heavy: Counter[str] = Counter()
-        for r, t in zip(rows, target, strict=True):
-            for f in r:
-                heavy[f] += t
-        lift = {f: (heavy[f] - rate * n) / np.sqrt(n * rate * (1 - rate) + 1) for f, n in counts.items() if n >= 3}
-        names = sorted((f for f in lift if heavy[f] >= rules.least_share * counts[f] and lift[f] >= rules.least_lift), key=lambda f: (-lift[f], f))[: rules.features]
-        names += [f for f in voters if f not in set(names)]
-        place = {f: i for i, f in enumerate(names)}
-        x = np.zeros((len(rows), len(names)), np.float32)
-        for i, r in enumerate(rows):
-            for f in r & place.keys():
-                x[i, place[f]] = 1
-        w, b = np.zeros(len(names), np.float32), np.float32(np.log(rate / (1 - rate)))
+    def train(cls, names: list[str], shares: np.ndarray, rows: list[np.ndarray], votes: np.ndarray, label: np.ndarray, rules: ToxicityRules) -> ToxicityModel:
+        """names: features, with the share of posterior toxicity in the rows that hold them; rows: places of the features of each row."""
+        at = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+        col = np.concatenate(rows).astype(np.int64) if rows else np.zeros(0, np.int64)
+        n = np.bincount(col, minlength=len(names))
+        # entries for the lexicon: of features that fire on the same rows, one
+        marks = np.bincount(col, np.random.default_rng(7).random(len(rows))[at], len(names)).round(9)
+        good = [k for k in np.lexsort((np.arange(len(names)), -n)).tolist() if n[k] >= rules.least_rows and shares[k] >= rules.least_share and names[k][1:] not in WORDS]
+        added = list({marks[k]: k for k in reversed(good)}.values())[::-1][: rules.added]
+        more = np.zeros((len(rows), len(added)), bool)
+        for j, k in enumerate(added):
+            more[at[col == k], j] = True
+        every = np.column_stack([votes, more])
+        labels = LabelModel.fit(every, label)
+        target = labels.posterior(every, label)
+        rate = float(np.clip(target.mean(), 1e-3, 1 - 1e-3))
         # toxic rows are few: both classes pull equally
-        pull = np.where(target >= 0.5, 0.5 / max(rate, 1e-3), 0.5 / max(1 - rate, 1e-3)).astype(np.float32)
-        pull /= pull.mean()
-        speed_w, speed_b = np.zeros_like(w), np.float32(0)
+        pull = target * 0.5 / rate + (1 - target) * 0.5 / (1 - rate)
+        pull /= pull.sum()
+        w, b = np.zeros(len(names)), 0.0
+        speed_w, speed_b = np.zeros_like(w), 0.0
         for _ in range(rules.rounds):
-            p = 1 / (1 + np.exp(-np.clip(x @ w + b, -30, 30)))
-            g = (p - target.astype(np.float32)) * pull / len(rows)
-            speed_w = 0.9 * speed_w - 2.0 * (x.T @ g + rules.l2 / 100 * w)
-            speed_b = 0.9 * speed_b - 2.0 * g.sum()
+            p = 1 / (1 + np.exp(-np.clip(np.bincount(at, w[col], len(rows)) + b, -30, 30)))
+            g = (p - target) * pull
+            speed_w = 0.9 * speed_w - 4.0 * (np.bincount(col, g[at], len(names)) + rules.l2 * w)
+            speed_b = 0.9 * speed_b - 4.0 * g.sum()
             w, b = w + speed_w, b + speed_b
-        return cls({f: float(v) for f, v in zip(names, w, strict=True) if abs(v) > 1e-6}, float(b), voters, labels)
+        return cls({f: float(v) for f, v in zip(names, w, strict=True)}, float(b), labels, tuple(names[k] for k in added))
 
     def scorer(self):
         """A function of a text to its score."""
-        known: dict[str, float | None] = {}
+        known: dict[str, tuple[str, ...]] = {}
         weights, intercept = self.weights, self.intercept
-        words = {k: [(re.compile(p), weights.get(f"~{k}", 0.0))] for k, p in PATTERNS.items()}
-        plain = {f: v for f, v in weights.items() if f[0] != "~"}
-
-        def features(word: str) -> tuple[str, ...]:
-            return tuple(f for f in word_features(word) if f in plain)
 
         def score(text: str) -> float:
-            low = text.lower()
             found: set[str] = set()
-            for w in set(_WORD.findall(low)):
+            for w in set(_WORD.findall(text.lower())):
                 own = known.get(w)
                 if own is None:
                     if len(known) >= CACHE:
                         known.clear()
-                    own = known[w] = features(w)
+                    own = known[w] = tuple(f for f in word_features(w) if f in weights)
                 if own:
                     found.update(own)
-            z = intercept + sum(plain[f] for f in sorted(found))
-            for pairs in words.values():
-                for p, v in pairs:
-                    if v and p.search(low):
-                        z += v
+            z = intercept + sum(weights[f] for f in sorted(found))
             return 0.0 if z < -700 else float(1 / (1 + np.exp(-z)))
 
         return score
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, rules: ToxicityRules, *, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """text, toxic: a bounded sample of the labelled rows of the training folds, by hash of doc_id."""
-    own = labels.select(F.col("doc_id").alias("of"), F.col("toxic").cast("int").alias("toxic")).filter(F.col("of").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("of")))
-    parts = [own.filter(F.col("toxic") == k).orderBy(F.xxhash64("of"), "of").limit(n) for k, n in ((1, rules.sample_toxic), (0, rules.sample_clean))]
+    """id, label, t: a bounded sample of the labelled documents of the training folds, by hash of doc_id; one row for each doc_id."""
+    own = labels.select(F.col("doc_id").alias("of"), F.col("toxic").cast("int").alias("label")).filter(F.col("of").isNotNull() & F.col("label").isNotNull() & ~held_out(F.col("of")))
+    own = own.groupBy("of").agg(F.max("label").alias("label"))
+    parts = [own.filter(F.col("label") == k).orderBy(F.xxhash64("of"), "of").limit(n) for k, n in ((1, rules.sample_toxic), (0, rules.sample_clean))]
     ids = parts[0].unionByName(parts[1])  # sample_toxic + sample_clean rows at most
-    return docs.select(F.col(doc_id).alias("id"), text_of(text).alias("t")).join(F.broadcast(ids), F.col("id") == F.col("of")).select("t", "toxic")
+    found = docs.select(F.col(doc_id).alias("id"), text_of(text).alias("t")).join(F.broadcast(ids), F.col("id") == F.col("of"))
+    return found.groupBy("id").agg(F.max("label").alias("label"), F.min_by("t", F.xxhash64("t")).alias("t"))
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, rules: ToxicityRules = ToxicityRules(), **names: str) -> ToxicityModel:
-    most = rules.sample_toxic + rules.sample_clean
-    rows = training_rows(docs, labels, rules, **names).limit(2 * most).collect()
-    rows.sort(key=lambda r: (r["t"], r["toxic"]))  # the same model whatever the order of the rows
-    return ToxicityModel.fit([r["t"] for r in rows], np.array([r["toxic"] for r in rows], bool), rules)
+    spark = docs.sparkSession
+
+    def featured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for i, y, t in zip(b["id"], b["label"], b["t"], strict=True):
+                yield pd.DataFrame({"id": pd.Series([i], dtype=b["id"].dtype), "label": [y], "fired": [hand_votes(t)], "features": [sorted(text_features(t))]})
+
+    sample = training_rows(docs, labels, rules, **names)
+    kind = sample.schema["id"].dataType.simpleString()
+    rows = written(sample.mapInPandas(featured, f"id {kind}, label int, fired array<int>, features array<string>"), "sample")
+    heads = rows.select("id", "label", "fired").orderBy(F.xxhash64("id"), "id").collect()  # votes of the sample
+    label = np.array([r["label"] for r in heads], int)
+    if not (label == 1).any():
+        return ToxicityModel({}, -800.0)
+    votes = np.zeros((len(heads), N_HAND), bool)
+    for i, r in enumerate(heads):
+        votes[i, r["fired"]] = True
+    post = LabelModel.fit(votes, label).posterior(votes, label)
+    # the same order in both collected tables: the sample's ids differ
+    given = spark.createDataFrame([(r["id"], float(p)) for r, p in zip(heads, post, strict=True)], f"id {kind}, p double")
+    counts = rows.join(F.broadcast(given), "id").select("p", F.explode("features").alias("f")).groupBy("f").agg(F.count(F.lit(1)).alias("n"), F.sum(F.round("p", 6)).alias("heavy"))
+    weight = F.round(F.abs(lift(F.col("n"), F.col("heavy"), float(post.mean()))), 6)
+    best = counts.filter(F.col("n") >= rules.least_rows).withColumn("lift", weight).filter(F.col("lift") >= rules.least_lift)
+    best = best.orderBy(F.desc("lift"), "f").limit(rules.features).collect()
+    places = {r["f"]: k for k, r in enumerate(best)}
+
+    def kept(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"id": b["id"], "held": [sorted(places[f] for f in fs if f in places) for fs in b["features"]]})
+
+    held = rows.select("id", "features").mapInPandas(kept, f"id {kind}, held array<int>").orderBy(F.xxhash64("id"), "id").collect()
+    sparse = [np.array(r["held"], np.int64) for r in held]
+    return ToxicityModel.train([r["f"] for r in best], np.array([r["heavy"] / r["n"] for r in best]), sparse, votes, label, rules)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, rules: ToxicityRules = ToxicityRules(), *, text: str = "text", doc_id: str = "doc_id", model: ToxicityModel | None = None) -> DataFrame:
     """row (all columns of docs), score."""
     model = model or fit_toxicity(docs, labels, rules, text=text, doc_id=doc_id)
-    small = ToxicityModel(model.weights, model.intercept, [])  # at most rules.features + rules.voters weights
+    small = ToxicityModel(model.weights, model.intercept)  # at most rules.features weights
 
     @F.pandas_udf("double")
     def score_of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
