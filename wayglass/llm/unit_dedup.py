@@ -7,8 +7,8 @@ A unit of fewer than `min_words` words is too common by itself: it goes together
 lines, that make enough words with it, so that passages of short lines or sentences are found and lone short sentences stay.
 Repetition within one document counts like repetition between documents.
 
-Digests are summed up by map-side combining before they are shuffled, and joined back with a join whose large
-partitions Spark splits, so a unit that a third of all documents hold stays cheap.
+Half-digests are counted first, with map-side combining; only units whose half-digest repeats are written down and compared by whole
+digests. They are joined back from written tables, so that Spark can split a unit that a third of all documents hold.
 
 Defined results: null and empty texts have no units; texts of fewer than `min_words` words stay; rows that repeat one doc_id rank
 alike, so that all of them keep what ranks first; an empty table gives an empty result; other columns are passed through.
@@ -21,11 +21,12 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 from hashlib import blake2b
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import text_of
+from .store import text_of, written
 
 _LINE = re.compile(r"[^\n]+")
 _PARAGRAPH = re.compile(r"(?:[^\n]|\n(?!\s*\n))+")
@@ -37,7 +38,7 @@ class UnitRules:
     #: "line" or "paragraph" (paragraphs are parted by blank lines).
     unit: str = "line"
     sentences: bool = True
-    min_words: int = 6
+    min_words: int = 13
 
 
 def units(text: str, rules: UnitRules) -> Iterator[tuple[int, int, str]]:
@@ -78,13 +79,19 @@ def sequences(n_words: list[int], least: int) -> set[tuple[int, int]]:
 
 
 def unit_table(docs: DataFrame, rules: UnitRules, *, text: str, doc_id: str) -> DataFrame:
-    """of_id, of_text (hash of the text), start, length, digest."""
+    """of_id, of_text (hash of the text), start, length, h and rest (the two halves of the digest)."""
     own = docs.select(F.col(doc_id).alias("of_id"), text_of(text).alias("t"))
     own = own.select("of_id", F.xxhash64("t").alias("of_text"), "t")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             ids, hashes, starts, lengths, digests = [], [], [], [], []
+
+            def table(kind=b["of_id"].dtype, columns=(ids, hashes, starts, lengths, digests)) -> pd.DataFrame:
+                ids_, hashes_, starts_, lengths_, digests_ = columns
+                halves = np.frombuffer(b"".join(digests_), "<i8").reshape(-1, 2)
+                return pd.DataFrame({"of_id": pd.Series(ids_, dtype=kind), "of_text": hashes_, "start": starts_, "length": lengths_, "h": halves[:, 0], "rest": halves[:, 1]})
+
             for i, h, t in zip(b["of_id"], b["of_text"], b["t"], strict=True):
                 for start, end, norm in units(t, rules):
                     ids.append(i)
@@ -93,19 +100,22 @@ def unit_table(docs: DataFrame, rules: UnitRules, *, text: str, doc_id: str) ->
                     lengths.append(end - start)
                     digests.append(blake2b(norm.encode("utf-8", "surrogatepass"), digest_size=16).digest())
                 if len(ids) > 100_000:
-                    yield pd.DataFrame({"of_id": pd.Series(ids, dtype=b["of_id"].dtype), "of_text": hashes, "start": starts, "length": lengths, "digest": digests})
-                    ids, hashes, starts, lengths, digests = [], [], [], [], []
-            yield pd.DataFrame({"of_id": pd.Series(ids, dtype=b["of_id"].dtype), "of_text": hashes, "start": starts, "length": lengths, "digest": digests})
+                    yield table()
+                    for x in (ids, hashes, starts, lengths, digests):
+                        x.clear()
+            yield table()
 
     kind = own.schema["of_id"].dataType.simpleString()
-    return own.mapInPandas(run, f"of_id {kind}, of_text long, start int, length int, digest binary")
+    return own.mapInPandas(run, f"of_id {kind}, of_text long, start int, length int, h long, rest long")
 
 
 def unit_dedup(docs: DataFrame, rules: UnitRules = UnitRules(), *, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """row (all columns of docs), n_units_removed, n_chars_removed, spans (array of start, end), kept (the text that stays)."""
     table = unit_table(docs, rules, text=text, doc_id=doc_id)
-    first = table.groupBy("digest").agg(F.min(F.struct("of_id", "start")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    gone = table.join(first, "digest").filter(~F.struct("of_id", "start").eqNullSafe(F.col("first")))
+    often = written(table.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h"), "often")
+    table = written(table.join(often, "h"), "units")
+    first = table.groupBy("h", "rest").agg(F.min(F.struct("of_id", "start")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    gone = table.join(written(first, "first"), ["h", "rest"]).filter(~F.struct("of_id", "start").eqNullSafe(F.col("first")))
     gone = gone.groupBy("of_id", "of_text").agg(F.array_sort(F.collect_set(F.struct("start", (F.col("start") + F.col("length")).alias("end")))).alias("units"))
     own = docs.select(F.struct("*").alias("row"), F.col(doc_id).alias("id"), text_of(text).alias("t")).withColumn("th", F.xxhash64("t"))
     both = own.join(gone, F.col("id").eqNullSafe(F.col("of_id")) & (F.col("th") == F.col("of_text")), "left")
