@@ -460,7 +460,7 @@ def brute_components(rows, n, percent):
     return Counter((i, len(s), find(i)) for (i, _), s in zip(rows, sets, strict=True))
 
 
-@pytest.mark.parametrize("rules", [JaccardRules(), JaccardRules(block=5, leaf=2), JaccardRules(n=5, percent=80)])
+@pytest.mark.parametrize("rules", [JaccardRules(), JaccardRules(block=5, leaf=2), JaccardRules(n=5, percent=80), JaccardRules(block=7, frequent_least=2, frequent_share=0.1), JaccardRules(frequent_most=3)])
 def test_jaccard_components(spark, docs, empty, rules):
     rng = random.Random(9)
     base = [rng.choice("abcdefghijklmnop") * 3 + str(rng.randint(0, 400)) for _ in range(220)]
@@ -614,6 +614,30 @@ def test_linked_sets_share_a_key_at_80():
                 assert len(np.intersect1d(part_keys(a, 80), part_keys(b, 80)))
 
 
+@pytest.mark.parametrize("percent", [80, 90])
+def test_linked_sets_share_a_key_without_their_frequent_elements(percent):
+    rng = np.random.default_rng(15)
+    frequent = np.unique(rng.integers(0, 2**63, 300).astype(np.uint64))
+    for share in (0.0, 0.5, 0.9, 1.0):
+        for size in (3, 20, 57, 280):
+            for _ in range(40):
+                n = min(int(size * share), len(frequent))
+                a = np.unique(np.r_[rng.choice(frequent, n, replace=False), rng.integers(0, 2**63, size - n).astype(np.uint64)])
+                gone = rng.random(len(a)) < rng.random() * (100 - percent) / 100
+                b = np.unique(np.r_[a[~gone], rng.integers(0, 2**63, rng.integers(0, size // 9 + 2)).astype(np.uint64)])
+                both = len(np.intersect1d(a, b))
+                if len(b) and 100 * both >= percent * (len(a) + len(b) - both):
+                    assert len(np.intersect1d(part_keys(a, percent, frequent), part_keys(b, percent, frequent)))
+
+
+def test_sets_that_share_a_frequent_passage_only_share_no_key():
+    rng = np.random.default_rng(16)
+    passage = np.unique(rng.integers(0, 2**63, 80).astype(np.uint64))
+    sets = [np.unique(np.r_[passage, rng.integers(0, 2**63, 320).astype(np.uint64)]) for _ in range(100)]
+    most = lambda frequent: max(Counter(k for s in sets for k in set(part_keys(s, 80, frequent).tolist())).values())
+    assert most(passage) == 1 < most(None)
+
+
 def test_unlike_sets_share_few_keys():
     rng = np.random.default_rng(14)
     keys = Counter(k for _ in range(300) for k in set(part_keys(rng.integers(0, 2**63, 400).astype(np.uint64), 80).tolist()))

@@ -5,16 +5,22 @@ representative of each class. Two sets A and B with |A & B| >= t |A | B| differ
 D = (1 - t) / (1 + t) * (|A| + |B|) elements. So if the universe is dealt into D + 1 parts by hash, both sets have
 the same elements in one part at least (no link is lost). Each set sends a key for each part, not the set itself:
 
+0. Frequent elements (of passages that many documents share) are dealt to no part: they are the same for all sets, so the parts of the
+   others still suffice, and sets that have little but such a passage in common don't meet. Which elements count as
+   frequent changes no result; they are counted in the pass that makes the table of sets, and at most `frequent_most` are sent to the tasks.
 1. Keys: (size band, part, digest of the part's elements). Keys that repeat within a task are combined there; the
    shuffle by key then sees each key once a task at most, so a hot group of copies doesn't land in one task.
-   Equal keys give star edges to the smallest document of the key, not pairs.
+   Equal keys give star edges to the smallest document of the key, not pairs, and each task thins its edges to a forest.
 2. Components of these candidate edges are groups that hold every possible link within them.
 3. Each group's sets are joined exactly by signature trees: nodes hold the OR of their documents' bitmaps and the range of their sizes; two
    trees are traversed together, and a pair of nodes is left when the largest possible overlap, from what bits one has and the other
-   lacks, is too small, or when all documents below it are linked already. Groups over `block` documents are cut into
+   lacks, is too small, or when all documents below it are linked already. Groups over `block` documents, or of very many elements, are cut into
    blocks, and each pair of blocks is a task of its own.
 4. Verified links give the final components.
 
+Set elements are 64-bit hashes of shingles: two different shingles of the two sets of a pair are taken for equal with a chance under
+|A| |B| / 2^64, 10^-11 for sets of 10,000.
+
 Defined results: null, empty and blank texts have no shingles, are linked with nothing and are components of their own; a text of
 fewer than n words is one shingle of all its words; rows of one doc_id are one document, whose texts' links all
 count for it; rows whose doc_id is null are ignored by the join and returned with a null component; other
@@ -37,8 +43,6 @@ from .store import text_of, written
 
 CACHE = 500_000
 BAND_RATIO = 1.2
-#: Parts that hold fewer elements on average get spare ones.
-FEW = 6
 
 
 @dataclass(frozen=True)
@@ -48,8 +52,12 @@ class JaccardRules:
     n: int = 3
     percent: int = 90
     #: Documents of a group that one task joins at once.
-    block: int = 1500
+    block: int = 600
     leaf: int = 8
+    #: Elements are frequent if so many sets of a task, and this share of them, hold them; so many of them at most are sent to the tasks.
+    frequent_least: int = 4
+    frequent_share: float = 0.001
+    frequent_most: int = 100_000
 
 
 class Shingler:
@@ -112,18 +120,23 @@ def band_of(size: int) -> int:
     return int(np.searchsorted(_ENDS, size, "left")) - 1
 
 
-def part_keys(s: np.ndarray, percent: int) -> np.ndarray:
+def part_keys(s: np.ndarray, percent: int, frequent: np.ndarray | None = None) -> np.ndarray:
     """64-bit keys of the largest parts in each band: as many as the pigeonhole needs, and those of equal size.
 
     Two linked sets differ in fewer parts than that, so among their equal parts there is one that is large enough in both. Where parts hold
     few elements, spare parts let the smallest go: parts without elements are equal in unlike sets, and would join them all into one group.
+    frequent: sorted elements that are dealt to no part.
     """
     out = []
+    rare = s
+    if frequent is not None and len(frequent):
+        rare = s[frequent[np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)] != s]
+    deal, weight = mixed(rare ^ np.uint64(0x5851F42D4C957F2D)), mixed(rare)
     for band, least in bands(len(s), percent):
-        parts = least + (least // 4 if 100 + percent < 2 * FEW * (100 - percent) else 0)
-        part = (mixed(s ^ np.uint64(0x5851F42D4C957F2D)) % np.uint64(parts)).astype(np.int64)
+        parts = least + least // 4
+        part = (deal % np.uint64(parts)).astype(np.int64)
         sums = np.zeros(parts, np.uint64)
-        np.add.at(sums, part, mixed(s))
+        np.add.at(sums, part, weight)
         tag = np.arange(parts, dtype=np.uint64) + (np.uint64(band) << np.uint64(32))
         n = np.bincount(part, minlength=parts)
         out.append(mixed(mixed(tag) ^ sums)[n >= np.sort(n)[parts - least]])
@@ -259,17 +272,26 @@ class TreeJoin:
 
 # ------------------------------------------------------------------------------------------------ the distributed join
 
-#: Key rows that a task combines at once, and elements of sets in one block: bounds of memory.
+#: Elements that a task counts at once, key rows that it combines at once, and elements of sets in one block: bounds of memory.
+SET_ELEMENTS = 3_000_000
 KEY_ROWS = 1_500_000
 BLOCK_ELEMENTS = 2_000_000
 
 
 def set_table(docs: DataFrame, rules: JaccardRules, *, text: str, doc_id: str) -> DataFrame:
-    """id, th (hash of the text), n_shingles, digest (of the set), cls (a 64-bit part of it)."""
+    """id, th (hash of the text), n_shingles, digest (of the set), cls (a 64-bit part of it); rows with `element`, `held` are counts of a task's frequent elements."""
     own = docs.select(F.col(doc_id).alias("id"), text_of(text).alias("t")).withColumn("th", F.xxhash64("t"))
 
+    def frequent(sets: list[np.ndarray]) -> pd.DataFrame:
+        values, held = np.unique(np.concatenate(sets), return_counts=True)
+        often = held >= max(rules.frequent_least, rules.frequent_share * len(sets))
+        return pd.DataFrame({"id": None, "th": None, "n_shingles": None, "digest": None, "cls": None, "element": values[often].view(np.int64), "held": held[often]})
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingler = Shingler(rules.n)
+        seen: set[bytes] = set()
+        sets: list[np.ndarray] = []
+        elements = 0
         for b in batches:
             n, digests, classes = [], [], []
             for t in b["t"]:
@@ -278,12 +300,39 @@ def set_table(docs: DataFrame, rules: JaccardRules, *, text: str, doc_id: str) -
                 n.append(len(s))
                 digests.append(d)
                 classes.append(int.from_bytes(d[:8], "little", signed=True))
-            yield pd.DataFrame({"id": b["id"], "th": b["th"], "n_shingles": n, "digest": digests, "cls": classes})
-
-    return own.mapInPandas(run, f"id {own.schema['id'].dataType.simpleString()}, th long, n_shingles long, digest binary, cls long")
-
-
-def candidate_links(docs: DataFrame, rules: JaccardRules, *, text: str) -> DataFrame:
+                if len(s) and d not in seen:
+                    if len(seen) >= CACHE:
+                        seen.clear()
+                    seen.add(d)
+                    sets.append(s)
+                    elements += len(s)
+                    if elements >= SET_ELEMENTS:
+                        yield frequent(sets)
+                        sets, elements = [], 0
+            yield pd.DataFrame({"id": b["id"], "th": b["th"], "n_shingles": n, "digest": digests, "cls": classes, "element": None, "held": None})
+        if sets:
+            yield frequent(sets)
+
+    return own.mapInPandas(run, f"id {own.schema['id'].dataType.simpleString()}, th long, n_shingles long, digest binary, cls long, element long, held long")
+
+
+def frequent_elements(table: DataFrame, rules: JaccardRules) -> np.ndarray:
+    """The elements that most sets hold, frequent_most at most, sorted."""
+    counts = table.filter("element is not null").groupBy("element").agg(F.sum("held").alias("held"))
+    rows = counts.orderBy(F.desc("held"), "element").limit(rules.frequent_most).select("element").toPandas()
+    return np.sort(rows["element"].to_numpy(np.int64).view(np.uint64))
+
+
+def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """As few links as keep together what the links a-b keep together."""
+    names, places = np.unique(np.r_[a, b], return_inverse=True)
+    n = len(a)
+    union = Union(len(names))
+    kept = [k for k, (x, y) in enumerate(zip(places[:n].tolist(), places[n:].tolist(), strict=True)) if union.join(x, y)]
+    return a[kept], b[kept]
+
+
+def candidate_links(docs: DataFrame, rules: JaccardRules, frequent: np.ndarray | None = None, *, text: str) -> DataFrame:
     """a, b: classes that share a key, as stars around each key's smallest class."""
 
     def combined(keys: list[np.ndarray], classes: list[tuple[int, int]]) -> pd.DataFrame:
@@ -297,7 +346,8 @@ def candidate_links(docs: DataFrame, rules: JaccardRules, *, text: str) -> DataF
         own[head] = True
         link = ~own & (c != lowest)
         pairs = np.unique(np.stack([c[link], lowest[link]], 1), axis=0)
-        return pd.DataFrame({"key": np.r_[k[own], pairs[:, 0]], "a": np.r_[c[own], pairs[:, 0]], "b": pd.array(np.r_[c[own], pairs[:, 1]])})
+        a, b = forest(pairs[:, 0], pairs[:, 1])
+        return pd.DataFrame({"key": np.r_[k[own], a], "a": np.r_[c[own], a], "b": np.r_[c[own], b]})
 
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         # rows with a = b are keys, the others links that were found within the task
@@ -314,7 +364,7 @@ def candidate_links(docs: DataFrame, rules: JaccardRules, *, text: str) -> DataF
                 if len(seen) >= CACHE:
                     seen.clear()
                 seen.add(d)
-                own = part_keys(s, rules.percent)
+                own = part_keys(s, rules.percent, frequent)
                 keys.append(own)
                 classes.append((int.from_bytes(d[:8], "little", signed=True), len(own)))
                 held += len(own)
@@ -327,6 +377,7 @@ def candidate_links(docs: DataFrame, rules: JaccardRules, *, text: str) -> DataF
     def stars(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         # rows come sorted by key, then a: only a key and its smallest class are carried along
         last_key, lowest = None, 0
+        found, held = [], 0
         for batch in batches:
             k, a, b = batch["key"].to_numpy(np.int64), batch["a"].to_numpy(np.int64), batch["b"].to_numpy(np.int64)
             ready = a != b
@@ -341,8 +392,18 @@ def candidate_links(docs: DataFrame, rules: JaccardRules, *, text: str) -> DataF
                 last_key, lowest = k[-1], low[-1]
                 link = a != low
                 out.append(np.stack([a[link], low[link]], 1))
-            found = np.unique(np.concatenate(out), axis=0)
-            yield pd.DataFrame({"a": found[:, 0], "b": found[:, 1]})
+            found.append(np.unique(np.concatenate(out), axis=0))
+            held += len(found[-1])
+            if held >= KEY_ROWS // 4:
+                yield thinned(found)
+                found, held = [], 0
+        if held:
+            yield thinned(found)
+
+    def thinned(found: list[np.ndarray]) -> pd.DataFrame:
+        pairs = np.unique(np.concatenate(found), axis=0)
+        a, b = forest(pairs[:, 0], pairs[:, 1])
+        return pd.DataFrame({"a": a, "b": b})
 
     keyed = docs.select(text_of(text).alias("t")).mapInPandas(emit, "key long, a long, b long")
     return keyed.repartition("key").sortWithinPartitions("key", "a").mapInPandas(stars, "a long, b long")
@@ -366,7 +427,9 @@ def jaccard_components(docs: DataFrame, rules: JaccardRules = JaccardRules(), *,
     """id, th, n_shingles, component_id: one row for each input row."""
     kind = docs.schema[doc_id].dataType.simpleString()
     table = written(set_table(docs, rules, text=text, doc_id=doc_id), "sets")
-    groups = components(candidate_links(docs, rules, text=text)).select(F.col("node").alias("cls"), F.col("label").alias("group"))
+    frequent = frequent_elements(table, rules)
+    table = table.filter("element is null").drop("element", "held")
+    groups = components(candidate_links(docs, rules, frequent, text=text)).select(F.col("node").alias("cls"), F.col("label").alias("group"))
     sets = table.filter((F.col("n_shingles") > 0) & F.col("id").isNotNull())
     # one document stands for all with its set
     reps = sets.groupBy("digest", "cls", "n_shingles").agg(F.min(F.struct("id", "th")).alias("first"))
@@ -387,8 +450,8 @@ def jaccard_components(docs: DataFrame, rules: JaccardRules = JaccardRules(), *,
     # second pass: groups of several blocks that aren't one component yet
     large = members.join(blocks.filter("blocks > 1"), "group").join(labels.withColumnRenamed("node", "id"), "id", "left")
     large = large.withColumn("label", F.coalesce("label", "id"))
-    many = large.groupBy("group", "label").agg(F.count(F.lit(1)).alias("k"))
-    top = many.groupBy("group").agg(F.max(F.struct("k", "label")).alias("top"), F.count(F.lit(1)).alias("parts"), F.sum("k").alias("all")).filter("parts > 1")
+    many = large.groupBy("group", "label").agg(F.count(F.lit(1)).alias("k"), F.sum("n_shingles").alias("e"))
+    top = many.groupBy("group").agg(F.max(F.struct("k", "label", "e")).alias("top"), F.count(F.lit(1)).alias("parts"), F.sum("k").alias("all"), F.sum("e").alias("all_e")).filter("parts > 1")
     if not top.isEmpty():
         more = _between_blocks(large.join(top, "group"), own, rules, join, schema)
         labels = components(links.unionByName(written(more, "pairs")))
@@ -407,8 +470,9 @@ def _between_blocks(large: DataFrame, own: DataFrame, rules: JaccardRules, join,
     """Links between a group's largest component and the rest of it, and within the rest, block by block."""
     rest = F.col("label") != F.col("top.label")
     hash_of = F.xxhash64("id", "th")
-    rest_blocks = F.ceil((F.col("all") - F.col("top.k")) / rules.block).cast("int")
-    top_blocks = F.greatest(F.ceil(F.col("top.k") / rules.block), F.col("blocks")).cast("int")
+    blocks_of = lambda k, e: F.greatest(F.ceil(k / rules.block), F.ceil(e / BLOCK_ELEMENTS)).cast("int")
+    rest_blocks = blocks_of(F.col("all") - F.col("top.k"), F.col("all_e") - F.col("top.e"))
+    top_blocks = blocks_of(F.col("top.k"), F.col("top.e"))
     mine = F.when(rest, F.pmod(hash_of, rest_blocks)).otherwise(F.pmod(hash_of, top_blocks)).cast("int")
     base = large.withColumn("rest", rest).withColumn("rb", rest_blocks).withColumn("tb", top_blocks).withColumn("mine", mine)
     keep = ["id", "th", "group", "label"]
