@@ -27,8 +27,8 @@ WINDOW = 1024
 #: content: "ids binary" (little-endian unsigned 32-bit ids) or "ids_crc32 long" (their unsigned CRC-32).
 PIECES = "doc_id {id}, start long, length long, {content}, doc_tokens long, sequence_id long, offset long"
 #: Words that a tokeniser's cache holds before it starts anew: bounds a worker's memory, changes no result.
-CACHE = 1_000_000
-BLOCK_TOKENS = 8_000_000
+CACHE = 250_000
+BLOCK_TOKENS = 4_000_000
 
 #: Runs of blanks whose cut depends on what follows them: all but one space, one line feed or two line feeds before a word.
 _CONTEXT = re.compile(r"[^\S\n]\s|\n(?:[^\S\n]|\n(?:\s|\Z))")

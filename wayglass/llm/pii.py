@@ -28,7 +28,7 @@ from .store import text_of
 KINDS = ("email", "ip", "card", "phone")
 #: Labels of the field; the first is "outside".
 LABELS = ("O", "national_phone", "secret", "identity")
-CACHE = 500_000
+CACHE = 150_000
 #: Longer words aren't kept, so that the memory of words stays bounded.
 CACHED_CHARS = 100
 #: Words that are decoded at once.

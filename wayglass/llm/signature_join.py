@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from .components import components
 from .store import text_of, written
 
-CACHE = 500_000
+CACHE = 150_000
 BAND_RATIO = 1.2
 
 

@@ -19,6 +19,7 @@ table gives an empty result; extra columns are ignored.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 from .store import text_of, written
 
 #: Places in a worker's memory of words: bounds its memory, changes no result.
-CACHE = 500_000
+CACHE = 150_000
 _WORD = re.compile(r"[^\W\d_]+")
 
 #: Insults by language: each is a voter.
@@ -225,15 +226,15 @@ def training_rows(docs: DataFrame, labels: DataFrame, rules: ToxicityRules, *, t
 def fit_toxicity(docs: DataFrame, labels: DataFrame, rules: ToxicityRules = ToxicityRules(), **names: str) -> ToxicityModel:
     spark = docs.sparkSession
 
-    def featured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for i, y, t in zip(b["id"], b["label"], b["t"], strict=True):
-                yield pd.DataFrame({"id": pd.Series([i], dtype=b["id"].dtype), "label": [y], "fired": [hand_votes(t)], "features": [sorted(text_features(t))]})
-
     sample = training_rows(docs, labels, rules, **names)
     kind = sample.schema["id"].dataType.simpleString()
-    rows = written(sample.mapInPandas(featured, f"id {kind}, label int, fired array<int>, features array<string>"), "sample")
-    heads = rows.select("id", "label", "fired").orderBy(F.xxhash64("id"), "id").collect()  # votes of the sample
+    rows = written(sample.select("id", "label", "t"), "sample")
+
+    def voted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"id": b["id"], "label": b["label"], "fired": [hand_votes(t) for t in b["t"]]})
+
+    heads = rows.mapInPandas(voted, f"id {kind}, label int, fired array<int>").orderBy(F.xxhash64("id"), "id").collect()  # votes of the sample
     label = np.array([r["label"] for r in heads], int)
     if not (label == 1).any():
         return ToxicityModel({}, -800.0)
@@ -241,9 +242,28 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, rules: ToxicityRules = Toxi
     for i, r in enumerate(heads):
         votes[i, r["fired"]] = True
     post = LabelModel.fit(votes, label).posterior(votes, label)
-    # the same order in both collected tables: the sample's ids differ
-    given = spark.createDataFrame([(r["id"], float(p)) for r, p in zip(heads, post, strict=True)], f"id {kind}, p double")
-    counts = rows.join(F.broadcast(given), "id").select("p", F.explode("features").alias("f")).groupBy("f").agg(F.count(F.lit(1)).alias("n"), F.sum(F.round("p", 6)).alias("heavy"))
+    given = spark.createDataFrame([(r["id"], round(float(p), 6)) for r, p in zip(heads, post, strict=True)], f"id {kind}, p double")
+
+    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        n: Counter[str] = Counter()
+        heavy: dict[str, float] = {}
+
+        def table() -> pd.DataFrame:
+            out = pd.DataFrame({"f": list(n), "n": list(n.values()), "heavy": [heavy[f] for f in n]})
+            n.clear()
+            heavy.clear()
+            return out
+
+        for b in batches:
+            for t, p in zip(b["t"], b["p"], strict=True):
+                for f in text_features(t):
+                    n[f] += 1
+                    heavy[f] = heavy.get(f, 0.0) + p
+                if len(n) >= CACHE:
+                    yield table()
+        yield table()
+
+    counts = rows.join(F.broadcast(given), "id").select("t", "p").mapInPandas(counted, "f string, n long, heavy double").groupBy("f").agg(F.sum("n").alias("n"), F.round(F.sum("heavy"), 4).alias("heavy"))
     weight = F.round(F.abs(lift(F.col("n"), F.col("heavy"), float(post.mean()))), 6)
     best = counts.filter(F.col("n") >= rules.least_rows).withColumn("lift", weight).filter(F.col("lift") >= rules.least_lift)
     best = best.orderBy(F.desc("lift"), "f").limit(rules.features).collect()
@@ -251,9 +271,10 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, rules: ToxicityRules = Toxi
 
     def kept(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"id": b["id"], "held": [sorted(places[f] for f in fs if f in places) for fs in b["features"]]})
+            yield pd.DataFrame({"id": b["id"], "held": [sorted(places[f] for f in text_features(t) if f in places) for t in b["t"]]})
 
-    held = rows.select("id", "features").mapInPandas(kept, f"id {kind}, held array<int>").orderBy(F.xxhash64("id"), "id").collect()
+    # in the order of the votes
+    held = rows.select("id", "t").mapInPandas(kept, f"id {kind}, held array<int>").orderBy(F.xxhash64("id"), "id").collect()
     sparse = [np.array(r["held"], np.int64) for r in held]
     return ToxicityModel.train([r["f"] for r in best], np.array([r["heavy"] / r["n"] for r in best]), sparse, votes, label, rules)
 
