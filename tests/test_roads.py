@@ -101,9 +101,39 @@ def test_a_camera_is_worth_a_detour(spark, grid):
     trip = spark.createDataFrame([(0, 1, 21)], "trip_id long, src long, dst long")
     options = routing.route_trips(trip, edges, with_w, mode="options").orderBy("option").collect()
     assert [(r["time_s"], r["score"]) for r in options][0] == (96.0, 1.0)
+    assert len(options) == 1  # the detour takes 69 % longer
+    budget = lambda extra: routing.route_trips(trip, edges, with_w, mode="budget", value=extra).first()["score"]
+    assert budget(0.1) == 1 and budget(1.0) == 0
     graph = routing.Graph(edges.toPandas(), with_w.toPandas())
-    assert graph.within_budget(1, 21, 0.1).score == 1 and graph.within_budget(1, 21, 1.0).score == 0
     assert graph.search(1, 21, 300.0).time_s == pytest.approx(162)
+    region = routing.Region(edges, with_w)
+    for near, recommended in ((0.1, [True, False]), (1.0, [False, True])):
+        both = routing.alternatives(trip, region, 1.0, near).orderBy("option").collect()
+        assert [(r["time_s"], r["score"]) for r in both] == [(96.0, 1.0), (162.0, 0.0)] and [r["recommended"] for r in both] == recommended
+
+
+def test_places_within_a_block(spark, grid):
+    """Both ways along one block, a one-way block with the goal behind (round on right turns), nodes as points, and what is met on parts of edges."""
+    edges, moves = grid
+    rows = edges.withColumn("rev", F.col("src") > F.col("dst"))
+    g_ = lambda a, b: next(r["geom_id"] for r in rows.collect() if (r["src"], r["dst"]) == (a, b))
+    one, east = g_(1, 6), g_(6, 7)
+    trips = spark.createDataFrame([(0, one, 50.0, one, 150.0), (1, one, 150.0, one, 50.0), (2, east, 150.0, east, 50.0), (3, one, 0.2, one, 199.9)], "trip_id long, src_geom long, src_m double, dst_geom long, dst_m double")
+    trips = trips.withColumns({"src": F.lit(None).cast("long"), "dst": F.lit(None).cast("long")})
+    got = {r["trip_id"]: r for r in routing.route_trips(trips, rows, moves).collect()}
+    assert [got[k]["time_s"] for k in range(4)] == pytest.approx([12, 12, 6 + 4 + 24 + 4 + 24 + 4 + 24 + 4 + 6, 24])
+    assert got[0]["length_m"] == pytest.approx(100) and (got[0]["start_m"], got[0]["end_m"]) == (50.0, 150.0)
+    e = {(r["src"], r["dst"]): r["edge_id"] for r in rows.collect()}
+    seen = pd.DataFrame([(e[1, 6], 7, 120.0, 200.0, True, 1.0), (e[6, 11], 7, 0.0, 60.0, False, 1.0), (e[6, 11], 8, 100.0, 150.0, False, 1.0)], columns=["edge_id", "site", "entry_m", "exit_m", "at_end", "weight"])
+    graph = routing.Graph(rows.toPandas(), moves.toPandas(), None, seen)
+    north = g_(6, 11)
+    at = lambda geom, m: routing.Place(geom=geom, at_m=m)
+    scores = [graph.search(at(one, a), at(geom, b)).score for a, geom, b in ((10.0, one, 100.0), (10.0, one, 130.0), (10.0, north, 50.0), (10.0, north, 120.0))]
+    assert scores == [0, 1, 1, 2]  # site 7 holds on over the node and counts once
+    for a in (5.0, 77.0, 190.0):
+        for b in range(1, 26, 3):
+            for straight in (True, False):
+                assert graph.search(at(one, a), b, 30.0, straight).cost == pytest.approx(graph.search(at(one, a), b, 30.0).cost)
 
 
 def test_strong_components(spark):
@@ -120,11 +150,12 @@ def test_components_of_a_chain(spark):
     assert {r["node"]: r["label"] for r in alone.collect()} == {0: 0, 1: 1}
 
 
-def test_diverse_keeps_ends_and_recommended():
-    points = [(float(k), 10.0 - k) for k in range(9)]
-    kept = routing.diverse(points, 4, 1)
-    assert {0, 1, 8} <= set(kept) and len(kept) == 4
-    assert routing.diverse(points[:3], 4, 1) == [0, 1, 2]
+def test_spread_keeps_ends_and_recommended(spark):
+    points = spark.createDataFrame([(t, k, float(k), 10.0 - k) for t, n in ((0, 9), (1, 3)) for k in range(n)], "trip long, option int, time_s double, score double")
+    kept = routing.spread(points, "trip", ["time_s"], 4, F.col("option") == 1)
+    found = {t: sorted(r["option"] for r in kept.filter(F.col("trip") == t).collect()) for t in (0, 1)}
+    assert {0, 1, 8} <= set(found[0]) and len(found[0]) == 4
+    assert found[1] == [0, 1, 2]
 
 
 def legs(*rows):

@@ -24,6 +24,11 @@ def upper_median(values: Column) -> Column:
     return F.get(F.sort_array(F.collect_list(values)), F.floor(F.count(values) / 2).cast("int"))
 
 
+def is_outlier(ratio: Column) -> Column:
+    """Longer or shorter by more than the factor OUTLIER."""
+    return (ratio > OUTLIER) | (ratio * OUTLIER < 1)
+
+
 def verdict(n_fresh: Column, n_live: Column, ratio: Column, outliers: Column, lost: Column) -> Column:
     """Reasons to hold a version back, empty if there are none."""
     size = n_fresh / n_live

@@ -1,25 +1,34 @@
-"""Batch routing: trips are spread over tasks, each of which searches one region's graph with A* on edges.
+"""Batch routing: requests (a trip at a price) are spread over tasks, each of which searches one region's graph with A* on edges.
 
-A region's graph is broadcast. Regions are bounded: `MAX_EDGES` is checked before anything is collected, and a larger region has to be
-split (or solved by graph.relaxed_costs, which needs no broadcast).
+What takes several searches (a time budget, options to choose from) goes in rounds: one job solves all trips, each at the price that its own
+earlier results ask for. Frontiers, budgets and choices between results are relational.
+
+A region's graph is broadcast. Regions are bounded: `MAX_EDGES` and `MAX_MOVES` are checked before anything is collected, and a larger region has
+to be split (or solved by graph.relaxed_costs, which needs no broadcast).
 """
 
 from __future__ import annotations
 
 import heapq
 import math
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-MAX_EDGES = 1_000_000
-#: Prices of the sweep, of the budget search, and the limits of what is offered.
+from wayglass.plans.iterate import cut
+
+MAX_EDGES, MAX_MOVES = 1_000_000, 4_000_000
+#: Prices of the sweep and of the budget, how often each is bisected, and the limits of what is offered.
 SWEEP = (10.0, 30.0, 60.0, 120.0, 300.0, 900.0, 3000.0)
-BUDGET_MAX, BUDGET_PROBES = 1800.0, 7
+BUDGET_MAX, BUDGET_PROBES, SWEEP_PROBES, CLOSE = 1800.0, 7, 4, 1.1
 MAX_EXTRA, RECOMMENDED_EXTRA, MAX_OPTIONS = 0.5, 0.1, 4
+#: Metres within which a place on a road is its end, degrees of a turn.
+AT_NODE_M, TURN_DEG = 0.5, 45.0
+EPS = 1e-9
 
 
 @dataclass
@@ -30,194 +39,314 @@ class Found:
     turns: int = 0
     score: float = 0.0
     edges: list[int] = field(default_factory=list)
+    #: Metres into the first edge at which the path starts, and into the last one at which it ends.
+    start_m: float = 0.0
+    end_m: float = 0.0
+
+
+@dataclass(frozen=True)
+class Place:
+    """A node, or a point on a road some metres from the start of its geometry."""
+
+    node: int | None = None
+    geom: int | None = None
+    at_m: float = 0.0
+
+
+@dataclass(frozen=True)
+class Step:
+    """How an edge is come to: from which edge (-1: the path starts on it, `start` metres in), turn time, weight met on it, change of heading."""
+
+    before: int
+    turn_s: float = 0.0
+    weight: float = 0.0
+    turn: float = 0.0
+    start: float = 0.0
 
 
 class Graph:
-    """Edges, moves between them, and the weight of new sites of each move; costs are to the end of an edge."""
+    """Edges, moves between them, and the weight of new sites of each move; costs are to the end of an edge.
+
+    edges: edge_id, src, dst, time_s, len, and for points within roads geom_id, rev, for straight-line bounds x, y (of dst). moves: e, f, turn_s, turn, w.
+    exposure: edge_id, site, entry_m, exit_m, at_end, weight, for what is met on a part of an edge.
+    """
 
-    def __init__(self, edges: pd.DataFrame, moves: pd.DataFrame, starts: pd.DataFrame | None = None):
+    def __init__(self, edges: pd.DataFrame, moves: pd.DataFrame, starts: pd.DataFrame | None = None, exposure: pd.DataFrame | None = None):
         self.of = {e: i for i, e in enumerate(edges["edge_id"].tolist())}
         self.ids = edges["edge_id"].tolist()
         self.src, self.dst = edges["src"].tolist(), edges["dst"].tolist()
         self.time, self.length = edges["time_s"].tolist(), edges["len"].tolist()
+        self.rev = edges["rev"].tolist() if "rev" in edges else [False] * len(self.ids)
         self.pos = dict(zip(self.dst, zip(edges["x"].tolist(), edges["y"].tolist(), strict=True), strict=True)) if "x" in edges else {}
         self.fastest = max((le / t for le, t in zip(self.length, self.time, strict=True) if t > 0), default=1.0)
         self.out: dict[int, list[int]] = {}
         for i, s in enumerate(self.src):
             self.out.setdefault(s, []).append(i)
+        self.on: dict[int, list[int]] = {}
+        for i, g in enumerate(edges["geom_id"].tolist() if "geom_id" in edges else ()):
+            self.on.setdefault(g, []).append(i)
         self.next: list[list[tuple[int, float, float, float]]] = [[] for _ in self.ids]
         turns = moves["turn"].tolist() if "turn" in moves else [0.0] * len(moves)
         weights = moves["w"].tolist() if "w" in moves else [0.0] * len(moves)
         for e, f, s, w, t in zip(moves["e"].tolist(), moves["f"].tolist(), moves["turn_s"].tolist(), weights, turns, strict=True):
             self.next[self.of[e]].append((self.of[f], s, w, t))
         self.first: dict[int, float] = {} if starts is None else {self.of[e]: w for e, w in zip(starts["edge_id"].tolist(), starts["w"].tolist(), strict=True)}
-
-    def _rest(self, edge: int, goal: tuple[float, float] | None) -> float:
+        self.seen: dict[int, list[tuple]] = {}
+        for e, *row in () if exposure is None else exposure[["edge_id", "site", "entry_m", "exit_m", "at_end", "weight"]].itertuples(index=False, name=None):
+            if e in self.of:
+                self.seen.setdefault(self.of[e], []).append(tuple(row))
+
+    def met(self, e: int, a: float, b: float) -> float:
+        """Weight of the sites that see edge e anywhere from a to b metres."""
+        return sum(w for _, entry, leave, _, w in self.seen.get(e, ()) if entry <= b and leave >= a)
+
+    def newly_met(self, e: int, f: int, b: float) -> float:
+        """Weight of the sites that see f up to b metres, without those that hold the vehicle as e ends."""
+        held = {site for site, _, _, at_end, _ in self.seen.get(e, ()) if at_end}
+        return sum(w for site, entry, _, _, w in self.seen.get(f, ()) if entry <= b and site not in held)
+
+    def place(self, p: int | Place) -> Place:
+        """Points at the end of a road are its nodes."""
+        if not isinstance(p, Place):
+            return Place(node=p)
+        if p.node is not None:
+            return p
+        e = self.on[p.geom][0]
+        ends = (self.dst[e], self.src[e]) if self.rev[e] else (self.src[e], self.dst[e])
+        if p.at_m <= AT_NODE_M:
+            return Place(node=ends[0])
+        return Place(node=ends[1]) if p.at_m >= self.length[e] - AT_NODE_M else p
+
+    def _along(self, p: Place) -> dict[int, float]:
+        """Metres of a point on each edge of its road."""
+        return {e: self.length[e] - p.at_m if self.rev[e] else p.at_m for e in self.on[p.geom]}
+
+    def _goals(self, p: Place | None) -> list[tuple[float, float]]:
+        """Points of which a path to p passes one; none if one isn't known."""
+        if p is None:
+            return []
+        nodes = [p.node] if p.node is not None else [n for e in self.on[p.geom] for n in (self.src[e], self.dst[e])]
+        return [self.pos[n] for n in nodes] if all(n in self.pos for n in nodes) else []
+
+    def _rest(self, edge: int, goals: list[tuple[float, float]]) -> float:
         """Admissible: straight line at the fastest speed of the graph."""
-        if goal is None or self.dst[edge] not in self.pos:
-            return 0.0
-        x, y = self.pos[self.dst[edge]]
-        return math.hypot(x - goal[0], y - goal[1]) / self.fastest
-
-    def search(self, source: int, target: int | None, price: float = 0.0, straight: bool = True) -> dict[int, float] | Found:
-        """Costs to the end of every edge (no target), or the best path to a node. straight=False: Dijkstra."""
-        if target is not None and source == target:
+        at = self.pos.get(self.dst[edge]) if goals else None
+        return min(math.dist(at, g) for g in goals) / self.fastest if at else 0.0
+
+    def search(self, source: int | Place, target: int | Place | None, price: float = 0.0, straight: bool = True) -> dict[int, float] | Found:
+        """Costs to the end of every edge (no target), or the best path between two nodes or points. straight=False: Dijkstra."""
+        a, b = self.place(source), None if target is None else self.place(target)
+        if b is not None and a.node is not None and a.node == b.node:
             return Found(cost=0.0)
-        goal = self.pos.get(target) if straight and target is not None else None
+        goals = self._goals(b) if straight else []
+        ends = self._along(b) if b is not None and b.node is None else {}
         best: dict[int, float] = {}
-        parent: dict[int, tuple[int, float, float, float]] = {}
-        heap = []
-        for e in self.out.get(source, []):
-            cost = self.time[e] + price * self.first.get(e, 0.0)
+        came: dict[int, Step] = {}
+        heap: list[tuple] = []
+
+        def offer(e: int, cost: float, step: Step) -> None:
             if cost < best.get(e, math.inf):
-                best[e] = cost
-                parent[e] = (-1, 0.0, self.first.get(e, 0.0), 0.0)
-                heapq.heappush(heap, (cost + self._rest(e, goal), cost, e))
+                best[e], came[e] = cost, step
+                heapq.heappush(heap, (cost + self._rest(e, goals), cost, e, ()))
+
+        def arrive(e: int, cost: float, step: Step) -> None:
+            # an arrival on the way along an edge is a state of its own: the first that is taken out is the best
+            heapq.heappush(heap, (cost, cost, e, (step,)))
+
+        begun = {e: 0.0 for e in self.out.get(a.node, ())} if a.node is not None else self._along(a)
+        for e, at in begun.items():
+            per_m = self.time[e] / self.length[e] if self.length[e] else 0.0
+            w = self.met(e, at, math.inf) if at else self.first.get(e, 0.0)
+            offer(e, self.time[e] - at * per_m + price * w, Step(-1, weight=w, start=at))
+            if ends.get(e, -1.0) >= at:
+                w = self.met(e, at, ends[e])
+                arrive(e, (ends[e] - at) * per_m + price * w, Step(-1, weight=w, start=at))
         while heap:
-            _, cost, e = heapq.heappop(heap)
+            _, cost, e, arrived = heapq.heappop(heap)
+            if arrived:
+                return self._path(e, cost, came, ends[e], arrived[0])
             if cost > best[e]:
                 continue
-            if target is not None and self.dst[e] == target:
-                return self._path(e, cost, parent)
+            if b is not None and self.dst[e] == b.node:
+                return self._path(e, cost, came, self.length[e], came[e])
             for f, turn_s, w, turn in self.next[e]:
-                c = cost + turn_s + self.time[f] + price * w
-                if c < best.get(f, math.inf):
-                    best[f] = c
-                    parent[f] = (e, turn_s, w, turn)
-                    heapq.heappush(heap, (c + self._rest(f, goal), c, f))
+                if f in ends:
+                    part = self.newly_met(e, f, ends[f])
+                    arrive(f, cost + turn_s + self.time[f] * ends[f] / self.length[f] + price * part, Step(e, turn_s, part, turn))
+                offer(f, cost + turn_s + self.time[f] + price * w, Step(e, turn_s, w, turn))
         return {self.ids[e]: c for e, c in best.items()} if target is None else Found()
 
-    def _path(self, e: int, cost: float, parent: dict) -> Found:
-        out = Found(cost=cost)
-        while e >= 0:
-            before, turn_s, w, turn = parent[e]
+    def _path(self, e: int, cost: float, came: dict[int, Step], end: float, last: Step) -> Found:
+        out, step, stop = Found(cost=cost, end_m=end), last, end
+        while True:
+            driven = stop - step.start
             out.edges.append(self.ids[e])
-            out.time_s += self.time[e] + turn_s
-            out.length_m += self.length[e]
-            out.score += w
-            out.turns += abs(turn) > 45
-            e = before
-        out.edges.reverse()
-        return out
-
-    def within_budget(self, source: int, target: int, extra: float) -> Found:
-        """Lowest score within (1 + extra) of the fastest time; bisects the price geometrically."""
-        fast = self.search(source, target)
-        limit = fast.time_s * (1 + extra) + 1e-9
-        if not fast.edges or fast.score == 0:
-            return fast
-        pool = [fast]
-        top = self.search(source, target, BUDGET_MAX)
-        if top.time_s <= limit:
-            pool.append(top)
-        else:
-            lo, hi = 1.0, BUDGET_MAX
-            for _ in range(BUDGET_PROBES):
-                mid = math.sqrt(lo * hi)
-                r = self.search(source, target, mid)
-                if r.time_s <= limit:
-                    pool.append(r)
-                    lo = mid
-                    if r.score == 0:
-                        break
-                else:
-                    hi = mid
-        return min(pool, key=lambda r: (r.score, r.time_s))
-
-    def alternatives(self, source: int, target: int) -> tuple[list[Found], int]:
-        """Options on the frontier of time and score, and the number of the recommended one."""
-        fast = self.search(source, target)
-        if not fast.edges:
-            return [fast], 0
-        pool, lo, hi = [fast], 0.0, None
-        near, most = fast.time_s * (1 + RECOMMENDED_EXTRA) + 1e-9, fast.time_s * (1 + MAX_EXTRA) + 1e-9
-        for price in SWEEP if fast.score else ():
-            r = self.search(source, target, price)
-            if r.time_s <= near:
-                lo = price
-            elif hi is None:
-                hi = price
-            if r.time_s > most:
-                break
-            pool.append(r)
-            if r.score == 0:
-                break
-        if hi is not None:
-            lo = max(lo, 1.0)
-            for _ in range(4):
-                if hi / lo <= 1.1:
-                    break
-                mid = math.sqrt(lo * hi)
-                r = self.search(source, target, mid)
-                if r.time_s <= most:
-                    pool.append(r)
-                if r.time_s <= near:
-                    lo = mid
-                else:
-                    hi = mid
-        frontier: list[Found] = []
-        for r in sorted(pool, key=lambda r: (r.time_s, r.score)):
-            if not frontier or r.score < frontier[-1].score - 1e-9:
-                frontier.append(r)
-        pick = max(i for i, r in enumerate(frontier) if r.time_s <= near)
-        kept = diverse([(r.time_s, r.score) for r in frontier], MAX_OPTIONS, pick)
-        return [frontier[i] for i in kept], kept.index(pick)
-
-
-def diverse(points: list[tuple[float, float]], most: int, must: int) -> list[int]:
-    """Numbers of at most `most` points that lie far apart: the first, the last and `must`, then always the one farthest from those taken."""
-    if len(points) <= most:
-        return list(range(len(points)))
-    (t0, s0), (t1, s1) = points[0], points[-1]
-    scaled = [((t - t0) / ((t1 - t0) or 1), (s0 - s) / ((s0 - s1) or 1)) for t, s in points]
-    taken = {0, len(points) - 1, must}
-    while len(taken) < most:
-        taken.add(max((i for i in range(len(points)) if i not in taken), key=lambda i: (min(math.dist(scaled[i], scaled[k]) for k in taken), -i)))
-    return sorted(taken)
-
-
-def broadcast_graph(edges: DataFrame, moves: DataFrame, starts: DataFrame | None = None):
-    """A region's graph for its tasks. Refuses more than MAX_EDGES edges before it collects any."""
-    n = edges.count()
-    if n > MAX_EDGES:
-        raise ValueError(f"{n} edges: split the region, at most {MAX_EDGES} are sent to each executor")
-    parts = (edges.toPandas(), moves.toPandas(), None if starts is None else starts.toPandas())
-    return edges.sparkSession.sparkContext.broadcast(parts)
-
-
-def route_trips(trips: DataFrame, edges: DataFrame, moves: DataFrame, starts: DataFrame | None = None, mode: str = "fastest", value: float = 0.0) -> DataFrame:
-    """trip_id, option, recommended, time_s, length_m, turns, score, edges of trips (trip_id, src, dst).
+            out.time_s += step.turn_s + (self.time[e] * driven / self.length[e] if self.length[e] else self.time[e])
+            out.length_m += driven
+            out.score += step.weight
+            out.turns += abs(step.turn) > TURN_DEG
+            if step.before < 0:
+                out.start_m = step.start
+                out.edges.reverse()
+                return out
+            e = step.before
+            step, stop = came[e], self.length[e]
+
+
+class Region:
+    """A region's graph, sent to its tasks once; they keep it for the rounds that follow. Refuses more than the limits before it collects any."""
+
+    def __init__(self, edges: DataFrame, moves: DataFrame, starts: DataFrame | None = None, exposure: DataFrame | None = None):
+        for df, most, what in ((edges, MAX_EDGES, "edges"), (moves, MAX_MOVES, "moves"), (exposure, MAX_MOVES, "exposures")):
+            n = df.count() if df is not None else 0
+            if n > most:
+                raise ValueError(f"{n} {what}: split the region, at most {most} are sent to each executor")
+        parts = tuple(None if df is None else df.toPandas() for df in (edges, moves, starts, exposure))
+        self.parts, self.name = edges.sparkSession.sparkContext.broadcast(parts), uuid.uuid4().hex
 
-    mode: "fastest", "priced" (value: seconds a site), "budget" (value: extra share of time) or "options".
-    """
-    parts = broadcast_graph(edges, moves, starts)
+
+_graphs: dict[str, Graph] = {}
+
+
+def _graph(name: str, parts) -> Graph:
+    """The graph in a worker's memory; another region takes its place."""
+    if name not in _graphs:
+        _graphs.clear()
+        _graphs[name] = Graph(*parts.value)
+    return _graphs[name]
+
+
+PATHS = "trip_id long, price double, cost double, time_s double, length_m double, turns int, score double, edges array<long>, start_m double, end_m double"
+_PLACES = ("src_geom", "src_m", "dst_geom", "dst_m")
+
+
+def solve(requests: DataFrame, region: Region) -> DataFrame:
+    """PATHS of requests (trip_id, price, src, dst), all in one job. Where src or dst is null, src_geom and src_m (dst_geom, dst_m) give a point on a road. No time: not to be reached."""
+    name, parts = region.name, region.parts
+    missing = {c: F.lit(None).cast("double") for c in _PLACES if c not in requests.columns}
+
+    def end(node, geom, at) -> Place:
+        return Place(node=int(node)) if pd.notna(node) else Place(geom=int(geom), at_m=float(at))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        graph = Graph(*parts.value)
         for b in batches:
-            rows = []
-            for trip, s, t in zip(b["trip_id"].tolist(), b["src"].tolist(), b["dst"].tolist(), strict=True):
-                if mode == "options":
-                    found, pick = graph.alternatives(s, t)
-                elif mode == "budget":
-                    found, pick = [graph.within_budget(s, t, value)], 0
-                else:
-                    found, pick = [graph.search(s, t, value if mode == "priced" else 0.0)], 0
-                rows += [(trip, k, k == pick, r.time_s if r.cost < math.inf else None, r.length_m, r.turns, r.score, r.edges) for k, r in enumerate(found)]
-            yield pd.DataFrame(rows, columns=["trip_id", "option", "recommended", "time_s", "length_m", "turns", "score", "edges"])
+            graph, rows = _graph(name, parts), []
+            for trip, price, src, dst, *at in zip(*[b[c].tolist() for c in ("trip_id", "price", "src", "dst", *_PLACES)], strict=True):
+                r = graph.search(end(src, at[0], at[1]), end(dst, at[2], at[3]), price)
+                there = r.cost < math.inf
+                rows.append((trip, price, r.cost if there else None, r.time_s if there else None, r.length_m, int(r.turns), r.score, r.edges, r.start_m, r.end_m))
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in PATHS.split(", ")])
+
+    return requests.withColumns(missing).select("trip_id", F.col("price").cast("double").alias("price"), "src", "dst", *_PLACES).mapInPandas(run, PATHS)
 
-    return trips.select("trip_id", "src", "dst").mapInPandas(run, "trip_id long, option int, recommended boolean, time_s double, length_m double, turns int, score double, edges array<long>")
+
+def at_prices(trips: DataFrame, price: Column) -> DataFrame:
+    return trips.select("trip_id", *[c for c in ("src", "dst", *_PLACES) if c in trips.columns], price.alias("price"))
+
+
+def bisected(trips: DataFrame, region: Region, limits: DataFrame, rounds: int, close: float = 1.0) -> list[DataFrame]:
+    """What a search for the highest price that keeps within a limit of time finds, round by round, each trip halving its own bracket of prices.
+
+    limits: trip_id, lo, hi, within_s, least (a score at which the trip is done).
+    """
+    state, found = cut(limits), []
+    for _ in range(rounds):
+        open_ = state.filter(F.col("hi") > F.col("lo") * close)
+        if open_.isEmpty():
+            break
+        asked = trips.join(open_.select("trip_id", F.sqrt(F.col("lo") * F.col("hi")).alias("_p")), "trip_id")
+        tried = cut(solve(at_prices(asked, F.col("_p")), region))
+        found.append(tried)
+        result = tried.select("trip_id", F.col("price").alias("_p"), F.col("time_s").alias("_t"), F.col("score").alias("_s"))
+        fits = F.col("_t") <= F.col("within_s")
+        moved = open_.join(result, "trip_id").select(
+            "trip_id", F.when(fits, F.col("_p")).otherwise(F.col("lo")).alias("lo"), F.when(fits & (F.col("_s") <= F.col("least")), F.lit(None)).when(fits, F.col("hi")).otherwise(F.col("_p")).alias("hi"), "within_s", "least"
+        )
+        state = cut(moved)
+    return found
+
+
+def _all(first: DataFrame, more: list[DataFrame]) -> DataFrame:
+    for df in more:
+        first = first.unionByName(df)
+    return first
+
+
+def within_budget(trips: DataFrame, region: Region, extra: float) -> DataFrame:
+    """PATHS: of each trip the path with the lowest score within (1 + extra) of the fastest time, the fastest among equals."""
+    fast = cut(solve(at_prices(trips, F.lit(0.0)), region))
+    limit = fast.select("trip_id", (F.col("time_s") * (1 + extra) + EPS).alias("within_s"), "score").filter("score > 0")
+    dear = cut(solve(at_prices(trips.join(limit.select("trip_id"), "trip_id"), F.lit(BUDGET_MAX)), region))
+    over = dear.select("trip_id", "time_s").join(limit, "trip_id").filter("time_s > within_s")
+    probes = bisected(trips, region, over.select("trip_id", F.lit(1.0).alias("lo"), F.lit(BUDGET_MAX).alias("hi"), "within_s", F.lit(0.0).alias("least")), BUDGET_PROBES)
+    pool = _all(dear, probes).join(limit.select("trip_id", "within_s"), "trip_id").filter("time_s <= within_s").drop("within_s")
+    return fast.unionByName(pool).groupBy("trip_id").agg(F.min_by(F.struct(*[c.split()[0] for c in PATHS.split(", ")]), F.struct("score", "time_s", "price")).alias("r")).select("r.*")
+
+
+def frontier(paths: DataFrame, trip: str = "trip_id") -> DataFrame:
+    """The rows of each trip (time_s, score, price) that no faster one beats or equals in score."""
+    w = Window.partitionBy(trip).orderBy("time_s", "score", "price").rowsBetween(Window.unboundedPreceding, -1)
+    return paths.withColumn("_low", F.min("score").over(w)).filter(F.col("_low").isNull() | (F.col("score") < F.col("_low") - EPS)).drop("_low")
+
+
+def spread(points: DataFrame, trip: str, order: list[str], most: int = MAX_OPTIONS, must: Column | None = None) -> DataFrame:
+    """At most `most` of each trip's points (time_s, score) that lie far apart: the first, the last and `must`, then always the one farthest from those taken."""
+    w = Window.partitionBy(trip)
+    ends = w.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    scaled = lambda c: (F.col(c) - F.first(c).over(ends)) / F.coalesce(F.nullif(F.last(c).over(ends) - F.first(c).over(ends), F.lit(0.0)), F.lit(1.0))
+    table = points.withColumns({"_i": F.row_number().over(w.orderBy(*order)), "_n": F.count(F.lit(1)).over(w), "_x": scaled("time_s"), "_y": scaled("score")})
+    kept = (F.col("_i") == 1) | (F.col("_i") == F.col("_n")) | (F.col("_n") <= most)
+    table = cut(table.withColumn("_in", kept if must is None else kept | must))
+    for _ in range(most - 2):
+        taken = table.filter("_in").select(trip, F.col("_x").alias("_tx"), F.col("_y").alias("_ty"))
+        far = table.filter("not _in").join(taken, trip).groupBy(trip, "_i").agg(F.min(F.hypot(F.col("_x") - F.col("_tx"), F.col("_y") - F.col("_ty"))).alias("_d"), F.count(F.lit(1)).alias("_k"))
+        chosen = far.filter(F.col("_k") < most).groupBy(trip).agg(F.max_by("_i", F.struct("_d", (-F.col("_i")).alias("o"))).alias("_add"))
+        table = cut(table.join(chosen, trip, "left").withColumn("_in", F.col("_in") | F.coalesce(F.col("_i") == F.col("_add"), F.lit(False))).drop("_add"))
+    return table.filter("_in").drop("_i", "_n", "_x", "_y", "_in")
+
+
+def alternatives(trips: DataFrame, region: Region, most_extra: float = MAX_EXTRA, near_extra: float = RECOMMENDED_EXTRA) -> DataFrame:
+    """PATHS with option and recommended: what is offered of each trip, from the frontier of time and score."""
+    fast = cut(solve(at_prices(trips, F.lit(0.0)), region))
+    limits = fast.select("trip_id", (F.col("time_s") * (1 + near_extra) + EPS).alias("near_s"), (F.col("time_s") * (1 + most_extra) + EPS).alias("most_s"), "score")
+    seen = limits.filter("score > 0")
+    swept = solve(at_prices(trips.join(seen.select("trip_id"), "trip_id").withColumn("_p", F.explode(F.array(*map(F.lit, SWEEP)))), F.col("_p")), region)
+    # a trip's sweep ends with the first price at which it takes too long or meets nothing
+    over = (F.col("time_s") > F.col("most_s")) | (F.col("score") == 0)
+    before = Window.partitionBy("trip_id").orderBy("price").rowsBetween(Window.unboundedPreceding, -1)
+    swept = cut(swept.join(seen.drop("score"), "trip_id").withColumn("_ended", F.coalesce(F.max(over).over(before), F.lit(False))).filter("not _ended").drop("_ended"))
+    near = F.col("time_s") <= F.col("near_s")
+    bracket = swept.groupBy("trip_id").agg(F.coalesce(F.max(F.when(near, F.col("price"))), F.lit(1.0)).alias("lo"), F.min(F.when(~near, F.col("price"))).alias("hi"), F.first("near_s").alias("within_s")).withColumn("least", F.lit(-1.0))
+    probes = bisected(trips, region, bracket, SWEEP_PROBES, CLOSE)
+    pool = _all(fast, [swept.drop("near_s", "most_s"), *probes]).join(limits.drop("score"), "trip_id").filter("time_s is null or time_s <= most_s")
+    best = frontier(pool).withColumn("recommended", F.row_number().over(Window.partitionBy("trip_id").orderBy(F.desc_nulls_last(F.when(F.col("time_s") <= F.col("near_s"), F.col("time_s"))), "score")) == 1)
+    offered = spread(best.drop("near_s", "most_s"), "trip_id", ["time_s", "score"], MAX_OPTIONS, F.col("recommended"))
+    return offered.withColumn("option", F.row_number().over(Window.partitionBy("trip_id").orderBy("time_s", "score")) - 1)
+
+
+def route_trips(trips: DataFrame, edges: DataFrame, moves: DataFrame, starts: DataFrame | None = None, mode: str = "fastest", value: float = 0.0, exposure: DataFrame | None = None) -> DataFrame:
+    """trip_id, option, recommended, time_s, length_m, turns, score, edges, start_m, end_m of trips (trip_id, src, dst, or points as in solve).
+
+    mode: "fastest", "priced" (value: seconds a site), "budget" (value: extra share of time) or "options".
+    """
+    region = Region(edges, moves, starts, exposure)
+    if mode == "options":
+        found = alternatives(trips, region)
+    else:
+        found = within_budget(trips, region, value) if mode == "budget" else solve(at_prices(trips, F.lit(value if mode == "priced" else 0.0)), region)
+        found = found.withColumns({"option": F.lit(0), "recommended": F.lit(True)})
+    return found.select("trip_id", "option", "recommended", "time_s", "length_m", "turns", "score", "edges", "start_m", "end_m")
 
 
 def costs_from(sources: DataFrame, edges: DataFrame, moves: DataFrame, starts: DataFrame | None = None, price: float = 0.0) -> DataFrame:
     """source, edge_id, cost to the end of every edge that sources (node) reach."""
-    parts = broadcast_graph(edges, moves, starts)
+    region = Region(edges, moves, starts)
+    name, parts = region.name, region.parts
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        graph = Graph(*parts.value)
         for b in batches:
             for s in b["node"].tolist():
-                found = graph.search(s, None, price)
+                found = _graph(name, parts).search(s, None, price)
                 yield pd.DataFrame({"source": s, "edge_id": list(found), "cost": list(found.values())})
 
     return sources.select("node").mapInPandas(run, "source long, edge_id long, cost double")

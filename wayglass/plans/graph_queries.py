@@ -209,16 +209,7 @@ def route_steps(spark, d):
 
 def diverse_options(spark, d):
     """At most four options of a trip, far apart in time and score."""
-    import pandas as pd
-
-    from wayglass.operators.routing import diverse
-
-    def pick(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["time_s", "score", "option"])
-        kept = diverse(list(zip(rows["time_s"], rows["score"], strict=True)), 4, 0)
-        return rows.iloc[kept][["trip", "option"]]
-
-    return pareto_frontier(spark, d).groupBy("trip").applyInPandas(pick, "trip long, option long")
+    return routing.spread(pareto_frontier(spark, d), "trip", ["time_s", "score", "option"]).select("trip", "option")
 
 
 def _options(spark, d):

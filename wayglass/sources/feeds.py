@@ -26,10 +26,14 @@ def cameras(spark: SparkSession, paths: list[str], box: tuple[float, float, floa
     return newest(df.filter(inside & F.col("id").isNotNull()), ["id"], [F.col("tile")]).drop("tile")
 
 
-def listing(spark: SparkSession, path: str) -> DataFrame:
-    """key, modified of lines `key<blank>time`; a missing or bad time is null, lines that say None are dropped."""
+def listed(lines: DataFrame) -> DataFrame:
+    """lines (value, and others) as key, modified: `key<blank>time`; a missing or bad time is null, lines that say None are dropped."""
     parts = F.split(F.trim("value"), r"\s+", 2)
-    return spark.read.text(path).select(F.get(parts, F.lit(0)).alias("key"), F.get(parts, F.lit(1)).try_cast("timestamp").alias("modified")).filter("key not in ('None', '')")
+    return lines.withColumns({"key": F.get(parts, F.lit(0)), "modified": F.get(parts, F.lit(1)).try_cast("timestamp")}).filter("key not in ('None', '')").drop("value")
+
+
+def listing(spark: SparkSession, path: str) -> DataFrame:
+    return listed(spark.read.text(path))
 
 
 def polygons(spark: SparkSession, path: str) -> DataFrame:

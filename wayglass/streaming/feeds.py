@@ -5,11 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wayglass.operators.jobs import LEAST_SHARE
 from wayglass.operators.release import newest
 
-#: Fixed value: a feed with less than this share of the one before is refused.
-LEAST_SHARE = 0.5
-
 
 def gate(fresh: DataFrame, before: DataFrame | None) -> str:
     """ok, empty or shrunk."""
