@@ -158,35 +158,48 @@ def test_spread_keeps_ends_and_recommended(spark):
     assert found[1] == [0, 1, 2]
 
 
-def legs(*rows):
-    out, start = [], 0.0
-    for r in rows:
-        leg = gd.Leg(**({"cls": "residential", "length_m": 200.0} | r))
-        leg.start_m = start
-        leg.leaving = r.get("leaving", leg.heading)
-        start += leg.length_m
-        out.append(leg)
-    return out
+def way(cls="residential", name="", ref="", heading=0.0, ring=False):
+    return {"cls": cls, "name": name, "ref": ref, "toward": "", "ring": ring, "heading": heading}
 
 
-def say(*rows):
-    return [s.sentence() for s in gd.steps_of(legs(*rows))]
+def say(spark, *rows):
+    """Sentences of one route: legs of 200 m, north unless they say otherwise."""
+    made = []
+    for k, r in enumerate(rows):
+        heading = r.get("heading", 0.0)
+        made.append((1, k, r.get("cls", "residential"), r.get("name", ""), r.get("ref", ""), r.get("toward", ""), r.get("ring", False), heading, r.get("leaving", heading), r.get("length_m", 200.0), r.get("is_uturn", False), r.get("others", [])))
+    return [r["sentence"] for r in gd.steps_of_legs(spark.createDataFrame(made, gd.LEGS)).orderBy("step").collect()]
 
 
-def test_directions_in_words():
-    street = gd.Way("residential", "Side Street", heading=90.0)
-    assert say({"name": "Main Street"}, {"name": "Oak Avenue", "heading": 90.0, "others": [gd.Way("residential", "Main Street")]}) == ["Head north on Main Street", "Turn right onto Oak Avenue", "Arrive at your destination"]
-    assert say({"name": "Main Street"}, {"name": "Main Street", "others": [street]}) == ["Head north on Main Street", "Arrive at your destination"]
+def test_directions_in_words(spark):
+    street = way(name="Side Street", heading=90.0)
+    assert say(spark, {"name": "Main Street"}, {"name": "Oak Avenue", "heading": 90.0, "others": [way(name="Main Street")]}) == ["Head north on Main Street", "Turn right onto Oak Avenue", "Arrive at your destination"]
+    assert say(spark, {"name": "Main Street"}, {"name": "Main Street", "others": [street]}) == ["Head north on Main Street", "Arrive at your destination"]
     ramp = say(
-        {"name": "Right Branch", "heading": 90.0}, {"cls": "motorway_link", "heading": 110.0, "others": [gd.Way("residential", "Right Branch", heading=90.0)]}, {"cls": "motorway", "name": "Stemmons", "ref": "I-35E", "heading": 90.0},
-        {"cls": "motorway_link", "toward": "Downtown", "heading": 110.0, "others": [gd.Way("motorway", "Stemmons", "I-35E", heading=90.0)]}, {"name": "Exit Street", "heading": 180.0, "others": [gd.Way("residential", "Exit Street", heading=0.0)]},
+        spark, {"name": "Right Branch", "heading": 90.0}, {"cls": "motorway_link", "heading": 110.0, "others": [way(name="Right Branch", heading=90.0)]}, {"cls": "motorway", "name": "Stemmons", "ref": "I-35E", "heading": 90.0},
+        {"cls": "motorway_link", "toward": "Downtown", "heading": 110.0, "others": [way("motorway", "Stemmons", "I-35E", 90.0)]}, {"name": "Exit Street", "heading": 180.0, "others": [way(name="Exit Street")]},
     )
     assert ramp == ["Head east on Right Branch", "Take the ramp on the right to I-35E", "Merge onto I-35E", "Take the exit on the right toward Downtown", "Turn right onto Exit Street", "Arrive at your destination"]
     ring = {"ring": True, "length_m": 30.0}
-    out = gd.Way("residential", "First Street", heading=90.0)
-    around = say({"name": "South Road"}, {**ring, "heading": 45.0}, {**ring, "heading": 0.0, "others": [out]}, {"name": "North Road", "heading": 0.0, "others": [gd.Way("residential", "", ring=True)]})
+    out = way(name="First Street", heading=90.0)
+    around = say(spark, {"name": "South Road"}, {**ring, "heading": 45.0}, {**ring, "heading": 0.0, "others": [out]}, {"name": "North Road", "heading": 0.0, "others": [way(ring=True)]})
     assert around == ["Head north on South Road", "At the roundabout, take the second exit onto North Road", "Arrive at your destination"]
-    assert gd.steps_of([]) == []
+    assert gd.steps_of_legs(spark.createDataFrame([], gd.LEGS)).count() == 0
+
+
+def test_directions_at_links_forks_and_ends(spark):
+    slip = {"cls": "primary_link", "heading": 45.0, "length_m": 30.0, "others": [way("primary", "Main Street")]}
+    assert say(spark, {"cls": "primary", "name": "Main Street"}, slip, {"cls": "primary_link", "heading": 80.0, "length_m": 30.0}, {"name": "Oak Avenue", "heading": 90.0, "others": [way(name="Oak Avenue", heading=270.0)]}) == [
+        "Head north on Main Street", "Turn right onto Oak Avenue", "Arrive at your destination",
+    ]
+    assert say(spark, {"name": "Main Street"}, {**slip, "heading": 10.0}, {"name": "Upper Street", "heading": 20.0})[1] == "Keep right onto Upper Street"
+    assert say(spark, {"name": "Main Street"}, {"name": "Main Street", "heading": 180.0, "is_uturn": True})[1] == "Make a U-turn"
+    fork = say(spark, {"name": "Main Street"}, {"name": "Left Street", "heading": -20.0, "others": [way(name="Right Street", heading=20.0)]})
+    assert fork[1] == "Keep left onto Left Street"
+    assert say(spark, {"name": "Main Street"}, {"name": "Broad Street", "others": [way(name="Side Street", heading=90.0)]})[1] == "Continue onto Broad Street"
+    # a "continue" just before the next step isn't worth saying
+    assert say(spark, {"name": "Main Street"}, {"name": "Broad Street", "length_m": 30.0, "others": [way(name="A", heading=90.0)]}, {"name": "Oak Avenue", "heading": 90.0, "others": [way(name="Broad Street")]})[1] == "Turn right onto Oak Avenue"
+    assert say(spark, {"name": "South Road"}, {"ring": True, "heading": 45.0}) == ["Head north on South Road", "Enter the roundabout", "Arrive at your destination"]
 
 
 def test_kinds_of_places(spark):
