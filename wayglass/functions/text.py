@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -19,8 +21,19 @@ DIRECTIONS = ("n", "s", "e", "w", "ne", "nw", "se", "sw")
 STREET_TYPES = (
     "st", "ave", "rd", "dr", "blvd", "ln", "ct", "pl", "pkwy", "hwy", "fwy", "expy", "cir", "ter", "trl", "sq", "cv", "xing", "pt", "lp", "plz", "aly", "byp", "way", "run", "row", "pass", "path", "pike", "walk",
 )
-#: Accented letters and what they fold to, by decomposition.
-ACCENTED, PLAIN = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy"
+
+
+def folded_letters() -> tuple[str, str]:
+    """Letters of the Latin, Greek and Cyrillic blocks with marks, and what they fold to: by their compatibility decomposition without the marks."""
+    pairs = []
+    for code in (*range(0xC0, 0x530), *range(0x1E00, 0x2000)):
+        plain = "".join(c for c in unicodedata.normalize("NFKD", chr(code)) if not unicodedata.combining(c))
+        if len(plain) == 1 and plain != chr(code) and plain.isalpha():
+            pairs.append((chr(code), plain))
+    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+
+
+ACCENTED, PLAIN = folded_letters()
 
 
 def _map(pairs: dict[str, str]) -> Column:
@@ -29,7 +42,7 @@ def _map(pairs: dict[str, str]) -> Column:
 
 def words(text: Column) -> Column:
     """Lower case, no accents or apostrophes, & as and, cut at all that isn't a letter or digit."""
-    t = F.translate(F.lower(text), ACCENTED, PLAIN)
+    t = F.regexp_replace(F.translate(F.lower(text), ACCENTED, PLAIN), r"\p{M}+", "")
     t = F.regexp_replace(F.regexp_replace(t, "['’`]", ""), "&", " and ")
     return F.filter(F.split(t, r"[^\p{L}\p{N}]+"), lambda w: w != "")
 

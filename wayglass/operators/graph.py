@@ -86,25 +86,63 @@ def reached(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     return until_stable(start, step, ["node"])
 
 
-def largest_scc(edges: DataFrame) -> DataFrame:
+def contracted(edges: DataFrame, names: DataFrame, width: int, most: int) -> tuple[DataFrame, DataFrame]:
+    """One round of contraction: strong components within blocks of `width` node numbers become single nodes. Blocks of over `most` edges wait for the loop.
+
+    edges: src, dst. names: node, of (the node that it has become). What is strongly connected within a block is so in the whole, so the answer stays.
+    """
+    block = F.floor(F.col("src") / width)
+    inner = edges.withColumn("block", block).filter(block == F.floor(F.col("dst") / width))
+    small = inner.groupBy("block").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") <= most).select("block")
+
+    def solve(key, rows):
+        import pandas as pd
+
+        groups: dict[int, list[int]] = {}
+        for node, c in strong_components(rows["src"].tolist(), rows["dst"].tolist()).items():
+            groups.setdefault(c, []).append(node)
+        pairs = [(node, min(nodes)) for nodes in groups.values() if len(nodes) > 1 for node in nodes if node != min(nodes)]
+        return pd.DataFrame(pairs, columns=["was", "now"])
+
+    merged = cut(inner.join(small, "block").groupBy("block").applyInPandas(solve, "was long, now long"))
+    into = lambda df, column: df.join(merged, F.col(column) == F.col("was"), "left").withColumn(column, F.coalesce("now", column)).drop("was", "now")
+    return cut(into(into(edges, "src"), "dst").filter("src <> dst").distinct()), cut(into(names, "of"))
+
+
+def largest_scc(edges: DataFrame, width: int = 4096, rounds: int = 3, most: int = 1_000_000) -> DataFrame:
     """node of the largest strongly connected component, the one with the smallest node among equals.
 
-    Forward and backward reach of the best-connected node left; what is found is taken out until nothing larger can be left.
+    First, components within blocks of neighbouring node numbers are contracted, in ever wider blocks. On what is left: forward and backward
+    reach of the heaviest node; what is found is taken out until nothing larger can be left.
     """
-    rest, best, size = cut(edges.select("src", "dst").distinct()), None, 0
+    rest = cut(edges.select("src", "dst").filter("src <> dst").distinct())
+    names = cut(rest.select(F.col("src").alias("node")).unionByName(rest.select(F.col("dst").alias("node"))).distinct().withColumn("of", F.col("node")))
+    for k in range(rounds):
+        before = rest.count()
+        rest, names = contracted(rest, names, width * 64**k, most)
+        if k and rest.count() == before:
+            break
+    weights = cut(names.groupBy(F.col("of").alias("node")).agg(F.count(F.lit(1)).alias("w"), F.min("node").alias("least")))
+    best, size, least = None, 0, None
     while True:
-        degree = rest.groupBy(F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("o")).join(rest.groupBy(F.col("dst").alias("node")).agg(F.count(F.lit(1)).alias("i")), "node")
-        pivot = degree.orderBy(F.desc(F.col("o") * F.col("i")), "node").select("node").limit(1)
-        if pivot.isEmpty():
-            return best if best is not None else rest.select(F.col("src").alias("node")).limit(0)
+        top = weights.orderBy(F.desc("w"), "least").limit(1).collect()
+        if not top:
+            break
+        pivot = weights.filter(F.col("node") == top[0]["node"]).select("node")
         back = rest.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-        found = cut(reached(rest, pivot).join(reached(back, pivot), "node"))
-        n = found.count()
-        if n > size or n == size and found.agg(F.min("node")).first()[0] < best.agg(F.min("node")).first()[0]:
-            best, size = found, n
-        rest = cut(rest.join(found.select(F.col("node").alias("src")), "src", "left_anti").join(found.select(F.col("node").alias("dst")), "dst", "left_anti"))
-        if rest.select("src").distinct().count() < size:
-            return best
+        found = cut(reached(rest, pivot).join(reached(back, pivot), "node").join(weights, "node"))
+        own = found.agg(F.sum("w").alias("w"), F.min("least").alias("least")).first()
+        if own["w"] > size or own["w"] == size and own["least"] < least:
+            best, size, least = found, own["w"], own["least"]
+        weights = cut(weights.join(found.select("node"), "node", "left_anti"))
+        left = weights.agg(F.sum("w")).first()[0] or 0
+        if left < size:
+            break
+        gone = found.select("node")
+        rest = cut(rest.join(gone.withColumnRenamed("node", "src"), "src", "left_anti").join(gone.withColumnRenamed("node", "dst"), "dst", "left_anti"))
+    if best is None:
+        return names.select("node").limit(0)
+    return names.join(best.select(F.col("node").alias("of")), "of").select("node")
 
 
 def strong_components(src: list[int], dst: list[int]) -> dict[int, int]:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from wayglass.functions import text as tx
 from wayglass.functions.geo import metres_between
+from wayglass.operators.proximity import proximity_join
 
 #: Scores of a word's match, of a whole name, of an address, and the weight of distance.
 EXACT, PREFIX, KIND, TOWN, WHOLE, ADDRESS, BETWEEN, DISTANCE = 3.0, 2.0, 1.5, 1.0, 3.0, 6.0, 4.0, 1.5
@@ -52,7 +53,7 @@ def kind_of(tags: str = "tags") -> Column:
         v = get(key)
         hit = v.isNotNull() & (v != "no") & (v.isin(*values) if values else F.lit(True))
         plain = F.regexp_replace(v, "_", " ")
-        says = F.lit(label) if label else F.coalesce(F.element_at(named, v), F.when((v == "yes") | ~v.rlike("^[a-z_]+$"), GENERIC.get(key)).otherwise(F.concat(F.upper(F.substring(plain, 1, 1)), F.substring(plain, 2, 1000))))
+        says = F.lit(label) if label else F.coalesce(F.element_at(named, v), F.when((v == "yes") | ~v.rlike("^[a-z_]+$"), GENERIC.get(key)).otherwise(F.concat(F.upper(F.substring(plain, 1, 1)), F.substring(plain, F.lit(2), F.length(plain)))))
         level = F.when((v == "aerodrome") & F.nullif(get("iata"), F.lit("")).isNotNull(), 3).otherwise(rank) if key == "aeroway" else F.lit(rank)
         gone = v.isin(*SKIPPED[key]) if key in SKIPPED else F.lit(False)
         if key == "natural":
@@ -153,10 +154,28 @@ def between_numbers(wanted: DataFrame, addresses: DataFrame) -> DataFrame:
     return two.select("qid", "street_id", (F.col("a.lon") + t * (F.col("b.lon") - F.col("a.lon"))).alias("lon"), (F.col("a.lat") + t * (F.col("b.lat") - F.col("a.lat"))).alias("lat"))
 
 
+def address_search(asked: DataFrame, addresses: DataFrame, streets: DataFrame) -> DataFrame:
+    """qid, street_id, how, addr_id, lon, lat, bonus: a house number on a street that a query names.
+
+    asked: qid, street_id, number. addresses: street_id, lead, number, lon, lat, addr_id. streets: street_id, lon, lat. "exact": the number itself, or the
+    first that begins with it; "approximate": between its neighbours on the same side; "street": the street, where neither is known.
+    """
+    q = asked.withColumn("low", F.lower("number")).withColumn("lead", tx.house_lead(F.col("number")))
+    on = addresses.select("street_id", "lead", F.lower("number").alias("own"), F.struct("addr_id", "lon", "lat").alias("a"))
+    order = F.struct((F.col("own") != F.col("low")).alias("o"), F.col("a.addr_id"))
+    exact = q.join(on, ["street_id", "lead"]).filter(F.startswith("own", "low")).groupBy("qid", "street_id").agg(F.min_by("a", order).alias("a"))
+    exact = exact.select("qid", "street_id", F.lit("exact").alias("how"), "a.addr_id", "a.lon", "a.lat", F.lit(ADDRESS).alias("bonus"))
+    left = q.join(exact.select("qid", "street_id"), ["qid", "street_id"], "left_anti")
+    one = addresses.groupBy("street_id", "lead").agg(F.min_by(F.struct("lon", "lat"), "addr_id").alias("p")).select("street_id", "lead", "p.lon", "p.lat")
+    guess = between_numbers(left.select("qid", "street_id", "lead"), one).select("qid", "street_id", F.lit("approximate").alias("how"), F.lit(None).cast("long").alias("addr_id"), "lon", "lat", F.lit(BETWEEN).alias("bonus"))
+    rest = left.join(guess.select("qid", "street_id"), ["qid", "street_id"], "left_anti").join(streets, "street_id")
+    return exact.unionByName(guess).unionByName(rest.select("qid", "street_id", F.lit("street").alias("how"), F.lit(None).cast("long").alias("addr_id"), "lon", "lat", F.lit(1.0).alias("bonus")))
+
+
 def town_of(points: DataFrame, towns: DataFrame, within: float = 15_000.0, k: int = 8) -> DataFrame:
-    """point_id, town: of the k nearest towns within reach the one with the least distance by weight. towns: a dimension of some thousand rows."""
-    d = F.hypot(F.col("x") - F.col("tx"), F.col("y") - F.col("ty"))
-    near = points.join(towns.select("town", F.col("x").alias("tx"), F.col("y").alias("ty"), "weight"), d <= within * 2.5).withColumn("d", d)
+    """point_id, town: of the k nearest towns within reach the one with the least distance by weight. Points and towns meet in cells as wide as the reach."""
+    d = F.hypot(F.col("x") - F.col("x2"), F.col("y") - F.col("y2"))
+    near = proximity_join(points, towns.select("town", F.col("x").alias("x2"), F.col("y").alias("y2"), "weight"), within * 2.5).withColumn("d", d)
     near = near.withColumn("i", F.row_number().over(Window.partitionBy("point_id").orderBy("d", "town"))).filter(F.col("i") <= k)
     return near.filter(F.col("d") / F.col("weight") <= within).groupBy("point_id").agg(F.min_by("town", F.struct(F.col("d") / F.col("weight"), "town")).alias("town"))
 

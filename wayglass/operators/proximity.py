@@ -25,6 +25,14 @@ def proximity_join(left: DataFrame, right: DataFrame, radius: float, lx: str = "
     return a.join(b, ["cx", "cy"]).filter(F.hypot(F.col(lx) - F.col(rx), F.col(ly) - F.col(ry)) <= radius).drop("cx", "cy")
 
 
+def box_join(points: DataFrame, boxes: DataFrame, size: float) -> DataFrame:
+    """Points (x, y) with the boxes (x0, y0, x1, y1) that hold them. Boxes are spread over the cells that they meet; size should be of their order."""
+    span = lambda a, b: F.explode(F.sequence(cell(F.col(a), size), cell(F.col(b), size)))
+    spread = boxes.withColumn("cx", span("x0", "x1")).withColumn("cy", span("y0", "y1"))
+    inside = (F.col("x") >= F.col("x0")) & (F.col("x") <= F.col("x1")) & (F.col("y") >= F.col("y0")) & (F.col("y") <= F.col("y1"))
+    return with_cells(points, "x", "y", size).join(spread, ["cx", "cy"]).filter(inside).drop("cx", "cy")
+
+
 def nearest(points: DataFrame, targets: DataFrame, key: str, target: str, radius: float, offset: Column | None = None) -> DataFrame:
     """The nearest target of each point within radius, ties to the smallest target."""
     found = proximity_join(points, targets, radius)

@@ -13,6 +13,7 @@ from wayglass.sources import adapters as src
 
 from . import camera_queries as cq
 from .camera_queries import EDGES, EXPOSED, wrap
+from .iterate import numbered
 
 # ------------------------------------------------------------------------------------------ adapters
 
@@ -85,9 +86,9 @@ def priced(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame
 
 
 def trips(spark: SparkSession, d: str, n: int = 200) -> DataFrame:
-    """A sample of n trips between nodes 0.5 to 4 km apart: repeatable, whatever the order of the nodes."""
-    nodes = src.road_nodes(spark, d).select(F.col("node_id").alias("node"), "x", "y").orderBy("node").toPandas()  # one region, at most routing.MAX_EDGES edges
-    return spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(routing.sample_trips(nodes, n, 500.0, 4000.0))], "trip_id long, src long, dst long")
+    """A sample of n trips between nodes 0.5 to 4 km apart: repeatable, whatever the order of the nodes. The nodes stay where they are: only n pairs are drawn from them."""
+    nodes = numbered(src.road_nodes(spark, d).select(F.col("node_id").alias("node"), "x", "y"), ["node"])
+    return routing.drawn_trips(nodes, n, 500.0, 4000.0)
 
 
 # ------------------------------------------------------------------------------------------- queries
@@ -166,7 +167,7 @@ def legal_transitions(spark, d):
 
 
 def largest_scc(spark, d):
-    return g.largest_scc_by_region(cq.edges(spark, d).withColumn("region", F.lit(0))).select("node")
+    return g.largest_scc(cq.edges(spark, d))
 
 
 def carried_sites(spark, d):
@@ -239,8 +240,10 @@ def option_labels(spark, d):
 
 def snap_nearest(spark, d):
     s = cq.segments(spark, d)
-    steps = F.explode(F.sequence(F.lit(0), F.lit(6))).alias("t")
-    cells = s.select("geom_id", "ax", "ay", "bx", "by", steps).withColumns({"cx": cell(F.col("ax") + (F.col("bx") - F.col("ax")) * F.col("t") / 6, 100.0), "cy": cell(F.col("ay") + (F.col("by") - F.col("ay")) * F.col("t") / 6, 100.0)}).drop("t").distinct()
+    # a place on the segment for every 20 m: a point within 80 m of it is within one cell of one of them
+    n = F.greatest(F.ceil(F.hypot(F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")) / 20).cast("int"), F.lit(1))
+    spots = s.select("geom_id", "ax", "ay", "bx", "by", n.alias("n")).withColumn("t", F.explode(F.sequence(F.lit(0), F.col("n")))).withColumn("t", F.col("t") / F.col("n"))
+    cells = spots.withColumns({"cx": cell(F.col("ax") + (F.col("bx") - F.col("ax")) * F.col("t"), 100.0), "cy": cell(F.col("ay") + (F.col("by") - F.col("ay")) * F.col("t"), 100.0)}).drop("t", "n").distinct()
     spread = F.explode(F.sequence(F.lit(-1), F.lit(1)))
     p = src.fixes(spark, d).select("event_id", "x", "y").withColumn("i", spread).withColumn("j", spread).withColumns({"cx": cell(F.col("x"), 100.0) + F.col("i"), "cy": cell(F.col("y"), 100.0) + F.col("j")})
     t = ((F.col("x") - F.col("ax")) * (F.col("bx") - F.col("ax")) + (F.col("y") - F.col("ay")) * (F.col("by") - F.col("ay"))) / ((F.col("bx") - F.col("ax")) * (F.col("bx") - F.col("ax")) + (F.col("by") - F.col("ay")) * (F.col("by") - F.col("ay")))
@@ -308,7 +311,7 @@ def multipolygon_centres(spark, d):
 
 def label_dictionary(spark, d):
     e = cq.edges(spark, d).groupBy("name").agg(F.min("edge_id").alias("first"))
-    return e.select("name", (F.row_number().over(Window.orderBy("first")) - 1).cast("long").alias("number"))
+    return numbered(e, ["first"], "number").select("name", "number")
 
 
 def _route_edges(spark, d):
@@ -319,7 +322,12 @@ def _route_edges(spark, d):
 
 
 def route_turns(spark, d):
-    return _route_edges(spark, d).groupBy("trip").agg(F.round(F.sum("time_s"), 4).alias("time_s"), F.round(F.sum("len"), 4).alias("len_m"), F.count_if(F.abs("turn") > 5).alias("turns"))
+    """Made-up routes down the lattice in steps: right along a row, then down a column."""
+    w = Window.partitionBy("trip").orderBy("seq")
+    row, col, down = F.expr("src div 20"), F.col("src") % 20, F.col("geom_id") % 2
+    e = cq.edges(spark, d).filter("not rev").select((row - col + down).alias("trip"), (2 * col - down).alias("seq"), "len", "time_s", "heading").filter("trip >= 0 and seq >= 0")
+    e = e.withColumn("turn", geo.wrap180(F.col("heading") - F.lag("heading").over(w)))
+    return e.groupBy("trip").agg(F.round(F.sum("time_s"), 4).alias("time_s"), F.round(F.sum("len"), 4).alias("len_m"), F.count_if(F.abs("turn") > routing.TURN_DEG).alias("turns"))
 
 
 def route_spans(spark, d):
@@ -438,7 +446,7 @@ ORACLES = {
     "address_order": "WITH st AS (SELECT p_partkey AS street_id, CAST(p_partkey % 20 * 200 AS DOUBLE) AS x, CAST(p_partkey // 20 * 200 AS DOUBLE) AS y FROM part), a AS (SELECT o_orderkey AS k, s.street_id, (o_orderkey % 400) || CASE WHEN o_orderkey % 29 = 0 THEN 'b' ELSE '' END AS number, x + o_orderkey % 7 * 90 AS x, y + o_orderkey % 11 * 60 AS y FROM orders JOIN st s ON s.street_id = o_orderkey % (SELECT count(*) FROM part)) SELECT street_id, k AS addr_id, row_number() OVER (PARTITION BY street_id ORDER BY k % 400, number, x, y, k) AS i FROM a",
     "multipolygon_centres": f"WITH {WAYS} SELECT way_id // 10 AS relation, (min(x) + max(x)) / 2 AS x, (min(y) + max(y)) / 2 AS y FROM ref JOIN rn ON n = node WHERE way_id < 100000 GROUP BY 1",
     "label_dictionary": f"WITH {EDGES} SELECT name, row_number() OVER (ORDER BY first) - 1 AS number FROM (SELECT name, min(edge_id) AS first FROM edge GROUP BY name)",
-    "route_turns": f"WITH {EDGES}{ROUTE} SELECT trip, round(sum(time_s), 4) AS time_s, round(sum(len), 4) AS len_m, count(*) FILTER (abs(turn) > 5) AS turns FROM rt GROUP BY trip",
+    "route_turns": f"WITH {EDGES}, st AS (SELECT src // 20 - src % 20 + geom_id % 2 AS trip, 2 * (src % 20) - geom_id % 2 AS seq, len, time_s, heading FROM edge WHERE NOT rev), tn AS (SELECT *, lag(heading) OVER (PARTITION BY trip ORDER BY seq) AS h FROM st WHERE trip >= 0 AND seq >= 0) SELECT trip, round(sum(time_s), 4) AS time_s, round(sum(len), 4) AS len_m, count(*) FILTER (least(abs(heading - h), 360 - abs(heading - h)) > 45) AS turns FROM tn GROUP BY trip",
     "route_spans": EXPOSED + ROUTE + " SELECT trip, site, round(min_by(start_m + entry_m, seq), 4) AS from_m, round(max(start_m + exit_m), 4) AS to_m FROM rt JOIN expo USING (edge_id) GROUP BY trip, site",
     "site_alert_list": EXPOSED + ROUTE + " SELECT trip, site, at_m, CAST(row_number() OVER (PARTITION BY trip ORDER BY at_m, site) AS INTEGER) AS n FROM (SELECT trip, site, min(round(start_m + entry_m, 4)) AS at_m FROM rt JOIN expo USING (edge_id) GROUP BY trip, site)",
     "ahead_names": f"WITH {EDGES}{ROUTE} SELECT trip, seq, first_value(CASE WHEN seq % 3 <> 0 THEN name END IGNORE NULLS) OVER (PARTITION BY trip ORDER BY start_m RANGE BETWEEN CURRENT ROW AND 60 FOLLOWING) AS ahead FROM rt",

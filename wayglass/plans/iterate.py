@@ -7,7 +7,7 @@ import shutil
 import tempfile
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -37,14 +37,23 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def until_stable(state: DataFrame, step: Callable[[DataFrame], DataFrame], mark: list[str], most: int = 10_000) -> DataFrame:
-    """Apply step until the columns `mark` of all rows stay the same."""
+    """Apply step until the columns `mark` of all rows stay the same. An error if they don't within `most` rounds: an unfinished state is never returned."""
     state, before = cut(state), None
     for _ in range(most):
         now = state.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64(*mark)).alias("x")).first()
         if now == before:
-            break
+            return state
         before, state = now, cut(step(state))
-    return state
+    raise RuntimeError(f"no stable state after {most} rounds")
+
+
+def numbered(df: DataFrame, order: list[str], name: str = "i") -> DataFrame:
+    """df with its rows' numbers from 0 in an order over the whole table: sorted by ranges, numbered within them and moved by the sizes of those before, so no task has all rows."""
+    rows = cut(df.repartitionByRange(*order).sortWithinPartitions(*order).select("*", F.spark_partition_id().alias("_p"), F.monotonically_increasing_id().alias("_m")))
+    sizes = rows.groupBy("_p").agg(F.min("_m").alias("_first"), F.count(F.lit(1)).alias("_n"))  # a row for each partition
+    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.withColumn("_at", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    return rows.join(F.broadcast(sizes.drop("_n")), "_p").withColumn(name, F.col("_m") - F.col("_first") + F.col("_at")).drop("_p", "_m", "_first", "_at")
 
 
 def component_labels(nodes: DataFrame, links: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from wayglass.functions import geo
 from wayglass.functions import text as tx
 from wayglass.operators import places as pl
-from wayglass.operators.proximity import proximity_join
+from wayglass.operators.proximity import box_join, proximity_join
 from wayglass.sources import adapters as src
 
 #: What is searched for.
@@ -103,7 +103,7 @@ def street_town(spark, d):
 
 
 def address_dedupe(spark, d):
-    return pl.dedupe_addresses(addresses(spark, d).select((F.col("of") % 50).alias("street_id"), "number", "addr_id", "x", "y"))
+    return pl.dedupe_addresses(addresses(spark, d).select(F.col("of").alias("street_id"), "number", "addr_id", "x", "y"))
 
 
 def search_tokens(spark, d):
@@ -136,15 +136,15 @@ def result_dedupe(spark, d):
 
 def _numbered(spark, d):
     a = addresses(spark, d)
-    return a.select((F.col("of") % 50).alias("street_id"), tx.house_lead(F.col("number")).alias("lead"), F.col("number"), (F.col("x") / 1e6).alias("lon"), (F.col("y") / 1e6).alias("lat"), "addr_id")
+    return a.select(F.expr("of div 40").alias("street_id"), tx.house_lead(F.col("number")).alias("lead"), F.col("number"), (F.col("x") / 1e6).alias("lon"), (F.col("y") / 1e6).alias("lat"), "addr_id")
 
 
 def search_address(spark, d):
-    asked = spark.range(0, 200).select(F.col("id").alias("qid"), (F.col("id") % 50).alias("street_id"), (F.col("id") * 3).cast("string").alias("number"))
-    a = _numbered(spark, d).withColumn("low", F.lower("number"))
-    hit = asked.join(a.drop("number"), "street_id").filter("lead = cast(number as long)").filter("low = number or startswith(low, number)")
-    best = hit.groupBy("qid").agg(F.min_by("addr_id", F.struct((F.col("low") != F.col("number")).alias("o"), "addr_id")).alias("addr_id"))
-    return asked.join(best, "qid", "left").select("qid", "addr_id", F.when(F.col("addr_id").isNotNull(), "exact").otherwise("none").alias("how"))
+    asked = spark.range(0, 400).select(F.col("id").alias("qid"), (F.col("id") % 50).alias("street_id"), (F.col("id") * 3 + F.col("id") % 2).cast("string").alias("number"))
+    a = _numbered(spark, d)
+    middle = a.groupBy("street_id").agg(F.min_by(F.struct("lon", "lat"), F.col("addr_id")).alias("p")).select("street_id", "p.lon", "p.lat")
+    out = pl.address_search(asked, a.filter("lead % 9 <> 4"), middle)
+    return out.select("qid", "street_id", "how", "addr_id", F.round("lon", 9).alias("lon"), F.round("lat", 9).alias("lat"), "bonus")
 
 
 def interpolate_number(spark, d):
@@ -200,7 +200,7 @@ def region_for_point(spark, d):
     """For each fix the region that holds it with the most room to its border."""
     f, r = src.fixes(spark, d).select("event_id", "x", "y"), _regions(spark, d)
     room = F.least(F.col("x") - F.col("x0"), F.col("x1") - F.col("x"), F.col("y") - F.col("y0"), F.col("y1") - F.col("y"))
-    inside = f.join(r, (F.col("x") >= F.col("x0")) & (F.col("x") <= F.col("x1")) & (F.col("y") >= F.col("y0")) & (F.col("y") <= F.col("y1")))
+    inside = box_join(f, r, 1000.0)
     return inside.groupBy("event_id").agg(F.min_by("region", F.struct(-room, F.col("region"))).alias("region"))
 
 
@@ -228,7 +228,7 @@ def town_candidates(spark, d):
     """Of each place the three nearest towns with their distance by weight."""
     n = src.table(spark, d, "nation").select(F.col("n_name").alias("near"), (F.col("n_nationkey") * 1700 % 9000).cast("double").alias("tx"), (F.col("n_nationkey") * 2300 % 9000).cast("double").alias("ty"), F.expr("case n_regionkey % 3 when 0 then 2.5 when 1 then 1.5 else 1.0 end").cast("double").alias("weight"))
     dist = F.round(F.hypot(F.col("x") - F.col("tx"), F.col("y") - F.col("ty")), 6)
-    near = places(spark, d).select("place_id", "x", "y").join(n, dist <= 37_500).withColumn("d", dist)
+    near = proximity_join(places(spark, d).select("place_id", "x", "y"), n, 37_500.0, rx="tx", ry="ty").withColumn("d", dist)
     near = near.withColumn("i", F.row_number().over(Window.partitionBy("place_id").orderBy("d", "near"))).filter("i <= 3")
     return near.select("place_id", "i", F.col("near").alias("town"), F.round(F.col("d") / F.col("weight"), 4).alias("score"))
 
@@ -315,7 +315,7 @@ def scored(table: str, ident: str, kind: str, town: str) -> str:
     sc AS (SELECT qid, id, sum(s) + CASE WHEN min(s) = 3 AND any_value(whole) = array_to_string(any_value(nc), ' ') THEN 3 ELSE 0 END AS score FROM mt GROUP BY qid, id HAVING min(s) > 0 AND (max(s) >= 2 OR bool_and(k)))"""
 
 
-NUMBERED = ADDR + ", nu AS (SELECT of_ % 50 AS street_id, coalesce(TRY_CAST(regexp_extract(number, '^[0-9]{1,9}') AS BIGINT), 0) AS lead, number, x / 1e6 AS lon, y / 1e6 AS lat, addr_id FROM ad)"
+NUMBERED = ADDR + ", nu AS (SELECT of_ // 40 AS street_id, coalesce(TRY_CAST(regexp_extract(number, '^[0-9]{1,9}') AS BIGINT), 0) AS lead, number, x / 1e6 AS lon, y / 1e6 AS lat, addr_id FROM ad)"
 FIXES = "fx AS (SELECT event_id, CAST((event_id * 53) % 4000 AS DOUBLE) AS x, CAST((event_id * 31) % 4000 AS DOUBLE) AS y FROM events)"
 REGIONS = "rg AS (SELECT lower(n_name) AS region, n_name, r_name, CAST(n_nationkey % 5 * 600 AS DOUBLE) AS x0, CAST(n_nationkey // 5 * 600 AS DOUBLE) AS y0, CAST(n_nationkey % 5 * 600 + 900 AS DOUBLE) AS x1, CAST(n_nationkey // 5 * 600 + 1000 AS DOUBLE) AS y1 FROM nation JOIN region ON n_regionkey = r_regionkey)"
 METRES = "sqrt(((b.lon - a.lon) * cos(radians((a.lat + b.lat) / 2))) ** 2 + (b.lat - a.lat) ** 2) * 111320"
@@ -339,7 +339,13 @@ ORACLES = {
     "search_streets": STREET_SCORES + " SELECT qid, id AS street_id, score + 1 AS score FROM sc",
     "search_places": f"WITH {PLACES}, {scored('pk', 'place_id', 'label', 'town')} SELECT qid, id AS place_id, score + coalesce(rank, 0) AS score FROM sc JOIN pk ON place_id = id",
     "topk_search": STREET_SCORES + ", r AS (SELECT qid, id AS street_id, round(score + 1 - 1.5 * 0.75 * log2(1 + sqrt((x - 1000) ** 2 + (y - 1000) ** 2) / 1000), 6) AS score FROM sc JOIN st ON street_id = id) SELECT qid, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, street_id) AS INTEGER) AS rank, street_id, score FROM r QUALIFY rank <= 8",
-    "search_address": f"WITH {NUMBERED}, a AS (SELECT i AS qid, i % 50 AS street_id, CAST(i * 3 AS VARCHAR) AS number FROM range(0, 200) t(i)) SELECT qid, min_by(u.addr_id, CASE WHEN lower(u.number) = a.number THEN 0 ELSE 1000000000 END + u.addr_id) AS addr_id, CASE WHEN count(u.addr_id) > 0 THEN 'exact' ELSE 'none' END AS how FROM a LEFT JOIN nu u ON u.street_id = a.street_id AND u.lead = CAST(a.number AS BIGINT) AND starts_with(lower(u.number), a.number) GROUP BY qid",
+    "search_address": f"""WITH {NUMBERED}, nx AS (SELECT * FROM nu WHERE lead % 9 <> 4), q AS (SELECT i AS qid, i % 50 AS street_id, i * 3 + i % 2 AS lead FROM range(0, 400) t(i)), st1 AS (SELECT street_id, min_by(lon, addr_id) AS lon, min_by(lat, addr_id) AS lat FROM nu GROUP BY 1),
+        x AS (SELECT qid, q.street_id, 'exact' AS how, addr_id, lon, lat, 6.0 AS bonus FROM q JOIN nx u ON u.street_id = q.street_id AND u.lead = q.lead AND starts_with(lower(u.number), CAST(q.lead AS VARCHAR)) QUALIFY row_number() OVER (PARTITION BY qid ORDER BY lower(u.number) <> CAST(q.lead AS VARCHAR), addr_id) = 1),
+        o AS (SELECT street_id, lead, min_by(lon, addr_id) AS lon, min_by(lat, addr_id) AS lat FROM nx WHERE lead > 0 GROUP BY 1, 2),
+        e AS (SELECT qid, q.street_id, q.lead, max(o.lead) FILTER (o.lead < q.lead) AS lo, min(o.lead) FILTER (o.lead > q.lead) AS hi FROM q JOIN o ON o.street_id = q.street_id AND o.lead % 2 = q.lead % 2 WHERE qid NOT IN (SELECT qid FROM x) GROUP BY 1, 2, 3),
+        y AS (SELECT qid, e.street_id, 'approximate' AS how, NULL::BIGINT AS addr_id, a.lon + (e.lead - lo) / (hi - lo) * (b.lon - a.lon) AS lon, a.lat + (e.lead - lo) / (hi - lo) * (b.lat - a.lat) AS lat, 4.0 AS bonus FROM e JOIN o a ON a.street_id = e.street_id AND a.lead = lo JOIN o b ON b.street_id = e.street_id AND b.lead = hi WHERE {METRES} <= 1000),
+        z AS (SELECT qid, q.street_id, 'street' AS how, NULL::BIGINT AS addr_id, lon, lat, 1.0 AS bonus FROM q JOIN st1 USING (street_id) WHERE qid NOT IN (SELECT qid FROM x UNION ALL SELECT qid FROM y))
+        SELECT qid, street_id, how, addr_id, round(lon, 9) AS lon, round(lat, 9) AS lat, CAST(bonus AS DOUBLE) AS bonus FROM (FROM x UNION ALL FROM y UNION ALL FROM z)""",
     "interpolate_number": f"""WITH {NUMBERED}, o AS (SELECT street_id, lead, min(lon) AS lon, min(lat) AS lat FROM nu WHERE lead > 0 GROUP BY 1, 2), q AS (SELECT i AS qid, i % 50 AS street_id, i * 2 + 1 AS lead FROM range(0, 200) t(i)),
         e AS (SELECT qid, q.street_id, q.lead, max(o.lead) FILTER (o.lead < q.lead) AS lo, min(o.lead) FILTER (o.lead > q.lead) AS hi FROM q JOIN o ON o.street_id = q.street_id AND o.lead % 2 = q.lead % 2 GROUP BY 1, 2, 3)
         SELECT qid, e.street_id, round(a.lon + (e.lead - lo) / (hi - lo) * (b.lon - a.lon), 9) AS lon, round(a.lat + (e.lead - lo) / (hi - lo) * (b.lat - a.lat), 9) AS lat FROM e JOIN o a ON a.street_id = e.street_id AND a.lead = lo JOIN o b ON b.street_id = e.street_id AND b.lead = hi WHERE {METRES} <= 1000""",

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 import struct
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -110,12 +111,16 @@ def road_edges(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write(spark: SparkSession, path: str, data: bytes) -> None:
-    """Beside the target, then renamed over it: never half a pack. Goes through Spark's file systems, so any store will do."""
-    hadoop = spark._jvm.org.apache.hadoop.fs
-    target, part = hadoop.Path(path), hadoop.Path(path + ".partial")
-    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
-    out = fs.create(part, True)
-    out.write(bytearray(data))
-    out.close()
-    fs.delete(target, False)
-    fs.rename(part, target)
+    """Publish one region's pack. The bytes are written under another name in the same folder; a single rename that may overwrite makes them visible."""
+    jvm = spark._jvm
+    hadoop, conf = jvm.org.apache.hadoop.fs, spark._jsc.hadoopConfiguration()
+    target, part = hadoop.Path(path), hadoop.Path(f"{path}.{uuid.uuid4().hex}.partial")
+    out = part.getFileSystem(conf).create(part, True)
+    try:
+        out.write(bytearray(data))
+    finally:
+        out.close()
+    kind = getattr(hadoop, "Options$Rename")
+    how = spark.sparkContext._gateway.new_array(kind, 1)
+    how[0] = kind.OVERWRITE
+    hadoop.FileContext.getFileContext(part.getFileSystem(conf).getUri(), conf).rename(part.getFileSystem(conf).makeQualified(part), target.getFileSystem(conf).makeQualified(target), how)
