@@ -52,7 +52,7 @@ class JaccardRules:
     n: int = 3
     percent: int = 90
     #: Documents of a group that one task joins at once.
-    block: int = 600
+    block: int = 1000
     leaf: int = 8
     #: Elements are frequent if so many sets of a task, and this share of them, hold them; so many of them at most are sent to the tasks.
     frequent_least: int = 4
@@ -437,7 +437,9 @@ def jaccard_components(docs: DataFrame, rules: JaccardRules = JaccardRules(), *,
     members = written(reps.join(groups, "cls").select("id", "th", "n_shingles", "group"), "members")
     blocks = members.groupBy("group").agg(F.count(F.lit(1)).alias("m"), F.sum("n_shingles").alias("elements"), F.min(F.struct("id", "th")).alias("pivot"))
     blocks = blocks.withColumn("blocks", F.greatest(F.ceil(F.col("m") / rules.block), F.ceil(F.col("elements") / BLOCK_ELEMENTS)).cast("int")).filter("m > 1")
+    # all texts are shuffled once: what follows reads those of groups alone
     own = docs.select(F.col(doc_id).alias("id"), text_of(text).alias("t")).withColumn("th", F.xxhash64("t"))
+    own = written(_texts(own, members.join(blocks, "group").select("id", "th")), "texts")
     join, schema = _tree_links(rules, kind)
     block_of = F.pmod(F.xxhash64("id", "th"), F.col("blocks")).cast("int")
     # first pass: each document in one block, the group's pivot in all of them
