@@ -146,7 +146,7 @@ class LineIndex:
         return probe
 
     def frequent_lines(self, keyed: DataFrame, by: list[str]) -> DataFrame:
-        """For each row of keyed (columns `by` and `keys`) that has frequent lines: by, drop (their places)."""
+        """For each row of keyed (columns `by` and `keys`) that has frequent lines: by, drop (their places in order), marks (a byte for each line up to the last of them, 1 if it goes)."""
         probe = self._probe(keyed.sparkSession)
         places = F.posexplode("keys").alias("i", "key")
         if probe is None:
@@ -156,7 +156,9 @@ class LineIndex:
             lines = keyed.withColumn("maybe", maybe).filter(F.size("maybe") > 0)
             lines = lines.select(*by, "keys", F.explode("maybe").alias("i")).select(*by, "i", F.get("keys", F.col("i")).alias("key"))
         frequent = self.refs.filter(F.col("n") >= self.rules.min_docs).select("key")
-        return lines.join(frequent, "key").groupBy(*by).agg(F.collect_set("i").alias("drop"))
+        places = lines.join(frequent, "key").groupBy(*by).agg(F.array_sort(F.collect_set("i")).alias("drop"))
+        before = F.concat(F.array(F.lit(-1)), F.slice("drop", 1, F.size("drop") - 1))
+        return places.withColumn("marks", F.array_join(F.zip_with("drop", before, lambda i, p: F.concat(F.repeat(F.lit("0"), i - p - 1), F.lit("1"))), "").cast("binary"))
 
     def apply(self, docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", keyed: DataFrame | None = None) -> DataFrame:
         """row (all columns of docs), n_lines, n_dropped, kept (the text that stays)."""
@@ -166,7 +168,8 @@ class LineIndex:
         own = docs.select(F.struct("*").alias("row"), F.col(doc_id).alias("id"), text_of(text).alias("t")).withColumn("th", F.xxhash64("t"))
         both = own.join(drop, F.col("id").eqNullSafe(F.col("of_id")) & (F.col("th") == F.col("of_text")), "left")
         lines = F.split("t", "\n", -1)
-        kept = F.when(F.col("drop").isNull(), F.col("t")).otherwise(F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("drop", i)), "\n"))
+        # one look at a byte for each line: the time grows with the lines, not with their square
+        kept = F.when(F.col("drop").isNull(), F.col("t")).otherwise(F.array_join(F.filter(lines, lambda x, i: F.substring("marks", i + 1, F.lit(1)) != F.lit(b"1")), "\n"))
         return both.select("row", F.size(lines).cast("long").alias("n_lines"), F.coalesce(F.size("drop"), F.lit(0)).cast("long").alias("n_dropped"), kept.alias("kept"))
 
 
