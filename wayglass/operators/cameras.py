@@ -72,6 +72,22 @@ def exposure(segments: DataFrame, edges: DataFrame, zones: DataFrame, sites: Dat
     return out.join(ref, "site").select("edge_id", "site", "entry_m", "exit_m", F.least(F.lit(1.0), F.col("metres") / F.col("ref_m")).alias("units"), (F.col("exit_m") >= F.col("edge_m") - 0.05).alias("at_end"))
 
 
+def watches(mode: Column, sectors: Column) -> Column:
+    """What a camera watches, in words."""
+    ways = lambda shift: F.transform(sectors, lambda s: geo.compass8(geo.mod360(s["bearing"] + shift)))
+    both = F.zip_with(ways(0.0), ways(180.0), lambda a, b: F.concat(a, F.lit("–"), b))
+    return F.when(mode == "any", "direction unknown").when(mode == "rear", F.concat(F.lit("reads plates heading "), F.array_join(ways(0.0), " & "))).otherwise(F.concat(F.lit("reads plates along "), F.array_join(both, " & ")))
+
+
+def site_cards(zones: DataFrame, sites: DataFrame) -> DataFrame:
+    """site, n, title (brands, each once, in the order of their cameras; how many cameras), watches (of the first camera). zones: id, brand, mode, sectors; sites: id, site."""
+    brand = F.coalesce(F.nullif("brand", F.lit("")), F.lit("Unknown brand"))
+    rows = zones.join(sites, "id").groupBy("site").agg(F.array_sort(F.collect_list(F.struct("id", brand.alias("brand")))).alias("cams"), F.min_by(watches(F.col("mode"), F.col("sectors")), "id").alias("watches"))  # cameras of one site
+    n = F.size("cams")
+    title = F.concat(F.array_join(F.array_distinct(F.transform("cams", lambda c: c["brand"])), ", "), F.when(n > 1, F.concat(F.lit(" · "), n.cast("string"), F.lit(" cameras"))).otherwise(""))
+    return rows.select("site", n.alias("n"), title.alias("title"), "watches")
+
+
 def with_rings(zones: DataFrame, rings: DataFrame, weight: float = geo.RING_WEIGHT) -> DataFrame:
     """Exposure of zones and rings in one table: the ring is a site of its own, weights add up to 1."""
     a = zones.withColumns({"layer": F.lit("zone"), "weight": F.lit(1 - weight)})

@@ -103,6 +103,18 @@ def prompts(steps: DataFrame, fixes: DataFrame, route: str = "route_id") -> Data
     return first.select(route, "step", F.lit("early").alias("said"), "fix").unionByName(now.select(route, "step", F.lit("now").alias("said"), "fix"))
 
 
+def route_line(legs: DataFrame, points: DataFrame, route: str = "route_id") -> DataFrame:
+    """route, i, x, y: the line of a route: its legs' geometries one after another, turned round where they are driven backwards, without repeated points.
+
+    legs: route, seq, geom, rev. points: geom, k, x, y.
+    """
+    at = legs.join(points, "geom").withColumn("_k", F.when(F.col("rev"), -F.col("k")).otherwise(F.col("k")))
+    w = Window.partitionBy(route).orderBy("seq", "_k")
+    same = F.struct("x", "y") == F.lag(F.struct("x", "y")).over(w)
+    kept = at.withColumn("_same", F.coalesce(same, F.lit(False))).filter("not _same")
+    return kept.withColumn("i", F.row_number().over(w) - 1).select(route, "i", "x", "y")
+
+
 def stop_name(name: Column, distance_m: Column) -> Column:
     """What a tapped stop is called."""
     return F.when(F.coalesce(distance_m, F.lit(0.0)) < NEAR_M, name).otherwise(F.concat(F.lit("Near "), name))

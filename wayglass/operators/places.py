@@ -67,6 +67,22 @@ def first_of(df: DataFrame, by: list[Column | str], order: list[Column | str]) -
     return df.withColumn("_i", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter("_i = 1").drop("_i")
 
 
+def thinned(df: DataFrame, owner: str, cell_m: float, order: list[str]) -> DataFrame:
+    """The first of each owner's points in each cell."""
+    return first_of(df, [owner, F.floor(F.col("x") / cell_m), F.floor(F.col("y") / cell_m)], order)
+
+
+def street_pieces(streets: DataFrame, minor_m: float = 400.0, major_m: float = 2000.0) -> DataFrame:
+    """street_id, piece: streets (street_id, name, town, x, y, major) of one name are one where they lie near each other: major roads within a longer reach."""
+    from wayglass.plans.iterate import component_labels
+
+    a = streets.select(F.col("street_id").alias("a"), "name", "x", "y", "major")
+    b = streets.select(F.col("street_id").alias("b"), F.col("name").alias("other"), F.col("x").alias("x2"), F.col("y").alias("y2"), F.col("major").alias("major2"))
+    near = lambda rows, reach: proximity_join(rows, b, reach).filter("name = other and a < b").select("a", "b")
+    links = near(a, minor_m).unionByName(proximity_join(a.filter("major"), b.filter("major2"), major_m).filter("name = other and a < b").select("a", "b")).distinct()
+    return component_labels(streets.select(F.col("street_id").alias("node")), links).select(F.col("node").alias("street_id"), F.col("label").alias("piece"))
+
+
 def dedupe_places(places: DataFrame, cell: int = 2000) -> DataFrame:
     """Places (name, lon_q, lat_q, ord) of one name in one cell are one; cells floor on negatives."""
     return first_of(places, [F.lower("name"), F.floor(F.col("lon_q") / cell), F.floor(F.col("lat_q") / cell)], ["ord"])

@@ -124,9 +124,19 @@ def duplicate_cells(spark, d):
 
 
 def exposed_road_km(spark, d):
+    """Length of exposed edges, of all edges, and the share of sites that see one."""
     x, e = _exposure(spark, d), edges(spark, d)
     sums = x.groupBy("edge_id").agg(F.sum("units").alias("u"))
-    return e.join(sums, "edge_id", "left").agg(F.round(F.sum(F.when(F.col("u") > 0, F.col("len"))) / 1000, 4).alias("exposed_km"), F.round(F.sum("len") / 1000, 4).alias("all_km"))
+    km = e.join(sums, "edge_id", "left").agg(F.round(F.sum(F.when(F.col("u") > 0, F.col("len"))) / 1000, 4).alias("exposed_km"), F.round(F.sum("len") / 1000, 4).alias("all_km"))
+    seen = x.agg(F.count_distinct("site").alias("s"))
+    every = cam.capture_sites(src.cameras(spark, d)).agg(F.count_distinct("site").alias("n"))
+    return km.join(seen.join(every)).select("exposed_km", "all_km", F.round(F.col("s") / F.col("n"), 6).alias("site_share"))  # one row each
+
+
+def site_cards(spark, d):
+    c = src.cameras(spark, d)
+    out = cam.site_cards(cam.camera_zones(c), cam.capture_sites(c))
+    return out.select("site", F.col("n").cast("long").alias("n"), "title", "watches")
 
 
 def live_position_zones(spark, d):
@@ -138,7 +148,7 @@ def live_position_zones(spark, d):
 
 QUERIES = {f.__name__: f for f in (
     camera_direction_parse, direction_quality, camera_zones, zone_reference, sector_distance_grid, capture_predicate, camera_site_pairs, capture_sites, edge_exposure, exposure_totals,
-    edge_exposure_rings, near_only_sites, segment_zone_join, orphan_cameras, density_cells, brand_topn, duplicate_cells, exposed_road_km, live_position_zones,
+    edge_exposure_rings, near_only_sites, segment_zone_join, orphan_cameras, density_cells, brand_topn, duplicate_cells, exposed_road_km, site_cards, live_position_zones,
 )}
 
 # ---------------------------------------------------------------------------------------------- SQL
@@ -222,6 +232,12 @@ BASE = f"WITH RECURSIVE {SECTORS}, {EDGES}, {SITES}, {SAMPLES}" + zone_cte("zone
 EXPOSED = BASE + exposure_cte("expo", "zone")
 RINGED = EXPOSED + zone_cte("zring", RING, True) + exposure_cte("ring", "zring")
 
+
+
+def compass(b: str) -> str:
+    return f"(['north', 'northeast', 'east', 'southeast', 'south', 'southwest', 'west', 'northwest'])[CAST(floor({b} / 45 + 0.5) AS INTEGER) % 8 + 1]"
+
+
 ORACLES = {
     "camera_direction_parse": f"WITH {SECTORS} SELECT c.id, s.k, round(s.bearing, 4) AS bearing, round(s.extra, 4) AS extra FROM cam c LEFT JOIN sect s USING (id)",
     "direction_quality": f"""WITH {CAMERAS} SELECT quality, n, round(n * 100 / sum(n) OVER (), 4) AS pct FROM (SELECT CASE direction WHEN 'forward' THEN 'non-bearing' WHEN '90;270' THEN 'multi' WHEN '10-30' THEN 'multi' WHEN '350-10' THEN 'multi' WHEN '-30' THEN 'out-of-range'
@@ -244,7 +260,11 @@ ORACLES = {
     "density_cells": f"WITH {CAMERAS} SELECT CAST(floor(x / 1000) AS BIGINT) AS cx, CAST(floor(y / 1000) AS BIGINT) AS cy, count(*) AS n FROM cam GROUP BY 1, 2 ORDER BY n DESC, cx, cy LIMIT 8",
     "brand_topn": f"WITH {CAMERAS} SELECT operator, count(*) AS n FROM cam GROUP BY 1 ORDER BY n DESC, operator LIMIT 5",
     "duplicate_cells": f"WITH {CAMERAS} SELECT CAST(floor(x / 22) AS BIGINT) AS cx, CAST(floor(y / 22) AS BIGINT) AS cy, count(*) AS n FROM cam GROUP BY 1, 2 HAVING count(*) > 1",
-    "exposed_road_km": EXPOSED + " SELECT round(sum(len) FILTER (u > 0) / 1000, 4) AS exposed_km, round(sum(len) / 1000, 4) AS all_km FROM edge LEFT JOIN (SELECT edge_id, sum(units) AS u FROM expo GROUP BY 1) USING (edge_id)",
+    "site_cards": BASE
+    + f""", br AS (SELECT id, site, CASE WHEN brand LIKE '% %' THEN brand ELSE brand[1] || lower(brand[2:]) END AS brand FROM cam JOIN site USING (id)), bt AS (SELECT site, string_agg(brand, ', ' ORDER BY f) AS t FROM (SELECT site, brand, min(id) AS f FROM br GROUP BY 1, 2) GROUP BY site),
+        wt AS (SELECT id, any_value(mode) AS mode, string_agg({compass('b')}, ' & ' ORDER BY k) AS one, string_agg({compass('b')} || '–' || {compass('(b + 180) % 360')}, ' & ' ORDER BY k) AS two FROM zone GROUP BY id), n AS (SELECT site, count(*) AS n, min(id) AS first FROM br GROUP BY site)
+        SELECT n.site, n, t || CASE WHEN n > 1 THEN ' · ' || n || ' cameras' ELSE '' END AS title, CASE mode WHEN 'any' THEN 'direction unknown' WHEN 'rear' THEN 'reads plates heading ' || one ELSE 'reads plates along ' || two END AS watches FROM n JOIN bt USING (site) JOIN wt ON wt.id = n.first""",
+    "exposed_road_km": EXPOSED + " SELECT round(sum(len) FILTER (u > 0) / 1000, 4) AS exposed_km, round(sum(len) / 1000, 4) AS all_km, (SELECT round(count(DISTINCT site) / (SELECT count(DISTINCT site) FROM site), 6) FROM expo) AS site_share FROM edge LEFT JOIN (SELECT edge_id, sum(units) AS u FROM expo GROUP BY 1) USING (edge_id)",
     "live_position_zones": BASE + f""", fx AS (SELECT event_id, CAST((event_id * 53) % 4000 AS DOUBLE) AS x, CAST((event_id * 31) % 4000 AS DOUBLE) AS y, CAST((coalesce(TRY_CAST(json_extract_string(props, '$.k') AS BIGINT), 0) * 37) % 360 AS DOUBLE) AS heading FROM events)
         SELECT DISTINCT f.event_id, z.id FROM zone z JOIN fx f ON f.x BETWEEN z.x - 62 AND z.x + 62 AND f.y BETWEEN z.y - 62 AND z.y + 62 WHERE {dist('(f.x - z.x)', '(f.y - z.y)', 'z.b', 'z.half', 'z.r')} <= z.eps AND {match('f.heading', 'z.b', 'z.mode', 'z.tol')}""",
 }

@@ -342,6 +342,17 @@ def site_alert_list(spark, d):
     return first.withColumn("n", F.row_number().over(Window.partitionBy("trip").orderBy("at_m", "site")))
 
 
+def route_lines(spark, d):
+    """Lines of made-up routes along the rows of the lattice, every other one driven backwards."""
+    from wayglass.operators import lines
+
+    g_ = src.road_geoms(spark, d)
+    points = g_.select(F.col("geom_id").alias("geom"), F.lit(0).alias("k"), F.col("ax").alias("x"), F.col("ay").alias("y")).unionByName(g_.select(F.col("geom_id").alias("geom"), F.lit(1).alias("k"), F.col("bx").alias("x"), F.col("by").alias("y")))
+    row, back = F.expr("u div 20"), F.expr("u div 20") % 2 == 1
+    legs = g_.filter("geom_id % 2 = 0").select(row.alias("route_id"), F.when(back, -(F.col("u") % 20)).otherwise(F.col("u") % 20).alias("seq"), F.col("geom_id").alias("geom"), back.alias("rev"))
+    return lines.route_line(legs, points)
+
+
 def ahead_names(spark, d):
     w = Window.partitionBy("trip").orderBy("start_m").rangeBetween(0, 60)
     named = F.when(F.col("seq") % 3 != 0, F.col("name"))
@@ -351,7 +362,7 @@ def ahead_names(spark, d):
 QUERIES = {f.__name__: f for f in (
     drivable_roads, speed_parse, road_label, travel_direction, way_split, geom_length, running_distance, signal_delay, edge_headings, free_flow_times, quantise, turn_bans, turn_ban_pairs, edge_twins, transitions, legal_transitions,
     largest_scc, carried_sites, sites_between, shortest_times, shortest_times_priced, route_paths, route_alternatives, budget_routes, route_steps, diverse_options, pareto_frontier, camera_score, option_labels, snap_nearest, clip_ways, filter_referenced,
-    vertex_node_join, restriction_semijoin, parallel_edge_min, edge_numbering, edge_pointers, address_order, multipolygon_centres, label_dictionary, route_turns, route_spans, site_alert_list, ahead_names,
+    vertex_node_join, restriction_semijoin, parallel_edge_min, edge_numbering, edge_pointers, address_order, multipolygon_centres, label_dictionary, route_turns, route_spans, site_alert_list, ahead_names, route_lines,
 )}
 
 # ---------------------------------------------------------------------------------------------- SQL
@@ -449,5 +460,6 @@ ORACLES = {
     "route_turns": f"WITH {EDGES}, st AS (SELECT src // 20 - src % 20 + geom_id % 2 AS trip, 2 * (src % 20) - geom_id % 2 AS seq, len, time_s, heading FROM edge WHERE NOT rev), tn AS (SELECT *, lag(heading) OVER (PARTITION BY trip ORDER BY seq) AS h FROM st WHERE trip >= 0 AND seq >= 0) SELECT trip, round(sum(time_s), 4) AS time_s, round(sum(len), 4) AS len_m, count(*) FILTER (least(abs(heading - h), 360 - abs(heading - h)) > 45) AS turns FROM tn GROUP BY trip",
     "route_spans": EXPOSED + ROUTE + " SELECT trip, site, round(min_by(start_m + entry_m, seq), 4) AS from_m, round(max(start_m + exit_m), 4) AS to_m FROM rt JOIN expo USING (edge_id) GROUP BY trip, site",
     "site_alert_list": EXPOSED + ROUTE + " SELECT trip, site, at_m, CAST(row_number() OVER (PARTITION BY trip ORDER BY at_m, site) AS INTEGER) AS n FROM (SELECT trip, site, min(round(start_m + entry_m, 4)) AS at_m FROM rt JOIN expo USING (edge_id) GROUP BY trip, site)",
+    "route_lines": f"WITH {EDGES}, pt AS (SELECT u // 20 AS route_id, u // 20 % 2 AS back, u % 20 AS c, ax AS x, ay AS y FROM geom WHERE geom_id % 2 = 0 UNION SELECT u // 20, u // 20 % 2, u % 20 + 1, bx, by_ FROM geom WHERE geom_id % 2 = 0) SELECT route_id, CAST(row_number() OVER (PARTITION BY route_id ORDER BY CASE WHEN back = 1 THEN -c ELSE c END) - 1 AS INTEGER) AS i, x, y FROM pt",
     "ahead_names": f"WITH {EDGES}{ROUTE} SELECT trip, seq, first_value(CASE WHEN seq % 3 <> 0 THEN name END IGNORE NULLS) OVER (PARTITION BY trip ORDER BY start_m RANGE BETWEEN CURRENT ROW AND 60 FOLLOWING) AS ahead FROM rt",
 }

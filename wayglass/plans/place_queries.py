@@ -182,13 +182,14 @@ def town_for_point(spark, d):
 
 
 def piece_components(spark, d):
-    """Streets of one name within 400 m of each other are one street: components by name."""
-    from wayglass.plans.iterate import component_labels
-
+    """Streets of one name within 400 m of each other are one street, boulevards within 2,000 m: components by name."""
     s = streets(spark, d)
-    a, b = s.select(F.col("street_id").alias("a"), "name", "x", "y"), s.select(F.col("street_id").alias("b"), F.col("name").alias("other"), F.col("x").alias("x2"), F.col("y").alias("y2"))
-    links = proximity_join(a, b, 400.0).filter("name = other and a < b").select("a", "b")
-    return component_labels(s.select(F.col("street_id").alias("node")), links).select(F.col("node").alias("street_id"), F.col("label").alias("piece"))
+    return pl.street_pieces(s.withColumn("major", F.endswith("name", F.lit("Boulevard"))))
+
+
+def thinned_addresses(spark, d):
+    a = addresses(spark, d).select(F.col("of").alias("street_id"), "addr_id", "x", "y")
+    return pl.thinned(a, "street_id", 400.0, ["addr_id"]).select("street_id", "addr_id")
 
 
 def _regions(spark, d):
@@ -248,7 +249,7 @@ def url_state(spark, d):
 
 QUERIES = {f.__name__: f for f in (
     text_words, street_keys, house_number_split, format_labels, place_kinds, place_dedupe, street_points, loose_address_match, street_town, address_dedupe, search_tokens, search_streets, search_places, topk_search, result_dedupe,
-    search_address, interpolate_number, reverse_geocode, coordinate_result, street_nearest_point, town_for_point, piece_components, region_for_point, nearest_areas, ranked_areas, town_candidates, area_text_match, initial_area, url_state,
+    search_address, interpolate_number, reverse_geocode, coordinate_result, street_nearest_point, town_for_point, piece_components, region_for_point, nearest_areas, ranked_areas, town_candidates, area_text_match, initial_area, url_state, thinned_addresses,
 )}
 
 # ---------------------------------------------------------------------------------------------- SQL
@@ -354,7 +355,8 @@ ORACLES = {
     "street_nearest_point": f"WITH {ADDR} SELECT of_ AS street_id, addr_id FROM ad QUALIFY row_number() OVER (PARTITION BY of_ ORDER BY round(sqrt((x - 700) ** 2 + (y - 900) ** 2), 6), addr_id) = 1",
     "town_for_point": f"WITH {PLACES}, tw AS (SELECT n_name AS town, n_nationkey * 1700 % 9000 AS x, n_nationkey * 2300 % 9000 AS y, CASE n_regionkey % 3 WHEN 0 THEN 2.5 WHEN 1 THEN 1.5 ELSE 1.0 END AS w FROM nation), n AS (SELECT place_id, town, sqrt((pk.x - tw.x) ** 2 + (pk.y - tw.y) ** 2) AS d, w FROM pk, (SELECT town, x, y, w FROM tw) tw).".replace(").", ")").replace("SELECT place_id, town, sqrt", "SELECT place_id, tw.town, sqrt")
     + " SELECT place_id AS point_id, town FROM (SELECT * FROM n WHERE d <= 37500 QUALIFY row_number() OVER (PARTITION BY place_id ORDER BY d, town) <= 8) WHERE d / w <= 15000 QUALIFY row_number() OVER (PARTITION BY place_id ORDER BY d / w, town) = 1",
-    "piece_components": f"WITH RECURSIVE {STREETS}, l AS (SELECT a.street_id AS a, b.street_id AS b FROM st a JOIN st b ON a.name = b.name AND a.street_id <> b.street_id AND sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) <= 400), r(a, b) AS (SELECT street_id, street_id FROM st UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a) SELECT a AS street_id, min(b) AS piece FROM r GROUP BY a",
+    "thinned_addresses": f"WITH {ADDR} SELECT of_ AS street_id, min(addr_id) AS addr_id FROM ad GROUP BY of_, floor(x / 400), floor(y / 400)",
+    "piece_components": f"WITH RECURSIVE {STREETS}, l AS (SELECT a.street_id AS a, b.street_id AS b FROM st a JOIN st b ON a.name = b.name AND a.street_id <> b.street_id AND sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) <= CASE WHEN a.name LIKE '%Boulevard' THEN 2000 ELSE 400 END), r(a, b) AS (SELECT street_id, street_id FROM st UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a) SELECT a AS street_id, min(b) AS piece FROM r GROUP BY a",
     "region_for_point": f"WITH {REGIONS}, {FIXES} SELECT event_id, region FROM fx JOIN rg ON x BETWEEN x0 AND x1 AND y BETWEEN y0 AND y1 QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY least(x - x0, x1 - x, y - y0, y1 - y) DESC, region) = 1",
     "nearest_areas": f"WITH {REGIONS} SELECT region, round(sqrt(((x0 + x1) / 2 - 1000) ** 2 + ((y0 + y1) / 2 - 1000) ** 2), 4) AS m FROM rg ORDER BY m, region LIMIT 4",
     "ranked_areas": f"WITH {REGIONS}, q AS (SELECT *, least(1000 - x0, x1 - 1000, 1000 - y0, y1 - 1000) AS room, count(*) OVER (PARTITION BY r_name) AS n FROM rg) SELECT CAST(row_number() OVER (ORDER BY room DESC, n DESC, region) AS INTEGER) AS i, region, room FROM q",

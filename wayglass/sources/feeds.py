@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import gzip
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wayglass.operators.release import newest
@@ -52,6 +55,33 @@ def verified(spark: SparkSession, path: str, sha256: str) -> DataFrame:
     return df.withColumn("checked", F.assert_true(ok, F.lit("hash differs"))).drop("checked")
 
 
+def inflated(files: DataFrame) -> DataFrame:
+    """Binary files (path, content) with their content unpacked where its first bytes say gzip."""
+
+    @F.pandas_udf("binary")
+    def unpack(content: pd.Series) -> pd.Series:
+        return content.map(lambda c: gzip.decompress(c) if c[:2] == b"\x1f\x8b" else c)
+
+    return files.withColumn("content", unpack("content"))
+
+
+def _little(column: str, at: int, size: int) -> Column:
+    """A signed little-endian number at a place of a binary column."""
+    digits = F.hex(F.substring(column, at + 1, size))
+    raw = F.conv(F.concat(*[F.substring(digits, 2 * k + 1, 2) for k in reversed(range(size))]), 16, 10).cast("long")
+    return F.when(raw >= 1 << (8 * size - 1), raw - (1 << (8 * size))).otherwise(raw)
+
+
+def basemaps(spark: SparkSession, path: str) -> DataFrame:
+    """path, west, south, east, north (degrees), min_zoom, max_zoom from the fixed headers of tile archives; other files are an error."""
+    df = spark.read.format("binaryFile").load(path).select("path", F.substring("content", 1, 127).alias("head"))
+    magic = F.substring("head", 1, 8)
+    df = df.withColumn("ok", F.assert_true(magic == F.lit(b"PMTiles\x03"), F.lit("not a tile archive of version 3")))
+    # fixed places of the format: zooms at 100 and 101, bounds in 1e-7 degrees from 102
+    degrees = [(_little("head", 102 + 4 * k, 4) / 1e7).alias(name) for k, name in enumerate(("west", "south", "east", "north"))]
+    return df.filter("ok is null").select("path", *degrees, _little("head", 100, 1).alias("min_zoom"), _little("head", 101, 1).alias("max_zoom"))
+
+
 def manifest(spark: SparkSession, path: str, schema: int = 2) -> DataFrame:
     """Rows of a manifest's regions; refused unless its schema number is the one that is understood."""
     df = spark.read.option("multiLine", True).json(path)

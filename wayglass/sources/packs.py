@@ -110,6 +110,33 @@ def road_edges(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, schema)
 
 
+def vertices(spark: SparkSession, path: str) -> DataFrame:
+    """path, geom_id, k, lon_q, lat_q (millionths of a degree) of the geometries of road packs: steps that start anew with each geometry."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for p, content in zip(b["path"], b["content"], strict=True):
+                _, a = unpacked(content)
+                ends = a["geom_ptr"].astype(np.int64)
+                of = np.repeat(np.arange(len(ends) - 1), np.diff(ends))
+                yield pd.DataFrame({"path": p, "geom_id": of, "k": np.arange(len(of)) - ends[:-1][of], "lon_q": restarted(a["geom_dlon"], ends[:-1]), "lat_q": restarted(a["geom_dlat"], ends[:-1])})
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "path string, geom_id long, k long, lon_q long, lat_q long")
+
+
+def geom_labels(spark: SparkSession, path: str) -> DataFrame:
+    """path, geom_id, label of road packs; empty where a pack has no labels."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for p, content in zip(b["path"], b["content"], strict=True):
+                _, a = unpacked(content)
+                names = np.array(strings(a["labels"]) if "labels" in a else [""], object)
+                yield pd.DataFrame({"path": p, "geom_id": np.arange(len(a["geom_label"])), "label": names[a["geom_label"].astype(np.int64)]})
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "path string, geom_id long, label string")
+
+
 def write(spark: SparkSession, path: str, data: bytes) -> None:
     """Publish one region's pack. The bytes are written under another name in the same folder; a single rename that may overwrite makes them visible."""
     jvm = spark._jvm

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import time
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wayglass.operators.jobs import LEAST_SHARE
 from wayglass.operators.release import newest
+from wayglass.plans.iterate import cut
 
 
 def gate(fresh: DataFrame, before: DataFrame | None) -> str:
@@ -37,6 +41,9 @@ class Snapshots:
         return self.spark.read.parquet(f"{self.folder}/snapshot={found[-1]}") if found else None
 
     def publish(self, fresh: DataFrame, number: int) -> str:
+        """ok, or why the table isn't taken. A number that is there already is written beside it first: it may be what is read from."""
+        if number in self._versions():
+            fresh = cut(fresh)
         verdict = gate(fresh, self.current())
         if verdict == "ok":
             fresh.write.mode("overwrite").parquet(f"{self.folder}/snapshot={number}")
@@ -50,6 +57,62 @@ class Snapshots:
         return self.publish(kept.filter(~F.coalesce(F.col("deleted"), F.lit(False))) if "deleted" in kept.columns else kept, number)
 
 
+class Unreachable(RuntimeError):
+    """The server of change files didn't say how far it is."""
+
+
+#: Seconds between attempts to read the server's state, change files that are merged at once.
+RETRY_S, CHUNK = (10.0, 30.0, 60.0), 64
+
+
+class Replica:
+    """A table that follows numbered change files: <source>/<number>.parquet, each with whole versions of changed objects.
+
+    The position is the number of the newest snapshot, so a merge and its position are one and the same write. A backlog is merged in chunks;
+    if files that are needed are gone, the table starts anew from a full copy.
+    """
+
+    def __init__(self, snapshots: Snapshots, source: str, latest: Callable[[], int | None], fresh: Callable[[], tuple[DataFrame, int]], sleep: Callable[[float], None] = time.sleep):
+        self.snapshots, self.source, self.latest, self.fresh, self.sleep = snapshots, source.rstrip("/"), latest, fresh, sleep
+
+    def position(self) -> int | None:
+        done = self.snapshots._versions()
+        return done[-1] if done else None
+
+    def _asked(self) -> int:
+        for wait in (*RETRY_S, None):
+            found = self.latest()
+            if found is not None:
+                return found
+            if wait is not None:
+                self.sleep(wait)
+        raise Unreachable(self.source)
+
+    def restart(self) -> int:
+        table, number = self.fresh()
+        self.snapshots.publish(table, number)
+        return number
+
+    def update(self, rewind: int = 0, chunk: int = CHUNK) -> tuple[int, bool]:
+        """(position, whether anything changed). rewind: so many of the files before are merged again, which changes nothing that is there."""
+        at = self.position()
+        if at is None:
+            return self.restart(), True
+        last, start = self._asked(), max(1, at + 1 - rewind)
+        if last < start:
+            return at, False
+        spark = self.snapshots.spark
+        there = lambda n: spark._jvm.org.apache.hadoop.fs.Path(f"{self.source}/{n}.parquet")
+        fs = there(start).getFileSystem(spark._jsc.hadoopConfiguration())
+        while start <= last:
+            stop = min(start + chunk - 1, last)
+            if not all(fs.exists(there(n)) for n in range(start, stop + 1)):
+                return self.restart(), True
+            self.snapshots.merge(spark.read.parquet(*[f"{self.source}/{n}.parquet" for n in range(start, stop + 1)]), max(stop, at))
+            start = stop + 1
+        return self.position(), True
+
+
 def follow_changes(stream: DataFrame, snapshots: Snapshots, checkpoint: str, key: str = "id", version: str = "version"):
     """A query that merges each micro-batch; batch ids make a repeated batch overwrite itself."""
     return stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(lambda df, n: snapshots.merge(df, n, key, version) and None).start()
