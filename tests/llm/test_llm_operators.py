@@ -108,6 +108,37 @@ def test_quality_rules(docs, empty):
     assert quality_rules(empty).count() == 0
 
 
+def test_quality_rules_drops_hosts_that_fail(spark):
+    rng = random.Random(31)
+    say = lambda n: " ".join(f"w{rng.randrange(9999)}" for _ in range(n))
+    rows = []
+    for host, n, bad in (("good", 60, 3), ("short", 50, 45), ("lines", 40, 36), ("small", 2, 2), (None, 30, 1), ("half", 30, 15)):
+        for k in range(n):
+            text = say(80)
+            if k < bad:
+                text = "\n".join([say(60)] + ["the same line again and again here"] * 12) if host == "lines" else say(20)
+            rows.append((len(rows), host, text))
+    got = {r["doc_id"]: r for r in quality_rules(spark.createDataFrame(rows, "doc_id long, source string, text string")).collect()}
+    # moments and shrunk rates by hand
+    fails = {}
+    for i, host, t in rows:
+        lines = t.split("\n")
+        base = got[i]["base_failed"]
+        fails.setdefault(host, []).append((base, False, 100 * (len(lines) - len(set(lines))) > 60 * len(lines)))
+    gone = set()
+    for rule in range(3):
+        n = sum(map(len, fails.values()))
+        k = {h: sum(f[rule] for f in fs) for h, fs in fails.items()}
+        mean = sum(k.values()) / n
+        spread = sum(k[h] ** 2 / len(fs) for h, fs in fails.items()) / n - mean**2
+        strength = min(max(mean * (1 - mean) / spread - 1, 1.0), 1e6) if spread > 0 else 1e6
+        gone |= {h for h, fs in fails.items() if (k[h] + mean * strength) / (len(fs) + strength) > 0.5}
+    assert {"short", "lines"} <= gone and not gone & {"good", None}
+    for i, host, _ in rows:
+        assert got[i]["kept"] == (not got[i]["base_failed"] and host not in gone), (i, host)
+    assert any(not got[i]["base_failed"] and not got[i]["kept"] for i in got)
+
+
 def kept_lines(rows, least):
     keys = Counter()
     key = lambda x: x.strip(" \t\n\x0b\f\r").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
