@@ -197,6 +197,7 @@ class Region:
     """A region's graph, sent to its tasks once; they keep it for the rounds that follow. Refuses more than the limits before it collects any."""
 
     def __init__(self, edges: DataFrame, moves: DataFrame, starts: DataFrame | None = None, exposure: DataFrame | None = None):
+        edges, moves, starts, exposure = (None if df is None else cut(df) for df in (edges, moves, starts, exposure))
         for df, most, what in ((edges, MAX_EDGES, "edges"), (moves, MAX_MOVES, "moves"), (exposure, MAX_MOVES, "exposures")):
             n = df.count() if df is not None else 0
             if n > most:

@@ -13,7 +13,7 @@ from wayglass.sources import adapters as src
 
 from . import camera_queries as cq
 from .camera_queries import EDGES, EXPOSED, wrap
-from .iterate import numbered
+from .iterate import cut, numbered
 
 # ------------------------------------------------------------------------------------------ adapters
 
@@ -78,8 +78,8 @@ def exposed(spark: SparkSession, d: str) -> DataFrame:
 
 
 def priced(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """edges, moves with w, weights of starting on an edge."""
-    e, m, x = cq.edges(spark, d), moves(spark, d), exposed(spark, d)
+    """edges, moves with w, weights of starting on an edge. Exposure and moves are worked out once."""
+    e, m, x = cq.edges(spark, d), cut(moves(spark, d)), cut(exposed(spark, d))
     w = g.new_sites(m, x)
     ends = src.road_nodes(spark, d).select(F.col("node_id").alias("dst"), "x", "y")
     return e.join(ends, "dst").drop("class", "kmh", "name"), m.join(w, ["e", "f"], "left").fillna(0.0, ["w"]), x.groupBy("edge_id").agg(F.sum("weight").alias("w"))

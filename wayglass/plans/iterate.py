@@ -57,14 +57,19 @@ def numbered(df: DataFrame, order: list[str], name: str = "i") -> DataFrame:
 
 
 def component_labels(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """node, label (smallest node of its component). nodes: node. links: a, b. Labels spread along links, and jump to their label's label."""
-    both = cut(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    start = nodes.select("node", F.col("node").alias("label"))
+    """node, label (smallest node of its component). nodes: node. links: a, b. Labels spread along links, and jump to their label's label.
+
+    Only nodes with links take part in the rounds; the others keep their own label.
+    """
+    both = cut(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct())
+    # the first round needs no labels: the smallest of a node and its neighbours
+    start = both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("a"), F.min("b")).alias("label"))
 
     def step(state: DataFrame) -> DataFrame:
         heard = both.join(state, F.col("b") == F.col("node")).groupBy("a").agg(F.min("label").alias("m"))
-        near = state.join(heard, F.col("node") == F.col("a"), "left").select("node", F.least("label", F.coalesce("m", "label")).alias("label"))
+        near = state.join(heard, F.col("node") == F.col("a")).select("node", F.least("label", "m").alias("label"))
         far = near.select(F.col("node").alias("via"), F.col("label").alias("further"))
         return near.join(far, F.col("label") == F.col("via"), "left").select("node", F.least("label", F.coalesce("further", "label")).alias("label"))
 
-    return until_stable(start, step, ["node", "label"])
+    found = until_stable(start, step, ["node", "label"])
+    return nodes.select("node").join(found.withColumnRenamed("node", "n"), F.col("node") == F.col("n"), "left").select("node", F.coalesce("label", "node").alias("label"))
