@@ -139,6 +139,13 @@ def site_cards(spark, d):
     return out.select("site", F.col("n").cast("long").alias("n"), "title", "watches")
 
 
+def camera_sectors(spark, d):
+    """Outlines of each camera's first sector for display: the points in order."""
+    z = cam.camera_zones(src.cameras(spark, d)).withColumn("s", F.get("sectors", F.lit(0)))
+    out = z.select("id", F.posexplode(geo.sector_points("x", "y", F.col("s.bearing"), F.col("s.half_angle"), "range_m")).alias("i", "p"))
+    return out.select("id", "i", F.round("p.x", 4).alias("x"), F.round("p.y", 4).alias("y"))
+
+
 def live_position_zones(spark, d):
     z = cam.camera_zones(src.cameras(spark, d)).select("id", F.col("x").alias("x2"), F.col("y").alias("y2"), "mode", "sectors", "range_m", "eps_m", "tol")
     near = proximity_join(src.fixes(spark, d).select("event_id", "x", "y", "heading"), z, 62.0)
@@ -148,7 +155,7 @@ def live_position_zones(spark, d):
 
 QUERIES = {f.__name__: f for f in (
     camera_direction_parse, direction_quality, camera_zones, zone_reference, sector_distance_grid, capture_predicate, camera_site_pairs, capture_sites, edge_exposure, exposure_totals,
-    edge_exposure_rings, near_only_sites, segment_zone_join, orphan_cameras, density_cells, brand_topn, duplicate_cells, exposed_road_km, site_cards, live_position_zones,
+    edge_exposure_rings, near_only_sites, segment_zone_join, orphan_cameras, density_cells, brand_topn, duplicate_cells, exposed_road_km, site_cards, camera_sectors, live_position_zones,
 )}
 
 # ---------------------------------------------------------------------------------------------- SQL
@@ -260,6 +267,9 @@ ORACLES = {
     "density_cells": f"WITH {CAMERAS} SELECT CAST(floor(x / 1000) AS BIGINT) AS cx, CAST(floor(y / 1000) AS BIGINT) AS cy, count(*) AS n FROM cam GROUP BY 1, 2 ORDER BY n DESC, cx, cy LIMIT 8",
     "brand_topn": f"WITH {CAMERAS} SELECT operator, count(*) AS n FROM cam GROUP BY 1 ORDER BY n DESC, operator LIMIT 5",
     "duplicate_cells": f"WITH {CAMERAS} SELECT CAST(floor(x / 22) AS BIGINT) AS cx, CAST(floor(y / 22) AS BIGINT) AS cy, count(*) AS n FROM cam GROUP BY 1, 2 HAVING count(*) > 1",
+    "camera_sectors": BASE
+    + """, f AS (SELECT id, any_value(x) AS x, any_value(y) AS y, min_by(b, k) AS b, min_by(half, k) AS h, any_value(r) AS r FROM zone GROUP BY id), g AS (SELECT *, unnest(range(0, 10)) AS i FROM f)
+        SELECT id, CAST(i AS INTEGER) AS i, round(CASE WHEN i = 0 THEN x ELSE x + r * sin(radians(b - h + h * (i - 1) / 4)) END, 4) AS x, round(CASE WHEN i = 0 THEN y ELSE y + r * cos(radians(b - h + h * (i - 1) / 4)) END, 4) AS y FROM g""",
     "site_cards": BASE
     + f""", br AS (SELECT id, site, CASE WHEN brand LIKE '% %' THEN brand ELSE brand[1] || lower(brand[2:]) END AS brand FROM cam JOIN site USING (id)), bt AS (SELECT site, string_agg(brand, ', ' ORDER BY f) AS t FROM (SELECT site, brand, min(id) AS f FROM br GROUP BY 1, 2) GROUP BY site),
         wt AS (SELECT id, any_value(mode) AS mode, string_agg({compass('b')}, ' & ' ORDER BY k) AS one, string_agg({compass('b')} || '–' || {compass('(b + 180) % 360')}, ' & ' ORDER BY k) AS two FROM zone GROUP BY id), n AS (SELECT site, count(*) AS n, min(id) AS first FROM br GROUP BY site)

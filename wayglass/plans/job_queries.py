@@ -182,6 +182,26 @@ def street_names_ok(spark, d):
     return src.table(spark, d, "part").select(F.col("p_partkey").alias("id"), name.alias("name")).filter(text.plausible_street(F.col("name"))).select("id")
 
 
+def other_names(spark, d):
+    """Names of a street besides its main one."""
+    k = F.col("p_partkey")
+    names = F.array(F.col("p_name"), F.when(k % 2 == 0, "Old Road"), F.when(k % 3 == 0, F.upper("p_name")), F.when(k % 5 == 0, "old road"), F.when(k % 7 == 0, "US 75"))
+    return src.table(spark, d, "part").select(k.alias("id"), text.alternatives(names, F.col("p_name")).alias("others"))
+
+
+def route_sweep(spark, d):
+    """Means over routed trips at each price of the sweep, against the trips' fastest paths."""
+    from wayglass.operators import routing
+
+    from . import graph_queries as gq
+
+    prices = F.explode(F.array(*[F.lit(p) for p in (0.0, *routing.SWEEP)]))
+    asked = gq.trips(spark, d, 60).withColumn("price", prices).repartition("trip_id", "price")
+    found = routing.solve(asked, routing.Region(*gq.priced(spark, d))).filter("time_s > 0")
+    rows = found.select(F.xxhash64("trip_id", "price").alias("id"), F.col("trip_id").alias("pair"), F.col("price").alias("lam"), F.col("time_s").alias("t"), F.col("score").alias("d"), F.col("length_m").alias("l"))
+    return ev.sweep_summary(ev.with_baseline(rows, ["pair"], ["t", "d"]), ["lam"])
+
+
 def experiment_summary(spark, d):
     out = ev.sweep_summary(sweep(spark, d), ["run", "lam"])
     return out.select("run", "lam", "n", *[F.round(c, 6).alias(c) for c in ("sites", "sites_median", "sites_p90", "overhead", "overhead_p90", "clear", "per_10km")])
@@ -246,7 +266,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         tile_dedupe, feed_gate, region_validate, listing_parse, release_paths, manifest_merge, manifest_reuse, prune_keys, key_difference, multiset_difference, retained_files, latest_request, batch_plan, region_states, stalest_source, newest_build, outcome_report,
-        us_cameras, national_split, spatial_row_sort, route_rows, street_names_ok, experiment_summary, budget_summary, budget_best, bench_percentiles, option_histogram, showcase_trip, match_fix_to_route, tap_route, playback_positions, upcoming_maneuvers, spoken_prompts, stop_names, held_banners,
+        us_cameras, national_split, spatial_row_sort, route_rows, street_names_ok, other_names, route_sweep, experiment_summary, budget_summary, budget_best, bench_percentiles, option_histogram, showcase_trip, match_fix_to_route, tap_route, playback_positions, upcoming_maneuvers, spoken_prompts, stop_names, held_banners,
     )
 }
 
@@ -300,6 +320,7 @@ ORACLES = {
     "spatial_row_sort": "SELECT c_custkey AS id, c_custkey * 91 % 4000 // 1000 AS row, rank() OVER (PARTITION BY c_custkey * 91 % 4000 // 1000 ORDER BY c_custkey * 37 % 4000, c_custkey * 91 % 4000, c_custkey) AS i FROM customer",
     "route_rows": "SELECT o_orderkey AS id, round((600 + o_orderkey % 97) / 60, 6) AS minutes, round((3000 + o_orderkey % 1000) / 1000, 6) AS km, o_orderkey % 4 AS n_sites, CASE WHEN o_orderkey % 4 <> 0 THEN o_custkey + 1 END AS first_site FROM orders",
     "street_names_ok": "SELECT p_partkey AS id FROM part WHERE p_partkey % 11 <> 0 AND p_partkey % 7 <> 0 AND p_partkey % 5 <> 0 AND regexp_matches(p_name, '[A-Za-z]')",
+    "other_names": "SELECT p_partkey AS id, concat_ws(' · ', CASE WHEN p_partkey % 2 = 0 THEN 'Old Road' WHEN p_partkey % 5 = 0 THEN 'old road' END, CASE WHEN p_partkey % 7 = 0 THEN 'US 75' END) AS others FROM part",
     "experiment_summary": f"""WITH {SWEEP} SELECT run, lam, count(*) AS n, round(avg(d), 6) AS sites, round(median(d), 6) AS sites_median, round(quantile_cont(d, 0.9), 6) AS sites_p90, round(avg(over), 6) AS overhead, round(quantile_cont(over, 0.9), 6) AS overhead_p90, round(count(*) FILTER (d = 0) / count(*), 6) AS clear,
         round(10000 * sum(d) / sum(l), 6) AS per_10km FROM sw GROUP BY run, lam""",
     "budget_summary": f"""WITH {SWEEP}, m AS (SELECT run, pair, d0, budget, min(CASE WHEN over <= budget + 0.000000001 THEN d END) AS sites FROM sw, (VALUES (0.05::DOUBLE), (0.1::DOUBLE), (0.2::DOUBLE), (0.5::DOUBLE)) b(budget) GROUP BY ALL)
