@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import text_of
+from .store import lean, text_of
 
 WINDOW = 1024
 #: content: "ids binary" (little-endian unsigned 32-bit ids) or "ids_crc32 long" (their unsigned CRC-32).
@@ -217,5 +217,5 @@ def pack(docs: DataFrame, tokenizer: str, *, end: int = 0, window: int = WINDOW,
 
         yield from pack_task(batches, encoder(tokenizer), end, window, TaskContext.get().partitionId(), block_tokens, schema, digest)
 
-    return own.mapInArrow(run, ddl)
+    return own.mapInArrow(lean(run), ddl)
 

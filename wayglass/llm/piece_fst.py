@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import text_of
+from .store import lean, text_of
 
 ESCAPED = "▁"
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
@@ -239,4 +239,4 @@ def piece_codes(docs: DataFrame, model_file: str, *, text: str = "text", doc_id:
             )
 
     kind = own.schema["doc_id"].dataType.simpleString()
-    return own.mapInPandas(run, f"doc_id {kind}, {'ids binary, ' if ids else ''}n_ids long, ids_crc32 long, decoded_sha256 string, round_trip boolean")
+    return own.mapInPandas(lean(run), f"doc_id {kind}, {'ids binary, ' if ids else ''}n_ids long, ids_crc32 long, decoded_sha256 string, round_trip boolean")

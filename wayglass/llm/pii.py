@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import text_of
+from .store import lean, text_of
 
 KINDS = ("email", "ip", "card", "phone")
 #: Labels of the field; the first is "outside".
@@ -368,8 +368,7 @@ def pii(docs: DataFrame, *, text: str = "text", redact: bool = False) -> DataFra
     """row (all columns of docs), found: struct(n_email, n_ip, n_card, n_phone, n_added, base_sha256, spans, redacted)."""
     model = Field.fit(labelled_table())
 
-    @F.pandas_udf("n_email long, n_ip long, n_card long, n_phone long, n_added long, base_sha256 string, spans string, redacted string")
-    def search(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def found_in(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         decoder = Decoder(model)
         for texts in batches:
             rows = []
@@ -381,4 +380,8 @@ def pii(docs: DataFrame, *, text: str = "text", redact: bool = False) -> DataFra
                 rows.append((*map(len, base), len(added), hashlib.sha256(plain.encode()).hexdigest(), ",".join(x for x in (plain, more) if x), redacted(t, every) if redact and every else None))
             yield pd.DataFrame(rows, columns=["n_email", "n_ip", "n_card", "n_phone", "n_added", "base_sha256", "spans", "redacted"])
 
+    @F.pandas_udf("n_email long, n_ip long, n_card long, n_phone long, n_added long, base_sha256 string, spans string, redacted string")
+    def search(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        return lean(found_in)(batches)
+
     return docs.select(F.struct("*").alias("row"), search(text_of(text)).alias("found"))

@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .store import text_of, written
+from .store import lean, text_of, written
 
 CACHE = 150_000
 BAND_RATIO = 1.2
@@ -273,8 +273,8 @@ class TreeJoin:
 # ------------------------------------------------------------------------------------------------ the distributed join
 
 #: Elements that a task counts at once, key rows that it combines at once, and elements of sets in one block: bounds of memory.
-SET_ELEMENTS = 3_000_000
-KEY_ROWS = 1_500_000
+SET_ELEMENTS = 1_000_000
+KEY_ROWS = 600_000
 BLOCK_ELEMENTS = 2_000_000
 
 
@@ -313,7 +313,7 @@ def set_table(docs: DataFrame, rules: JaccardRules, *, text: str, doc_id: str) -
         if sets:
             yield frequent(sets)
 
-    return own.mapInPandas(run, f"id {own.schema['id'].dataType.simpleString()}, th long, n_shingles long, digest binary, cls long, element long, held long")
+    return own.mapInPandas(lean(run), f"id {own.schema['id'].dataType.simpleString()}, th long, n_shingles long, digest binary, cls long, element long, held long")
 
 
 def frequent_elements(table: DataFrame, rules: JaccardRules) -> np.ndarray:
@@ -405,8 +405,8 @@ def candidate_links(docs: DataFrame, rules: JaccardRules, frequent: np.ndarray |
         a, b = forest(pairs[:, 0], pairs[:, 1])
         return pd.DataFrame({"a": a, "b": b})
 
-    keyed = docs.select(text_of(text).alias("t")).mapInPandas(emit, "key long, a long, b long")
-    return keyed.repartition("key").sortWithinPartitions("key", "a").mapInPandas(stars, "a long, b long")
+    keyed = docs.select(text_of(text).alias("t")).mapInPandas(lean(emit), "key long, a long, b long")
+    return keyed.repartition("key").sortWithinPartitions("key", "a").mapInPandas(lean(stars), "a long, b long")
 
 
 def _tree_links(rules: JaccardRules, kind: str):

@@ -38,7 +38,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import text_of, written
+from .store import lean, text_of, written
 
 
 @dataclass(frozen=True)
@@ -190,7 +190,7 @@ def _anchor_rows(texts: DataFrame, rules: SuffixRules) -> DataFrame:
             if out:
                 yield pd.DataFrame({"h": np.concatenate([h for h, _, _ in out]).view(np.int64), "tid": np.repeat([t for _, t, _ in out], [len(p) for _, _, p in out]), "pos": np.concatenate([p for _, _, p in out])})
 
-    return texts.select("tid", "t").mapInPandas(run, "h long, tid long, pos long")
+    return texts.select("tid", "t").mapInPandas(lean(run), "h long, tid long, pos long")
 
 
 def _contexts(joined: DataFrame, rules: SuffixRules) -> DataFrame:
@@ -243,7 +243,7 @@ def _contexts(joined: DataFrame, rules: SuffixRules) -> DataFrame:
             if rows:
                 yield pd.DataFrame(rows, columns=columns)
 
-    return joined.select("td", "t", "places", "crowded").mapInPandas(run, CONTEXTS)
+    return joined.select("td", "t", "places", "crowded").mapInPandas(lean(run), CONTEXTS)
 
 
 def cut_context(rel: int, ctx: bytes, width: int, length: int) -> Iterator[tuple[int, bytes, int, int]]:
@@ -272,7 +272,7 @@ def _cut(left: DataFrame, width: int, rules: SuffixRules) -> DataFrame:
             if rows:
                 yield pd.DataFrame(rows, columns=columns)
 
-    return left.select("g", "rel", "ctx", "td", "start", "stop", "n").mapInPandas(run, CONTEXTS)
+    return left.select("g", "rel", "ctx", "td", "start", "stop", "n").mapInPandas(lean(run), CONTEXTS)
 
 
 def _combined(rows: pd.DataFrame) -> pd.DataFrame:
@@ -357,7 +357,7 @@ def _settle(contexts: DataFrame, rules: SuffixRules) -> DataFrame:
         if carried is not None:
             yield _combined(carried)
 
-    return contexts.repartition("key").sortWithinPartitions("full", "key").mapInPandas(run, SETTLED)
+    return contexts.repartition("key").sortWithinPartitions("full", "key").mapInPandas(lean(run), SETTLED)
 
 
 def repeated_ranges(texts: DataFrame, rules: SuffixRules) -> DataFrame:

@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .store import text_of, written
+from .store import lean, text_of, written
 
 #: Places in a worker's memory of words: bounds its memory, changes no result.
 CACHE = 150_000
@@ -234,7 +234,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, rules: ToxicityRules = Toxi
         for b in batches:
             yield pd.DataFrame({"id": b["id"], "label": b["label"], "fired": [hand_votes(t) for t in b["t"]]})
 
-    heads = rows.mapInPandas(voted, f"id {kind}, label int, fired array<int>").orderBy(F.xxhash64("id"), "id").collect()  # votes of the sample
+    heads = rows.mapInPandas(lean(voted), f"id {kind}, label int, fired array<int>").orderBy(F.xxhash64("id"), "id").collect()  # votes of the sample
     label = np.array([r["label"] for r in heads], int)
     if not (label == 1).any():
         return ToxicityModel({}, -800.0)
@@ -263,7 +263,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, rules: ToxicityRules = Toxi
                     yield table()
         yield table()
 
-    counts = rows.join(F.broadcast(given), "id").select("t", "p").mapInPandas(counted, "f string, n long, heavy double").groupBy("f").agg(F.sum("n").alias("n"), F.round(F.sum("heavy"), 4).alias("heavy"))
+    counts = rows.join(F.broadcast(given), "id").select("t", "p").mapInPandas(lean(counted), "f string, n long, heavy double").groupBy("f").agg(F.sum("n").alias("n"), F.round(F.sum("heavy"), 4).alias("heavy"))
     weight = F.round(F.abs(lift(F.col("n"), F.col("heavy"), float(post.mean()))), 6)
     best = counts.filter(F.col("n") >= rules.least_rows).withColumn("lift", weight).filter(F.col("lift") >= rules.least_lift)
     best = best.orderBy(F.desc("lift"), "f").limit(rules.features).collect()
@@ -274,7 +274,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, rules: ToxicityRules = Toxi
             yield pd.DataFrame({"id": b["id"], "held": [sorted(places[f] for f in text_features(t) if f in places) for t in b["t"]]})
 
     # in the order of the votes
-    held = rows.select("id", "t").mapInPandas(kept, f"id {kind}, held array<int>").orderBy(F.xxhash64("id"), "id").collect()
+    held = rows.select("id", "t").mapInPandas(lean(kept), f"id {kind}, held array<int>").orderBy(F.xxhash64("id"), "id").collect()
     sparse = [np.array(r["held"], np.int64) for r in held]
     return ToxicityModel.train([r["f"] for r in best], np.array([r["heavy"] / r["n"] for r in best]), sparse, votes, label, rules)
 
@@ -284,10 +284,13 @@ def toxicity(docs: DataFrame, labels: DataFrame, rules: ToxicityRules = Toxicity
     model = model or fit_toxicity(docs, labels, rules, text=text, doc_id=doc_id)
     small = ToxicityModel(model.weights, model.intercept)  # at most rules.features weights
 
-    @F.pandas_udf("double")
-    def score_of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def scores(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         score = small.scorer()
         for texts in batches:
             yield pd.Series([score(t) for t in texts], dtype="float64")
 
+    @F.pandas_udf("double")
+    def score_of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        return lean(scores)(batches)
+
     return docs.select(F.struct("*").alias("row"), score_of(text_of(text)).alias("score"))

@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import text_of, written
+from .store import lean, text_of, written
 
 _LINE = re.compile(r"[^\n]+")
 _PARAGRAPH = re.compile(r"(?:[^\n]|\n(?!\s*\n))+")
@@ -106,7 +106,7 @@ def unit_table(docs: DataFrame, rules: UnitRules, *, text: str, doc_id: str) ->
             yield table()
 
     kind = own.schema["of_id"].dataType.simpleString()
-    return own.mapInPandas(run, f"of_id {kind}, of_text long, start int, length int, h long, rest long")
+    return own.mapInPandas(lean(run), f"of_id {kind}, of_text long, start int, length int, h long, rest long")
 
 
 def unit_dedup(docs: DataFrame, rules: UnitRules = UnitRules(), *, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
