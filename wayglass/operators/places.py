@@ -188,10 +188,18 @@ def address_search(asked: DataFrame, addresses: DataFrame, streets: DataFrame) -
     return exact.unionByName(guess).unionByName(rest.select("qid", "street_id", F.lit("street").alias("how"), F.lit(None).cast("long").alias("addr_id"), "lon", "lat", F.lit(1.0).alias("bonus")))
 
 
-def town_of(points: DataFrame, towns: DataFrame, within: float = 15_000.0, k: int = 8) -> DataFrame:
+def display_name(tags: str = "tags") -> Column:
+    """What a place goes by: its name, or the brand where it has none."""
+    said = lambda key: tx.tidy(F.element_at(tags, key))
+    return F.coalesce(said("name"), said("brand"))
+
+
+def town_of(points: DataFrame, towns: DataFrame, within: float = 15_000.0, k: int = 8, own: str | None = None) -> DataFrame:
     """point_id, town: of the k nearest towns within reach the one with the least distance by weight. Points and towns meet in cells as wide as the reach."""
     d = F.hypot(F.col("x") - F.col("x2"), F.col("y") - F.col("y2"))
     near = proximity_join(points, towns.select("town", F.col("x").alias("x2"), F.col("y").alias("y2"), "weight"), within * 2.5).withColumn("d", d)
+    if own:  # a town isn't in itself
+        near = near.filter(~F.col("town").eqNullSafe(F.col(own)))
     near = near.withColumn("i", F.row_number().over(Window.partitionBy("point_id").orderBy("d", "town"))).filter(F.col("i") <= k)
     return near.filter(F.col("d") / F.col("weight") <= within).groupBy("point_id").agg(F.min_by("town", F.struct(F.col("d") / F.col("weight"), "town")).alias("town"))
 

@@ -181,6 +181,22 @@ def town_for_point(spark, d):
     return pl.town_of(p, n)
 
 
+def _towns(spark, d):
+    return src.table(spark, d, "nation").select(F.col("n_name").alias("town"), (F.col("n_nationkey") * 1700 % 9000).cast("double").alias("x"), (F.col("n_nationkey") * 2300 % 9000).cast("double").alias("y"), F.expr("case n_regionkey % 3 when 0 then 2.5 when 1 then 1.5 else 1.0 end").cast("double").alias("weight"))
+
+
+def town_of_towns(spark, d):
+    """The town that each town belongs to, which isn't itself."""
+    t = _towns(spark, d)
+    return pl.town_of(t.select(F.col("town").alias("point_id"), F.col("town").alias("name"), "x", "y"), t, own="name")
+
+
+def place_names(spark, d):
+    k = F.col("s_suppkey")
+    pairs = F.create_map(F.lit("name"), F.when(k % 3 != 0, F.concat(F.lit("  "), F.col("s_name"))).when(k % 2 == 0, "  "), F.lit("brand"), F.when(k % 5 != 0, F.concat(F.lit("Brand "), (k % 7).cast("string"))))
+    return src.table(spark, d, "supplier").select(k.alias("place_id"), pairs.alias("tags")).select("place_id", pl.display_name().alias("name"))
+
+
 def piece_components(spark, d):
     """Streets of one name within 400 m of each other are one street, boulevards within 2,000 m: components by name."""
     s = streets(spark, d)
@@ -249,7 +265,7 @@ def url_state(spark, d):
 
 QUERIES = {f.__name__: f for f in (
     text_words, street_keys, house_number_split, format_labels, place_kinds, place_dedupe, street_points, loose_address_match, street_town, address_dedupe, search_tokens, search_streets, search_places, topk_search, result_dedupe,
-    search_address, interpolate_number, reverse_geocode, coordinate_result, street_nearest_point, town_for_point, piece_components, region_for_point, nearest_areas, ranked_areas, town_candidates, area_text_match, initial_area, url_state, thinned_addresses,
+    search_address, interpolate_number, reverse_geocode, coordinate_result, street_nearest_point, town_for_point, piece_components, region_for_point, nearest_areas, ranked_areas, town_candidates, area_text_match, initial_area, url_state, thinned_addresses, town_of_towns, place_names,
 )}
 
 # ---------------------------------------------------------------------------------------------- SQL
@@ -355,6 +371,8 @@ ORACLES = {
     "street_nearest_point": f"WITH {ADDR} SELECT of_ AS street_id, addr_id FROM ad QUALIFY row_number() OVER (PARTITION BY of_ ORDER BY round(sqrt((x - 700) ** 2 + (y - 900) ** 2), 6), addr_id) = 1",
     "town_for_point": f"WITH {PLACES}, tw AS (SELECT n_name AS town, n_nationkey * 1700 % 9000 AS x, n_nationkey * 2300 % 9000 AS y, CASE n_regionkey % 3 WHEN 0 THEN 2.5 WHEN 1 THEN 1.5 ELSE 1.0 END AS w FROM nation), n AS (SELECT place_id, town, sqrt((pk.x - tw.x) ** 2 + (pk.y - tw.y) ** 2) AS d, w FROM pk, (SELECT town, x, y, w FROM tw) tw).".replace(").", ")").replace("SELECT place_id, town, sqrt", "SELECT place_id, tw.town, sqrt")
     + " SELECT place_id AS point_id, town FROM (SELECT * FROM n WHERE d <= 37500 QUALIFY row_number() OVER (PARTITION BY place_id ORDER BY d, town) <= 8) WHERE d / w <= 15000 QUALIFY row_number() OVER (PARTITION BY place_id ORDER BY d / w, town) = 1",
+    "town_of_towns": "WITH tw AS (SELECT n_name AS town, n_nationkey * 1700 % 9000 AS x, n_nationkey * 2300 % 9000 AS y, CASE n_regionkey % 3 WHEN 0 THEN 2.5 WHEN 1 THEN 1.5 ELSE 1.0 END AS w FROM nation), n AS (SELECT a.town AS point_id, b.town, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) AS d, b.w FROM tw a JOIN tw b ON a.town <> b.town) SELECT point_id, town FROM (SELECT * FROM n WHERE d <= 37500 QUALIFY row_number() OVER (PARTITION BY point_id ORDER BY d, town) <= 8) WHERE d / w <= 15000 QUALIFY row_number() OVER (PARTITION BY point_id ORDER BY d / w, town) = 1",
+    "place_names": "SELECT s_suppkey AS place_id, CASE WHEN s_suppkey % 3 <> 0 THEN s_name WHEN s_suppkey % 5 <> 0 THEN 'Brand ' || (s_suppkey % 7) END AS name FROM supplier",
     "thinned_addresses": f"WITH {ADDR} SELECT of_ AS street_id, min(addr_id) AS addr_id FROM ad GROUP BY of_, floor(x / 400), floor(y / 400)",
     "piece_components": f"WITH RECURSIVE {STREETS}, l AS (SELECT a.street_id AS a, b.street_id AS b FROM st a JOIN st b ON a.name = b.name AND a.street_id <> b.street_id AND sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) <= CASE WHEN a.name LIKE '%Boulevard' THEN 2000 ELSE 400 END), r(a, b) AS (SELECT street_id, street_id FROM st UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a) SELECT a AS street_id, min(b) AS piece FROM r GROUP BY a",
     "region_for_point": f"WITH {REGIONS}, {FIXES} SELECT event_id, region FROM fx JOIN rg ON x BETWEEN x0 AND x1 AND y BETWEEN y0 AND y1 QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY least(x - x0, x1 - x, y - y0, y1 - y) DESC, region) = 1",
