@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import written
+from .store import forget, written
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -27,5 +27,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         large = both.join(low, "u").filter(v > u).select(v.alias("u"), F.col("m").alias("v")).filter(u != v).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(v.alias("u"), F.col("m").alias("v")).filter(u != v)
-        stars = written(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "links")
+        after = written(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "links")
+        forget(stars)
+        stars = after
     return stars.select(u.alias("node"), v.alias("label")).unionByName(stars.select(v.alias("node"), v.alias("label")).distinct())

@@ -51,7 +51,18 @@ def written(df: DataFrame, name: str = "t", partition_by: list[str] | None = Non
     jvm = spark._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written = path
+    return out
+
+
+def forget(df: DataFrame) -> None:
+    """Delete a table that written() made and that nothing reads any more: rounds of a loop would fill the folder."""
+    path = getattr(df, "_written", None)
+    if path:
+        jvm = df.sparkSession._jvm
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def lean(work: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
