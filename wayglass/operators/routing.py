@@ -300,7 +300,7 @@ def spread(points: DataFrame, trip: str, order: list[str], most: int = MAX_OPTIO
     table = cut(table.withColumn("_in", kept if must is None else kept | must))
     for _ in range(most - 2):
         taken = table.filter("_in").select(trip, F.col("_x").alias("_tx"), F.col("_y").alias("_ty"))
-        far = table.filter("not _in").join(taken, trip).groupBy(trip, "_i").agg(F.min(F.hypot(F.col("_x") - F.col("_tx"), F.col("_y") - F.col("_ty"))).alias("_d"), F.count(F.lit(1)).alias("_k"))
+        far = table.filter("not _in").join(taken, trip).groupBy(trip, "_i").agg(F.round(F.min(F.hypot(F.col("_x") - F.col("_tx"), F.col("_y") - F.col("_ty"))), 9).alias("_d"), F.count(F.lit(1)).alias("_k"))
         chosen = far.filter(F.col("_k") < most).groupBy(trip).agg(F.max_by("_i", F.struct("_d", (-F.col("_i")).alias("o"))).alias("_add"))
         table = cut(table.join(chosen, trip, "left").withColumn("_in", F.col("_in") | F.coalesce(F.col("_i") == F.col("_add"), F.lit(False))).drop("_add"))
     return table.filter("_in").drop("_i", "_n", "_x", "_y", "_in")

@@ -442,6 +442,11 @@ ORACLES = {
     "shortest_times": costs(0),
     "shortest_times_priced": costs(60),
     "pareto_frontier": f"WITH {OPTIONS} SELECT trip, option, time_s, score FROM fr",
+    "diverse_options": f"""WITH {OPTIONS}, p AS (SELECT trip, option, row_number() OVER w AS i, count(*) OVER (PARTITION BY trip) AS n, (time_s - first_value(time_s) OVER w) / coalesce(nullif(last_value(time_s) OVER w - first_value(time_s) OVER w, 0), 1) AS x, (score - first_value(score) OVER w) / coalesce(nullif(last_value(score) OVER w - first_value(score) OVER w, 0), 1) AS y
+            FROM fr WINDOW w AS (PARTITION BY trip ORDER BY time_s, score, option ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
+        a AS (SELECT trip, i, x, y FROM (SELECT *, round(least(sqrt(x * x + y * y), sqrt((x - 1) ** 2 + (y - 1) ** 2)), 9) AS d FROM p WHERE n > 4 AND i > 1 AND i < n) QUALIFY row_number() OVER (PARTITION BY trip ORDER BY d DESC, i) = 1),
+        b AS (SELECT trip, i FROM (SELECT p.trip, p.i, round(least(sqrt(p.x * p.x + p.y * p.y), sqrt((p.x - 1) ** 2 + (p.y - 1) ** 2), sqrt((p.x - a.x) ** 2 + (p.y - a.y) ** 2)), 9) AS d FROM p JOIN a ON a.trip = p.trip WHERE n > 4 AND p.i > 1 AND p.i < n AND p.i <> a.i) QUALIFY row_number() OVER (PARTITION BY trip ORDER BY d DESC, i) = 1)
+        SELECT trip, option FROM p WHERE n <= 4 OR i = 1 OR i = n OR (trip, i) IN (SELECT trip, i FROM a UNION ALL SELECT trip, i FROM b)""",
     "camera_score": "SELECT o_orderkey AS option, o_orderkey % 5 + 0.25 * (o_orderkey % 7) AS score FROM orders",
     "option_labels": f"WITH {OPTIONS}, n AS (SELECT *, row_number() OVER (PARTITION BY trip ORDER BY time_s, option) AS i, count(*) OVER (PARTITION BY trip) AS n FROM fr) SELECT trip, option, CASE WHEN i = 1 THEN 'Fastest' WHEN i = n THEN 'Fewest cameras' WHEN n = 3 THEN 'Balanced' ELSE 'Fewer cameras' END AS label FROM n",
     "snap_nearest": f"""WITH {EDGES}, f AS (SELECT event_id, CAST((event_id * 53) % 4000 AS DOUBLE) AS x, CAST((event_id * 31) % 4000 AS DOUBLE) AS y FROM events),
