@@ -1,6 +1,7 @@
 """Geometry, road graph, routing, directions and search on small maps with known answers."""
 
 import math
+import random
 
 import pandas as pd
 import pytest
@@ -141,6 +142,16 @@ def test_strong_components(spark):
     edges = spark.createDataFrame([(a, b, 0) for a, b in rows], "src long, dst long, region int")
     assert {r["node"] for r in g.largest_scc_by_region(edges).collect()} == {1, 2, 3}
     assert {r["node"] for r in g.largest_scc(edges).collect()} == {1, 2, 3}
+    assert {r["node"] for r in g.largest_scc(edges, width=3, rounds=1).collect()} == {1, 2, 3}
+    rng = random.Random(4)
+    some = [(rng.randrange(60), rng.randrange(60)) for _ in range(90)]
+    groups = {}
+    for node, c in g.strong_components([a for a, _ in some], [b for _, b in some]).items():
+        groups.setdefault(c, []).append(node)
+    want = min(groups.values(), key=lambda nodes: (-len(nodes), min(nodes)))
+    table = spark.createDataFrame(some, "src long, dst long")
+    for how in ({"width": 7, "rounds": 1}, {"width": 7, "rounds": 2, "most": 5}, {}):
+        assert sorted(r["node"] for r in g.largest_scc(table, **how).collect()) == sorted(want)
 
 
 def test_components_of_a_chain(spark):

@@ -86,14 +86,18 @@ def reached(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     return until_stable(start, step, ["node"])
 
 
-def contracted(edges: DataFrame, names: DataFrame, width: int, most: int) -> tuple[DataFrame, DataFrame]:
+def contracted(edges: DataFrame, names: DataFrame, width: int, most: int) -> tuple[DataFrame, DataFrame, bool]:
     """One round of contraction: strong components within blocks of `width` node numbers become single nodes. Blocks of over `most` edges wait for the loop.
 
     edges: src, dst. names: node, of (the node that it has become). What is strongly connected within a block is so in the whole, so the answer stays.
+    The last result says whether every edge lay within a block that was solved: then no component is left to be found.
     """
     block = F.floor(F.col("src") / width)
     inner = edges.withColumn("block", block).filter(block == F.floor(F.col("dst") / width))
-    small = inner.groupBy("block").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") <= most).select("block")
+    sizes = cut(inner.groupBy("block").agg(F.count(F.lit(1)).alias("n")))
+    small = sizes.filter(F.col("n") <= most).select("block")
+    solved = sizes.filter(F.col("n") <= most).agg(F.sum("n")).first()[0] or 0
+    whole = solved == edges.count()
 
     def solve(key, rows):
         import pandas as pd
@@ -106,7 +110,7 @@ def contracted(edges: DataFrame, names: DataFrame, width: int, most: int) -> tup
 
     merged = cut(inner.join(small, "block").groupBy("block").applyInPandas(solve, "was long, now long"))
     into = lambda df, column: df.join(merged, F.col(column) == F.col("was"), "left").withColumn(column, F.coalesce("now", column)).drop("was", "now")
-    return cut(into(into(edges, "src"), "dst").filter("src <> dst").distinct()), cut(into(names, "of"))
+    return cut(into(into(edges, "src"), "dst").filter("src <> dst").distinct()), cut(into(names, "of")), whole
 
 
 def largest_scc(edges: DataFrame, width: int = 4096, rounds: int = 3, most: int = 1_000_000) -> DataFrame:
@@ -117,14 +121,16 @@ def largest_scc(edges: DataFrame, width: int = 4096, rounds: int = 3, most: int
     """
     rest = cut(edges.select("src", "dst").filter("src <> dst").distinct())
     names = cut(rest.select(F.col("src").alias("node")).unionByName(rest.select(F.col("dst").alias("node"))).distinct().withColumn("of", F.col("node")))
+    whole = False
     for k in range(rounds):
-        before = rest.count()
-        rest, names = contracted(rest, names, width * 64**k, most)
-        if k and rest.count() == before:
+        rest, names, whole = contracted(rest, names, width * 64**k, most)
+        if whole:
             break
     weights = cut(names.groupBy(F.col("of").alias("node")).agg(F.count(F.lit(1)).alias("w"), F.min("node").alias("least")))
     best, size, least = None, 0, None
-    while True:
+    if whole:
+        best = weights.orderBy(F.desc("w"), "least").limit(1)
+    while not whole:
         top = weights.orderBy(F.desc("w"), "least").limit(1).collect()
         if not top:
             break

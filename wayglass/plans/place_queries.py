@@ -103,7 +103,7 @@ def street_town(spark, d):
 
 
 def address_dedupe(spark, d):
-    return pl.dedupe_addresses(addresses(spark, d).select(F.col("of").alias("street_id"), "number", "addr_id", "x", "y"), 150.0)
+    return pl.dedupe_addresses(addresses(spark, d).select(F.col("of").alias("street_id"), "number", "addr_id", "x", "y"), 400.0)
 
 
 def search_tokens(spark, d):
@@ -353,7 +353,7 @@ ORACLES = {
     "loose_address_match": f"WITH {KEYS}, {level(0, 'key', '')}, {level(1, 'bare', 'AND a.addr_id NOT IN (SELECT addr_id FROM l0)')}, {level(2, 'stem', 'AND a.addr_id NOT IN (SELECT addr_id FROM l0 UNION ALL SELECT addr_id FROM l1)')} SELECT * FROM l0 UNION ALL SELECT * FROM l1 UNION ALL SELECT * FROM l2",
     "street_town": f"WITH {ADDR} SELECT of_ AS street_id, said FROM (SELECT of_, 'T' || (addr_id % 3) AS said, count(*) AS n, min(addr_id) AS f FROM ad GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY of_ ORDER BY n DESC, f) = 1",
     "address_dedupe": f"""WITH RECURSIVE {ADDR}, o AS (SELECT of_ AS street_id, lower(number) AS low, addr_id, x, y, row_number() OVER (PARTITION BY of_, lower(number) ORDER BY x, y, addr_id) AS j FROM ad),
-        k AS (SELECT * FROM o WHERE j = 1 UNION ALL (SELECT o.* FROM k JOIN o ON o.street_id = k.street_id AND o.low = k.low AND o.j > k.j AND sqrt((o.x - k.x) ** 2 + (o.y - k.y) ** 2) >= 150 QUALIFY row_number() OVER (PARTITION BY o.street_id, o.low ORDER BY o.j) = 1)) SELECT street_id, addr_id FROM k""",
+        k AS (SELECT * FROM o WHERE j = 1 UNION ALL (SELECT o.* FROM k JOIN o ON o.street_id = k.street_id AND o.low = k.low AND o.j > k.j AND sqrt((o.x - k.x) ** 2 + (o.y - k.y) ** 2) >= 400 QUALIFY row_number() OVER (PARTITION BY o.street_id, o.low ORDER BY o.j) = 1)) SELECT street_id, addr_id FROM k""",
     "search_tokens": f"WITH {STREETS} SELECT street_id AS entry_id, array_to_string({canons('name')}, ' ') AS whole, len({words('name')}) + len({words('town')}) AS n FROM st",
     "search_streets": STREET_SCORES + " SELECT qid, id AS street_id, score + 1 AS score FROM sc",
     "search_places": f"WITH {PLACES}, {scored('pk', 'place_id', 'label', 'town')} SELECT qid, id AS place_id, score + coalesce(rank, 0) AS score FROM sc JOIN pk ON place_id = id",
