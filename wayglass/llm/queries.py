@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .conversation_trie import conversation_trie
 from .exact_dedup import exact_dedup
 from .line_dedup import line_dedup
 from .packing import pack
@@ -81,6 +82,10 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("row.doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet")).drop("preorder", "subtree_end")
+
+
 def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_divergence(documents(spark, sf_dir))
 
@@ -96,6 +101,7 @@ QUERIES: dict[str, Query] = {
     "op8_pii": op8_pii,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op11_conversation_trie": op11_conversation_trie,
     "op13_source_divergence": op13_source_divergence,
 }
 
@@ -142,6 +148,25 @@ ORACLES: dict[str, str] = {
         WITH d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents),
         g AS (SELECT t, min(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY t)
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(t) AS text_sha256 FROM d JOIN g USING (t)""",
+    "op11_conversation_trie": r"""
+        WITH t AS (SELECT conv_id AS c, coalesce(role, '') AS r, coalesce(text, '') AS x, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST,
+                          substr(sha256(strlen(coalesce(role, ''))::VARCHAR || ':' || coalesce(role, '') || coalesce(text, '')), 1, 32)) - 1 AS p FROM conversations WHERE conv_id IS NOT NULL),
+        n AS (SELECT c, max(p) + 1 AS n FROM t GROUP BY c),
+        h AS (SELECT c, n, c - c % 5 AS b, (xor(4294967295::BIGINT, list_reduce(list_transform(range(1, length(c::VARCHAR) + 1), lambda i: ascii(substr(c::VARCHAR, i, 1))::BIGINT),
+                     lambda a, y: list_reduce(list_transform(range(8), lambda z: 0::BIGINT), lambda v, z: CASE WHEN v % 2 = 1 THEN xor(v // 2, 3988292384::BIGINT) ELSE v // 2 END, xor(a, y)), 4294967295::BIGINT))) % 9 AS h FROM n),
+        k AS (SELECT h.*, least(h.h, coalesce(n.n, 0)) AS kept FROM h LEFT JOIN n ON n.c = h.b),
+        s AS (SELECT k.c, t.p - k.h + k.kept AS q, r, x FROM k JOIN t ON t.c = k.c AND t.p >= k.h UNION ALL SELECT k.c, t.p, r, x FROM k JOIN t ON t.c = k.b AND t.p < k.kept),
+        m AS (SELECT k.c, coalesce(max(q) + 1, 0) AS m FROM k LEFT JOIN s USING (c) GROUP BY k.c),
+        e AS (SELECT c, q, strlen(x) AS len, sha256(string_agg(strlen(r)::VARCHAR || ':' || sha256(r || x), ',') OVER (PARTITION BY c ORDER BY q)) AS node FROM s),
+        f AS (SELECT c, q + 1 AS d, node, coalesce(lag(node) OVER (PARTITION BY c ORDER BY q), '') AS above, len FROM e UNION ALL SELECT c, 0, '', NULL, 0 FROM m),
+        g AS (SELECT d, node, min(c) AS conv_id, count(*) AS n_convs, any_value(above) AS above, any_value(len) AS len,
+                     coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (m.m = d), '') AS ends FROM f JOIN m USING (c) GROUP BY d, node),
+        ch AS (SELECT above AS node, count(*) AS n FROM g WHERE d > 0 GROUP BY 1),
+        l AS (SELECT g.*, coalesce(ch.n, 0) AS n_children FROM g LEFT JOIN ch USING (node)),
+        mem AS (SELECT DISTINCT f.node AS top, u.node AS below FROM f JOIN f u ON u.c = f.c AND u.d >= f.d),
+        a AS (SELECT top AS node, count(*) FILTER (l.n_children = 0) AS n_leaves, sum((l.n_convs - 1) * l.len) AS saved FROM mem JOIN l ON l.node = mem.below GROUP BY 1)
+        SELECT l.conv_id, l.d AS depth, u.conv_id AS parent_conv_id, l.n_convs, l.n_children, a.n_leaves, CAST(a.saved AS BIGINT) AS saved_tokens, sha256(l.ends) AS ends_sha256
+        FROM l JOIN a USING (node) LEFT JOIN l u ON u.node = l.above AND l.d > 0""",
     "op13_source_divergence": r"""
         WITH d AS (SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
                           regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
