@@ -21,6 +21,7 @@ from .store import documents
 from .suffix_dedup import suffix_dedup
 from .toxicity import held_out, toxicity
 from .unit_dedup import unit_dedup
+from .vector_graph import vector_graph
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -86,6 +87,10 @@ def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet")).drop("preorder", "subtree_end")
 
 
+def op12_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_graph(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))[0]
+
+
 def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_divergence(documents(spark, sf_dir))
 
@@ -102,6 +107,7 @@ QUERIES: dict[str, Query] = {
     "op9_jaccard_join": op9_jaccard_join,
     "op10_suffix_dedup": op10_suffix_dedup,
     "op11_conversation_trie": op11_conversation_trie,
+    "op12_embedding_near_dedup": op12_embedding_near_dedup,
     "op13_source_divergence": op13_source_divergence,
 }
 
@@ -167,6 +173,15 @@ ORACLES: dict[str, str] = {
         a AS (SELECT top AS node, count(*) FILTER (l.n_children = 0) AS n_leaves, sum((l.n_convs - 1) * l.len) AS saved FROM mem JOIN l ON l.node = mem.below GROUP BY 1)
         SELECT l.conv_id, l.d AS depth, u.conv_id AS parent_conv_id, l.n_convs, l.n_children, a.n_leaves, CAST(a.saved AS BIGINT) AS saved_tokens, sha256(l.ends) AS ends_sha256
         FROM l JOIN a USING (node) LEFT JOIN l u ON u.node = l.above AND l.d > 0""",
+    "op12_embedding_near_dedup": r"""
+        WITH RECURSIVE v AS (SELECT row_number() OVER () AS i, vec_id, label, embedding::DOUBLE[] AS e FROM embeddings),
+        u AS (SELECT i, vec_id, label, e FROM v WHERE label IS NOT NULL AND e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+        l AS (SELECT a.i AS a, b.i AS b FROM u a JOIN u b ON a.label = b.label AND a.i <> b.i AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.93),
+        r(a, b) AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+        c AS (SELECT r.a, min(v.vec_id) AS least FROM r JOIN v ON v.i = r.b GROUP BY r.a),
+        n AS (SELECT a, count(*) AS n FROM l GROUP BY a)
+        SELECT v.vec_id, coalesce(n.n, 0) AS n_links, least(v.vec_id, coalesce(c.least, v.vec_id)) AS component_id, v.vec_id = least(v.vec_id, coalesce(c.least, v.vec_id)) AS kept
+        FROM v LEFT JOIN n ON n.a = v.i LEFT JOIN c ON c.a = v.i""",
     "op13_source_divergence": r"""
         WITH d AS (SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
                           regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
