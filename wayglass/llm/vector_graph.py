@@ -164,7 +164,7 @@ def range_search(unit: np.ndarray, adjacency: np.ndarray, medoids: np.ndarray, q
     asked, rows = unit[queries], np.arange(m)
     seen = np.zeros((m, n), bool)
     opened = np.zeros((m, n), bool)
-    entry = medoids[np.argsort(-(asked @ unit[medoids].T), axis=1)[:, :4]]
+    entry = medoids[np.argsort(-(asked @ unit[medoids].T), axis=1)[:, : min(4, beam)]]
     ids = np.full((m, beam), -1, np.int64)
     sims = np.full((m, beam), -np.inf, np.float32)
     e = entry.shape[1]
