@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -36,6 +37,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def written_lines(lines: DataFrame, name: str) -> str:
+    """Write a table of one text column as files of lines to the shared folder; their path. They go when the driver's JVM ends."""
+    spark = lines.sparkSession
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    lines.write.text(path)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return path
+
+
 def until_stable(state: DataFrame, step: Callable[[DataFrame], DataFrame], mark: list[str], most: int = 10_000) -> DataFrame:
     """Apply step until the columns `mark` of all rows stay the same. An error if they don't within `most` rounds: an unfinished state is never returned."""
     state, before = cut(state), None
