@@ -7,6 +7,7 @@ import json
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 #: Fixed value: kilometres to a degree.
 DEGREE_KM = 111.32
@@ -40,7 +41,7 @@ def clipped(ring: list, box: tuple[float, float, float, float]) -> list:
     return ring
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def covered_km2(points: pd.Series, west: pd.Series, south: pd.Series, east: pd.Series, north: pd.Series) -> pd.Series:
     """Area of the part of a polygon that lies in a box."""
     return pd.Series([area_km2(clipped([list(p) for p in ring], box)) for ring, *box in zip(points, west, south, east, north, strict=True)])

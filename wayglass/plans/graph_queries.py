@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from wayglass.functions import geo, roads
 from wayglass.operators import graph as g
-from wayglass.operators import routing
+from wayglass.operators import routing, sweep
 from wayglass.operators.proximity import cell
 from wayglass.sources import adapters as src
 
@@ -178,14 +178,66 @@ def sites_between(spark, d):
     return exposed(spark, d).filter("entry_m <= 150 and exit_m >= 50").groupBy("edge_id").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _times(spark, d, price):
+    """Costs to the ends of edges from node 0: vertices are edges, arcs the moves between them."""
+    e, m, w = priced(spark, d)
+    e = cut(e)
+    at = sweep.cells(e.select(F.col("edge_id").alias("v"), "x", "y"))
+    steps = m.join(e.select(F.col("edge_id").alias("f"), "time_s"), "f").select(F.col("f").alias("arc"), F.col("e").alias("a"), F.col("f").alias("b"), (F.col("turn_s") + F.col("time_s")).alias("t"), F.col("w").alias("x"))
+    first = e.filter("src = 0").join(w, "edge_id", "left").fillna(0.0, ["w"])
+    starts = first.select(F.lit(price).alias("price"), F.lit(0).alias("source"), F.col("edge_id").alias("v"), (F.col("time_s") + price * F.col("w")).alias("cost"))
+    found = sweep.cheapest(sweep.placed(steps, at), at, starts)
+    return found.select(F.col("v").alias("edge_id"), F.round("cost", 4).alias("cost"))
+
+
 def shortest_times(spark, d):
-    start = spark.createDataFrame([(0,)], "node long")
-    return routing.costs_from(start, *priced(spark, d)).select("edge_id", F.round("cost", 4).alias("cost"))
+    return _times(spark, d, 0.0)
 
 
 def shortest_times_priced(spark, d):
-    start = spark.createDataFrame([(0,)], "node long")
-    return routing.costs_from(start, *priced(spark, d), price=60.0).select("edge_id", F.round("cost", 4).alias("cost"))
+    return _times(spark, d, 60.0)
+
+
+SWEEP_PRICES = (0.0, 60.0, 300.0)
+
+
+def _node_graph(spark, d):
+    """The node-based graph, without restrictions, signals or turns: cells of nodes, arcs with their cells, edges with time, exposure units, length and heading; exposure."""
+    e, expo = cq.edges(spark, d), cut(cq._exposure(spark, d))
+    units = expo.groupBy("edge_id").agg(F.sum("units").alias("x"))
+    e = cut(e.join(units, "edge_id", "left").select("edge_id", "src", "dst", (F.col("len") / (F.col("kmh") / 3.6)).alias("t"), F.coalesce("x", F.lit(0.0)).alias("x"), "len", "heading"))
+    at = cut(sweep.cells(src.road_nodes(spark, d).select(F.col("node_id").alias("v"), "x", "y")))
+    arcs = sweep.placed(e.select(F.col("edge_id").alias("arc"), F.col("src").alias("a"), F.col("dst").alias("b"), "t", "x"), at)
+    return at, arcs, e, expo
+
+
+def _swept(spark, d, prices):
+    at, arcs, e, expo = _node_graph(spark, d)
+    sources = src.table(spark, d, "region").select((F.col("r_regionkey") * 41).cast("long").alias("source"))
+    runs = sources.withColumn("price", F.explode(F.array(*[F.lit(p) for p in prices]))).select("price", "source", F.col("source").alias("v"), F.lit(0.0).alias("cost"))
+    return sweep.cheapest(arcs, at, runs), e, expo
+
+
+def node_times(spark, d):
+    found, _, _ = _swept(spark, d, (0.0,))
+    return found.select("source", F.col("v").alias("node"), F.round("cost", 4).alias("cost"))
+
+
+def sweep_costs(spark, d):
+    found, _, _ = _swept(spark, d, SWEEP_PRICES)
+    return found.select("price", "source", F.col("v").alias("node"), F.round("cost", 4).alias("cost"))
+
+
+def sweep_traces(spark, d):
+    """Every customer's trip from a source to a node at each price, traced: its cost summed over the path's edges, the number of its edges, and where it ends."""
+    found, e, expo = _swept(spark, d, SWEEP_PRICES)
+    n = src.table(spark, d, "part").agg(F.count(F.lit(1)).alias("n"))
+    trips = src.table(spark, d, "customer").crossJoin(F.broadcast(n)).select(F.col("c_custkey").alias("trip_id"), (F.col("c_nationkey") % 5 * 41).alias("source"), ((F.col("c_custkey") * 17) % F.col("n")).alias("target"))
+    trips = trips.withColumn("price", F.explode(F.array(*[F.lit(p) for p in SWEEP_PRICES])))
+    paths = cut(sweep.traces(found, trips))
+    sums = sweep.evaluated(paths, e, expo)
+    last = paths.join(e.select(F.col("edge_id").alias("arc"), "dst"), "arc").groupBy("trip_id", "price").agg(F.max_by("dst", "seq").alias("ends_at"))
+    return sums.join(last, ["trip_id", "price"]).select("trip_id", "price", "ends_at", F.round(F.col("T") + F.col("price") * F.col("X"), 4).alias("cost"))
 
 
 def route_paths(spark, d):
@@ -361,7 +413,7 @@ def ahead_names(spark, d):
 
 QUERIES = {f.__name__: f for f in (
     drivable_roads, speed_parse, road_label, travel_direction, way_split, geom_length, running_distance, signal_delay, edge_headings, free_flow_times, quantise, turn_bans, turn_ban_pairs, edge_twins, transitions, legal_transitions,
-    largest_scc, carried_sites, sites_between, shortest_times, shortest_times_priced, route_paths, route_alternatives, budget_routes, route_steps, diverse_options, pareto_frontier, camera_score, option_labels, snap_nearest, clip_ways, filter_referenced,
+    largest_scc, carried_sites, sites_between, shortest_times, shortest_times_priced, node_times, sweep_costs, sweep_traces, route_paths, route_alternatives, budget_routes, route_steps, diverse_options, pareto_frontier, camera_score, option_labels, snap_nearest, clip_ways, filter_referenced,
     vertex_node_join, restriction_semijoin, parallel_edge_min, edge_numbering, edge_pointers, address_order, multipolygon_centres, label_dictionary, route_turns, route_spans, site_alert_list, ahead_names, route_lines,
 )}
 
@@ -404,6 +456,17 @@ def costs(price: int) -> str:
     SELECT e AS edge_id, round(cost, 4) AS cost FROM d"""
 
 
+def node_costs(prices) -> str:
+    """Cheapest costs on nodes without turns and signals, of every source at every price."""
+    return EXPOSED + f""",
+    un AS (SELECT edge_id, sum(units) AS x FROM expo GROUP BY edge_id),
+    na AS MATERIALIZED (SELECT edge_id, src, dst, len / (kmh / 3.6) AS t, coalesce(x, 0) AS x FROM edge LEFT JOIN un USING (edge_id)),
+    run AS (SELECT r_regionkey * 41 AS source, CAST(price AS DOUBLE) AS price FROM region, (VALUES {", ".join(f"({p})" for p in prices)}) v(price)),
+    d(price, source, node, cost) USING KEY (price, source, node) AS (SELECT price, source, source, CAST(0 AS DOUBLE) FROM run WHERE source IN (SELECT n FROM rn)
+        UNION SELECT d.price, d.source, na.dst, min(d.cost + t + d.price * x) FROM d JOIN na ON na.src = d.node LEFT JOIN recurring.d r ON r.price = d.price AND r.source = d.source AND r.node = na.dst
+        GROUP BY d.price, d.source, na.dst, r.cost HAVING r.cost IS NULL OR min(d.cost + t + d.price * x) < r.cost - 1e-9)"""
+
+
 OPTIONS = "o AS (SELECT o_custkey AS trip, o_orderkey AS option, CAST(600 + o_orderkey % 97 * 7 AS DOUBLE) AS time_s, CAST(o_orderkey % 13 + o_orderkey % 4 * 0.25 AS DOUBLE) AS score FROM orders), fr AS (SELECT * FROM (SELECT *, min(score) OVER (PARTITION BY trip ORDER BY time_s, score, option ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS best FROM o) WHERE best IS NULL OR score < best)"
 ROUTE = f""",
     rt AS (SELECT *, {wrap('heading - lag(heading) OVER w')} AS turn, sum(len) OVER w - len AS start_m FROM (SELECT src // 20 AS trip, src % 20 AS seq, edge_id, len, time_s, heading, name FROM edge WHERE NOT rev AND geom_id % 2 = 0) WINDOW w AS (PARTITION BY trip ORDER BY seq))"""
@@ -441,6 +504,11 @@ ORACLES = {
     "sites_between": EXPOSED + " SELECT edge_id, count(*) AS n FROM expo WHERE entry_m <= 150 AND exit_m >= 50 GROUP BY edge_id",
     "shortest_times": costs(0),
     "shortest_times_priced": costs(60),
+    "node_times": node_costs((0.0,)) + " SELECT source, node, round(cost, 4) AS cost FROM d",
+    "sweep_costs": node_costs(SWEEP_PRICES) + " SELECT price, source, node, round(cost, 4) AS cost FROM d",
+    "sweep_traces": node_costs(SWEEP_PRICES)
+    + """, tr AS (SELECT c_custkey AS trip_id, c_nationkey % 5 * 41 AS source, c_custkey * 17 % (SELECT count(*) FROM part) AS target FROM customer)
+        SELECT trip_id, price, target AS ends_at, round(cost, 4) AS cost FROM tr JOIN d ON d.source = tr.source AND d.node = tr.target WHERE tr.target <> tr.source""",
     "pareto_frontier": f"WITH {OPTIONS} SELECT trip, option, time_s, score FROM fr",
     "diverse_options": f"""WITH {OPTIONS}, p AS (SELECT trip, option, row_number() OVER w AS i, count(*) OVER (PARTITION BY trip) AS n, (time_s - first_value(time_s) OVER w) / coalesce(nullif(last_value(time_s) OVER w - first_value(time_s) OVER w, 0), 1) AS x, (score - first_value(score) OVER w) / coalesce(nullif(last_value(score) OVER w - first_value(score) OVER w, 0), 1) AS y
             FROM fr WINDOW w AS (PARTITION BY trip ORDER BY time_s, score, option ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
