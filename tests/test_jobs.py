@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from wayglass import commands
 from wayglass.operators import jobs, lines
 from wayglass.sources import feeds, packs
-from wayglass.streaming.feeds import Replica, Snapshots, Unreachable, follow_changes
+from wayglass.streaming.feeds import Refused, Replica, Snapshots, Unreachable, follow_changes
 
 
 def region(id_, batch="a", box=(0.0, 0.0, 1.0, 1.0), sources=("us/texas",)):
@@ -115,6 +115,49 @@ def test_replica_follows_change_files(spark, tmp_path):
     assert waits == [10.0, 30.0, 60.0]
 
 
+def test_a_refused_chunk_is_not_passed_over(spark, tmp_path):
+    rows = lambda ids, v, deleted=False: spark.createDataFrame([(i, v, deleted) for i in ids], "id long, version long, deleted boolean")
+    source = str(tmp_path / "changes")
+    for n, change in ((2, rows(range(7), 2, True)), (3, rows([20], 1)), (4, rows(range(100, 120), 1))):
+        change.write.parquet(f"{source}/{n}.parquet")
+    table, state = Snapshots(spark, str(tmp_path / "table")), {"latest": 3}
+    replica = Replica(table, source, lambda: state["latest"], lambda: (rows(range(10), 1), 1))
+    assert replica.update() == (1, True)
+    for _ in range(2):  # the same again, file 3 isn't read before file 2 is in
+        with pytest.raises(Refused, match="shrunk"):
+            replica.update(chunk=1)
+        assert replica.position() == 1 and table.current().count() == 10
+    reader = table.current()
+    assert replica.update(chunk=1, force=True) == (3, True)
+    assert {r["id"] for r in table.current().collect()} == {7, 8, 9, 20} and reader.count() == 10
+    replica.fresh = lambda: (rows([1], 9), 9)
+    state["latest"] = 9  # files are gone, and the full copy has shrunk
+    with pytest.raises(Refused):
+        replica.update()
+    assert replica.position() == 3
+    assert replica.update(force=True) == (9, True) and table.current().count() == 1
+    # a version that is written again goes beside the one that readers have
+    before = table.current()
+    assert table.publish(rows([1, 2], 10), 9) == "ok" and table.current().count() == 2 and before.count() == 1 and replica.position() == 9
+
+
+def test_a_refused_batch_stops_the_stream(spark, tmp_path):
+    source, state = str(tmp_path / "in"), str(tmp_path / "state")
+    schema = "id long, version long, deleted boolean"
+    put = lambda ids, deleted: spark.createDataFrame([(i, 1 + deleted, deleted) for i in ids], schema).coalesce(1).write.mode("append").parquet(source)
+    table = Snapshots(spark, str(tmp_path / "table"))
+    run = lambda **how: follow_changes(spark.readStream.schema(schema).parquet(source), table, state, **how).awaitTermination()
+    put(range(10), False)
+    run()
+    put(range(8), True)
+    for _ in range(2):
+        with pytest.raises(Exception, match="refused"):
+            run()
+        assert table.current().count() == 10
+    run(force=True)
+    assert {r["id"] for r in table.current().collect()} == {8, 9}
+
+
 def test_follow_changes_as_a_stream(spark, tmp_path):
     source = str(tmp_path / "in")
     for n, pairs in enumerate([[(1, 1), (2, 1)], [(2, 5), (3, 1)]]):

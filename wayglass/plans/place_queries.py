@@ -221,6 +221,17 @@ def region_for_point(spark, d):
     return inside.groupBy("event_id").agg(F.min_by("region", F.struct(-room, F.col("region"))).alias("region"))
 
 
+def regions_for_request(spark, d):
+    """For each request of two to four points (a fix, and places some steps from it) the regions that hold all of them, the one with the most room around them first."""
+    f, r = src.fixes(spark, d).select("event_id", "x", "y"), _regions(spark, d)
+    asked = f.withColumn("n", 2 + F.col("event_id") % 3).withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
+    asked = asked.withColumns({"x": F.col("x") + F.col("j") * 170, "y": F.col("y") + F.col("j") * 110})
+    room = F.least(F.col("x") - F.col("x0"), F.col("x1") - F.col("x"), F.col("y") - F.col("y0"), F.col("y1") - F.col("y"))
+    held = box_join(asked, r, 1000.0).groupBy("event_id", "n", "region").agg(F.count(F.lit(1)).alias("found"), F.min(room).alias("room")).filter("found = n")
+    w = Window.partitionBy("event_id").orderBy(F.desc("room"), "region")
+    return held.select("event_id", F.row_number().over(w).alias("i"), "region", "room")
+
+
 def nearest_areas(spark, d):
     r = _regions(spark, d).select("region", F.round(F.hypot((F.col("x0") + F.col("x1")) / 2 - 1000, (F.col("y0") + F.col("y1")) / 2 - 1000), 4).alias("m"))
     return r.orderBy("m", "region").limit(4)
@@ -265,7 +276,7 @@ def url_state(spark, d):
 
 QUERIES = {f.__name__: f for f in (
     text_words, street_keys, house_number_split, format_labels, place_kinds, place_dedupe, street_points, loose_address_match, street_town, address_dedupe, search_tokens, search_streets, search_places, topk_search, result_dedupe,
-    search_address, interpolate_number, reverse_geocode, coordinate_result, street_nearest_point, town_for_point, piece_components, region_for_point, nearest_areas, ranked_areas, town_candidates, area_text_match, initial_area, url_state, thinned_addresses, town_of_towns, place_names,
+    search_address, interpolate_number, reverse_geocode, coordinate_result, street_nearest_point, town_for_point, piece_components, region_for_point, regions_for_request, nearest_areas, ranked_areas, town_candidates, area_text_match, initial_area, url_state, thinned_addresses, town_of_towns, place_names,
 )}
 
 # ---------------------------------------------------------------------------------------------- SQL
@@ -378,6 +389,9 @@ ORACLES = {
     "thinned_addresses": f"WITH {ADDR} SELECT of_ AS street_id, min(addr_id) AS addr_id FROM ad GROUP BY of_, floor(x / 400), floor(y / 400)",
     "piece_components": f"WITH RECURSIVE {STREETS}, l AS (SELECT a.street_id AS a, b.street_id AS b FROM st a JOIN st b ON a.name = b.name AND a.street_id <> b.street_id AND sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) <= CASE WHEN a.name LIKE '%Boulevard' THEN 2000 ELSE 400 END), r(a, b) AS (SELECT street_id, street_id FROM st UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a) SELECT a AS street_id, min(b) AS piece FROM r GROUP BY a",
     "region_for_point": f"WITH {REGIONS}, {FIXES} SELECT event_id, region FROM fx JOIN rg ON x BETWEEN x0 AND x1 AND y BETWEEN y0 AND y1 QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY least(x - x0, x1 - x, y - y0, y1 - y) DESC, region) = 1",
+    "regions_for_request": f"""WITH {REGIONS}, {FIXES}, p AS (SELECT event_id, n, x + j * 170 AS x, y + j * 110 AS y FROM (SELECT event_id, x, y, 2 + event_id % 3 AS n, unnest(range(0, 2 + event_id % 3)) AS j FROM fx)),
+        a AS (SELECT event_id, region, min(least(x - x0, x1 - x, y - y0, y1 - y)) AS room FROM p JOIN rg ON x BETWEEN x0 AND x1 AND y BETWEEN y0 AND y1 GROUP BY event_id, n, region HAVING count(*) = n)
+        SELECT event_id, CAST(row_number() OVER (PARTITION BY event_id ORDER BY room DESC, region) AS INTEGER) AS i, region, room FROM a""",
     "nearest_areas": f"WITH {REGIONS} SELECT region, round(sqrt(((x0 + x1) / 2 - 1000) ** 2 + ((y0 + y1) / 2 - 1000) ** 2), 4) AS m FROM rg ORDER BY m, region LIMIT 4",
     "ranked_areas": f"WITH {REGIONS}, q AS (SELECT *, least(1000 - x0, x1 - 1000, 1000 - y0, y1 - 1000) AS room, count(*) OVER (PARTITION BY r_name) AS n FROM rg) SELECT CAST(row_number() OVER (ORDER BY room DESC, n DESC, region) AS INTEGER) AS i, region, room FROM q",
     "town_candidates": f"WITH {PLACES}, tw AS (SELECT n_name AS town, n_nationkey * 1700 % 9000 AS tx, n_nationkey * 2300 % 9000 AS ty, CASE n_regionkey % 3 WHEN 0 THEN 2.5 WHEN 1 THEN 1.5 ELSE 1.0 END AS w FROM nation), n AS (SELECT place_id, tw.town AS near, w, round(sqrt((x - tx) ** 2 + (y - ty) ** 2), 6) AS d FROM pk, tw) SELECT place_id, i, near AS town, round(d / w, 4) AS score FROM (SELECT *, CAST(row_number() OVER (PARTITION BY place_id ORDER BY d, near) AS INTEGER) AS i FROM n WHERE d <= 37500) WHERE i <= 3",
