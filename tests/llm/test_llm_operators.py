@@ -270,13 +270,22 @@ def test_word_encoder_equals_the_tokenizer():
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(BPE)
-    tok.encode_special_tokens = True
     encode, rng = encoder(BPE), random.Random(3)
     pool = [*"  \n\n\tabc'.,12", "\r", "don't", " 'll", "\x1c", "!!", "<|endoftext|>", "été", "日本", "　"]
     for s in ["".join(rng.choice(pool) for _ in range(rng.randint(0, 30))) for _ in range(3000)]:
         assert np.frombuffer(encode(s), "<u4").tolist() == tok.encode(s, add_special_tokens=False).ids, s
 
 
+def test_word_cache_is_bounded_in_bytes():
+    from wayglass.llm import packing
+
+    cache = packing.WordCache(lambda w: [1] * len(w))
+    for k in range(20_000):
+        cache[f"{k:01000d}"]
+        assert cache.size <= packing.CACHE_BYTES + 10_000 and sum(map(len, cache.values())) <= packing.CACHE_BYTES + 10_000 if k % 997 == 0 else True
+    assert len(cache["y" * 2000]) == 4 * 2001 and "y" * 2000 not in cache
+
+
 def test_best_fit_against_a_scan():
     rng = random.Random(4)
     lengths = [rng.randint(1, 100) for _ in range(400)]
@@ -305,7 +314,6 @@ def test_packing_keeps_every_token(docs, empty, block):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(BPE)
-    tok.encode_special_tokens = True
     rows = pack(docs.filter("doc_id is not null").dropDuplicates(["doc_id"]).coalesce(1), BPE, block_tokens=block).collect()
     own, seqs = by_id(rows), defaultdict(list)
     for r in rows:
@@ -697,7 +705,6 @@ def test_pipeline_run_against_brute_force(spark, tmp_path):
     want = {i: t for i, t in left if i not in gone}
     want[305] = "mail [email] or [phone], card [card] at [ip]."
     tok = Tokenizer.from_file(BPE)
-    tok.encode_special_tokens = True
     got = by_id(cp.run(spark, str(tmp_path)).collect())
     assert set(got) == set(want)
     for i, t in want.items():

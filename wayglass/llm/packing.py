@@ -26,8 +26,8 @@ from .store import lean, text_of
 WINDOW = 1024
 #: content: "ids binary" (little-endian unsigned 32-bit ids) or "ids_crc32 long" (their unsigned CRC-32).
 PIECES = "doc_id {id}, start long, length long, {content}, doc_tokens long, sequence_id long, offset long"
-#: Words that a tokeniser's cache holds before it starts anew: bounds a worker's memory, changes no result.
-CACHE = 250_000
+#: Words, and bytes of words and ids, that a tokeniser's cache holds before it starts anew: bounds a worker's memory, changes no result. Longer words aren't kept.
+CACHE, CACHE_BYTES, LONGEST = 250_000, 32 << 20, 1024
 BLOCK_TOKENS = 4_000_000
 
 #: Runs of blanks whose cut depends on what follows them: all but one space, one line feed or two line feeds before a word.
@@ -39,13 +39,17 @@ class WordCache(dict):
 
     def __init__(self, encode: Callable[[str], list[int]]):
         super().__init__()
-        self.encode = encode
+        self.encode, self.size = encode, 0
 
     def __missing__(self, word: str) -> bytes:
-        if len(self) >= CACHE:
-            self.clear()
         ids = np.array(self.encode(word if word[:1] == "\n" else " " + word), "<u4").tobytes()
+        if len(word) > LONGEST:
+            return ids
+        if len(self) >= CACHE or self.size > CACHE_BYTES:
+            self.clear()
+            self.size = 0
         self[word] = ids
+        self.size += 4 * len(word) + len(ids)
         return ids
 
 
@@ -67,15 +71,15 @@ def _rank_encoder(path: str, whole: Callable[[str], list[int]]) -> Callable[[str
 
 
 def encoder(path: str) -> Callable[[str], bytes]:
-    """A text's ids as bytes, equal to those of the tokenizer of `path` over the whole text.
+    """A text's ids as bytes, equal to those of the tokenizer of `path` over the whole text; special strings in it get their own ids, as the tokenizer gives them.
 
     The byte-level pre-tokeniser never joins a word with the blank after it, so a text can be cut before each single
-    space or line feed and its words looked up; texts with other runs of blanks go to the tokenizer whole.
+    space or line feed and its words looked up; texts with other runs of blanks, or with a special string, go to the tokenizer whole.
     """
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(path)
-    tok.encode_special_tokens = True
+    special = re.compile("|".join(sorted(map(re.escape, (str(t) for t in tok.get_added_tokens_decoder().values())), key=len, reverse=True)) or r"(?!)")
     whole = lambda s: tok.encode(s, add_special_tokens=False).ids
     words = WordCache(_rank_encoder(path, whole))
     look = words.__getitem__
@@ -83,7 +87,7 @@ def encoder(path: str) -> Callable[[str], bytes]:
     def encode(text: str) -> bytes:
         if not text:
             return b""
-        if _CONTEXT.search(text):
+        if _CONTEXT.search(text) or special.search(text):
             return np.array(whole(text), "<u4").tobytes()
         first, *rest = text.replace("\n", " \n").split(" ")
         head = np.array(whole(first), "<u4").tobytes() if first else b""
