@@ -186,12 +186,13 @@ def source_divergence(docs: DataFrame, rules: DivergenceRules = DivergenceRules(
     entries = columns.select("lang", "column", "m", F.inline("vec"))
     totals = entries.groupBy("lang", "source").agg(F.sum(F.col("n") * F.col("m")).alias("total"))
     every = docs.select(text_of(lang).alias("lang"), text_of(source).alias("source")).distinct()
-    groups = every.join(totals, ["lang", "source"], "left").join(languages.select("lang", "v"), "lang", "left").fillna(0, ["total", "v"])
+    groups = every.join(totals, ["lang", "source"], "left").join(languages, "lang", "left").fillna(0, ["total", "v", "total_lang"])
     groups = written(groups.withColumn("sid", F.row_number().over(Window.partitionBy("lang").orderBy("source"))), "groups")
 
     ranked = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")
-    terms = kept.join(languages, "lang").withColumn("q", share(F.col("n"), F.col("total_lang"), F.col("v"))).select("lang", F.col("term").alias("item"), "q", F.inline("vec"))
-    terms = terms.join(groups, ["lang", "source"]).withColumn("p", share(F.col("n"), F.col("total"), F.col("v"))).filter("p > q")
+    # what a language's totals say comes with its groups, so terms are only dealt by language and source
+    terms = kept.select("lang", F.col("term").alias("item"), F.col("n").alias("n_lang"), F.inline("vec")).join(groups, ["lang", "source"])
+    terms = terms.withColumns({"p": share(F.col("n"), F.col("total"), F.col("v")), "q": share(F.col("n_lang"), F.col("total_lang"), F.col("v"))}).filter("p > q")
     terms = terms.select("lang", "source", F.lit("term").alias("part"), "item", excess(F.col("p"), F.col("q")).alias("value"))
     terms = terms.withColumn("rank", F.row_number().over(ranked)).filter(F.col("rank") <= rules.top_terms)
 
