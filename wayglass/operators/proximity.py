@@ -19,10 +19,10 @@ def with_cells(df: DataFrame, x: str, y: str, size: float, reach: int = 0) -> Da
     return spread.withColumns({"cx": cell(F.col(x), size) + F.col("_i"), "cy": cell(F.col(y), size) + F.col("_j")}).drop("_i", "_j")
 
 
-def proximity_join(left: DataFrame, right: DataFrame, radius: float, lx: str = "x", ly: str = "y", rx: str = "x2", ry: str = "y2") -> DataFrame:
-    """Pairs within radius. Each pair meets once: only the right side is spread, over the 3 x 3 cells around it."""
+def proximity_join(left: DataFrame, right: DataFrame, radius: float, lx: str = "x", ly: str = "y", rx: str = "x2", ry: str = "y2", on: tuple[str, ...] = ()) -> DataFrame:
+    """Pairs within radius. Each pair meets once: only the right side is spread, over the 3 x 3 cells around it. on: columns that have to be equal, so that unlike rows don't meet at all."""
     a, b = with_cells(left, lx, ly, radius), with_cells(right, rx, ry, radius, 1)
-    return a.join(b, ["cx", "cy"]).filter(F.hypot(F.col(lx) - F.col(rx), F.col(ly) - F.col(ry)) <= radius).drop("cx", "cy")
+    return a.join(b, [*on, "cx", "cy"]).filter(F.hypot(F.col(lx) - F.col(rx), F.col(ly) - F.col(ry)) <= radius).drop("cx", "cy")
 
 
 def box_join(points: DataFrame, boxes: DataFrame, size: float) -> DataFrame:
