@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wayglass.plans.iterate import cut
+
 #: Shares of extra time of the budget table, and the share up to which a trip may be shown.
 BUDGETS = (0.05, 0.1, 0.2, 0.5)
 SHOWN_EXTRA, SHOWN_SITES = 0.1, 4
@@ -58,6 +60,24 @@ def picked_percentiles(rows: DataFrame, by: str, value: str, shares: dict[str, f
     return upto.groupBy(by).agg(*[F.min(F.when(F.col("_upto") > place(p), F.col("_v"))).alias(name) for name, p in shares.items()])
 
 
+def medians(rows: DataFrame, by: str, value: str, name: str = "median") -> DataFrame:
+    """by, n, median: the middle value of each group, the mean of the two in the middle if n is even. Nulls don't count; a group of nulls alone has no row.
+
+    Exact, and no task holds a group: distinct values are counted, sorted by ranges and numbered by sums over the ranges, so one value or one group may have most of the rows.
+    """
+    counts = rows.filter(F.col(value).isNotNull()).groupBy(by, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+    ranged = cut(counts.repartitionByRange(by, "_v").withColumn("_p", F.spark_partition_id()))
+    sizes = ranged.groupBy("_p").agg(F.sum("_c").alias("_s"))  # a row for each partition
+    sizes = sizes.select("_p", F.coalesce(F.sum("_s").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_at"))
+    within = F.sum("_c").over(Window.partitionBy("_p").orderBy(by, "_v").rowsBetween(Window.unboundedPreceding, 0))
+    upto = ranged.join(F.broadcast(sizes), "_p").withColumn("_upto", F.col("_at") + within)
+    groups = upto.groupBy(by).agg(F.min(F.col("_upto") - F.col("_c")).alias("_first"), F.sum("_c").alias("n"))
+    holds = lambda place: (F.col("_upto") - F.col("_c") <= F.col("_first") + place) & (F.col("_upto") > F.col("_first") + place)
+    low, high = F.floor((F.col("n") - 1) / 2), F.floor(F.col("n") / 2)
+    middle = upto.join(groups, by).filter(holds(low) | holds(high))
+    return middle.groupBy(by).agg(F.first("n").alias("n"), ((F.max(F.when(holds(low), F.col("_v"))) + F.max(F.when(holds(high), F.col("_v")))) / 2).alias(name))
+
+
 def histogram(rows: DataFrame, trip: str, option: str) -> DataFrame:
     """options, trips: how many trips have how many options."""
     return rows.groupBy(trip).agg(F.count_distinct(option).alias("options")).groupBy("options").agg(F.count(F.lit(1)).alias("trips"))

@@ -19,11 +19,6 @@ def changed_share(fresh: DataFrame, live: DataFrame, by: list[str], key: str) ->
     return sums.select(*by, "n_fresh", "n_live", (F.col("diff") / F.greatest(F.lit(1), F.col("n_fresh") + F.col("n_live"))).alias("changed"))
 
 
-def upper_median(values: Column) -> Column:
-    """The element in the middle, the upper one of two; not an interpolated percentile."""
-    return F.get(F.sort_array(F.collect_list(values)), F.floor(F.count(values) / 2).cast("int"))
-
-
 def is_outlier(ratio: Column) -> Column:
     """Longer or shorter by more than the factor OUTLIER."""
     return (ratio > OUTLIER) | (ratio * OUTLIER < 1)

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wayglass.functions import geo
 from wayglass.operators import cameras as cam
-from wayglass.operators.proximity import proximity_join
+from wayglass.operators.evaluate import medians
+from wayglass.operators.proximity import nearest_at_any_distance, proximity_join
 from wayglass.sources import adapters as src
+from wayglass.streaming.exposure import ExposureView
+
+from .iterate import cut, scratch_path
 
 
 def segments(spark: SparkSession, d: str) -> DataFrame:
@@ -79,6 +83,17 @@ def edge_exposure(spark, d):
     return _exposure(spark, d).select("edge_id", "site", F.round("entry_m", 4).alias("entry_m"), F.round("exit_m", 4).alias("exit_m"), F.round("units", 6).alias("units"), "at_end")
 
 
+def exposure_after_changes(spark, d):
+    """Exposure kept up to date over two batches: first every tenth camera stands 500 m off and every fifteenth has a double at its side; then those move and the doubles go."""
+    c = src.cameras(spark, d).select("id", "x", "y", "direction", "brand")
+    say = lambda rows, version, gone=False: rows.withColumns({"version": F.lit(version).cast("long"), "deleted": F.lit(gone)})
+    doubles = c.filter("id % 15 = 1").withColumn("id", -F.col("id"))
+    view = ExposureView(spark, scratch_path(spark, "exposure"), segments(spark, d), edges(spark, d))
+    view.apply(say(c.withColumn("x", F.expr("if(id % 10 = 3, x + 500, x)")).unionByName(doubles), 1), 1)
+    view.apply(say(c.filter("id % 10 = 3"), 2).unionByName(say(doubles, 2, True)), 2)
+    return view.exposure().select("edge_id", "site", F.round("entry_m", 4).alias("entry_m"), F.round("exit_m", 4).alias("exit_m"), F.round("units", 6).alias("units"), "at_end")
+
+
 def exposure_totals(spark, d):
     return _exposure(spark, d).groupBy("edge_id").agg(F.count(F.lit(1)).alias("sites"), F.round(F.sum("units"), 6).alias("units"))
 
@@ -109,6 +124,26 @@ def orphan_cameras(spark, d):
     return c.join(hit, "id", "left").join(loose, "id", "left").groupBy(kind.alias("kind")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def orphan_report(spark, d):
+    """Cameras by what they capture: how many, how many of them would if headings were ignored, the median distance to the nearest road, and the five operators that have most of them."""
+    c = src.cameras(spark, d)
+    z, sites = cam.camera_zones(c), c.select("id", F.col("id").alias("site"))
+    hit = cam.exposure(segments(spark, d), edges(spark, d), z, sites).select(F.col("site").alias("id")).distinct().withColumn("hit", F.lit(True))
+    loose = cam.exposure(segments(spark, d), edges(spark, d), cam.camera_zones(c, omni=True), sites).select(F.col("site").alias("id")).distinct().withColumn("loose", F.lit(True))
+    roads = cam.samples(segments(spark, d)).select("geom_id", F.col("x").alias("x2"), F.col("y").alias("y2"))
+    range_m, _, eps_m, _ = geo.PROFILES["default"]
+    near = nearest_at_any_distance(c.select("id", "x", "y"), roads, "id", "geom_id", range_m + eps_m)
+    kind = F.when(F.col("hit"), "captured").when(F.col("dist") <= range_m + eps_m, "bearing mismatch").otherwise("off network")
+    rows = c.select("id", "operator").join(hit, "id", "left").join(loose, "id", "left").join(near, "id", "left").withColumn("kind", F.explode(F.array(kind, F.lit("all"))))
+    rows = cut(rows.select("kind", "operator", "dist", "loose"))
+    w = Window.partitionBy("kind").orderBy(F.desc("n"), "operator")
+    first = rows.groupBy("kind", "operator").agg(F.count(F.lit(1)).alias("n")).withColumn("i", F.row_number().over(w)).filter("i <= 5")
+    named = F.array_sort(F.collect_list(F.struct("i", F.concat(F.col("operator").cast("string"), F.lit(":"), F.col("n").cast("string")).alias("t"))))  # five at most
+    top = first.groupBy("kind").agg(F.array_join(F.transform(named, lambda r: r["t"]), ",").alias("operators"))
+    sums = rows.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.coalesce("loose", F.lit(False))).alias("n_any_heading"))
+    return sums.join(medians(rows, "kind", "dist", "m").drop("n"), "kind", "left").join(top, "kind").select("kind", "n", "n_any_heading", F.round("m", 4).alias("median_m"), "operators")
+
+
 def density_cells(spark, d):
     c = src.cameras(spark, d)
     return c.groupBy(F.floor(F.col("x") / 1000).cast("long").alias("cx"), F.floor(F.col("y") / 1000).cast("long").alias("cy")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "cx", "cy").limit(8)
@@ -154,8 +189,8 @@ def live_position_zones(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    camera_direction_parse, direction_quality, camera_zones, zone_reference, sector_distance_grid, capture_predicate, camera_site_pairs, capture_sites, edge_exposure, exposure_totals,
-    edge_exposure_rings, near_only_sites, segment_zone_join, orphan_cameras, density_cells, brand_topn, duplicate_cells, exposed_road_km, site_cards, camera_sectors, live_position_zones,
+    camera_direction_parse, direction_quality, camera_zones, zone_reference, sector_distance_grid, capture_predicate, camera_site_pairs, capture_sites, edge_exposure, exposure_after_changes, exposure_totals,
+    edge_exposure_rings, near_only_sites, segment_zone_join, orphan_cameras, orphan_report, density_cells, brand_topn, duplicate_cells, exposed_road_km, site_cards, camera_sectors, live_position_zones,
 )}
 
 # ---------------------------------------------------------------------------------------------- SQL
@@ -258,12 +293,18 @@ ORACLES = {
     "camera_site_pairs": BASE + " SELECT a, b FROM pair WHERE a < b",
     "capture_sites": BASE + " SELECT id, site FROM site",
     "edge_exposure": EXPOSED + " SELECT edge_id, site, round(entry_m, 4) AS entry_m, round(exit_m, 4) AS exit_m, round(units, 6) AS units, at_end FROM expo",
+    "exposure_after_changes": EXPOSED + " SELECT edge_id, site, round(entry_m, 4) AS entry_m, round(exit_m, 4) AS exit_m, round(units, 6) AS units, at_end FROM expo",
     "exposure_totals": EXPOSED + " SELECT edge_id, count(*) AS sites, round(sum(units), 6) AS units FROM expo GROUP BY edge_id",
     "edge_exposure_rings": RINGED + " SELECT edge_id, layer, count(*) AS sites, round(sum(w), 4) AS weight FROM (SELECT edge_id, 'zone' AS layer, 0.75 AS w FROM expo UNION ALL SELECT edge_id, 'ring', 0.25 FROM ring) GROUP BY edge_id, layer",
     "near_only_sites": RINGED + " SELECT edge_id, site FROM ring r WHERE NOT EXISTS (SELECT 1 FROM expo e WHERE e.edge_id = r.edge_id AND e.site = r.site)",
     "segment_zone_join": BASE + " SELECT c.id, count(*) AS n_samples, count(DISTINCT geom_id) AS n_geoms FROM cam c JOIN pt p ON p.x BETWEEN c.x - 62 AND c.x + 62 AND p.y BETWEEN c.y - 62 AND c.y + 62 WHERE sqrt((p.x - c.x) * (p.x - c.x) + (p.y - c.y) * (p.y - c.y)) <= 62 GROUP BY c.id",
     "orphan_cameras": BASE.replace("SELECT a AS id, min(b) AS site FROM reach GROUP BY a", "SELECT id, id AS site FROM cam") + zone_cte("zany", DEFAULT, omni=True) + exposure_cte("expo", "zone") + exposure_cte("loose", "zany")
     + " SELECT CASE WHEN id IN (SELECT site FROM expo) THEN 'captured' WHEN id IN (SELECT site FROM loose) THEN 'bearing mismatch' ELSE 'off network' END AS kind, count(*) AS n FROM cam GROUP BY 1",
+    "orphan_report": BASE.replace("SELECT a AS id, min(b) AS site FROM reach GROUP BY a", "SELECT id, id AS site FROM cam") + zone_cte("zany", DEFAULT, omni=True) + exposure_cte("expo", "zone") + exposure_cte("loose", "zany")
+    + f""", nd AS (SELECT c.id, any_value(c.operator) AS operator, min({hyp("c.x - p.x", "c.y - p.y")}) AS d FROM cam c, pt p GROUP BY c.id),
+        kd AS (SELECT *, CASE WHEN id IN (SELECT site FROM expo) THEN 'captured' WHEN d <= 62 THEN 'bearing mismatch' ELSE 'off network' END AS kind FROM nd UNION ALL SELECT *, 'all' FROM nd),
+        tp AS (SELECT kind, string_agg(operator || ':' || n, ',' ORDER BY n DESC, operator) AS operators FROM (SELECT kind, operator, count(*) AS n FROM kd GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY kind ORDER BY n DESC, operator) <= 5) GROUP BY 1)
+        SELECT kind, count(*) AS n, count(*) FILTER (id IN (SELECT site FROM loose)) AS n_any_heading, round(median(d), 4) AS median_m, any_value(operators) AS operators FROM kd JOIN tp USING (kind) GROUP BY kind""",
     "density_cells": f"WITH {CAMERAS} SELECT CAST(floor(x / 1000) AS BIGINT) AS cx, CAST(floor(y / 1000) AS BIGINT) AS cy, count(*) AS n FROM cam GROUP BY 1, 2 ORDER BY n DESC, cx, cy LIMIT 8",
     "brand_topn": f"WITH {CAMERAS} SELECT operator, count(*) AS n FROM cam GROUP BY 1 ORDER BY n DESC, operator LIMIT 5",
     "duplicate_cells": f"WITH {CAMERAS} SELECT CAST(floor(x / 22) AS BIGINT) AS cx, CAST(floor(y / 22) AS BIGINT) AS cy, count(*) AS n FROM cam GROUP BY 1, 2 HAVING count(*) > 1",

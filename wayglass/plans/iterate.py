@@ -37,6 +37,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new empty folder in the shared folder. It goes when the driver's JVM ends."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(at)
+    fs.deleteOnExit(at)
+    return path
+
+
 def written_lines(lines: DataFrame, name: str) -> str:
     """Write a table of one text column as files of lines to the shared folder; their path. They go when the driver's JVM ends."""
     spark = lines.sparkSession
