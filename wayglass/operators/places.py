@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from wayglass.functions import text as tx
 from wayglass.functions.geo import metres_between
-from wayglass.operators.proximity import proximity_join
+from wayglass.operators.proximity import proximity_join, with_cells
 
 #: Scores of a word's match, of a whole name, of an address, and the weight of distance.
 EXACT, PREFIX, KIND, TOWN, WHOLE, ADDRESS, BETWEEN, DISTANCE = 3.0, 2.0, 1.5, 1.0, 3.0, 6.0, 4.0, 1.5
@@ -111,6 +111,33 @@ def match_addresses(addresses: DataFrame, streets: DataFrame, within: float = 15
     return found
 
 
+def orphan_streets(addresses: DataFrame, matched: DataFrame, join_m: float = 400.0) -> DataFrame:
+    """addr_id, street_id, name of the addresses (addr_id, street, x, y) that no street took (matched: addr_id): those of one name are a street where they lie within join_m of each other.
+
+    street_id is the smallest addr_id of the street. name: the commonest spelling that isn't in capitals, else the commonest in title case; the first seen among equals. A name whose
+    first address doesn't read like a street has no street, nor have addresses without name or position. Addresses of one name in one cell, small enough that all are linked, are one
+    node of the components; addresses meet within their name alone, and only across cells.
+    """
+    from wayglass.plans.iterate import component_labels, cut
+
+    left = addresses.join(matched.select("addr_id"), "addr_id", "left_anti").filter("street is not null and x is not null and y is not null")
+    left = left.select("addr_id", "street", "x", "y", tx.street_key(F.col("street")).alias("key"))
+    good = left.groupBy("key").agg(F.min_by("street", "addr_id").alias("first")).filter(tx.plausible_street(F.col("first"))).select("key")
+    size = 0.7 * join_m  # a cell's diagonal is below join_m
+    cells = cut(with_cells(left.join(good, "key"), "x", "y", size))
+    nodes = cells.groupBy("key", "cx", "cy").agg(F.min("addr_id").alias("node"))
+    own = cells.join(nodes, ["key", "cx", "cy"])
+    spots = own.select("key", "node", "x", "y").distinct()
+    across = with_cells(spots, "x", "y", size).join(with_cells(spots.select("key", F.col("node").alias("b"), F.col("x").alias("x2"), F.col("y").alias("y2")), "x2", "y2", size, 2), ["key", "cx", "cy"])
+    links = across.filter((F.col("node") < F.col("b")) & (F.hypot(F.col("x") - F.col("x2"), F.col("y") - F.col("y2")) <= join_m)).select(F.col("node").alias("a"), "b").distinct()
+    labels = component_labels(nodes.select("node"), links)
+    streets = cut(own.join(labels, "node").select("addr_id", F.col("label").alias("street_id"), "street"))
+    spelt = streets.groupBy("street_id", "street").agg(F.count(F.lit(1)).alias("n"), F.min("addr_id").alias("first"))
+    loud = (F.upper("street") == F.col("street")) & (F.lower("street") != F.col("street"))
+    names = first_of(spelt.withColumn("loud", loud), ["street_id"], ["loud", F.desc("n"), "first"]).select("street_id", F.when(F.col("loud"), tx.tidy(F.col("street"), True)).otherwise(F.col("street")).alias("name"))
+    return streets.drop("street").join(names, "street_id").select("addr_id", "street_id", "name")
+
+
 def dedupe_addresses(addresses: DataFrame, within: float = 60.0) -> DataFrame:
     """Addresses (street_id, number, addr_id, x, y) of one number on one street, without those near the last one kept: a fold in order, since what is kept decides."""
     item = F.struct(tx.house_lead(F.col("number")).alias("lead"), F.lower("number").alias("number"), "x", "y", "addr_id")

@@ -97,6 +97,12 @@ def loose_address_match(spark, d):
     return pl.match_addresses(addresses(spark, d), streets(spark, d))
 
 
+def orphan_streets(spark, d):
+    """Addresses on streets that the map doesn't know (those of every third street say "Old" before it) as streets of their own."""
+    a = addresses(spark, d).withColumn("street", F.expr("if(of % 3 = 0, concat(if(addr_id % 5 = 3, 'OLD ', 'Old '), street), street)"))
+    return pl.orphan_streets(a, pl.match_addresses(a, streets(spark, d)))
+
+
 def street_town(spark, d):
     a = addresses(spark, d).withColumn("said", F.concat(F.lit("T"), F.col("addr_id") % 3))
     return pl.commonest(a.select(F.col("of").alias("street_id"), "said", "addr_id"), "street_id", "said", "addr_id")
@@ -275,7 +281,7 @@ def url_state(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    text_words, street_keys, house_number_split, format_labels, place_kinds, place_dedupe, street_points, loose_address_match, street_town, address_dedupe, search_tokens, search_streets, search_places, topk_search, result_dedupe,
+    text_words, street_keys, house_number_split, format_labels, place_kinds, place_dedupe, street_points, loose_address_match, orphan_streets, street_town, address_dedupe, search_tokens, search_streets, search_places, topk_search, result_dedupe,
     search_address, interpolate_number, reverse_geocode, coordinate_result, street_nearest_point, town_for_point, piece_components, region_for_point, regions_for_request, nearest_areas, ranked_areas, town_candidates, area_text_match, initial_area, url_state, thinned_addresses, town_of_towns, place_names,
 )}
 
@@ -362,6 +368,15 @@ ORACLES = {
     "place_dedupe": f"WITH {PLACES} SELECT place_id, name FROM pk QUALIFY row_number() OVER (PARTITION BY lower(name), floor(lon_q / 2000), floor(lat_q / 2000) ORDER BY place_id) = 1",
     "street_points": f"WITH {ADDR}, n AS (SELECT *, row_number() OVER (PARTITION BY of_, floor(x / 1000), floor(y / 1000) ORDER BY addr_id) - 1 AS i, count(*) OVER (PARTITION BY of_, floor(x / 1000), floor(y / 1000)) AS n FROM ad) SELECT of_ AS street_id, addr_id FROM n WHERE i = n // 2",
     "loose_address_match": f"WITH {KEYS}, {level(0, 'key', '')}, {level(1, 'bare', 'AND a.addr_id NOT IN (SELECT addr_id FROM l0)')}, {level(2, 'stem', 'AND a.addr_id NOT IN (SELECT addr_id FROM l0 UNION ALL SELECT addr_id FROM l1)')} SELECT * FROM l0 UNION ALL SELECT * FROM l1 UNION ALL SELECT * FROM l2",
+    "orphan_streets": "WITH RECURSIVE " + KEYS.replace("AS key FROM ad)", "AS key FROM (SELECT * REPLACE (CASE WHEN of_ % 3 = 0 THEN CASE WHEN addr_id % 5 = 3 THEN 'OLD ' ELSE 'Old ' END || street ELSE street END AS street) FROM ad))")
+    + f""", {level(0, 'key', '')}, {level(1, 'bare', 'AND a.addr_id NOT IN (SELECT addr_id FROM l0)')}, {level(2, 'stem', 'AND a.addr_id NOT IN (SELECT addr_id FROM l0 UNION ALL SELECT addr_id FROM l1)')},
+        o0 AS (SELECT addr_id, street, key, x, y FROM ak2 WHERE addr_id NOT IN (SELECT addr_id FROM l0 UNION ALL SELECT addr_id FROM l1 UNION ALL SELECT addr_id FROM l2)),
+        o AS MATERIALIZED (SELECT * FROM o0 WHERE key IN (SELECT key FROM o0 GROUP BY key HAVING regexp_matches(min_by(street, addr_id), '[A-Za-z]') AND NOT contains(min_by(street, addr_id), ',') AND NOT regexp_matches(trim(min_by(street, addr_id)), '^[0-9]+ '))),
+        ln AS MATERIALIZED (SELECT a.addr_id AS a, b.addr_id AS b FROM o a JOIN o b ON a.key = b.key AND a.addr_id <> b.addr_id AND sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) <= 400),
+        rc(a, b) AS (SELECT addr_id, addr_id FROM o UNION SELECT rc.a, ln.b FROM rc JOIN ln ON rc.b = ln.a), lb AS (SELECT a AS addr_id, min(b) AS street_id FROM rc GROUP BY a),
+        sp AS (SELECT street_id, street, count(*) AS n, min(addr_id) AS f, upper(street) = street AND lower(street) <> street AS loud FROM lb JOIN o USING (addr_id) GROUP BY 1, 2),
+        nm AS (SELECT street_id, CASE WHEN loud AND length(street) > 3 THEN array_to_string(list_transform(string_split(lower(street), ' '), lambda w: upper(w[1]) || w[2:]), ' ') ELSE street END AS name FROM sp QUALIFY row_number() OVER (PARTITION BY street_id ORDER BY loud, n DESC, f) = 1)
+        SELECT addr_id, street_id, name FROM lb JOIN nm USING (street_id)""",
     "street_town": f"WITH {ADDR} SELECT of_ AS street_id, said FROM (SELECT of_, 'T' || (addr_id % 3) AS said, count(*) AS n, min(addr_id) AS f FROM ad GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY of_ ORDER BY n DESC, f) = 1",
     "address_dedupe": f"""WITH RECURSIVE {ADDR}, o AS (SELECT of_ AS street_id, lower(number) AS low, addr_id, x, y, row_number() OVER (PARTITION BY of_, lower(number) ORDER BY x, y, addr_id) AS j FROM ad),
         k AS (SELECT * FROM o WHERE j = 1 UNION ALL (SELECT o.* FROM k JOIN o ON o.street_id = k.street_id AND o.low = k.low AND o.j > k.j AND sqrt((o.x - k.x) ** 2 + (o.y - k.y) ** 2) >= 400 QUALIFY row_number() OVER (PARTITION BY o.street_id, o.low ORDER BY o.j) = 1)) SELECT street_id, addr_id FROM k""",
