@@ -276,6 +276,25 @@ def test_word_encoder_equals_the_tokenizer():
         assert np.frombuffer(encode(s), "<u4").tolist() == tok.encode(s, add_special_tokens=False).ids, s
 
 
+def test_latin_texts_are_encoded_whole(monkeypatch):
+    from tokenizers import Tokenizer
+
+    from wayglass.llm import packing
+
+    tok, encode, rng = Tokenizer.from_file(BPE), encoder(BPE), random.Random(8)
+    kinds = [f.format(chr(c)) for c in range(0x250) for f in ("{0}", "a{0}b", " {0}", "{0}{0}", "1{0}2", "\n{0}", "'{0}", "{0}'s", "x {0}x")]
+    few = [[*map(chr, rng.sample(range(0x250), 5)), *" \n'sa1."] for _ in range(2000)]
+    for s in [*kinds, *("".join(rng.choice(x) for _ in range(rng.randint(1, 30))) for x in few)]:
+        assert np.frombuffer(encode(s), "<u4").tolist() == tok.encode(s, add_special_tokens=False).ids, s
+    # no word of such a text is looked up, words of other texts are
+    missed = []
+    monkeypatch.setattr(packing.WordCache, "__missing__", lambda self, w: missed.append(w) or np.array(self.encode(" " + w), "<u4").tobytes())
+    encode = encoder(BPE)
+    for s in ("been there, été œuvre ŵ", "ab été 日本 cd"):
+        assert np.frombuffer(encode(s), "<u4").tolist() == tok.encode(s, add_special_tokens=False).ids
+    assert missed == ["été", "日本", "cd"]
+
+
 def test_word_cache_is_bounded_in_bytes():
     from wayglass.llm import packing
 
