@@ -4,6 +4,7 @@ import hashlib
 import os
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -535,6 +536,37 @@ def test_jaccard_components(spark, docs, empty, rules):
     assert jaccard_components(empty, rules).count() == 0
 
 
+def shuffled_bytes(spark):
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return sum(f.length() for f in (files.apply(i) for i in range(files.size())) if f.getName().startswith("shuffle_"))
+
+
+def test_keys_of_the_join_travel_packed(spark):
+    from wayglass.llm.signature_join import BUCKETS, candidate_links, packed, unpacked
+
+    rng = np.random.default_rng(4)
+    keys, classes = np.sort(rng.integers(0, 2**63, 5000).astype(np.uint64) * np.uint64(2)), rng.integers(0, 2**40, 5000)
+    rows = packed(keys, classes, BUCKETS)
+    assert rows["bucket"].is_monotonic_increasing and rows["bucket"].is_unique and 0 <= rows["bucket"].min() and rows["bucket"].max() < BUCKETS
+    k, c = unpacked(rows["keys"].tolist())
+    assert (k.view(np.uint64) == keys & np.uint64(2**48 - 1)).all() and (c == classes).all()
+    # documents without near copies: all that is shuffled are their keys, and they come to less than the 16 bytes that a key and its class take
+    texts = [" ".join(map(str, rng.integers(0, 10**9, 1500))) for _ in range(500)]
+    n = sum(len(part_keys(Shingler(5).set_of(t), 80)) for t in texts)
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").coalesce(1)
+    before = shuffled_bytes(spark)
+    assert candidate_links(docs, JaccardRules(n=5, percent=80), text="text").count() == 0
+    assert 0 < shuffled_bytes(spark) - before < 13 * n
+    # and the files of such a shuffle go once its links are there
+    spark.range(100_000).selectExpr("id", "uuid() AS u").repartition(4, "id").agg({"u": "max"}).collect()
+    assert components(spark.createDataFrame([(1, 2), (2, 3)], "a long, b long")).count() == 3
+    for _ in range(100):
+        if shuffled_bytes(spark) < 8 * n:
+            break
+        time.sleep(0.2)
+    assert shuffled_bytes(spark) < 8 * n
+
+
 def test_linked_sets_share_a_key():
     rng = np.random.default_rng(3)
     for size in (1, 2, 8, 9, 10, 11, 19, 20, 57, 400, 3000):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import forget, written
+from .store import forget, release, written
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -16,6 +16,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """
     u, v = F.col("u"), F.col("v")
     stars = written(links.filter(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), "links")
+    release(links.sparkSession)
     before = None
     while True:
         mark = stars.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")).first()

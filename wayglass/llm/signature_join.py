@@ -10,6 +10,7 @@ the same elements in one part at least (no link is lost). Each set sends a key f
    frequent changes no result; they are counted in the pass that makes the table of sets, and at most `frequent_most` are sent to the tasks.
 1. Keys: (size band, part, digest of the part's elements). Keys that repeat within a task are combined there; the
    shuffle by key then sees each key once a task at most, so a hot group of copies doesn't land in one task.
+   Keys are by far the most rows of the join: they travel sorted, a bucket of keys to a row, in 11 bytes each.
    Equal keys give star edges to the smallest document of the key, not pairs, and each task thins its edges to a forest.
 2. Components of these candidate edges are groups that hold every possible link within them.
 3. Each group's sets are joined exactly by signature trees: nodes hold the OR of their documents' bitmaps and the range of their sizes; two
@@ -39,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .store import lean, text_of, written
+from .store import forget, lean, release, text_of, written
 
 CACHE = 150_000
 BAND_RATIO = 1.2
@@ -272,14 +273,18 @@ class TreeJoin:
 
 # ------------------------------------------------------------------------------------------------ the distributed join
 
-#: Elements that a task counts at once, key rows that it combines at once, and elements of sets in one block: bounds of memory.
+#: Elements that a task counts at once, keys that it combines at once, and elements of sets in one block: bounds of memory.
 SET_ELEMENTS = 1_000_000
 KEY_ROWS = 600_000
 BLOCK_ELEMENTS = 2_000_000
+#: Buckets of keys at least, elements of sets for each bucket beyond that, and bytes of a key (beside its bucket) and of a class in a bucket. Keys or
+#: classes that are taken for equal make two candidates of one group; the join of the group decides.
+BUCKETS, BUCKET_ELEMENTS = 4096, 300_000
+KEY_BYTES, CLASS_BYTES = 6, 5
 
 
 def set_table(docs: DataFrame, rules: JaccardRules, *, text: str, doc_id: str) -> DataFrame:
-    """id, th (hash of the text), n_shingles, digest (of the set), cls (a 64-bit part of it); rows with `element`, `held` are counts of a task's frequent elements."""
+    """id, th (hash of the text), n_shingles, digest (of the set), cls (its first bytes); rows with `element`, `held` are counts of a task's frequent elements."""
     own = docs.select(F.col(doc_id).alias("id"), text_of(text).alias("t")).withColumn("th", F.xxhash64("t"))
 
     def frequent(sets: list[np.ndarray]) -> pd.DataFrame:
@@ -299,7 +304,7 @@ def set_table(docs: DataFrame, rules: JaccardRules, *, text: str, doc_id: str) -
                 d = blake2b(s.tobytes(), digest_size=16).digest()
                 n.append(len(s))
                 digests.append(d)
-                classes.append(int.from_bytes(d[:8], "little", signed=True))
+                classes.append(class_of(d))
                 if len(s) and d not in seen:
                     if len(seen) >= CACHE:
                         seen.clear()
@@ -323,6 +328,28 @@ def frequent_elements(table: DataFrame, rules: JaccardRules) -> np.ndarray:
     return np.sort(rows["element"].to_numpy(np.int64).view(np.uint64))
 
 
+def class_of(digest: bytes) -> int:
+    return int.from_bytes(digest[:CLASS_BYTES], "little")
+
+
+def packed(keys: np.ndarray, classes: np.ndarray, buckets: int) -> pd.DataFrame:
+    """bucket, keys: for each bucket the lower bytes of its keys with their classes. keys: sorted, unsigned."""
+    rows = np.concatenate([np.ascontiguousarray(x, "<u8").view(np.uint8).reshape(-1, 8)[:, :n] for x, n in ((keys, KEY_BYTES), (classes, CLASS_BYTES))], axis=1)
+    bucket = ((keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+    head = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
+    ends = np.r_[head[1:], len(keys)]
+    return pd.DataFrame({"bucket": bucket[head], "keys": [rows[i:j].tobytes() for i, j in zip(head.tolist(), ends.tolist(), strict=True)]})
+
+
+def unpacked(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and classes of a bucket's rows, in no order."""
+    rows = np.frombuffer(b"".join(blobs), np.uint8).reshape(-1, KEY_BYTES + CLASS_BYTES)
+    wide = np.zeros((2, len(rows), 8), np.uint8)
+    wide[0, :, :KEY_BYTES], wide[1, :, :CLASS_BYTES] = rows[:, :KEY_BYTES], rows[:, KEY_BYTES:]
+    keys, classes = wide.view("<i8")[:, :, 0]
+    return keys, classes
+
+
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """As few links as keep together what the links a-b keep together."""
     names, places = np.unique(np.r_[a, b], return_inverse=True)
@@ -332,25 +359,27 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return a[kept], b[kept]
 
 
-def candidate_links(docs: DataFrame, rules: JaccardRules, frequent: np.ndarray | None = None, *, text: str) -> DataFrame:
+def candidate_links(docs: DataFrame, rules: JaccardRules, frequent: np.ndarray | None = None, *, text: str, buckets: int = BUCKETS) -> DataFrame:
     """a, b: classes that share a key, as stars around each key's smallest class."""
 
-    def combined(keys: list[np.ndarray], classes: list[tuple[int, int]]) -> pd.DataFrame:
-        k = np.concatenate(keys).view(np.int64)
-        c = np.repeat(np.array([x for x, _ in classes], np.int64), [n for _, n in classes])
+    def starred(k: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Each key and its smallest class; links of the other classes to it."""
         order = np.lexsort((c, k))
         k, c = k[order], c[order]
         head = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
         lowest = np.repeat(c[head], np.diff(np.r_[head, len(k)]))
-        own = np.zeros(len(k), bool)
-        own[head] = True
-        link = ~own & (c != lowest)
-        pairs = np.unique(np.stack([c[link], lowest[link]], 1), axis=0)
-        a, b = forest(pairs[:, 0], pairs[:, 1])
-        return pd.DataFrame({"key": np.r_[k[own], a], "a": np.r_[c[own], a], "b": np.r_[c[own], b]})
+        link = c != lowest
+        return k[head], c[head], np.stack([c[link], lowest[link]], 1)
+
+    def combined(keys: list[np.ndarray], classes: list[tuple[int, int]]) -> Iterator[pd.DataFrame]:
+        k, c, links = starred(np.concatenate(keys), np.repeat(np.array([x for x, _ in classes], np.int64), [n for _, n in classes]))
+        yield packed(k, c, buckets).assign(links=None)
+        if len(links):
+            a, b = forest(*np.unique(links, axis=0).T)
+            yield pd.DataFrame({"bucket": [int(a[0]) % buckets], "keys": None, "links": [np.stack([a, b], 1).astype("<i8").tobytes()]})
 
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        # rows with a = b are keys, the others links that were found within the task
+        # a row has keys of one bucket, or links that were found within the task
         shingler, keys, classes, held = Shingler(rules.n), [], [], 0
         seen: set[bytes] = set()
         for batch in batches:
@@ -366,38 +395,34 @@ def candidate_links(docs: DataFrame, rules: JaccardRules, frequent: np.ndarray |
                 seen.add(d)
                 own = part_keys(s, rules.percent, frequent)
                 keys.append(own)
-                classes.append((int.from_bytes(d[:8], "little", signed=True), len(own)))
+                classes.append((class_of(d), len(own)))
                 held += len(own)
                 if held >= KEY_ROWS:
-                    yield combined(keys, classes)
+                    yield from combined(keys, classes)
                     keys, classes, held = [], [], 0
         if held:
-            yield combined(keys, classes)
+            yield from combined(keys, classes)
 
     def stars(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        # rows come sorted by key, then a: only a key and its smallest class are carried along
-        last_key, lowest = None, 0
+        # rows come sorted by bucket: one bucket's keys are looked at together
+        now, blobs = None, []
         found, held = [], 0
         for batch in batches:
-            k, a, b = batch["key"].to_numpy(np.int64), batch["a"].to_numpy(np.int64), batch["b"].to_numpy(np.int64)
-            ready = a != b
-            out = [np.stack([a[ready], b[ready]], 1)]
-            k, a = k[~ready], a[~ready]
-            if len(k):
-                head = np.r_[True, k[1:] != k[:-1]]
-                first = a[np.flatnonzero(head)]
-                if last_key is not None and k[0] == last_key:
-                    first[0] = lowest
-                low = first[np.cumsum(head) - 1]
-                last_key, lowest = k[-1], low[-1]
-                link = a != low
-                out.append(np.stack([a[link], low[link]], 1))
-            found.append(np.unique(np.concatenate(out), axis=0))
-            held += len(found[-1])
+            found += [np.frombuffer(x, "<i8").reshape(-1, 2) for x in batch["links"] if x is not None]
+            for bucket, blob in zip(batch["bucket"].tolist(), batch["keys"], strict=True):
+                if bucket != now and blobs:
+                    found.append(starred(*unpacked(blobs))[2])
+                    held += len(found[-1])
+                    blobs = []
+                now = bucket
+                if blob is not None:
+                    blobs.append(blob)
             if held >= KEY_ROWS // 4:
                 yield thinned(found)
                 found, held = [], 0
-        if held:
+        if blobs:
+            found.append(starred(*unpacked(blobs))[2])
+        if found:
             yield thinned(found)
 
     def thinned(found: list[np.ndarray]) -> pd.DataFrame:
@@ -405,8 +430,8 @@ def candidate_links(docs: DataFrame, rules: JaccardRules, frequent: np.ndarray |
         a, b = forest(pairs[:, 0], pairs[:, 1])
         return pd.DataFrame({"a": a, "b": b})
 
-    keyed = docs.select(text_of(text).alias("t")).mapInPandas(lean(emit), "key long, a long, b long")
-    return keyed.repartition("key").sortWithinPartitions("key", "a").mapInPandas(lean(stars), "a long, b long")
+    keyed = docs.select(text_of(text).alias("t")).mapInPandas(lean(emit), "bucket long, keys binary, links binary")
+    return keyed.repartition("bucket").sortWithinPartitions("bucket").mapInPandas(lean(stars), "a long, b long")
 
 
 def _tree_links(rules: JaccardRules, kind: str):
@@ -429,7 +454,9 @@ def jaccard_components(docs: DataFrame, rules: JaccardRules = JaccardRules(), *,
     table = written(set_table(docs, rules, text=text, doc_id=doc_id), "sets")
     frequent = frequent_elements(table, rules)
     table = table.filter("element is null").drop("element", "held")
-    groups = components(candidate_links(docs, rules, frequent, text=text)).select(F.col("node").alias("cls"), F.col("label").alias("group"))
+    elements = table.agg(F.sum("n_shingles")).first()[0] or 0
+    groups = components(candidate_links(docs, rules, frequent, text=text, buckets=max(BUCKETS, elements // BUCKET_ELEMENTS)))
+    groups = groups.select(F.col("node").alias("cls"), F.col("label").alias("group"))
     sets = table.filter((F.col("n_shingles") > 0) & F.col("id").isNotNull())
     # one document stands for all with its set
     reps = sets.groupBy("digest", "cls", "n_shingles").agg(F.min(F.struct("id", "th")).alias("first"))
@@ -437,26 +464,31 @@ def jaccard_components(docs: DataFrame, rules: JaccardRules = JaccardRules(), *,
     members = written(reps.join(groups, "cls").select("id", "th", "n_shingles", "group"), "members")
     blocks = members.groupBy("group").agg(F.count(F.lit(1)).alias("m"), F.sum("n_shingles").alias("elements"), F.min(F.struct("id", "th")).alias("pivot"))
     blocks = blocks.withColumn("blocks", F.greatest(F.ceil(F.col("m") / rules.block), F.ceil(F.col("elements") / BLOCK_ELEMENTS)).cast("int")).filter("m > 1")
-    # all texts are shuffled once: what follows reads those of groups alone
+    # all texts are shuffled once: what follows reads those of groups alone, with their blocks
+    grouped = members.join(blocks, "group")
     own = docs.select(F.col(doc_id).alias("id"), text_of(text).alias("t")).withColumn("th", F.xxhash64("t"))
-    own = written(_texts(own, members.join(blocks, "group").select("id", "th")), "texts")
+    own = written(_texts(own, grouped.select("id", "th", "group", "blocks", "pivot")), "texts")
+    release(docs.sparkSession)
     join, schema = _tree_links(rules, kind)
     block_of = F.pmod(F.xxhash64("id", "th"), F.col("blocks")).cast("int")
     # first pass: each document in one block, the group's pivot in all of them
-    rows = members.join(blocks, "group")
     is_pivot = F.struct("id", "th") == F.col("pivot")
-    rows = rows.withColumn("i", F.explode(F.when(is_pivot, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(block_of))))
-    rows = rows.select("id", "th", "group", "i", F.lit(0).alias("j"), F.lit(False).alias("left"), F.lit(True).alias("same"), F.lit(None).cast("long").alias("label"))
-    links = written(_texts(own, rows).groupBy("group", "i", "j").applyInPandas(lambda g: join(g.assign(label=range(len(g)))), schema), "pairs")
+    rows = own.withColumn("i", F.explode(F.when(is_pivot, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(block_of))))
+    rows = rows.select("id", "th", "t", "group", "i", F.lit(0).alias("j"), F.lit(False).alias("left"), F.lit(True).alias("same"), F.lit(None).cast("long").alias("label"))
+    links = written(rows.groupBy("group", "i", "j").applyInPandas(lambda g: join(g.assign(label=range(len(g)))), schema), "pairs")
+    release(docs.sparkSession)
     labels = components(links)
     # second pass: groups of several blocks that aren't one component yet
-    large = members.join(blocks.filter("blocks > 1"), "group").join(labels.withColumnRenamed("node", "id"), "id", "left")
+    large = grouped.filter("blocks > 1").join(labels.withColumnRenamed("node", "id"), "id", "left")
     large = large.withColumn("label", F.coalesce("label", "id"))
     many = large.groupBy("group", "label").agg(F.count(F.lit(1)).alias("k"), F.sum("n_shingles").alias("e"))
     top = many.groupBy("group").agg(F.max(F.struct("k", "label", "e")).alias("top"), F.count(F.lit(1)).alias("parts"), F.sum("k").alias("all"), F.sum("e").alias("all_e")).filter("parts > 1")
     if not top.isEmpty():
-        more = _between_blocks(large.join(top, "group"), own, rules, join, schema)
+        more = _between_blocks(large.join(top, "group"), own.select("id", "th", "t"), rules, join, schema)
         labels = components(links.unionByName(written(more, "pairs")))
+    for done in (own, members, links):
+        forget(done)
+    release(docs.sparkSession)
     named = reps.join(labels.withColumnRenamed("node", "id"), "id", "left").select("digest", F.coalesce("label", "id").alias("component"))
     out = table.join(named, "digest", "left")
     component = F.when(F.col("id").isNull(), None).when(F.col("n_shingles") == 0, F.col("id")).otherwise(F.col("component"))
