@@ -498,6 +498,42 @@ def test_pii_field_and_exact_pruning():
     assert found == [[("national_phone", 5, 17)], [], [("identity", 4, 15)]]
 
 
+def test_pii_new_words_cost_little():
+    import cProfile
+    import pstats
+
+    from wayglass.llm.pii import Decoder, Field, labelled_table
+
+    rng = random.Random(21)
+    new = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(9, 12))) + rng.choice(["", ",", "."]) for _ in range(20_000)]
+    assert len(set(new)) > 19_990
+    decoder = Decoder(Field.fit(labelled_table()))
+    profile = cProfile.Profile()
+    assert profile.runcall(decoder.decode, [new, new[:10]]) == [[], []]
+    assert pstats.Stats(profile).total_calls < 20 * len(new)  # 69 a word when each new one went through all the signs
+
+
+def test_pii_one_form_for_words_with_the_same_signs():
+    from wayglass.llm.pii import CUES, word_form, word_signs
+
+    def plain(word):
+        core = word.strip("\"'`.,;:!?#*$%&|<>[]{}")
+        shape = re.sub(r"(.)\1+", r"\1", re.sub(r"[^\W\d_]", "a", re.sub(r"[0-9]", "9", core)))
+        digits, n = sum(c in "0123456789" for c in core), len(core)
+        signs = [f"s={shape[:12]}", f"d={digits if digits < 5 else 5 if digits == 5 else 6 if digits < 9 else 9 if digits < 12 else 12}", f"l={n if n < 4 else 4 if n < 16 else 16}"]
+        signs += ["plain" if core.isalpha() or not core else "marked"] * (digits == 0)
+        signs += ["keylike"] * bool(n >= 16 and digits >= 3 and re.fullmatch(r"[0-9A-Za-z_-]+", core) and re.search("[A-Za-z]", core))
+        signs += [k for p, k in ((r"\([0-9]{3}\)", "area"), (r"[0-9]{3}-[0-9]{4}", "local"), (r"[0-9]{3}[-.][0-9]{3}[-.][0-9]{4}", "national"), (r"[0-9]{3}-[0-9]{2}-[0-9]{4}", "identity")) if re.fullmatch(p, core)]
+        low = core.lower().rstrip("=:")
+        return signs + [f"cue={CUES.get(low)}"] * (low in CUES) + ["joint"] * (core in ("=", ":", ""))
+
+    rng = random.Random(22)
+    pool = [*"abzAZ0199--_..()=:,\"'#é²٣İKßя½’中\x85\xa0\x1c", "token", "Key", "123-45-6789", "212-555-1234", "555-1234", "(212)", "API_key", "tel", "0af3" * 4]
+    for _ in range(20_000):
+        word = "".join(rng.choice(pool) for _ in range(rng.choice((1, 2, 3, 6, 20))))
+        assert word_signs(word) == plain(word) == word_signs(word_form(word)), word
+
+
 def brute_components(rows, n, percent):
     sets = []
     for _, t in rows:

@@ -15,7 +15,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -43,6 +43,14 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
 _BLANKS = " \t\n\x0b\f\r"
 _TOKEN = re.compile(r"[^\x20\x09-\x0D]+")
+_MARKS = "\"'`.,;:!?#*$%&|<>[]{}"
+_LETTER = re.compile(r"[^\W\d_]")
+_REPEATED = re.compile(r"(.)\1+")
+_KEYLIKE = re.compile(r"[0-9A-Za-z_-]+")
+_NUMBERS = tuple((re.compile(p), name) for p, name in ((r"\([0-9]{3}\)", "area"), (r"[0-9]{3}-[0-9]{4}", "local"), (r"[0-9]{3}[-.][0-9]{3}[-.][0-9]{4}", "national"), (r"[0-9]{3}-[0-9]{2}-[0-9]{4}", "identity")))
+#: A letter of A-Z and a-z becomes a, a digit 9.
+_FORM = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZbcdefghijklmnopqrstuvwxyz012345678", "a" * 51 + "9" * 9)
+_PLAIN = tuple("a" * n for n in range(17))
 
 
 def luhn(digits: str) -> bool:
@@ -103,17 +111,17 @@ def base_spans(text: str) -> list[list[tuple[int, int]]]:
 
 def word_signs(word: str) -> list[str]:
     """Features of a word's shape."""
-    core = word.strip("\"'`.,;:!?#*$%&|<>[]{}")
-    shape = re.sub(r"(.)\1+", r"\1", re.sub(r"[^\W\d_]", "a", re.sub(r"[0-9]", "9", re.sub(r"[A-Z]", "A", core))))
-    digits = sum("0" <= c <= "9" for c in core)
+    core = word.strip(_MARKS)
+    plain = core.translate(_FORM)
+    shape = _REPEATED.sub(r"\1", _LETTER.sub("a", plain))
+    digits = plain.count("9")
     signs = [f"s={shape[:12]}", f"d={min(digits, 5) if digits < 6 else 6 if digits < 9 else 9 if digits < 12 else 12}", f"l={len(core) if len(core) < 4 else 4 if len(core) < 16 else 16}"]
     if digits == 0:
         signs.append("plain" if core.isalpha() or not core else "marked")
-    if len(core) >= 16 and digits >= 3 and re.fullmatch(r"[0-9A-Za-z_-]+", core) and re.search("[A-Za-z]", core):
+    if len(core) >= 16 and digits >= 3 and "a" in plain and _KEYLIKE.fullmatch(core):
         signs.append("keylike")
-    for pattern, name in ((r"\([0-9]{3}\)", "area"), (r"[0-9]{3}-[0-9]{4}", "local"), (r"[0-9]{3}[-.][0-9]{3}[-.][0-9]{4}", "national"), (r"[0-9]{3}-[0-9]{2}-[0-9]{4}", "identity")):
-        if re.fullmatch(pattern, core):
-            signs.append(name)
+    if digits >= 3:
+        signs += [name for pattern, name in _NUMBERS if pattern.fullmatch(core)]
     low = core.lower().rstrip("=:")
     if low in CUES:
         signs.append(f"cue={CUES[low]}")
@@ -122,6 +130,14 @@ def word_signs(word: str) -> list[str]:
     return signs
 
 
+def word_form(word: str) -> str:
+    """A word with the same signs, one for many words: most have letters alone, and then only their number counts."""
+    core = word.strip(_MARKS)
+    if not core or core.lower().rstrip("=:") in CUES:
+        return core or "."
+    return _PLAIN[min(len(core), 16)] if core.isalpha() else core.translate(_FORM)
+
+
 #: Words that announce a kind.
 CUES = {
     "phone": "phone", "tel": "phone", "call": "phone", "telephone": "phone", "mobile": "phone", "fax": "phone", "dial": "phone",
@@ -227,6 +243,22 @@ class Field:
         return cls({f: w[i] for f, i in names.items()}, t)
 
 
+class Memory(dict[str, int]):
+    """What a function gives for words, kept for those of up to CACHED_CHARS characters; emptied when it holds CACHE of them."""
+
+    def __init__(self, of: Callable[[str], int]):
+        super().__init__()
+        self.of = of
+
+    def __missing__(self, word: str) -> int:
+        got = self.of(word)
+        if len(word) <= CACHED_CHARS:
+            if len(self) >= CACHE:
+                self.clear()
+            self[word] = got
+        return got
+
+
 class Decoder:
     """Viterbi over the words of many texts in numpy."""
 
@@ -235,7 +267,10 @@ class Decoder:
         self.model, self.t = model, model.moves
         self.classes: dict[tuple[str, ...], int] = {}
         self.rows: list[list[np.ndarray]] = [[], [], []]
-        self.words: dict[str, int] = {}
+        #: Only signs that the table taught count, so that there are few classes.
+        self.taught = {name[1:] for name in model.weights}
+        self.forms = Memory(lambda form: self._class(tuple(s for s in word_signs(form) if s in self.taught)))
+        self.words = Memory(lambda word: self.forms[word_form(word)])
         t = self.t
         #: What transitions can make up for at most when a label other than "outside" is taken at one word.
         self.gain = np.array([(t[:, y] - t[:, 0]).max() + (t[y] - t[0]).max() for y in range(1, k)])
@@ -250,44 +285,34 @@ class Decoder:
                 rows.append(sum((self.model.weights.get(place + s, zero) for s in signs), zero))
         return got
 
-    def class_of(self, word: str) -> int:
-        got = self.words.get(word)
-        if got is None:
-            # only signs that the table taught count, so that there are few classes
-            got = self._class(tuple(s for s in word_signs(word) if any(p + s in self.model.weights for p in "0-+")))
-            if len(word) <= CACHED_CHARS:
-                if len(self.words) >= CACHE:
-                    self.words.clear()
-                self.words[word] = got
-        return got
-
     def decode(self, texts: list[list[str]]) -> list[list[tuple[int, int, int]]]:
         """For each list of words: (label, first word, last word) of what isn't outside."""
         ids, starts = [self.edge], []
         for words in texts:
             starts.append(len(ids))
-            ids += map(self.class_of, words)
+            ids += map(self.words.__getitem__, words)
             ids.append(self.edge)
         c = np.array(ids)
         own, prev, nxt = (np.array(r) for r in self.rows)
-        e = own[c]
-        e[1:] += prev[c[:-1]]
-        e[:-1] += nxt[c[1:]]
-        sure = ((e[:, :1] - e[:, 1:]) > self.gain).all(1) | (c == self.edge)
+        # emissions by the classes of a word and its neighbours; few of these threes occur (edges are outside, the first and last too)
+        k = len(own)
+        three, which = np.unique((c[:-2] * k + c[1:-1]) * k + c[2:], return_inverse=True)
+        emission = own[three // k % k] + prev[three // k // k] + nxt[three % k]
+        sure = ((emission[:, :1] - emission[:, 1:]) > self.gain).all(1)[which] | (c[1:-1] == self.edge)
         labels = np.zeros(len(c), np.int64)
-        open_ = np.flatnonzero(~sure)
+        open_ = np.flatnonzero(~sure) + 1
         if len(open_):
             first = open_[np.diff(open_, prepend=-2) > 1]
             last = open_[np.diff(open_, append=len(c) + 1) > 1]
             order = np.argsort(first - last, kind="stable")
             first, n = first[order], (last - first + 1)[order]
-            score = e[first] + self.t[0]
+            score = emission[which[first - 1]] + self.t[0]
             back: list[np.ndarray] = []
             for i in range(1, int(n[0])):
                 live = int(np.searchsorted(-n, -i, "left"))  # stretches of more than i words
                 way = score[:live, :, None] + self.t[None]
                 back.append(way.argmax(1))
-                score[:live] = way.max(1) + e[first[:live] + i]
+                score[:live] = way.max(1) + emission[which[first[:live] + i - 1]]
             best = (score + self.t[:, 0]).argmax(1)
             for i in range(int(n[0]) - 1, -1, -1):
                 live = int(np.searchsorted(-n, -i, "left"))
