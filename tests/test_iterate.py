@@ -6,7 +6,7 @@ from wayglass.plans.iterate import component_labels, cut
 
 
 def estimate(df):
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def test_estimates_of_size_do_not_grow_with_the_rounds(spark):

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from wayglass.operators import sweep
+from wayglass.plans.iterate import cut
 
 
 def plain(arcs, start, price):
@@ -66,6 +67,34 @@ def test_costs_and_traces_against_a_plain_search(spark, world, size, at_once):
             assert abs(sum(t + p * x for *_, t, x in path) - want[p, s, v]) < 1e-6  # a trace comes to its cost
 
 
+@pytest.mark.parametrize("size,at_once", [(7, 2), (1000, 64)])
+def test_totals_are_what_the_traces_come_to(spark, world, size, at_once, monkeypatch):
+    monkeypatch.setattr(sweep, "ROUNDS_HELD", 3)
+    arcs, vertices, table = world
+    cells = sweep.cells(vertices, size)
+    runs = [(p, s) for p in (0.0, 20.0) for s in (0, 17, 58)]
+    found = cut(sweep.cheapest(sweep.placed(table, cells), cells, spark.createDataFrame([(p, s, s, 0.0) for p, s in runs], "price double, source long, v long, cost double"), at_once))
+    assert found.count() == found.select("price", "source", "v").distinct().count()
+    trips = found.select(F.monotonically_increasing_id().alias("trip_id"), "price", "source", F.col("v").alias("target"))
+    by_run = sweep.traces(found, trips).join(table, "arc").groupBy("trip_id").agg(F.count("arc").alias("n"), F.sum("t").alias("T"), F.sum("x").alias("X")).join(trips, "trip_id")
+    want = {(r["price"], r["source"], r["target"]): (r["n"], r["T"], r["X"]) for r in by_run.collect()}
+    got = {(r["price"], r["source"], r["v"]): (r["n"], r["T"], r["X"]) for r in sweep.totals(found, table).collect()}
+    assert {k for k, r in got.items() if r[0]} == want.keys() and len(got) == found.count() and all(got[k] == pytest.approx(want[k]) for k in want)
+    assert all(r == (0, 0.0, 0.0) for k, r in got.items() if k not in want)
+
+
+def test_a_round_is_read_and_written_for_its_cells_alone(spark, monkeypatch):
+    """A path of 12 cells: the rows that the rounds write grow with the cells, not with the cells times the rounds."""
+    n, rows = 48, []
+    table = spark.createDataFrame([(k, k, k + 1, 1.0, 0.0) for k in range(n - 1)], "arc long, a long, b long, t double, x double")
+    cells = spark.range(n).select(F.col("id").alias("v"), F.expr("id div 4").alias("cell"))
+    keep = sweep.cut
+    monkeypatch.setattr(sweep, "cut", lambda df: rows.append((out := keep(df)).count()) or out)
+    found = sweep.cheapest(sweep.placed(table, cells), cells, spark.createDataFrame([(0.0, 0, 0, 0.0)], "price double, source long, v long, cost double"))
+    assert {r["v"]: r["cost"] for r in found.collect()} == {k: float(k) for k in range(n)}
+    assert sum(rows) <= 2 * n
+
+
 def test_several_ways_to_begin_and_none(spark, world):
     arcs, vertices, table = world
     cells = sweep.cells(vertices, 9)

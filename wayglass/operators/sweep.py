@@ -12,12 +12,14 @@ Of equally cheap ways the one that is found first stays. Vertices that can't be
 from __future__ import annotations
 
 import heapq
+import math
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wayglass.plans.iterate import cut, numbered
+from wayglass.plans.iterate import cut, numbered, scratch_path
 
 EPS = 1e-9
 STATE = "price double, source long, v long, cell long, bucket int, cost double, arc long, prev long, prev_cell long, fresh boolean"
@@ -40,71 +42,162 @@ def cells(vertices: DataFrame, size: int = 16_384) -> DataFrame:
 
 
 def placed(arcs: DataFrame, cells_: DataFrame) -> DataFrame:
-    """arcs (arc, a, b, t, x) with the cells of their ends."""
+    """arcs (arc, a, b, t, x) with the cells of their ends, written in the order of a_cell: a round that asks for some cells reads little else."""
     on = lambda end: cells_.select(F.col("v").alias(end), F.col("cell").alias(f"{end}_cell"))
-    return cut(arcs.select("arc", "a", "b", F.col("t").cast("double").alias("t"), F.col("x").cast("double").alias("x")).join(on("a"), "a").join(on("b"), "b"))
+    rows = arcs.select("arc", "a", "b", F.col("t").cast("double").alias("t"), F.col("x").cast("double").alias("x")).join(on("a"), "a").join(on("b"), "b")
+    path = f"{scratch_path(rows.sparkSession, 'arcs')}/t"
+    rows.repartitionByRange("a_cell").sortWithinPartitions("a_cell").write.option("parquet.block.size", 1 << 22).parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
+def _whole(values: np.ndarray, missing: np.ndarray) -> pd.Series:
+    return pd.Series(pd.arrays.IntegerArray(values, missing))
 
 
 def _relax(key: tuple, arcs: pd.DataFrame, state: pd.DataFrame) -> pd.DataFrame:
+    """A cell's runs one after the other; what is known of a run is kept in arrays."""
     cell, bucket = int(key[0]), int(key[1])
-    ways: dict[int, list] = {}
-    for a, *way in zip(*(arcs[c].tolist() for c in ("a", "b", "b_cell", "arc", "t", "x")), strict=True):
-        ways.setdefault(a, []).append(way)
+    a, b, to_cell = (arcs[c].to_numpy(np.int64) for c in ("a", "b", "b_cell"))
+    own = np.unique(np.concatenate([a, b[to_cell == cell], state["v"].to_numpy(np.int64)]))
+    beyond, first = np.unique(b[to_cell != cell], return_index=True)
+    beyond_cell = to_cell[to_cell != cell][first]
+    n, names = len(own), np.concatenate([own, beyond])
+    cell_of = np.concatenate([np.full(n, cell, np.int64), beyond_cell])
+    at = np.searchsorted(own, a)
+    order = np.argsort(at, kind="stable")
+    head = np.searchsorted(at[order], np.arange(n + 1)).tolist()
+    ends = np.where(to_cell == cell, np.searchsorted(own, b), n + np.searchsorted(beyond, b))[order].tolist() if len(b) else []
+    ts, xs = arcs["t"].to_numpy(float)[order].tolist(), arcs["x"].to_numpy(float)[order].tolist()
+    arc_ids, starts_at = arcs["arc"].to_numpy(np.int64)[order], a[order]
+    known = {c: (state[c].fillna(0).to_numpy(np.int64), state[c].isna().to_numpy()) for c in ("arc", "prev", "prev_cell")}
+    places, costs, fresh = np.searchsorted(own, state["v"].to_numpy(np.int64)), state["cost"].to_numpy(float), state["fresh"].to_numpy(bool)
     out = []
-    state = state.astype({"arc": "Int64", "prev": "Int64", "prev_cell": "Int64"}).astype(object).where(lambda d: d.notna(), None)
-    for (price, source), rows in state.groupby(["price", "source"], sort=True):
-        best: dict[int, tuple] = {}
+    for (price, source), rows in state.groupby(["price", "source"], sort=True).indices.items():
+        cost, came = [math.inf] * len(names), [-1] * len(names)  # came: an arc of this cell, or -2 - k for row k of the state
         new = set()
         # what is settled first, then candidates
-        for v, cost, arc, prev, prev_cell, fresh in sorted(zip(*(rows[c].tolist() for c in ("v", "cost", "arc", "prev", "prev_cell", "fresh")), strict=True), key=lambda r: (r[5], r[1], -1 if r[2] is None else r[2])):
-            if v not in best or cost < best[v][0] - EPS:
-                best[v] = (cost, arc, prev, prev_cell)
-                if fresh:
+        rows = rows[np.lexsort((np.where(known["arc"][1][rows], -1, known["arc"][0][rows]), costs[rows], fresh[rows]))]
+        for k, v, c, is_new in zip(rows.tolist(), places[rows].tolist(), costs[rows].tolist(), fresh[rows].tolist(), strict=True):
+            if came[v] == -1 or c < cost[v] - EPS:
+                cost[v], came[v] = c, -2 - k
+                if is_new:
                     new.add(v)
-        heap = [(best[v][0], v) for v in new]
+        heap = [(cost[v], v) for v in new]
         heapq.heapify(heap)
-        sent: dict[int, tuple] = {}
         while heap:
-            cost, v = heapq.heappop(heap)
-            if cost > best[v][0]:
+            now, v = heapq.heappop(heap)
+            if now > cost[v]:
                 continue
-            for b, b_cell, arc, t, x in ways.get(v, ()):
-                c = cost + t + price * x
-                known = best if b_cell == cell else sent
-                if b not in known or c < known[b][0] - EPS:
-                    known[b] = (c, arc, v, cell) if b_cell == cell else (c, arc, v, cell, b_cell)
-                    if b_cell == cell:
-                        heapq.heappush(heap, (c, b))
-        out += [(price, source, v, cell, bucket, *r, False) for v, r in best.items()]
-        out += [(price, source, v, r[4], bucket, *r[:4], True) for v, r in sent.items()]
-    frame = pd.DataFrame(out, columns=[c.split()[0] for c in STATE.split(", ")])
-    return frame.astype({"arc": "Int64", "prev": "Int64", "prev_cell": "Int64"})
-
-
-def cheapest(arcs: DataFrame, cells_: DataFrame, starts: DataFrame, runs_at_once: int = 64, most: int = 10_000) -> DataFrame:
+            for k in range(head[v], head[v + 1]):
+                w, c = ends[k], now + ts[k] + price * xs[k]
+                if c < cost[w] - EPS:
+                    cost[w], came[w] = c, k
+                    if w < n:
+                        heapq.heappush(heap, (c, w))
+        came = np.array(came, np.int64)
+        got = np.flatnonzero(came != -1)
+        came = came[got]
+        by_arc, row = came >= 0, -2 - came
+        k, row = np.where(by_arc, came, 0), np.where(by_arc, 0, row)
+        inner = lambda c, values: (np.where(by_arc, values[k] if len(values) else 0, known[c][0][row]), ~by_arc & known[c][1][row])
+        arc, prev = inner("arc", arc_ids), inner("prev", starts_at)
+        prev_cell = (np.where(by_arc, cell, known["prev_cell"][0][row]), ~by_arc & known["prev_cell"][1][row])
+        frame = {"price": price, "source": source, "v": names[got], "cell": cell_of[got], "bucket": bucket, "cost": np.array(cost)[got], "arc": _whole(*arc), "prev": _whole(*prev), "prev_cell": _whole(*prev_cell), "fresh": got >= n}
+        out.append(pd.DataFrame(frame))
+    return pd.concat(out, ignore_index=True)
+
+
+#: Results of so many rounds at most are looked through; then those that still count are written together.
+ROUNDS_HELD = 24
+
+
+def cheapest(arcs: DataFrame, cells_: DataFrame, starts: DataFrame, runs_at_once: int = 16, most: int = 10_000) -> DataFrame:
     """STATE of every vertex that a run reaches: its cost, the arc that it is reached by and where from (null where the run starts).
 
     arcs: as placed() gives them. starts: price, source, v, cost and optionally arc; several rows of a run are several ways to begin.
+    A round reads and writes the cells that something new came to; the driver knows which round solved a cell last, two numbers for each cell and bucket.
     """
+    spark = arcs.sparkSession
     arc = F.col("arc").cast("long") if "arc" in starts.columns else F.lit(None).cast("long")
     begin = starts.select(F.col("price").cast("double").alias("price"), F.col("source").cast("long").alias("source"), F.col("v").cast("long").alias("v"), F.col("cost").cast("double").alias("cost"), arc.alias("arc"))
     buckets = -(-begin.select("price", "source").distinct().count() // runs_at_once) or 1
     none = F.lit(None).cast("long")
-    state = cut(
+    last = cut(
         begin.join(cells_, "v").select(
             "price", "source", "v", "cell", F.pmod(F.xxhash64("price", "source"), F.lit(buckets)).cast("int").alias("bucket"), "cost", "arc", none.alias("prev"), none.alias("prev_cell"), F.lit(True).alias("fresh")
         )
     )
-    for _ in range(most):
-        touched = state.filter("fresh").select("cell", "bucket").distinct()
-        if not touched.limit(1).count():
-            return state.drop("fresh")
-        here = touched.select(F.col("cell").alias("a_cell"), F.col("bucket").alias("for_bucket"))
-        own = arcs.join(here, "a_cell").select(F.col("a_cell").alias("cell"), F.col("for_bucket").alias("bucket"), "a", "b", "b_cell", "arc", "t", "x")
-        work = state.join(touched, ["cell", "bucket"], "left_semi").select(state.columns)
-        solved = own.groupBy("cell", "bucket").cogroup(work.groupBy("cell", "bucket")).applyInPandas(_relax, STATE)
-        state = cut(state.join(touched, ["cell", "bucket"], "left_anti").select(state.columns).unionByName(solved))
-    raise RuntimeError(f"paths still get cheaper after {most} rounds")
+    begun, held, solved = last, {}, {}
+
+    def keys(rows: list[tuple]) -> DataFrame:
+        return F.broadcast(spark.sql("SELECT * FROM VALUES " + ", ".join(f"({c}L, {b}, {r})" for c, b, r in rows) + " AS t(cell, bucket, round)"))
+
+    def settled(wanted: list[tuple]) -> DataFrame | None:
+        """Rows of cells and buckets, each from the round that solved it last."""
+        found = None
+        for r in sorted({r for *_, r in wanted}):
+            one = held[r].filter("not fresh").withColumn("round", F.lit(r))
+            found = one if found is None else found.unionByName(one)
+        return None if found is None else found.join(keys(wanted), ["cell", "bucket", "round"], "left_semi").select(last.columns)
+
+    for k in range(most):
+        touched = [(r["cell"], r["bucket"]) for r in last.filter("fresh").select("cell", "bucket").distinct().collect()]  # cells, not vertices
+        if not touched:
+            break
+        here = keys([(*c, k) for c in touched]).drop("round")
+        cells_now = sorted({c for c, _ in touched})
+        near = arcs.filter(F.col("a_cell").isin(cells_now)) if len(cells_now) <= 200 else arcs
+        own = near.join(here.withColumnRenamed("cell", "a_cell"), "a_cell").select(F.col("a_cell").alias("cell"), "bucket", "a", "b", "b_cell", "arc", "t", "x")
+        work, before = last.filter("fresh"), settled([(*c, solved[c]) for c in touched if c in solved])
+        work = work if before is None else work.unionByName(before)
+        last = held[k] = cut(own.groupBy("cell", "bucket").cogroup(work.groupBy("cell", "bucket")).applyInPandas(_relax, STATE))
+        solved |= dict.fromkeys(touched, k)
+        if len(held) > ROUNDS_HELD:
+            others = [(*c, r) for c, r in solved.items() if r < k]
+            held = {k: last} | ({} if not others else {-1: cut(settled(others))})
+            solved = {c: k if r == k else -1 for c, r in solved.items()}
+    else:
+        raise RuntimeError(f"paths still get cheaper after {most} rounds")
+    found = settled([(*c, r) for c, r in solved.items()])
+    return (begun if found is None else found).drop("fresh")
+
+
+def _totals(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+    """What the paths of a run come to within a cell: each vertex looks through twice as many arcs in each round."""
+    cell = int(key[0])
+    v, prev = rows["v"].to_numpy(np.int64), rows["prev"].fillna(0).to_numpy(np.int64)
+    root, within = rows["prev"].isna().to_numpy(), (rows["prev_cell"].fillna(-1).to_numpy(np.int64) == cell) & rows["prev"].notna().to_numpy()
+    order = np.argsort(v)
+    up = np.where(within, order[np.searchsorted(v, prev, sorter=order).clip(0, len(v) - 1)], np.arange(len(v)))
+    n, t, x = rows["arc"].notna().to_numpy().astype(np.int64), rows["t"].fillna(0.0).to_numpy(float), rows["x"].fillna(0.0).to_numpy(float)
+    # the sums of a vertex are those up to `up`, which isn't counted; a vertex that is its own `up` is where the path came into the cell
+    top = ~within
+    own = [np.where(top, 0, c) for c in (n, t, x)]
+    while not top[up].all():
+        own = [c + c[up] for c in own]
+        up = up[up]
+    n, t, x = (c + first[up] for c, first in zip(own, (n, t, x), strict=True))
+    return pd.DataFrame({"price": rows["price"], "source": rows["source"], "v": v, "n": n, "T": t, "X": x, "on": _whole(prev[up], root[up]), "on_cell": _whole(rows["prev_cell"].fillna(0).to_numpy(np.int64)[up], root[up])})
+
+
+def totals(state: DataFrame, values: DataFrame) -> DataFrame:
+    """price, source, v, n, T, X: the number of arcs on the path to each vertex, and what their t and x add up to, along the arcs that the paths took.
+
+    state: what cheapest() gives. values: arc, t, x. A path isn't taken apart for each of its ends: its sums within a cell come from the run's rows of that cell, and where paths cross from
+    cell to cell the sums are put together by pointer jumping, in as many rounds as the logarithm of the cells of a path.
+    """
+    kind = "price double, source long, v long, n long, T double, X double, on long, on_cell long"
+    rows = state.join(values.select("arc", F.col("t").cast("double").alias("t"), F.col("x").cast("double").alias("x")), "arc", "left")
+    parts = cut(rows.select("cell", "price", "source", "v", "arc", "prev", "prev_cell", "t", "x").groupBy("cell", "price", "source").applyInPandas(_totals, kind))
+    run = ["price", "source"]
+    asked = parts.filter("on is not null").select(*run, F.col("on").alias("v")).distinct()
+    at = cut(parts.join(asked, [*run, "v"], "left_semi").select(*run, "v", "n", "T", "X", "on"))
+    while not at.filter("on is not null").isEmpty():
+        further = at.select(*run, F.col("v").alias("on"), F.col("n").alias("n2"), F.col("T").alias("T2"), F.col("X").alias("X2"), F.col("on").alias("on2"))
+        plus = lambda c: (F.col(c) + F.coalesce(f"{c}2", F.lit(0))).alias(c)
+        at = cut(at.join(further, [*run, "on"], "left").select(*run, "v", plus("n"), plus("T"), plus("X"), F.col("on2").alias("on")))
+    ends = at.select(*run, F.col("v").alias("on"), F.col("n").alias("n2"), F.col("T").alias("T2"), F.col("X").alias("X2"))
+    return parts.join(ends, [*run, "on"], "left").select(*run, "v", *[(F.col(c) + F.coalesce(f"{c}2", F.lit(0))).alias(c) for c in ("n", "T", "X")])
 
 
 def _follow(key: tuple, state: pd.DataFrame, walkers: pd.DataFrame) -> pd.DataFrame:
