@@ -12,6 +12,8 @@ from wayglass.operators.proximity import proximity_join, with_cells
 #: Scores of a word's match, of a whole name, of an address, and the weight of distance.
 EXACT, PREFIX, KIND, TOWN, WHOLE, ADDRESS, BETWEEN, DISTANCE = 3.0, 2.0, 1.5, 1.0, 3.0, 6.0, 4.0, 1.5
 INTERPOLATE_MAX_M = 1000.0
+#: Words of queries that are sent to all tasks.
+FEW_WORDS = 10_000
 TOWN_WEIGHT = {"city": 2.5, "town": 1.5, "village": 1.0}
 
 #: Fixed values: (key, values or None for any, label or None for the value in words, rank); the first that matches decides.
@@ -172,7 +174,9 @@ def score_entries(queries: DataFrame, table: DataFrame) -> DataFrame:
     exact = F.col("canon") == F.col("t.canon")
     starts = F.startswith("t.word", "word") | F.startswith("t.canon", "canon")
     name = F.col("t.source") == "name"
-    hits = q.join(t, "letter").filter(exact | starts)
+    # the index is never sent to all tasks, however small its files are; the words that are asked for are, if they are few
+    few = q.limit(FEW_WORDS + 1).count() <= FEW_WORDS
+    hits = (t.join(F.broadcast(q), "letter") if few else q.join(t.hint("merge"), "letter")).filter(exact | starts)
     level = F.when(name & exact, EXACT).when(name, PREFIX).when(F.col("t.source") == "kind", KIND).otherwise(TOWN)
     each = hits.groupBy("qid", "n", "whole", "entry_id", "ewhole", "i").agg(F.max(level).alias("level"), F.max(F.col("t.source") == "kind").alias("is_kind"))
     sums = each.groupBy("qid", "n", "whole", "entry_id", "ewhole").agg(F.count(F.lit(1)).alias("m"), F.sum("level").alias("score"), F.max(F.col("level") >= PREFIX).alias("named"), F.min(F.col("is_kind").cast("int")).alias("all_kind"), F.min("level").alias("low"))
