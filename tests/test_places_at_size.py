@@ -21,3 +21,20 @@ def test_the_index_is_never_broadcast(spark, query, monkeypatch):
     monkeypatch.setattr(pl, "FEW_WORDS", 0)
     many = query(spark, D)
     assert broadcasts(many) == 0 and sorted(map(tuple, many.collect())) == sorted(map(tuple, few.collect()))
+
+
+def test_a_common_name_meets_itself_nearby_alone(spark):
+    """Streets of one name all over the map: an address meets those around it, the nearest of its best level wins, the smallest among equally near ones."""
+    n = 400
+    streets = [(3 * k + i, name, 4000.0 * k + x, 0.0) for k in range(n) for i, (name, x) in enumerate((("North Main Street", 0.0), ("Main Street", 900.0), ("Main Road", 0.0)))]
+    streets = spark.createDataFrame(streets, "street_id long, name string, x double, y double")
+    said = ("N Main St", "MAIN STREET", "Main", "S Main St", "Main Street", "Side Street", None)
+    rows = [(7 * k + i, s, 4000.0 * k + (2500.0 if i == 4 else 450.0), 0.0) for k in range(n) for i, s in enumerate(said)]
+    addresses = spark.createDataFrame(rows, "addr_id long, street string, x double, y double")
+    found = pl.match_addresses(addresses, streets)
+    got = {r["addr_id"]: (r["street_id"], r["level"]) for r in found.collect()}
+    want = {7 * k + i: w for k in range(n) for i, w in enumerate(((3 * k, 0), (3 * k + 1, 0), (3 * k, 2), (3 * k, 1)))}
+    for k in range(n):  # 2,500 m on: the next town's streets are 1,500 m away
+        want[7 * k + 4] = (3 * k + 3, 1) if k < n - 1 else None
+    assert got == {a: w for a, w in want.items() if w}
+    assert all("cx" in line for line in found._jdf.queryExecution().sparkPlan().toString().split("\n") if "Join" in line)

@@ -97,20 +97,19 @@ def commonest(df: DataFrame, by: str, value: str, order: str) -> DataFrame:
 
 
 def match_addresses(addresses: DataFrame, streets: DataFrame, within: float = 1500.0) -> DataFrame:
-    """addr_id, street_id, level: by key, else without direction, else without type as well; each level only takes what is left, and the nearest street.
+    """addr_id, street_id, level: by key, else without direction, else without type as well; the first level that has a street within reach, and the nearest street of it.
 
-    addresses: addr_id, street, x, y. streets: street_id, name, x, y.
+    addresses: addr_id, street, x, y. streets: street_id, name, x, y. Equal keys are equal without their directions and types too, so all levels are met at once, by the shortest form and by
+    cells as wide as the reach: a name that is common all over the map doesn't meet itself everywhere.
     """
     keyed = lambda df, name: df.withColumn("key", tx.street_key(F.col(name))).withColumn("loose", tx.loose_keys(F.col("key")))
-    left, right = keyed(addresses, "street"), keyed(streets, "name").select("street_id", F.col("x").alias("sx"), F.col("y").alias("sy"), F.col("key").alias("skey"), F.col("loose").alias("sloose"))
-    found = None
-    for level, (a, b) in enumerate((("key", "skey"), ("loose.bare", "sloose.bare"), ("loose.stem", "sloose.stem"))):
-        d = F.hypot(F.col("x") - F.col("sx"), F.col("y") - F.col("sy"))
-        near = left.join(right, F.col(a) == F.col(b)).withColumn("d", d).filter(F.col("d") <= within)
-        best = near.groupBy("addr_id").agg(F.min_by("street_id", F.struct("d", "street_id")).alias("street_id")).withColumn("level", F.lit(level))
-        found = best if found is None else found.unionByName(best)
-        left = left.join(best.select("addr_id"), "addr_id", "left_anti")
-    return found
+    left = keyed(addresses, "street").select("addr_id", "x", "y", "key", F.col("loose.bare").alias("bare"), F.col("loose.stem").alias("stem"))
+    right = keyed(streets, "name").select("street_id", F.col("x").alias("sx"), F.col("y").alias("sy"), F.col("key").alias("skey"), F.col("loose.bare").alias("sbare"), F.col("loose.stem").alias("stem"))
+    east, north = F.col("x") - F.col("sx"), F.col("y") - F.col("sy")
+    near = with_cells(left, "x", "y", within).join(with_cells(right, "sx", "sy", within, 1).hint("merge"), ["stem", "cx", "cy"]).withColumn("d", F.sqrt(east * east + north * north)).filter(F.col("d") <= within)
+    level = F.when(F.col("key") == F.col("skey"), 0).when(F.col("bare") == F.col("sbare"), 1).otherwise(2)
+    best = near.groupBy("addr_id").agg(F.min(F.struct(level.alias("level"), "d", "street_id")).alias("best"))
+    return best.select("addr_id", "best.street_id", "best.level")
 
 
 def orphan_streets(addresses: DataFrame, matched: DataFrame, join_m: float = 400.0) -> DataFrame:
