@@ -80,7 +80,7 @@ def street_pieces(streets: DataFrame, minor_m: float = 400.0, major_m: float = 2
 
     a = streets.select(F.col("street_id").alias("a"), "name", "x", "y", "major")
     b = streets.select(F.col("street_id").alias("b"), "name", F.col("x").alias("x2"), F.col("y").alias("y2"), F.col("major").alias("major2"))
-    near = lambda rows, others, reach: proximity_join(rows, others, reach, on=("name",)).filter("a < b").select("a", "b")
+    near = lambda rows, others, reach: proximity_join(rows, others.hint("merge"), reach, on=("name",)).filter("a < b").select("a", "b")
     links = near(a, b, minor_m).unionByName(near(a.filter("major"), b.filter("major2"), major_m)).distinct()
     return component_labels(streets.select(F.col("street_id").alias("node")), links).select(F.col("node").alias("street_id"), F.col("label").alias("piece"))
 
