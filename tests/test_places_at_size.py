@@ -38,3 +38,19 @@ def test_a_common_name_meets_itself_nearby_alone(spark):
         want[7 * k + 4] = (3 * k + 3, 1) if k < n - 1 else None
     assert got == {a: w for a, w in want.items() if w}
     assert all("cx" in line for line in found._jdf.queryExecution().sparkPlan().toString().split("\n") if "Join" in line)
+
+
+def test_fixes_and_places_of_one_position_do_not_meet_in_pairs(spark, monkeypatch):
+    """300 fixes at one place, 300 addresses and 300 places at another: one pair of positions for each head start, the first by name wins."""
+    from pyspark.sql import functions as F
+
+    pairs = []
+    join = pq.proximity_join
+    monkeypatch.setattr(pq, "proximity_join", lambda *a, **b: pairs.append((out := join(*a, **b)).count()) or out)
+    at = lambda n, key, x: spark.range(n).select(F.col("id").alias(key), F.lit(x).alias("x"), F.lit(0.0).alias("y"))
+    monkeypatch.setattr(pq.src, "fixes", lambda *_: at(300, "event_id", 10.0).unionByName(spark.createDataFrame([(300, 5000.0, 0.0)], "event_id long, x double, y double")))
+    monkeypatch.setattr(pq, "addresses", lambda *_: at(300, "addr_id", 20.0))
+    for x, what in ((24.0, "p0"), (60.0, "a0")):
+        monkeypatch.setattr(pq, "places", lambda *_, x=x: at(300, "place_id", x))
+        assert {(r["event_id"], r["what"]) for r in pq.reverse_geocode(spark, "").collect()} == {(k, what) for k in range(300)}
+    assert pairs == [2, 2]
